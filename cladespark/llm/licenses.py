@@ -39,7 +39,7 @@ TEMPLATES = {
     ],
     "gpl-2.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 2 [[of the license]] [[or at your option any later version]]"],
     "gpl-3.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 3 [[of the license]] [[or at your option any later version]]"],
-    "lgpl": ["licensed under the [[terms of the]] gnu [[lesser]] [[library]] general public license [[version {{2}}]]"],
+    "lgpl": ["licensed under the [[terms of the]] gnu lesser general public license [[version {{2}}]]", "licensed under the [[terms of the]] gnu library general public license [[version {{2}}]]"],
     "cc-by-nc-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0 [[international]] [[license]]", "licensed under a creative commons attribution noncommercial 4 0 [[international]] license"],
     "cc-by-4.0": ["licensed under [[a]] [[the]] cc by 4 0 [[international]] [[license]]", "licensed under a creative commons attribution 4 0 [[international]] license"],
     "cc-by-sa-4.0": ["licensed under [[a]] [[the]] cc by sa 4 0 [[international]] [[license]]", "licensed under a creative commons attribution sharealike 4 0 [[international]] license"],

@@ -71,7 +71,7 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def encode(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text; each distinct unit of a run of texts is encoded once."""
     enc = _encoder(path)
-    for s in slices(column, 8 << 20):
+    for s in slices(column, 4 << 20):
         data = s.data
         start = _units(data, s.offsets)
         end = np.concatenate((start[1:], [len(data)])) if len(start) else start

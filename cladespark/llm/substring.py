@@ -50,7 +50,7 @@ def _blocks(block: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column("text"), 8 << 20):
+            for s in slices(batch.column("text"), 4 << 20):
                 w = words(s)
                 g, ok = w.grams(block)
                 if not len(g):
@@ -78,7 +78,7 @@ def _probes(block: int, window: int, index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column("text"), 8 << 20):
+            for s in slices(batch.column("text"), 4 << 20):
                 w = words(s)
                 g, ok = w.grams(block)
                 if not len(g):
