@@ -138,7 +138,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     live = blocks.join(probes.withColumn("probed", F.lit(True)), "h", "left").where("n > 1 or probed")
     live = spark.sparkContext.broadcast(_bitmap(live, "bits"))
     around = stash(single.mapInArrow(_around(block, window, live), "h long, doc_id long, start int"), "around")
-    firsts = around.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h", "first")
+    # As a table of its own, so that both sides of the join are plain exchanges and a passage that many texts share can be split.
+    firsts = stash(around.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h", "first"), "firsts")
     again = around.join(firsts, "h").where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start")
     merged = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("s"))
     # A run of windows ends where the next one starts beyond it; the runs' edges give the spans.
@@ -146,7 +147,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     tails = F.filter("s", lambda x, j: (j == F.size("s") - 1) | (F.get(F.col("s"), j + 1) > x + window))
     spans = merged.select("doc_id", F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("start"), (b + window).alias("end"))).alias("spans"))
     spans = stash(spans, "spans")
-    discard(around, blocks)
+    discard(around, blocks, firsts)
     return copies, spans
 
 
