@@ -6,10 +6,10 @@ over all documents (any total order is exact; rarity only keeps the lists short)
 
 * Index-level skipping: each list is ordered by set size and walked in blocks; blocks
   whose sizes or whose positions can't reach the threshold are skipped whole.
-* Answer-level skipping: within a list, each set is first compared with its neighbour.
-  Sets joined by these links share their answers from then on: only pairs of sets of
-  different classes are still generated, so a group of n near copies costs about n
-  comparisons, not n squared.
+* Answer-level skipping: within a list, each set is first compared with the list's first
+  set, then with its neighbour by size. Sets joined by these links share their answers
+  from then on: only pairs of sets of different classes are still generated, so a group
+  of n near copies costs about n comparisons, not n squared.
 
 Pairs are pruned by an exact upper bound from bucketed counts, and then verified on the
 whole sets. The result is exact for links between different texts' classes.
@@ -246,18 +246,27 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     index = stash(source.mapInArrow(_prefixes(k, percent, sketch), "id long, n long, sig binary, tokens array<long>").dropDuplicates(["id"]), "index")
     lists = index.select("id", "n", F.posexplode("tokens").alias("pos", "tok"))
     by = Window.partitionBy("tok").orderBy("n", "id")
-    lists = lists.withColumn("prev", F.lag("id").over(by)).withColumn("prev_n", F.lag("n").over(by)).withColumn("next", F.lead("id").over(by))
-    lists = stash(lists.where("prev is not null or next is not null").drop("next"), "lists")
-    # Answers of a set's neighbour in each list first.
-    near = lists.where(100 * F.col("prev_n") >= percent * F.col("n")).select(F.col("prev").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verify(near, index, docs, k, percent)
-    known = stash(components(links), "comp")
-    rows = lists.select("tok", "id", "n", F.col("pos").cast("long").alias("pos")).join(known, "id", "left").select("tok", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
-    rows = rows.repartition("tok").sortWithinPartitions("tok", "n", "id")
-    rest = stash(rows.mapInArrow(_cross(percent), "a long, b long").distinct(), "pairs")
-    more = _verify(rest.join(near, ["a", "b"], "left_anti"), index, docs, k, percent)
+    lists = lists.withColumn("hub", F.first("id").over(by)).withColumn("hub_n", F.first("n").over(by)).withColumn("next", F.lead("id").over(by))
+    lists = stash(lists.where("hub <> id or next is not null").drop("next"), "lists")
+    # Answers of each list's first set first: copies of one text have few such hubs between them.
+    star = stash(lists.where((F.col("hub") != F.col("id")) & (100 * F.col("hub_n") >= percent * F.col("n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = _verify(star, index, docs, k, percent)
+
+    def classed(links: DataFrame) -> DataFrame:
+        known = stash(components(links), "comp")
+        rows = lists.select("tok", "id", "n", F.col("pos").cast("long").alias("pos")).join(known, "id", "left")
+        return rows.select("tok", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
+
+    # Then those of the neighbour by size, where it is of another class.
+    rows = classed(links).withColumn("a", F.lag("id").over(by)).withColumn("an", F.lag("n").over(by)).withColumn("ac", F.lag("comp").over(by))
+    near = rows.where((F.col("ac") != F.col("comp")) & (100 * F.col("an") >= percent * F.col("n"))).select("a", F.col("id").alias("b")).distinct()
+    near = stash(near.join(star, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(_verify(near, index, docs, k, percent))
+    rows = classed(links).repartition("tok").sortWithinPartitions("tok", "n", "id")
+    rest = stash(rows.mapInArrow(_cross(percent), "a long, b long").distinct().join(star.union(near), ["a", "b"], "left_anti"), "pairs")
+    more = _verify(rest, index, docs, k, percent)
     final = stash(components(links.union(more)), "comp")
-    discard(lists, rest, index)
+    discard(lists, rest, near, star, index)
     reps = classes.join(final, F.col("rep") == F.col("id"), "left").select("sid", "n", F.coalesce("component", "rep").alias("component"))
     out = info.join(reps, ["sid", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
