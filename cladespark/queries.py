@@ -1,4 +1,322 @@
 """Named queries of the library over the tables of a data folder, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.alphabet import DNA
+from .operators import alignment, distance, joining, likelihood, posterior, splits, trees
+from .plans import inputs
+from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
+from .session import ship
+from .sources import fasta, newick
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(ship(spark), sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(df: DataFrame, *cols: str, places: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), places) for c in cols})
+
+
+def _sites(spark, d):
+    return alignment.sites(inputs.sequences(spark, d), DNA)
+
+
+@query(f"WITH {SQL_SEQS} SELECT tid, pos, ch, CAST(val AS INTEGER) AS val FROM sites")
+def site_explode(spark, d):
+    return _sites(spark, d).select("tid", F.col("pos").cast("long").alias("pos"), "ch", "val")
+
+
+@query(f"WITH {SQL_SEQS} SELECT ch, CAST(val AS INTEGER) AS val, count(*) AS n FROM sites GROUP BY 1, 2")
+def state_freqs(spark, d):
+    return alignment.state_frequencies(_sites(spark, d))
+
+
+@query(f"WITH {SQL_SEQS} SELECT CAST(bit_count(val) AS INTEGER) AS popcount, count(*) AS n FROM sites GROUP BY 1")
+def ambiguity_popcount(spark, d):
+    return _sites(spark, d).groupBy(F.bit_count("val").alias("popcount")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, translate(regexp_replace(text, '[^ACGTUacgtu?.-]', '', 'g'), 'Uuacgt?.', 'TTACGTN-') AS seq FROM documents")
+def canonize(spark, d):
+    text = F.regexp_replace("text", "[^ACGTUacgtu?.-]", "")
+    return inputs.table(spark, d, "documents").select("doc_id", DNA.canonize(text).alias("seq"))
+
+
+@query(f"WITH {SQL_SEQS} SELECT pattern, count(*) AS freq FROM (SELECT pos, string_agg(ch, '' ORDER BY tid) AS pattern FROM sites GROUP BY pos) GROUP BY pattern")
+def pattern_compact(spark, d):
+    return alignment.compact(_sites(spark, d))
+
+
+@query("SELECT l_returnflag || l_linestatus || CAST(l_linenumber % 4 AS VARCHAR) AS pattern, count(*) AS freq FROM lineitem GROUP BY 1")
+def pattern_compact_tpch(spark, d):
+    return inputs.table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus", (F.col("l_linenumber") % 4).cast("string")).alias("pattern")).agg(F.count("*").alias("freq"))
+
+
+@query(f"""WITH {SQL_SEQS}, c AS (SELECT pos, val, count(*) AS n FROM sites WHERE val <> 0 GROUP BY 1, 2)
+SELECT pos, count(*) AS nstates, count(*) > 2 OR (count(*) = 2 AND min(n) >= 2) AS informative FROM c GROUP BY pos""")
+def fitch_informative(spark, d):
+    return alignment.informative(_sites(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""WITH {SQL_SEQS}, f AS (SELECT pos, val, min(tid) AS seen FROM sites GROUP BY 1, 2), k AS (SELECT pos, val, row_number() OVER (PARTITION BY pos ORDER BY seen) - 1 AS label FROM f)
+SELECT pos, tid, CAST(label AS INTEGER) AS label FROM sites JOIN k USING (pos, val)""")
+def fitch_labels(spark, d):
+    return alignment.fitch_labels(_sites(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT p_partkey AS tid, rpad(p_type, CAST((SELECT max(length(p_type)) FROM part) AS INTEGER), '-') AS seq FROM part")
+def pad_rows(spark, d):
+    return alignment.pad(inputs.table(spark, d, "part").select(F.col("p_partkey").alias("tid"), F.col("p_type").alias("seq")))
+
+
+@query("SELECT doc_id, '>' || replace(source, ' ', '_') || chr(10) || regexp_replace(regexp_replace(text, '\\s', '', 'g'), '(.{75})', '\\1' || chr(10), 'g') AS fasta FROM documents")
+def seq_wrap_fasta(spark, d):
+    docs = inputs.table(spark, d, "documents")
+    body = F.regexp_replace(F.regexp_replace("text", r"\s", ""), "(.{75})", "$1\n")
+    return docs.select("doc_id", F.concat(F.lit(">"), F.translate("source", " ", "_"), F.lit("\n"), body).alias("fasta"))
+
+
+def _pair_sql(score_gaps: bool) -> str:
+    val = "CASE WHEN val = 0 THEN 15 ELSE val END" if score_gaps else "val"
+    return f"""{SQL_SEQS}, s AS (SELECT tid, pos, {val} AS v FROM sites),
+st AS (SELECT a.tid AS i, b.tid AS j, coalesce(sum(CASE WHEN a.v <> 0 AND b.v <> 0 THEN CAST(bit_count(a.v & b.v) AS DOUBLE) / (bit_count(a.v) * bit_count(b.v)) END), 0) AS fident, count(CASE WHEN a.v <> 0 AND b.v <> 0 THEN 1 END) AS n
+    FROM s AS a JOIN s AS b ON a.pos = b.pos AND a.tid < b.tid GROUP BY 1, 2)"""
+
+
+_P = "SELECT i, j, round(CASE WHEN n > 0 THEN 1 - fident / n ELSE 1 END, 9) AS d FROM st"
+
+
+@query(f"WITH {_pair_sql(True)} {_P}")
+def p_distance(spark, d):
+    return _r(distance.p_distance(distance.pairs(inputs.masks(spark, d))), "d")
+
+
+@query(f"WITH {_pair_sql(False)} {_P}")
+def p_distance_nogap(spark, d):
+    return _r(distance.p_distance(distance.pairs(inputs.masks(spark, d), score_gaps=False)), "d")
+
+
+@query(f"""WITH {_pair_sql(True)}, k AS (SELECT i, j, n, n - fident AS k FROM st),
+t AS (SELECT i, j, n, k, x, 0.75 * pow(k / (n * 0.75), x) / gamma(x + 1) AS t, 0.75 * pow(k / (n * 0.75), x - 1) / gamma(x) AS p FROM k, unnest(range(1, CAST(floor(k + 1e-9) AS BIGINT) + 1)) AS u(x)),
+ser AS (SELECT i, j, sum(t) AS d FROM t WHERE p >= 1.1920928955078125e-07 GROUP BY 1, 2)
+SELECT k.i, k.j, round(CASE WHEN n > 0 THEN coalesce(d, 0) END, 7) AS d FROM k LEFT JOIN ser USING (i, j)""")
+def jc_distance(spark, d):
+    return _r(distance.jukes_cantor(distance.pairs(inputs.masks(spark, d))), "d", places=7)
+
+
+@query()
+def kimura_distance(spark, d):
+    return distance.matrix_distance(inputs.masks(spark, d), "kimura")
+
+
+@query()
+def logdet_distance(spark, d):
+    return distance.convert_nan(distance.matrix_distance(inputs.masks(spark, d), "logdet"))
+
+
+@query(f"WITH {SQL_CENTROIDS} SELECT CAST(j AS BIGINT) AS i, string_agg(printf('%.6f', d), ' ' ORDER BY i) AS line FROM dists GROUP BY j")
+def dist_render_lower(spark, d):
+    return distance.render_lower(inputs.centroid_distances(spark, d)).withColumn("i", F.col("i").cast("long"))
+
+
+@query(f"WITH {SQL_CENTROIDS} SELECT CAST(i AS BIGINT) AS i, round(r, 6) AS r FROM sums")
+def nj_row_sums(spark, d):
+    return _r(distance.row_sums(inputs.centroid_distances(spark, d)).withColumn("i", F.col("i").cast("long")), "r", places=6)
+
+
+@query(f"WITH {SQL_CENTROIDS} SELECT CAST(d.i AS BIGINT) AS i, CAST(d.j AS BIGINT) AS j, round(d - (a.r + b.r) / ((SELECT count(*) FROM sums) - 2), 6) AS q FROM dists AS d JOIN sums AS a ON a.i = d.i JOIN sums AS b ON b.i = d.j")
+def nj_q_matrix(spark, d):
+    return _r(distance.q_matrix(inputs.centroid_distances(spark, d)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "q"), "q", places=6)
+
+
+@query(f"WITH {SQL_CENTROIDS}, q AS (SELECT d.i, d.j, d - (a.r + b.r) / ((SELECT count(*) FROM sums) - 2) AS q FROM dists AS d JOIN sums AS a ON a.i = d.i JOIN sums AS b ON b.i = d.j) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM q QUALIFY row_number() OVER (ORDER BY q, i, j) = 1")
+def nj_first_join(spark, d):
+    q = distance.q_matrix(inputs.centroid_distances(spark, d))
+    return q.agg(F.min(F.struct("q", "i", "j")).alias("m")).select(F.col("m.i").cast("long").alias("i"), F.col("m.j").cast("long").alias("j"))
+
+
+def _replicates(spark, d, n=8):
+    return inputs.centroid_distances(spark, d).withColumn("dataset", F.lit("labels")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+
+@query()
+def nj_tree(spark, d):
+    return joining.trees(_replicates(spark, d), "nj")
+
+
+@query()
+def rnj_tree(spark, d):
+    return joining.trees(_replicates(spark, d), "rnj", seed=1)
+
+
+_BURN = "burned AS (SELECT * FROM samples WHERE step >= (SELECT max(step) // 2 + 1 FROM samples))"
+
+
+@query(f"WITH {SQL_SAMPLES}, {_BURN} SELECT run, step, x FROM burned")
+def burnin_filter(spark, d):
+    return posterior.burn_in(inputs.samples(spark, d)).select("run", "step", "x")
+
+
+_RANKED = "ranked AS (SELECT run, x, row_number() OVER (PARTITION BY run ORDER BY x) - 1 AS rank, count(*) OVER (PARTITION BY run) AS size FROM burned)"
+
+
+@query(f"""WITH {SQL_SAMPLES}, {_BURN}, {_RANKED}
+SELECT run, count(*) AS n, max(CASE WHEN rank = CAST(floor(size * 0.025) AS BIGINT) THEN x END) AS min_cred, max(CASE WHEN rank = size - 1 - CAST(floor(size * 0.025) AS BIGINT) THEN x END) AS max_cred,
+    round(avg(x), 8) AS mean, round(var_pop(x), 6) AS var, round(median(x), 9) AS med FROM ranked GROUP BY run""")
+def posterior_summary(spark, d):
+    out = posterior.summary(posterior.burn_in(inputs.samples(spark, d)), ["run"], "x")
+    return _r(_r(_r(out, "mean", places=8), "var", places=6), "med")
+
+
+@query(f"""WITH {SQL_SAMPLES}, {_BURN}, {_RANKED},
+b AS (SELECT run, max(CASE WHEN rank = CAST(floor(size * 0.025) AS BIGINT) THEN x END) AS lo, max(CASE WHEN rank = size - 1 - CAST(floor(size * 0.025) AS BIGINT) THEN x END) AS hi, max(1 - 2.0 * CAST(floor(size * 0.025) AS BIGINT) / size) AS held FROM ranked GROUP BY run),
+c AS (SELECT b.run, avg(CASE WHEN x BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) * 0.95 / max(held) AS c FROM b CROSS JOIN burned GROUP BY b.run)
+SELECT round(avg(c), 9) AS rcov FROM c""")
+def rcov_lnl(spark, d):
+    return _r(posterior.coverage(posterior.burn_in(inputs.samples(spark, d))), "rcov")
+
+
+@query(f"""WITH {SQL_SAMPLES}, n AS (SELECT run, cls, count(*) AS n FROM samples GROUP BY 1, 2),
+u AS (SELECT run, cls, n, sum(n) OVER (PARTITION BY run ORDER BY n RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY run) AS size FROM n),
+k AS (SELECT * FROM u WHERE upto > floor(size * 0.25)),
+c AS (SELECT k.run, count(*) / CAST((SELECT count(*) FROM samples) AS DOUBLE) * 0.75 / (SELECT CAST(sum(n) AS DOUBLE) / max(size) FROM k AS z WHERE z.run = k.run) AS c FROM k JOIN samples AS s ON s.cls = k.cls GROUP BY k.run)
+SELECT round(avg(c), 9) AS rcov FROM c""")
+def rcov_rclass(spark, d):
+    return _r(posterior.class_coverage(inputs.samples(spark, d), 0.25), "rcov")
+
+
+@query(f"WITH {SQL_SAMPLES}, l AS (SELECT run, max(step) AS last FROM samples GROUP BY run) SELECT run, round(sum(0.1 * pow(CAST(0.9 AS DOUBLE), last - step) * x), 8) AS ema FROM samples JOIN l USING (run) GROUP BY run")
+def ema_diag(spark, d):
+    return _r(posterior.moving_average(inputs.samples(spark, d), 0.1), "ema", places=8)
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS accepts, count(*) FILTER (o_orderstatus <> 'F') AS rejects, round(count(*) FILTER (o_orderstatus = 'F') / CAST(count(*) AS DOUBLE), 9) AS rate FROM orders GROUP BY 1")
+def acceptance_rate(spark, d):
+    return _r(posterior.acceptance(inputs.table(spark, d, "orders"), ["o_orderpriority"], F.col("o_orderstatus") == "F"), "rate")
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT run, step, x FROM samples WHERE step % 100 = 0")
+def stride_sample(spark, d):
+    return posterior.strided(inputs.samples(spark, d), 100).select("run", "step", "x")
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT a.step, a.run AS a, b.run AS b, round(a.x - b.x, 9) AS dx FROM samples AS a JOIN samples AS b ON a.step = b.step AND a.run < b.run WHERE a.step % 50 = 0")
+def swap_pairs(spark, d):
+    s = inputs.samples(spark, d).where(F.col("step") % 50 == 0)
+    a, b = s.select("step", F.col("run").alias("a"), F.col("x").alias("xa")), s.select("step", F.col("run").alias("b"), F.col("x").alias("xb"))
+    return a.join(b, "step").where("a < b").select("step", "a", "b", F.round(F.col("xa") - F.col("xb"), 9).alias("dx"))
+
+
+@query(f"WITH {SQL_SPLITS} SELECT tree_id, run, split, round(length, 9) AS length FROM splits")
+def tree_splits(spark, d):
+    return _r(inputs.splits(spark, d), "length")
+
+
+@query(f"""WITH {SQL_SPLITS}, p AS (SELECT split, run, count(*) AS n FROM splits GROUP BY 1, 2), m AS (SELECT split, sum(n * n) AS n2, sum(n) AS nobs, count(*) AS nruns FROM p GROUP BY split)
+SELECT translate(s.split, '01', '.*') AS split, CAST(max(nobs) AS BIGINT) AS nobs, round(avg(length), 8) AS mean, round(avg(length * length) - avg(length) * avg(length), 5) AS var,
+    round((max(n2) - max(nobs) * max(nobs) / CAST(4 AS DOUBLE)) / max(nobs), 8) AS mse, max(nruns) AS nruns FROM splits AS s JOIN m ON m.split = s.split GROUP BY s.split""")
+def split_freqs(spark, d):
+    out = splits.frequencies(inputs.splits(spark, d), 4).withColumn("split", splits.render(F.col("split")))
+    return _r(_r(out, "mean", "mse", places=8), "var", places=5)
+
+
+_TOPO = "topo AS (SELECT tree_id, run, string_agg(split, '|' ORDER BY split) AS topology FROM splits GROUP BY 1, 2)"
+
+
+@query(f"""WITH {SQL_SPLITS}, {_TOPO}, c AS (SELECT topology, count(*) AS nobs, count(DISTINCT run) AS nruns FROM topo GROUP BY 1)
+SELECT topology, nobs, round(nobs / CAST(sum(nobs) OVER () AS DOUBLE), 9) AS p, round(CAST(sum(nobs) OVER (ORDER BY nobs DESC, topology DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(nobs) OVER (), 9) AS cum_p, nruns FROM c""")
+def topology_cumprob(spark, d):
+    return _r(splits.topology_frequencies(splits.topologies(inputs.splits(spark, d))), "p", "cum_p")
+
+
+@query(f"WITH {SQL_SPLITS}, {_TOPO} SELECT topology, split, round(avg(length), 8) AS mean FROM splits JOIN topo USING (tree_id, run) GROUP BY 1, 2")
+def mean_tree(spark, d):
+    s = inputs.splits(spark, d)
+    return _r(splits.mean_lengths(s, splits.topologies(s)), "mean", places=8)
+
+
+@query(f"""WITH {SQL_SPLITS}, t AS (SELECT count(DISTINCT tree_id) AS n FROM splits)
+SELECT split, round(count(DISTINCT tree_id) / CAST((SELECT n FROM t) AS DOUBLE), 9) AS support, round(avg(length), 8) AS mean FROM splits GROUP BY split HAVING count(DISTINCT tree_id) > 0.5 * (SELECT n FROM t)""")
+def majority_consensus(spark, d):
+    s = inputs.splits(spark, d)
+    total = s.agg(F.count_distinct("tree_id").alias("n"))
+    counts = s.crossJoin(F.broadcast(total))
+    out = counts.groupBy("split").agg((F.count_distinct("tree_id") / F.max("n")).alias("support"), F.avg("length").alias("mean")).where("support > 0.5")
+    return _r(_r(out, "support"), "mean", places=8)
+
+
+@query(f"""WITH {SQL_SPLITS}, s AS (SELECT tree_id, list(DISTINCT split) AS s FROM splits GROUP BY tree_id), p AS (SELECT tree_id AS a, tree_id + 1 AS b FROM s),
+q AS (SELECT p.a, p.b, coalesce(x.s, []) AS x, coalesce(y.s, []) AS y FROM p LEFT JOIN s AS x ON x.tree_id = a LEFT JOIN s AS y ON y.tree_id = b)
+SELECT a, b, round((CASE WHEN len(x) > 0 THEN len(list_filter(x, lambda v: NOT list_contains(y, v))) / CAST(len(x) AS DOUBLE) ELSE 0 END + CASE WHEN len(y) > 0 THEN len(list_filter(y, lambda v: NOT list_contains(x, v))) / CAST(len(y) AS DOUBLE) ELSE 0 END) / 2, 9) AS rf FROM q""")
+def rf_distance(spark, d):
+    s = inputs.splits(spark, d)
+    pairs = s.select(F.col("tree_id").alias("a")).distinct().withColumn("b", F.col("a") + 1)
+    return _r(splits.robinson_foulds(pairs, s), "rf")
+
+
+@query(f"WITH {SQL_EDGES} SELECT node, count(*) AS degree FROM (SELECT node FROM edges WHERE parent IS NOT NULL UNION ALL SELECT parent FROM edges WHERE parent IS NOT NULL) GROUP BY node")
+def tree_degree(spark, d):
+    return trees.degrees(inputs.edges(spark, d))
+
+
+@query(f"WITH RECURSIVE {SQL_EDGES}, walk(node, depth, dist) AS (SELECT node, 0, CAST(0 AS DOUBLE) FROM edges WHERE parent IS NULL UNION ALL SELECT e.node, depth + 1, dist + e.length FROM walk JOIN edges AS e ON e.parent = walk.node) SELECT node, CAST(depth AS INTEGER) AS depth, round(dist, 9) AS dist FROM walk")
+def tree_depth(spark, d):
+    return _r(trees.depths(inputs.edges(spark, d), 4), "dist")
+
+
+@query(f"""WITH {SQL_EDGES}, leaf AS (SELECT node, parent, length FROM edges WHERE node LIKE 's%'), up AS (SELECT node, parent FROM edges WHERE node LIKE 'n%')
+SELECT a.node AS a, b.node AS b, round(a.length + b.length, 9) AS dist FROM leaf AS a JOIN leaf AS b ON a.parent = b.parent AND a.node < b.node""")
+def tree_patristic(spark, d):
+    leaf = inputs.edges(spark, d).where("node like 's%'")
+    a, b = leaf.select(F.col("node").alias("a"), "parent", F.col("length").alias("la")), leaf.select(F.col("node").alias("b"), "parent", F.col("length").alias("lb"))
+    return a.join(b, "parent").where("a < b").select("a", "b", F.round(F.col("la") + F.col("lb"), 9).alias("dist"))
+
+
+@query("SELECT r_name AS root, '(' || string_agg(replace(n_name, ' ', '_'), ',' ORDER BY n_name) || ')' || replace(r_name, ' ', '_') || ';' AS newick FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def newick_render(spark, d):
+    both = inputs.table(spark, d, "region").join(inputs.table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    kids = F.translate(F.array_join(F.array_sort(F.collect_list("n_name")), ","), " ", "_")
+    return both.groupBy(F.col("r_name").alias("root")).agg(F.concat(F.lit("("), kids, F.lit(")"), F.translate("r_name", " ", "_"), F.lit(";")).alias("newick"))
+
+
+@query("SELECT r_name AS tree_id, replace(n_name, '_', ' ') AS taxon FROM region JOIN nation ON n_regionkey = r_regionkey")
+def newick_nodes(spark, d):
+    got = newick.nodes(newick_render(spark, d).select(F.col("root").alias("tree_id"), "newick"))
+    return got.where("is_leaf").select("tree_id", "taxon")
+
+
+@query(f"""WITH {SQL_SEQS}, pat AS (SELECT pos, val FROM sites WHERE tid = 0), o AS (SELECT a.pos, a.ch AS x, b.ch AS y FROM sites AS a JOIN sites AS b ON a.pos = b.pos AND a.tid = 0 AND b.tid = 1 WHERE a.ch IN ('A','C','G','T') AND b.ch IN ('A','C','G','T'))
+SELECT x || y AS pattern, count(*) AS freq, round(count(*) * ln(0.25 * CASE WHEN x = y THEN 0.25 + 0.75 * exp(-4.0 / 3 * 0.5) ELSE 0.25 - 0.25 * exp(-4.0 / 3 * 0.5) END), 8) AS lnl FROM o GROUP BY 1, x, y""")
+def site_lnl_2taxon(spark, d):
+    s = _sites(spark, d).where("tid in (0, 1)")
+    pats = alignment.compact(s).where(F.col("pattern").rlike("^[ACGT]{2}$"))
+    return _r(likelihood.lnl(pats, "(A:0.0,B:0.5);", ["A", "B"], [likelihood.Model()]), "lnl", places=8)
+
+
+@query()
+def gamma_categories(spark, d):
+    rows = [(a, k, m, i, r) for a in (0.5, 1.0, 5.0) for k in (4, 8) for m in (False, True) for i, r in enumerate(likelihood.gamma_categories(a, k, m))]
+    return spark.createDataFrame(rows, "alpha double, ncat int, median boolean, category int, rate double")
+
+
+@query()
+def fasta_lines(spark, d):
+    return inputs.sequences(spark, d).select("tid", fasta.lines(F.concat(F.lit("v "), F.col("tid").cast("string")), F.col("seq")).alias("record"))
