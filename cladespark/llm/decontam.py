@@ -6,7 +6,8 @@ so each window is indexed under its rarest word (rarity counted over all documen
 the benchmark's words). Document words join that prefix index; the word's place in the
 window bounds where the window can start and end, and what passes is compared word for word.
 
-Null text has no words. Repeated rows are judged each; items with the same id count once.
+Null text has no words. Repeated rows get a row each, with the most words that any row of
+their doc_id has hit; a null doc_id is never matched. Items with the same id count once.
 Columns besides doc_id and text, or item_id and text, are ignored.
 """
 

@@ -151,6 +151,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     return copies, spans
 
 
+#: Names that no column of the input is taken to have.
+_SPANS, _OUT = "_repeat_spans", ("_repeat_words", "_repeat_removed", "_repeat_kept")
+_SCHEMA = f", {_OUT[0]} long, {_OUT[1]} long, {_OUT[2]} string"
+
+
 def _cut(s_text: bytes, spans: list) -> tuple[int, bytes]:
     found = s_text.split()
     keep = np.ones(len(found), bool)
@@ -165,7 +170,7 @@ def _kept(whole: bool, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else None
+            spans = batch.column(_SPANS).to_pylist() if _SPANS in batch.schema.names else None
             for s in slices(batch.column("text")):
                 for i in range(s.hi - s.lo):
                     raw = s.text(i)
@@ -181,8 +186,8 @@ def _kept(whole: bool, digest: bool):
                     n.append(total)
                     gone.append(removed)
                     kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
-            cols = [c for c in batch.schema.names if c not in ("spans", "text")] if not digest else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*cols, "n_words", "n_removed", "kept"])
+            cols = [c for c in batch.schema.names if c not in (_SPANS, "text")] if not digest else ["doc_id"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*cols, *_OUT])
 
     return run
 
@@ -190,19 +195,19 @@ def _kept(whole: bool, digest: bool):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, digest: bool = False) -> DataFrame:
     """Each row of docs with n_words, n_removed and kept: the words left, joined by one space (their SHA-256 with digest, then only doc_id stays of the other columns)."""
     copies, spans = repeats(docs, window, block)
-    rest = [c for c in docs.columns if c != "text"]
-    docs = docs.select("doc_id", "text") if digest else docs
-    cols = ["doc_id"] if digest else rest
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + ", n_words long, n_removed long, kept string"
+    docs = docs.select("doc_id", "text") if digest else docs.drop("n_words", "n_removed", "kept")
+    cols = [c for c in docs.columns if c != "text"]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + _SCHEMA
     touched = spans.select("doc_id")
-    part = with_ids(docs, touched).join(spans, "doc_id")
+    part = with_ids(docs, touched).join(spans.withColumnRenamed("spans", _SPANS), "doc_id")
     clean = without_ids(without_ids(docs, copies), touched)
     long_copies = with_ids(docs, copies)
-    return (
-        part.select(*cols, "text", "spans").mapInArrow(_kept(False, digest), schema)
+    out = (
+        part.select(*cols, "text", _SPANS).mapInArrow(_kept(False, digest), schema)
         .union(clean.select(*cols, "text").mapInArrow(_kept(False, digest), schema))
         .union(long_copies.select(*cols, "text").mapInArrow(_kept(True, digest), schema))
     )
+    return out.withColumnsRenamed(dict(zip(_OUT, ("n_words", "n_removed", "kept"), strict=True)))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -211,7 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     touched = spans.select("doc_id")
     clean = without_ids(without_ids(docs, copies), touched)
     cols = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + ", n_words long, n_removed long, kept string"
-    part = with_ids(docs, touched).join(spans, "doc_id").select(*cols, "text", "spans").mapInArrow(_kept(False, False), schema)
-    part = part.where("kept <> ''").drop("n_words", "n_removed").withColumnRenamed("kept", "text")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + _SCHEMA
+    part = with_ids(docs, touched).join(spans.withColumnRenamed("spans", _SPANS), "doc_id").select(*cols, "text", _SPANS).mapInArrow(_kept(False, False), schema)
+    part = part.where(F.col(_OUT[2]) != "").drop(*_OUT[:2]).withColumnRenamed(_OUT[2], "text")
     return clean.unionByName(part.select(*docs.columns))
