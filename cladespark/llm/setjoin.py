@@ -117,11 +117,17 @@ def _prefixes(k: int, percent: int, sketch):
     return run
 
 
+def _bounded(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether signatures allow the needed overlap: the sum of the smaller counts bounds the intersection (a full count bounds nothing)."""
+    return (np.minimum(x, y).sum(1, dtype=np.int64) >= overlap_needed(n, m, percent)) | (np.minimum(n, m) > 65535)
+
+
 def _cross(percent: int):
     """Pairs of different classes in each token's list (rows arrive together by token, by ascending size)."""
 
     def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ident, n, pos, comp = rows
+        ident, n, pos, comp, sig = rows
+        sig = np.frombuffer(b"".join(sig.tolist()), np.uint16).reshape(-1, BUCKETS)
         a, b = [], []
         for lo in range(0, len(n), 512):  # a block of probes against the blocks that follow it
             hi = min(lo + 512, len(n))
@@ -134,8 +140,11 @@ def _cross(percent: int):
                 need = -(-percent * (n[i] + n[j]) // (100 + percent))
                 ok = (j > i) & (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need)
                 x, y = np.nonzero(ok)
-                a.append(ident[lo:hi][x])
-                b.append(ident[at:to][y])
+                for k in range(0, len(x), 1 << 15):
+                    i, j = x[k : k + (1 << 15)] + lo, y[k : k + (1 << 15)] + at
+                    fits = _bounded(sig[i], sig[j], n[i], n[j], percent)
+                    a.append(ident[i[fits]])
+                    b.append(ident[j[fits]])
         return (np.concatenate(a), np.concatenate(b)) if a else (ident[:0], ident[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +164,7 @@ def _cross(percent: int):
             return None
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "id", "n", "pos", "comp")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "id", "n", "pos", "comp", "sig")]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -182,10 +191,8 @@ def _fits(percent: int):
             if not len(batch):
                 continue
             n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int64) for c in ("sa", "sb"))
-            most = np.minimum(x, y).sum(1)
-            ok = (most >= -(-percent * (n + m) // (100 + percent))) | (np.minimum(n, m) > 65535)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array(_bounded(x, y, n, m, percent)))
 
     return run
 
@@ -262,7 +269,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near = rows.where((F.col("ac") != F.col("comp")) & (100 * F.col("an") >= percent * F.col("n"))).select("a", F.col("id").alias("b")).distinct()
     near = stash(near.join(star, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_verify(near, index, docs, k, percent))
-    rows = classed(links).repartition("tok").sortWithinPartitions("tok", "n", "id")
+    whole = Window.partitionBy("tok")
+    rows = classed(links).withColumn("mixed", F.min("comp").over(whole) != F.max("comp").over(whole)).where("mixed").drop("mixed")
+    rows = rows.join(index.select("id", "sig"), "id").repartition("tok").sortWithinPartitions("tok", "n", "id")
     rest = stash(rows.mapInArrow(_cross(percent), "a long, b long").distinct().join(star.union(near), ["a", "b"], "left_anti"), "pairs")
     more = _verify(rest, index, docs, k, percent)
     final = stash(components(links.union(more)), "comp")
