@@ -66,6 +66,7 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the longest path, and no node's neighbours are gathered.
     """
     cur = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    n_old, h_old = _mark(cur)
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -76,11 +77,11 @@ def components(edges: DataFrame) -> DataFrame:
         star = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         nxt = stash(star, "cc")
         n_new, h_new = _mark(nxt)
-        n_old, h_old = _mark(cur)
         discard(cur)
         cur = nxt
         if (n_new, h_new) == (n_old, h_old):
             break
+        n_old, h_old = n_new, h_new
     own = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(own)
 
