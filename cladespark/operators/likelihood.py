@@ -153,3 +153,35 @@ def lnl(patterns: DataFrame, tree: str, taxa: list[str], models: list[Model]) ->
             yield pdf.assign(lnl=site_lnl(tree, taxa, pdf["pattern"].tolist(), models) * pdf["freq"].to_numpy())
 
     return patterns.select("pattern", F.col("freq").cast("long").alias("freq")).mapInPandas(run, "pattern string, freq long, lnl double")
+
+
+def _simulated(tree: str, models: list[Model], n: int, rng: np.random.Generator) -> tuple[list[str], list[str]]:
+    rows, parts = parse(tree), components(models)
+    of = rng.choice(len(parts), n, p=np.array([c.weight for c in parts]) / sum(c.weight for c in parts))
+    states: dict[int, np.ndarray] = {}
+    taxa, seqs = [], []
+    for r in rows:  # parents come first
+        here = np.zeros(n, np.int64)
+        for k, c in enumerate(parts):
+            at = np.flatnonzero(of == k)
+            upto = np.cumsum(c.pi)[None, :] if r[1] is None else np.cumsum(c.change(r[4]), axis=1)[states[r[1]][at]]
+            here[at] = np.minimum((rng.random(len(at))[:, None] * upto[:, -1:] >= upto).sum(1), len(c.pi) - 1)
+        states[r[0]] = here
+        if r[5]:
+            taxa.append(r[3])
+            seqs.append("".join(np.array(list("ACGT"))[here]))
+    return taxa, seqs
+
+
+def simulate(spark, tree: str, models: list[Model], nchars: int, seed: int, block: int = 10_000) -> DataFrame:
+    """(block, taxon, seq): nchars sites drawn along a tree, in blocks that are drawn apart, each from a seed of its own."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for b in pdf["id"].tolist():
+                taxa, seqs = _simulated(tree, models, min(block, nchars - b * block), np.random.default_rng([seed, b]))
+                yield pd.DataFrame({"block": b, "taxon": taxa, "seq": seqs})
+
+    return spark.range(-(-nchars // block)).mapInPandas(run, "block long, taxon string, seq string")

@@ -12,7 +12,8 @@ from .operators import alignment, distance, joining, likelihood, posterior, spli
 from .plans import inputs
 from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
 from .session import ship
-from .sources import fasta, newick
+from .sources import fasta, logs, newick
+from .streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -320,3 +321,20 @@ def gamma_categories(spark, d):
 @query()
 def fasta_lines(spark, d):
     return inputs.sequences(spark, d).select("tid", fasta.lines(F.concat(F.lit("v "), F.col("tid").cast("string")), F.col("seq")).alias("record"))
+
+
+@query(f"WITH {SQL_SAMPLES}, n AS (SELECT step FROM samples WHERE x IS NOT NULL GROUP BY step HAVING count(*) = 4) SELECT run, step, x FROM samples JOIN n USING (step)")
+def log_scan_samples(spark, d):
+    rows = inputs.samples(spark, d).select("run", "step", "x")
+    full = rows.where("x is not null").groupBy("step").agg(F.count("*").alias("n")).where("n = 4").select("step")
+    return logs.scan_samples(logs.sample_lines(rows.join(full, "step")))
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT run, count(*) AS n, min(x) AS least, max(x) AS most, max(step) AS last FROM samples WHERE x IS NOT NULL GROUP BY run")
+def running_diagnostics(spark, d):
+    return live.diagnostics(inputs.samples(spark, d).where("x is not null")).drop("mean", "var")
+
+
+@query()
+def simulate_sites(spark, d):
+    return likelihood.simulate(spark, "(A:0.1,B:0.1,(C:0.25,(D:0.2,E:0.3):0.1):0.4);", [likelihood.Model(alpha=0.5, ncat=4, pinvar=0.1)], 50_000, seed=7)
