@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import sized, stash
 
 SPACE = r"[\x20\x09-\x0D]+"
 FEATURES = ("word_length", "symbols", "capitals", "repeats", "marks")
@@ -28,6 +28,8 @@ MEDIAN_CHI2, CUTOFF = 4.3515, 100.0
 #: Statistics are smoothed by so many words, as a short text's shares are noisy.
 PRIOR_WORDS = 20.0
 _ALL = "\u0003all"
+#: Up to so many groups (about 20 MB) their estimates are broadcast, so that a group with most rows isn't one task; beyond, joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
 def _distance(rows: DataFrame, est: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance by their group's estimate (forward substitution)."""
     p = len(FEATURES)
-    out = rows.join(est, "grp", "left")
+    out = rows.join(sized(est, BROADCAST_GROUPS), "grp", "left")
     for i in range(p):
         rest = F.col(f"f{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -146,7 +148,7 @@ def fit(stats: DataFrame) -> DataFrame:
     spread = F.log1p("d2")
     for _ in range(STEPS):
         far = _distance(rows, est)
-        edge = _quantile(far, ["grp"], spread, SUBSET, 64.0, "edge")
+        edge = sized(stash(_quantile(far, ["grp"], spread, SUBSET, 64.0, "edge"), "mcd"), BROADCAST_GROUPS)
         est = stash(_estimate(far.join(edge, "grp").where(spread <= F.col("edge")).select("grp", *[f"f{i}" for i in range(p)])), "mcd")
     mid = _quantile(_distance(rows, est), ["grp"], spread, 0.5, 256.0, "mid")
     sizes = rows.groupBy("grp").agg(F.count("*").alias("rows"))
@@ -163,7 +165,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     stats = stash(statistics(docs), "stats")
     est = fit(stats)
     known = est.select(F.col("grp").alias("own")).where(F.col("own") != _ALL)
-    rows = stats.join(known, stats.grp == known.own, "left").withColumn("grp", F.coalesce("own", F.lit(_ALL)))
+    rows = stats.join(sized(known, BROADCAST_GROUPS), F.col("grp") == F.col("own"), "left").withColumn("grp", F.coalesce("own", F.lit(_ALL)))
     out = _distance(rows, est).withColumn("distance", F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("distance"), kept.alias("kept"))
