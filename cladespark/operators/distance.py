@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1.1920928955078125e-07
@@ -133,3 +133,40 @@ def render_lower(dists: DataFrame, fmt: str = "%.6f") -> DataFrame:
     return low.groupBy("i").agg(cells("d").alias("line"))
 
 
+
+
+def render_upper(dists: DataFrame, fmt: str = "%.6f") -> DataFrame:
+    """(i, line): each row of the upper triangle as text."""
+    return render_lower(dists.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"), fmt)
+
+
+def render_full(dists: DataFrame, fmt: str = "%.6f") -> DataFrame:
+    """(i, line): each row of the whole matrix as text, with zeros on its diagonal."""
+    turned = dists.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")
+    ids = dists.select(F.explode(F.array("i", "j")).alias("i")).distinct()
+    return render_lower(dists.select("i", "j", "d").union(turned).union(ids.select("i", F.col("i").alias("j"), F.lit(0.0))), fmt)
+
+
+def _drawn(dists: DataFrame, seed: int) -> DataFrame:
+    """(id, draw): each taxon with a hash that orders the taxa at random."""
+    ids = dists.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+    return ids.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))))
+
+
+def sample_taxa(dists: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """The distances among k taxa, drawn by the hash of seed and taxon."""
+    if k < 2:
+        raise ValueError("a sample has two taxa at least")
+    ids = _drawn(dists, seed).orderBy("draw").limit(k)
+    side = lambda c: ids.select(F.col("id").alias(c))
+    return dists.join(side("i"), "i", "left_semi").join(side("j"), "j", "left_semi").select(dists.columns)
+
+
+def shuffle_taxa(dists: DataFrame, seed: int = 0) -> DataFrame:
+    """(i, j, d) with the taxa's numbers dealt anew. One task ranks the taxa, of which there are about the root of the rows."""
+    drawn = _drawn(dists, seed)
+    new = drawn.select("id", F.row_number().over(Window.orderBy("draw")).alias("k"))
+    old = drawn.select(F.col("id").alias("to"), F.row_number().over(Window.orderBy("id")).alias("k"))
+    to = new.join(old, "k")
+    both = dists.join(to.select(F.col("id").alias("i"), F.col("to").alias("a")), "i").join(to.select(F.col("id").alias("j"), F.col("to").alias("b")), "j")
+    return both.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "d")

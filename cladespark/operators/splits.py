@@ -57,3 +57,34 @@ def majority(splits: DataFrame, trees: int | Column, support: float = 0.5) -> Da
 def mean_lengths(splits: DataFrame, trees: DataFrame) -> DataFrame:
     """(topology, split, mean): each topology's tree with mean lengths."""
     return splits.join(trees.select("tree_id", "topology"), "tree_id").groupBy("topology", "split").agg(F.avg("length").alias("mean"))
+
+
+def conflict(a: Column, b: Column) -> Column:
+    """Whether two canonical splits can't be in one tree: they meet, and each has taxa that the other lacks."""
+    both = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat(x, y))
+    return F.array_contains(both, "11") & F.array_contains(both, "10") & F.array_contains(both, "01")
+
+
+def greedy_consensus(freqs: DataFrame, taxa: int, support: float = 0.0, block: int = 64) -> DataFrame:
+    """The rows of freqs (split, support, ...) in the consensus tree: from the best supported split on, each that fits those before it.
+
+    Splits are canonical; equal supports go by split. Every round reads the next few
+    splits that fit all taken so far, so the driver sees a block of splits, and at most
+    taxa - 3 are taken in all. Splits of one taxon against the rest are in every tree and not returned.
+    """
+    ones = F.length(F.regexp_replace("split", "0", ""))
+    inner = freqs.where(ones.between(2, taxa - 2) & (F.col("support") >= support)).cache()
+    taken: list[str] = []
+    while len(taken) < taxa - 3:
+        known = F.array(*map(F.lit, taken)).cast("array<string>")
+        fits = ~F.array_contains(known, F.col("split")) & ~F.exists(known, lambda s: conflict(F.col("split"), s))
+        rows = (inner.where(fits) if taken else inner).orderBy(F.desc("support"), "split").select("split").limit(block).collect()
+        if not rows:
+            break
+        sides: list[int] = []
+        for r in rows:
+            a = int(r["split"], 2)
+            if all(not a & b or a & b in (a, b) for b in sides):
+                sides.append(a)
+                taken.append(r["split"])
+    return inner.where(F.col("split").isin(taken[: taxa - 3]))

@@ -13,6 +13,7 @@ from .plans import inputs
 from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
 from .session import ship
 from .sources import fasta, logs, newick
+from .sources.randomtrees import random_trees
 from .streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,3 +339,43 @@ def running_diagnostics(spark, d):
 @query()
 def simulate_sites(spark, d):
     return likelihood.simulate(spark, "(A:0.1,B:0.1,(C:0.25,(D:0.2,E:0.3):0.1):0.4);", [likelihood.Model(alpha=0.5, ncat=4, pinvar=0.1)], 50_000, seed=7)
+
+
+def _long(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+@query(f"WITH {SQL_CENTROIDS} SELECT CAST(i AS BIGINT) AS i, string_agg(printf('%.6f', d), ' ' ORDER BY j) AS line FROM dists GROUP BY i")
+def dist_render_upper(spark, d):
+    return _long(distance.render_upper(inputs.centroid_distances(spark, d)), "i")
+
+
+@query(f"""WITH {SQL_CENTROIDS}, cells AS (SELECT i, j, d FROM dists UNION ALL SELECT j, i, d FROM dists UNION ALL SELECT i, i, 0 FROM sums)
+SELECT CAST(i AS BIGINT) AS i, string_agg(printf('%.6f', d), ' ' ORDER BY j) AS line FROM cells GROUP BY i""")
+def dist_render_full(spark, d):
+    return _long(distance.render_full(inputs.centroid_distances(spark, d)), "i")
+
+
+@query(f"""WITH {SQL_CENTROIDS}, pick AS (SELECT i FROM sums ORDER BY md5('5:' || CAST(i AS VARCHAR)) LIMIT 4)
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(d, 6) AS d FROM dists WHERE i IN (SELECT i FROM pick) AND j IN (SELECT i FROM pick)""")
+def dist_sample(spark, d):
+    return _r(_long(distance.sample_taxa(inputs.centroid_distances(spark, d), 4, seed=5), "i", "j"), "d", places=6)
+
+
+@query(f"""WITH {SQL_CENTROIDS}, dealt AS (SELECT i AS id, row_number() OVER (ORDER BY md5('5:' || CAST(i AS VARCHAR))) AS k FROM sums), own AS (SELECT i AS num, row_number() OVER (ORDER BY i) AS k FROM sums),
+m AS (SELECT id, num FROM dealt JOIN own USING (k))
+SELECT CAST(least(a.num, b.num) AS BIGINT) AS i, CAST(greatest(a.num, b.num) AS BIGINT) AS j, round(d, 6) AS d FROM dists JOIN m AS a ON a.id = i JOIN m AS b ON b.id = j""")
+def dist_shuffle(spark, d):
+    return _r(_long(distance.shuffle_taxa(inputs.centroid_distances(spark, d), seed=5), "i", "j"), "d", places=6)
+
+
+@query()
+def random_tree(spark, d):
+    return random_trees(spark, 200, [f"t{k}" for k in range(12)], seed=3)
+
+
+@query()
+def greedy_consensus(spark, d):
+    seen = newick.splits(random_tree(spark, d))
+    freqs = splits.majority(seen, 200, 0.0)
+    return _r(splits.greedy_consensus(freqs, 12), "support")
