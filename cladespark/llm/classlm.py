@@ -1,14 +1,20 @@
 """Brown class-based bigram model: exchange clustering of words, class transitions and word emissions.
 
-Words are counted over all training texts. The CLUSTERED most frequent words are put into
-CLASSES classes by exchange (each word moves to the class that most raises the bigram
-likelihood, until no word moves or PASSES are over); every other word belongs to one of
-the shape classes, by its length and last byte, so that any word has a class. A text's
-probability is the product of P(class | class before) * P(word | class), with additive
-smoothing, from an end mark before its first word to the end mark after its last.
-
-The FREQUENT most frequent words travel with the tasks (a fixed 2 MB); counts of all
-others are joined by word over a shuffle, after each text has summed its own.
+Words are counted over all training texts, and every one of them gets a learned class. The
+SEEDS most frequent words are put into CLASSES classes by exchange on the driver (each word
+moves to the class that most raises the bigram likelihood, until no word moves or PASSES
+are over); that is only where the clustering starts from. Then ROUNDS rounds of exchange go
+over all words: each word's bigrams to and from each class are summed and the word moves,
+all words of a task against the same classes x classes totals. In the first round all
+words move that have no class yet, and in each round every second word with a class; a
+later round is kept only if it raised the likelihood. A text's probability is the product of
+P(class | class before) * P(word | class), with additive smoothing, from an end mark before
+its first word to the end mark after its last. Only words that training never saw have
+shape classes, by length and last byte; their transitions are those of the training words
+that occur once.
+
+The FREQUENT most frequent words travel with the tasks (a fixed 2 MB); counts and classes
+of all others are joined by word over a shuffle. Results do not depend on FREQUENT.
 
 Null text is an empty text: one end token. Rows with equal doc_id get a row each, and
 each its own sums. Without training text all counts are 0. Extra columns are ignored.
@@ -23,16 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import remainder, stash
+from .shared import discard, remainder, stash
 from .words import Slice, Words, signed, slices, words
 
-FREQUENT, CLUSTERED, CLASSES, PASSES = 1 << 17, 1024, 64, 4
+FREQUENT, SEEDS, CLASSES, PASSES, ROUNDS = 1 << 17, 1024, 64, 4, 2
 #: Shape classes: by length in bytes up to 15, and whether the last byte is a letter or not.
 SHAPES = 32
 #: The end mark's key; no word has it.
 END = np.int64(-(1 << 63))
 #: Added to each class bigram's count.
 PSEUDO = 0.5
+#: Learned classes, shape classes and the end mark's class.
+K = CLASSES + SHAPES + 1
+#: Kinds of a word's entries: bigrams to each class, from each class, with itself, and what is known of the word.
+OUT, IN, SELF, KNOWN = 0, K, 2 * K, 2 * K + 1
+ENTRY = np.dtype([("h", np.int64), ("s", np.uint8), ("n", np.int64)])
+#: Words of a partition when entries are summed.
+PART_WORDS = 40_000
 
 
 def _shape(w: Words) -> np.ndarray:
@@ -100,9 +113,9 @@ class Lookup:
 
 
 def _units(w: Words, top: Lookup) -> np.ndarray:
-    """What takes part in class bigrams: a clustered word's place, or CLUSTERED + shape."""
+    """What takes part in the first clustering: a seed word's place, or SEEDS + shape."""
     at, known = top.find(signed(w.code))
-    return np.where(known, at, CLUSTERED + _shape(w))
+    return np.where(known, at, SEEDS + _shape(w))
 
 
 def _with_ends(w: Words, unit: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,16 +127,191 @@ def _with_ends(w: Words, unit: np.ndarray, end: int) -> tuple[np.ndarray, np.nda
     return seq[:-1], seq[1:], row
 
 
-def _bigrams(tops):
+def _summed(x: np.ndarray, *by: str) -> np.ndarray:
+    """Rows of a structured array with n summed over equal keys, in their order."""
+    if not len(x):
+        return x
+    x = x[np.lexsort([x[k] for k in reversed(by)])]
+    new = np.ones(len(x), bool)
+    new[1:] = np.any([x[k][1:] != x[k][:-1] for k in by], axis=0)
+    y = x[new]
+    y["n"] = np.add.reduceat(x["n"], np.flatnonzero(new))
+    return y
+
+
+def _made(kind, **columns) -> np.ndarray:
+    out = np.zeros(len(next(iter(columns.values()))), kind)
+    for k, v in columns.items():
+        out[k] = v
+    return out
+
+
+_PAIR = np.dtype([("a", np.int64), ("b", np.int64), ("n", np.int64)])
+
+
+def _bigrams(seeds, frequent):
+    """Bigrams of seed words and shapes (pair), and those (a, b) with a word that is not frequent (pair -1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, size = Lookup(tops.value), CLUSTERED + SHAPES + 1
+        top, freq, size = Lookup(seeds.value), Lookup(frequent.value[0]), SEEDS + SHAPES + 1
         total = np.zeros(size * size, np.int64)
+        held: list[np.ndarray] = []
+        room = 0
+
+        def rare():
+            x = _summed(np.concatenate(held), "a", "b")
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), -1)), pa.array(x["a"]), pa.array(x["b"]), pa.array(x["n"])], names=["pair", "a", "b", "n"])
+
         for batch in batches:
             for _, w in _coded(batch.column("text")):
                 a, b, _ = _with_ends(w, _units(w, top), size - 1)
                 total += np.bincount(a * size + b, minlength=size * size)
+                a, b, _ = _with_ends(w, signed(w.code), END)
+                seen = freq.find(signed(w.code))[1]
+                ka, kb, _ = _with_ends(w, seen, 1)
+                any_ = (ka == 0) | (kb == 0)
+                held.append(_made(_PAIR, a=a[any_], b=b[any_], n=np.ones(int(any_.sum()), np.int64)))
+                room += len(held[-1])
+                if room > 1_000_000:
+                    yield rare()
+                    held, room = [], 0
+        if room:
+            yield rare()
+        at = np.flatnonzero(total)
+        none = pa.array(np.zeros(len(at), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(at), none, none, pa.array(total[at])], names=["pair", "a", "b", "n"])
+
+    return run
+
+
+def _blobs(x: np.ndarray, parts: int) -> pa.RecordBatch:
+    part = (x["h"].view(np.uint64) % np.uint64(parts)).astype(np.int64) if len(x) else np.zeros(0, np.int64)
+    order = np.argsort(part, kind="stable")
+    x, part = x[order], part[order]
+    own, cut = np.unique(part, return_index=True)
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([p.tobytes() for p in np.split(x, cut[1:])] if len(x) else [], pa.binary())], names=["part", "data"])
+
+
+def _contexts(frequent, parts: int):
+    """Entries of all words by the classes of their frequent neighbours, packed for each of so many parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, classes = frequent.value
+        freq = Lookup(keys)
+        held: list[np.ndarray] = []
+        room = 0
+        for batch in batches:
+            for _, w in _coded(batch.column("text")):
+                code = signed(w.code)
+                h, inverse = np.unique(code, return_inverse=True)
+                at, seen = freq.find(h)
+                of = np.where(seen, classes[at] if len(classes) else 0, -1)
+                words_ = np.append(h, END)
+                a, b, _ = _with_ends(w, inverse, len(h))
+                of = np.append(of, K - 1)
+                out, inn, own = of[b] >= 0, of[a] >= 0, (a == b) & (of[a] >= 0)
+                key = np.concatenate((a[out] * 256 + OUT + of[b[out]], b[inn] * 256 + IN + of[a[inn]], a[own] * 256 + SELF))
+                key, n = np.unique(key, return_counts=True)
+                held.append(_made(ENTRY, h=words_[key >> 8], s=key & 255, n=n))
+                room += len(key)
+                if room > 2_000_000:
+                    held = [_summed(np.concatenate(held), "h", "s")]
+                    room = len(held[0])
+                    if room > 1_200_000:
+                        yield _blobs(held[0], parts)
+                        held, room = [], 0
+        if room:
+            yield _blobs(_summed(np.concatenate(held), "h", "s"), parts)
+
+    return run
+
+
+def _packed(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _blobs(_made(ENTRY, **{c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "s", "n")}), parts)
+
+    return run
+
+
+def _dense(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words of summed entries: hash, bigrams to and from each class, bigrams with itself, and class, shape and frequent."""
+    new = np.ones(len(x), bool)
+    new[1:] = x["h"][1:] != x["h"][:-1]
+    all_ = np.zeros((int(new.sum()), 2 * K + 2))
+    all_[np.cumsum(new) - 1, x["s"]] = x["n"]
+    known = all_[:, KNOWN].astype(np.int64)
+    return x["h"][new], all_[:, OUT : OUT + K], all_[:, IN : IN + K], all_[:, SELF], known & 255, known >> 8 & 255, known >> 16
+
+
+#: Cells of the totals: class bigrams; bigrams to and from classes of words that occur once, by shape; words by shape; counts and words by class.
+ONCE_OUT, ONCE_IN = K * K, K * K + SHAPES * K
+TYPES = ONCE_IN + SHAPES * K
+MASS = TYPES + SHAPES
+CELLS = MASS + K
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed entries of some thousand words a row, and the partition's totals by cell."""
+    held = [np.frombuffer(v.as_buffer(), ENTRY) for batch in batches for v in batch.column("data")]
+    if not held:
+        return
+    x = _summed(np.concatenate(held), "h", "s")
+    held.clear()
+    first = np.flatnonzero(np.concatenate(([True], x["h"][1:] != x["h"][:-1])))[::4096]
+    for lo, hi in zip(first, [*first[1:], len(x)], strict=True):
+        total = np.zeros(CELLS)
+        _, out, inn, _, cls, shape, _ = _dense(x[lo:hi])
+        np.add.at(total[: K * K].reshape(K, K), cls, out)
+        word = cls != K - 1
+        once = word & (out.sum(1) == 1)
+        np.add.at(total[ONCE_OUT:ONCE_IN].reshape(SHAPES, K), shape[once], out[once])
+        np.add.at(total[ONCE_IN:TYPES].reshape(SHAPES, K), shape[once], inn[once])
+        np.add.at(total[TYPES:MASS], shape[word], 1)
+        np.add.at(total[MASS:], cls[word], out[word].sum(1) + 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[lo:hi].tobytes()], pa.binary()), pa.array([at], pa.list_(pa.int32())), pa.array([total[at].astype(np.int64)], pa.list_(pa.int64()))], names=["data", "cell", "n"])
+
+
+def best_classes(out: np.ndarray, inn: np.ndarray, own: np.ndarray, old: np.ndarray, both: np.ndarray, classes: int) -> np.ndarray:
+    """The class that most raises the likelihood for each word alone; both: bigrams of classes with the words in their old ones."""
+    f, n = _xlogx, np.arange(len(old))
+    out, inn, placed = out.copy(), inn.copy(), old < classes
+    out[n, old] -= own
+    inn[n, old] -= own
+    gain = np.zeros((len(old), classes))
+    for mine, other, table in ((out, inn, both[:classes].T), (inn, out, both[:, :classes])):
+        w, s = np.nonzero(mine)
+        m, same, at = mine[w, s], s == old[w], placed[w]
+        x = table[s].copy()
+        x[same] -= other[w[same], :classes]
+        x[at, old[w[at]]] -= m[at]
+        both_same = same & at
+        x[both_same, old[w[both_same]]] -= own[w[both_same]]
+        add = f(x + m[:, None]) - f(x)
+        if len(w):
+            cut = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            gain[w[cut]] += np.add.reduceat(add, cut, axis=0)
+    o, i, d = out[:, :classes], inn[:, :classes], np.tile(np.diag(both)[:classes], (len(old), 1))
+    d[n[placed], old[placed]] -= o[n[placed], old[placed]] + i[n[placed], old[placed]] + own[placed]
+    gain += f(d + o + i + own[:, None]) - f(d + o) - f(d + i) + f(d)
+    for mine, total in ((out, both.sum(1)), (inn, both.sum(0))):
+        size = mine.sum(1) + own
+        t = np.tile(total[:classes], (len(old), 1))
+        t[n[placed], old[placed]] -= size[placed]
+        gain -= f(t + size[:, None]) - f(t)
+    return gain.argmax(1)
+
+
+def _moved(totals, turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = totals.value
+        for batch in batches:
+            for v in batch.column("data"):
+                h, out, inn, own, cls, shape, frequent = _dense(np.frombuffer(v.as_buffer(), ENTRY))
+                go = np.flatnonzero((cls != K - 1) & ((cls >= CLASSES) | ((h >> 7 & 1) == turn % 2)))
+                cls[go] = best_classes(out[go], inn[go], own[go], cls[go], both, CLASSES)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(cls.astype(np.int32)), pa.array(shape.astype(np.int32)), pa.array(frequent == 1)], names=["h", "cls", "shape", "frequent"])
 
     return run
 
@@ -179,86 +367,138 @@ def exchange(pairs: np.ndarray, movable: int, classes: int, passes: int) -> np.n
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        freq, top = Lookup(m["keys"]), Lookup(m["tops"])
-        end = CLUSTERED + SHAPES
+        freq, end = Lookup(m["keys"]), K - 1
         for batch in batches:
             for s, w in _coded(batch.column("text"), 2 << 20):
                 size = s.hi - s.lo
                 h, inverse = np.unique(signed(w.code), return_inverse=True)
                 at, known = freq.find(h)
-                known &= len(m["keys"]) > 0
-                base_of = np.where(known, m["base"][at] if len(m["base"]) else 0.0, 0.0)
-                emit_of = np.where(known, m["emit"][at] if len(m["emit"]) else 0.0, 0.0)
+                of = lambda x: np.where(known, x[at] if len(x) else 0, 0)
                 row = w.row()
-                sums = lambda x: np.bincount(row, x, minlength=size).astype(float)
-                hit = known[inverse]
-                a, b, pair_row = _with_ends(w, _units(w, top), end)
-                a[w.first[:-1] + np.arange(size)] = end
-                score = sums(emit_of[inverse]) + np.bincount(pair_row, m["steps"][m["cls"][a], m["cls"][b]], minlength=size)
-                rest = np.flatnonzero(~hit)
-                key = row[rest] * len(h) + inverse[rest]
-                key, n = np.unique(key, return_counts=True)
-                tail_row, tail = key // max(len(h), 1), key % max(len(h), 1)
-                cut = np.searchsorted(tail_row, np.arange(size + 1)).astype(np.int32)
-                shape = np.zeros(len(h), np.int32)
+                sums = lambda x, at: np.bincount(at, x, minlength=size).astype(float)
+                shape = np.zeros(len(h), np.int64)
                 shape[inverse] = _shape(w)
-                part = lambda x, kind: pa.ListArray.from_arrays(pa.array(cut), pa.array(x, kind))
+                cls = np.append(np.where(known, of(m["cls"]), CLASSES + shape), end)
+                a, b, pair_row = _with_ends(w, inverse, len(h))
+                a, b = a[: len(pair_row)].copy(), b[: len(pair_row)]
+                a[w.first[:-1] + np.arange(size)] = len(h)
+                here = np.append(known, True)
+                whole = here[a] & here[b]
+                score = sums(of(m["emit"])[inverse], row) + sums(np.where(whole, m["steps"][cls[a], cls[b]], 0.0), pair_row)
+                # Bigrams with a word that is not frequent, with their number in each row.
+                rest = np.flatnonzero(~whole)
+                x = _summed(_made([("row", np.int64), ("a", np.int64), ("b", np.int64), ("n", np.int64)], row=pair_row[rest], a=a[rest], b=b[rest], n=np.ones(len(rest), np.int64)), "row", "a", "b")
+                cut = np.searchsorted(x["row"], np.arange(size + 1)).astype(np.int32)
+                words_ = np.append(h, END)
+                part = lambda x, kind, mask=None: pa.ListArray.from_arrays(pa.array(cut), pa.array(x, kind, mask=mask))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s.lo, size).cast(pa.int64()), pa.array(w.counts + 1), pa.array(sums(hit).astype(np.int64)), pa.array(sums(base_of[inverse])), pa.array(score), part(h[tail], pa.int64()), part(n, pa.int32()), part(shape[tail], pa.int32())],
-                    names=["doc_id", "n_tokens", "n_known", "base", "score", "h", "n", "shape"],
-                )
+                    [batch.column("doc_id").slice(s.lo, size).cast(pa.int64()), pa.array(w.counts + 1), pa.array(sums(known[inverse], row).astype(np.int64)), pa.array(sums(of(m["base"])[inverse], row)), pa.array(score),
+                     part(words_[x["a"]], pa.int64(), here[x["a"]]), part(words_[x["b"]], pa.int64(), here[x["b"]]), part(cls[x["a"]], pa.int32()), part(cls[x["b"]], pa.int32()), part(x["n"], pa.int32())],
+                    names=["doc_id", "n_tokens", "n_known", "base", "score", "a", "b", "ca", "cb", "n"],
+                )
 
     return run
 
 
+def _fit(both: np.ndarray) -> float:
+    return float(_xlogx(both).sum() - _xlogx(both.sum(0)).sum() - _xlogx(both.sum(1)).sum())
+
+
+def _learned(text: DataFrame, vocab: DataFrame, tops) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(h, cls, shape, frequent) of all words, keys and classes of the frequent ones, and the totals by cell."""
+    spark = text.sparkSession
+    sc = spark.sparkContext
+    first = tops[tops.h != END].head(SEEDS)
+    seeds = np.sort(first.h.to_numpy(np.int64))
+    frequent = np.sort(tops.h.to_numpy(np.int64))
+    size = SEEDS + SHAPES + 1
+    found = stash(text.mapInArrow(_bigrams(sc.broadcast(seeds), sc.broadcast((frequent, None))), "pair long, a long, b long, n long"), "bigrams")
+    pairs = np.zeros((size, size))
+    got = found.where("pair >= 0").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs.flat[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    rare = found.where("pair < 0").select("a", "b", "n")
+    seeded = exchange(pairs, SEEDS, CLASSES, PASSES)[: len(seeds)].astype(np.int32)
+    known = np.full(len(frequent), -1, np.int32)
+    known[np.searchsorted(frequent, seeds)] = seeded
+    known[frequent == END] = K - 1
+    head = spark.createDataFrame(pa.table({"h": pa.array(frequent, pa.int64()), "seed": pa.array(known)})) if len(frequent) else vocab.limit(0).select("h", F.lit(0).alias("seed"))
+    words_ = vocab.select("h", "shape").join(F.broadcast(head), "h", "left")
+    start = F.when(F.col("h") == int(END), K - 1).when(F.col("seed") >= 0, F.col("seed")).otherwise(F.col("shape") + CLASSES)
+    cur = stash(words_.select("h", start.cast("int").alias("cls"), "shape", F.col("seed").isNotNull().alias("frequent")), "classes")
+    parts = max(8, -(-vocab.count() // PART_WORDS))
+    best: tuple = ()
+    for turn in range(ROUNDS + 1):
+        top = cur.where("frequent").select("h", "cls").toPandas().sort_values("h")
+        top = (top.h.to_numpy(np.int64), top.cls.to_numpy(np.int64))
+        entry = lambda h, s, n: (F.col(h).alias("h"), s.cast("int").alias("s"), n.cast("long").alias("n"))
+        of = cur.where("not frequent").select(F.col("h").alias("k"), "cls")
+        rows = cur.select(*entry("h", F.lit(KNOWN), F.col("cls") + F.col("shape") * 256 + F.col("frequent").cast("int") * 65536))
+        rows = rows.union(rare.join(of, F.col("b") == F.col("k")).select(*entry("a", F.col("cls") + OUT, F.col("n")))).union(rare.join(of, F.col("a") == F.col("k")).select(*entry("b", F.col("cls") + IN, F.col("n"))))
+        rows = rows.union(rare.where("a = b").select(*entry("a", F.lit(SELF), F.col("n"))))
+        form = "part int, data binary"
+        blobs = text.mapInArrow(_contexts(sc.broadcast(top), parts), form).union(rows.mapInArrow(_packed(parts), form))
+        words_ = stash(blobs.repartition(parts, "part").select("data").mapInArrow(_gathered, "data binary, cell array<int>, n array<long>"), "contexts")
+        sums = words_.select(F.explode(F.arrays_zip("cell", "n")).alias("t")).groupBy("t.cell").agg(F.sum("t.n").alias("n")).toPandas()
+        total = np.zeros(CELLS)
+        total[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+        both = total[: K * K].reshape(K, K)
+        if turn and best and _fit(both) <= _fit(best[2][: K * K].reshape(K, K)):
+            discard(cur, words_)
+            break
+        if best:
+            discard(best[0])
+        best = (cur, top, total) if turn else ()
+        if turn < ROUNDS:
+            nxt = stash(words_.select("data").mapInArrow(_moved(sc.broadcast(both), turn), "h long, cls int, shape int, frequent boolean"), "classes")
+            if not turn:
+                discard(cur)
+            cur = nxt
+        discard(words_)
+    discard(found)
+    return best
+
+
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the class model), in log10, of each row of docs."""
     spark = docs.sparkSession
-    counted = train.select("text").mapInArrow(_count, "h long, shape int, n long")
+    text = train.select("text")
+    counted = text.mapInArrow(_count, "h long, shape int, n long")
     vocab = stash(counted.groupBy("h").agg(F.sum("n").alias("c"), F.first("shape").alias("shape")), "vocab")
     tops = vocab.orderBy(F.desc("c"), "h").limit(FREQUENT + 1).toPandas()
-    by_shape = vocab.where(F.col("h") != int(END)).groupBy("shape").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    end_count = int(tops.loc[tops.h == END, "c"].sum()) or int(vocab.where(F.col("h") == int(END)).agg(F.sum("c")).first()[0] or 0)
-    total = sum(r["n"] for r in by_shape) + end_count
-    distinct = sum(r["v"] for r in by_shape) + (end_count > 0)
-    tops = tops[tops.h != END]
-    first = tops.head(CLUSTERED)
-    order = np.argsort(first.h.to_numpy())
-    top_keys, top_counts, top_shape = (first[c].to_numpy()[order] for c in ("h", "c", "shape"))
-    keys = spark.sparkContext.broadcast(top_keys)
-    size = CLUSTERED + SHAPES + 1
-    pairs = np.zeros((size, size))
-    found = train.select("text").mapInArrow(_bigrams(keys), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    pairs.flat[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
-    cls = exchange(pairs, CLUSTERED, CLASSES, PASSES)
-    k = CLASSES + SHAPES + 1
-    one = np.zeros((size, k))
-    one[np.arange(size), cls] = 1
-    steps = one.T @ pairs @ one + PSEUDO
+    whole = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == int(END), F.col("c"))).alias("ends")).first()
+    total, distinct, end_count = whole["n"] or 0, whole["v"], whole["ends"] or 0
+    classes, (keys, key_cls), totals = _learned(text, vocab, tops)
+    both = totals[: K * K].reshape(K, K)
+    both[CLASSES : K - 1] += totals[ONCE_OUT:ONCE_IN].reshape(SHAPES, K)
+    both[:, CLASSES : K - 1] += totals[ONCE_IN:TYPES].reshape(SHAPES, K).T
+    steps = both + PSEUDO
     steps = np.log10(steps / steps.sum(1, keepdims=True))
-    # Words in classes: the clustered ones are their class's words, a shape class has all its other words and an unknown one.
-    mass = np.zeros(CLASSES)
-    np.add.at(mass, cls[: len(top_keys)], top_counts.astype(float) + 1)
-    shape_mass, shape_words = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in by_shape:
-        shape_mass[r["shape"]] += r["n"]
-        shape_words[r["shape"]] += r["v"]
-    np.subtract.at(shape_mass, top_shape, top_counts)
-    np.subtract.at(shape_words, top_shape, 1)
-    whole = np.log10(shape_mass + shape_words + 1)
-    order = np.argsort(tops.h.to_numpy())
-    t_keys, t_counts, t_shape = (tops[c].to_numpy()[order] for c in ("h", "c", "shape"))
-    t_emit = np.log10(t_counts + 1.0) - whole[t_shape]
-    at = np.searchsorted(t_keys, top_keys)
-    t_emit[at] = np.log10(top_counts + 1.0) - np.log10(mass[cls[: len(top_keys)]])
+    # Words in classes: a learned class has its training words; a shape class as many unseen words as training words have that shape, and one more.
+    norm = np.zeros(K)
+    norm[:CLASSES] = np.log10(np.maximum(totals[MASS : MASS + CLASSES], 1))
+    norm[CLASSES : K - 1] = np.log10(totals[TYPES:MASS] + 1)
     below = float(np.log10(total + distinct + 1.0))
-    model = {"keys": t_keys, "base": np.log10(t_counts + 1.0) - below, "emit": t_emit, "tops": top_keys, "cls": cls, "steps": steps}
-    rows = stash(docs.select("doc_id", "text").mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, n_tokens long, n_known long, base double, score double, h array<long>, n array<int>, shape array<int>").withColumn("rid", F.monotonically_increasing_id()), "scored")
-    tail = rows.select("rid", F.explode(F.arrays_zip("h", "n", "shape")).alias("t")).select("rid", F.col("t.h").alias("h"), F.col("t.n").alias("n"), F.col("t.shape").alias("shape"))
-    counts = tail.join(vocab.select("h", "c"), "h", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    norm = F.get(F.array(*[F.lit(float(x)) for x in whole]), F.col("shape"))
-    tail = counts.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tk"), F.sum(F.col("n") * (F.log10(c + 1.0) - below)).alias("tb"), F.sum(F.col("n") * (F.log10(c + 1.0) - norm)).alias("ts"))
+    word = keys != END
+    keys, key_cls = keys[word], key_cls[word]
+    counts = tops[tops.h != END].sort_values("h")
+    logs = np.log10(counts.c.to_numpy(np.float64)[np.searchsorted(counts.h.to_numpy(np.int64), keys)] + 1.0)
+    model = {"keys": keys, "base": logs - below, "emit": logs - norm[key_cls], "cls": key_cls, "steps": steps}
+    form = "doc_id long, n_tokens long, n_known long, base double, score double, a array<long>, b array<long>, ca array<int>, cb array<int>, n array<int>"
+    rows = stash(docs.select("doc_id", "text").mapInArrow(_score(spark.sparkContext.broadcast(model)), form).withColumn("rid", F.monotonically_increasing_id()), "scored")
+    tail = rows.select("rid", F.explode(F.arrays_zip("a", "b", "ca", "cb", "n")).alias("t")).select("rid", "t.*")
+    rare = classes.where("not frequent").join(vocab.select("h", "c"), "h")
+    # A frequent word's place gets a key of its own that meets no word, so that they do not all land in one task.
+    apart = F.xxhash64("rid", "ca", "cb", "n")
+    tail = tail.withColumns({"ka": F.coalesce("a", apart), "kb": F.coalesce("b", apart)})
+    tail = tail.join(rare.select(F.col("h").alias("kb"), "c", F.col("cls").alias("new_b")), "kb", "left").join(rare.select(F.col("h").alias("ka"), F.col("cls").alias("new_a")), "ka", "left")
+    ca, cb = F.when(F.col("a").isNotNull(), F.coalesce("new_a", "ca")).otherwise(F.col("ca")), F.when(F.col("b").isNotNull(), F.coalesce("new_b", "cb")).otherwise(F.col("cb"))
+    table = pa.table({"cell": pa.array(np.arange(K * K), pa.int32()), "step": pa.array(steps.ravel()), "norm": pa.array(np.tile(norm, K))})
+    tail = tail.withColumn("cell", (ca * K + cb).cast("int")).join(F.broadcast(spark.createDataFrame(table)), "cell")
+    c, own = F.coalesce(F.col("c"), F.lit(0)), F.col("b").isNotNull()
+    tail = tail.groupBy("rid").agg(
+        F.sum(F.when(own & (c > 0), F.col("n")).otherwise(0)).alias("tk"), F.sum(F.when(own, F.col("n") * (F.log10(c + 1.0) - below)).otherwise(0.0)).alias("tb"),
+        F.sum(F.col("n") * (F.col("step") + F.when(own, F.log10(c + 1.0) - F.col("norm")).otherwise(0.0))).alias("ts"),
+    )
     end_base = float(np.log10(end_count + 1.0)) - below
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     out = rows.select("rid", "doc_id", "n_tokens", "n_known", "base", "score").join(tail, "rid", "left")

@@ -91,6 +91,33 @@ def test_exchange_raises_likelihood():
     assert fit(cls) >= fit(shuffled) - 1e-6 and len(set(again)) == 3
 
 
+def test_every_training_word_has_a_learned_class(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    learned, seen = classlm._learned, []
+    monkeypatch.setattr(classlm, "_learned", lambda *a: seen.append(learned(*a)) or seen[-1])
+
+    def scores(frequent):
+        monkeypatch.setattr(classlm, "FREQUENT", frequent)
+        return sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in classlm.score_texts(docs, docs).collect())
+
+    few, all_ = scores(1500), scores(1 << 17)
+    assert [r[:2] for r in few] == [r[:2] for r in all_] and [r[2] for r in few] == pytest.approx([r[2] for r in all_], rel=1e-9)
+    cls = [r["cls"] for r in seen[0][0].where(F.col("h") != int(classlm.END)).collect()]
+    assert len(cls) > 2 * classlm.SEEDS and max(cls) < classlm.CLASSES
+
+
+def test_best_class_is_the_likeliest():
+    rng = np.random.default_rng(4)
+    pairs = rng.poisson(2, (12, 12)).astype(float)
+    cls = np.arange(12) % 4
+    fit = lambda c: classlm._fit(np.eye(4)[c].T @ pairs @ np.eye(4)[c])
+    one = np.eye(4)[cls]
+    got = classlm.best_classes(pairs @ one, pairs.T @ one, np.diag(pairs).copy(), cls, one.T @ pairs @ one, 3)
+    for w in range(12):
+        moved = [fit(np.where(np.arange(12) == w, c, cls)) for c in range(3)]
+        assert moved[got[w]] >= max(moved) - 1e-9
+
+
 def test_class_lm_beats_add_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = classlm.held_out_scores(docs).where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
