@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.alphabet import DNA
@@ -313,6 +313,19 @@ def site_lnl_2taxon(spark, d):
     return _r(likelihood.lnl(pats, "(A:0.0,B:0.5);", ["A", "B"], [likelihood.Model()]), "lnl", places=8)
 
 
+_SAME, _OTHER = "(0.25 + 0.75 * exp(-4.0 / 3 * 0.5))", "(0.25 - 0.25 * exp(-4.0 / 3 * 0.5))"
+
+
+@query(f"""WITH {SQL_SEQS}, o AS (SELECT ch AS x, val AS v, lead(ch) OVER w AS y, lead(val) OVER w AS u FROM sites WINDOW w AS (PARTITION BY pos ORDER BY tid)),
+m AS (SELECT x || y AS pattern, CASE WHEN v = 0 THEN 15 ELSE v END AS v, CASE WHEN u = 0 THEN 15 ELSE u END AS u FROM o WHERE y IS NOT NULL)
+SELECT pattern, count(*) AS freq, round(count(*) * ln(0.25 * (bit_count(v & u) * {_SAME} + (bit_count(v) * bit_count(u) - bit_count(v & u)) * {_OTHER})), 7) AS lnl FROM m GROUP BY pattern, v, u""")
+def site_lnl_adjacent(spark, d):
+    """Each taxon of the table against the next one, with gaps and ambiguities."""
+    pairs = _sites(spark, d).withColumn("next", F.lead("ch").over(Window.partitionBy("pos").orderBy("tid"))).where("next is not null")
+    pats = pairs.groupBy(F.concat("ch", "next").alias("pattern")).agg(F.count("*").alias("freq"))
+    return _r(likelihood.lnl(pats, "(A:0.0,B:0.5);", ["A", "B"], [likelihood.Model()]), "lnl", places=7)
+
+
 @query()
 def gamma_categories(spark, d):
     rows = [(a, k, m, i, r) for a in (0.5, 1.0, 5.0) for k in (4, 8) for m in (False, True) for i, r in enumerate(likelihood.gamma_categories(a, k, m))]
