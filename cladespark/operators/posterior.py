@@ -61,3 +61,10 @@ def acceptance(rows: DataFrame, keys: list[str], accepted: Column) -> DataFrame:
 
 def strided(samples: DataFrame, stride: int) -> DataFrame:
     return samples.where(F.col("step") % stride == 0)
+
+
+def swap_pairs(samples: DataFrame, stride: int = 1) -> DataFrame:
+    """(step, a, b, dx): pairs of runs a < b at each step that stride divides, with the difference of their x."""
+    s = samples.where(F.col("step") % stride == 0)
+    a, b = s.select("step", F.col("run").alias("a"), F.col("x").alias("xa")), s.select("step", F.col("run").alias("b"), F.col("x").alias("xb"))
+    return a.join(b, "step").where("a < b").select("step", "a", "b", (F.col("xa") - F.col("xb")).alias("dx"))

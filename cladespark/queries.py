@@ -222,9 +222,12 @@ def stride_sample(spark, d):
 
 @query(f"WITH {SQL_SAMPLES} SELECT a.step, a.run AS a, b.run AS b, round(a.x - b.x, 9) AS dx FROM samples AS a JOIN samples AS b ON a.step = b.step AND a.run < b.run WHERE a.step % 50 = 0")
 def swap_pairs(spark, d):
-    s = inputs.samples(spark, d).where(F.col("step") % 50 == 0)
-    a, b = s.select("step", F.col("run").alias("a"), F.col("x").alias("xa")), s.select("step", F.col("run").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, "step").where("a < b").select("step", "a", "b", F.round(F.col("xa") - F.col("xb"), 9).alias("dx"))
+    return _r(posterior.swap_pairs(inputs.samples(spark, d), 50), "dx")
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT a.step, a.run AS a, b.run AS b, round(a.x - b.x, 9) AS dx FROM samples AS a JOIN samples AS b ON a.step = b.step AND a.run < b.run")
+def swap_pairs_every_step(spark, d):
+    return _r(posterior.swap_pairs(inputs.samples(spark, d)), "dx")
 
 
 @query(f"WITH {SQL_SPLITS} SELECT tree_id, run, split, round(length, 9) AS length FROM splits")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from cladespark.operators import posterior
 from cladespark.operators.likelihood import Model, simulate
 from cladespark.sources import logs
 from cladespark.streaming import live
@@ -22,6 +23,11 @@ def test_scans(spark):
     assert list(map(tuple, logs.scan_settings(lines(spark, "Seed 3", "  nruns: 2", "  a.b:  x y ")).collect())) == [("nruns", "2"), ("a.b", "x y")]
 
 
+def test_swaps_pair_every_step(spark):
+    s = spark.createDataFrame([(r, t, float(r)) for r in range(3) for t in (1, 2, 50)], "run long, step long, x double")
+    assert posterior.swap_pairs(s).count() == 9 and posterior.swap_pairs(s, 50).count() == 3
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
