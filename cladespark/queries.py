@@ -347,6 +347,11 @@ def log_scan_samples(spark, d):
     return logs.scan_samples(logs.sample_lines(rows.join(full, "step")))
 
 
+@query(f"WITH {SQL_SAMPLES} SELECT run, step, x FROM samples WHERE x IS NOT NULL")
+def log_scan_all_samples(spark, d):
+    return logs.scan_samples(logs.sample_lines(inputs.samples(spark, d)))
+
+
 @query(f"WITH {SQL_SAMPLES} SELECT run, count(*) AS n, min(x) AS least, max(x) AS most, max(step) AS last FROM samples WHERE x IS NOT NULL GROUP BY run")
 def running_diagnostics(spark, d):
     return live.diagnostics(inputs.samples(spark, d).where("x is not null")).drop("mean", "var")

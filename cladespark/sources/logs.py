@@ -10,16 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: In the place of a run that has no value at a step.
+MISSING = "---"
+
+
 def _numbers(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
 
 
 def scan_samples(lines: DataFrame) -> DataFrame:
-    """(run, step, x) of lines `step [ lnL of each run ] Rcov ...`."""
+    """(run, step, x) of lines `step [ lnL of each run ] Rcov ...`; a run whose place has `---` gives no row."""
     form = r"^\s*(\d+)\s+\[([^\]]*)\]"
     rows = lines.where(F.col("value").rlike(form))
     step = F.regexp_extract("value", form, 1).cast("long")
-    return rows.select(step.alias("step"), F.posexplode(_numbers(F.regexp_extract("value", form, 2))).alias("run", "x")).select(F.col("run").cast("long").alias("run"), "step", "x")
+    places = F.filter(F.split(F.trim(F.regexp_extract("value", form, 2)), r"\s+"), lambda x: x != "")
+    found = rows.select(step.alias("step"), F.posexplode(places).alias("run", "x")).where(F.col("x") != MISSING)
+    return found.select(F.col("run").cast("long").alias("run"), "step", F.col("x").try_cast("double").alias("x"))
 
 
 def scan_trees(lines: DataFrame) -> DataFrame:
@@ -47,6 +53,8 @@ def scan_settings(lines: DataFrame) -> DataFrame:
 
 
 def sample_lines(samples: DataFrame) -> DataFrame:
-    """value: a line `step [ x of each run ] --------` for each step of samples (run, step, x); runs in order."""
-    by = samples.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("run", "x"))).alias("r"))
-    return by.select(F.concat(F.col("step").cast("string"), F.lit(" [ "), F.array_join(F.transform("r", lambda r: r["x"].cast("string")), " "), F.lit(" ] --------")).alias("value"))
+    """value: a line `step [ x of each run ] --------` for each step of samples (run, step, x); a place for each run from 0 to the last."""
+    last = samples.agg(F.max("run").alias("last"))
+    by = samples.groupBy("step").agg(F.map_from_entries(F.collect_list(F.struct("run", F.col("x").cast("string").alias("x")))).alias("r")).crossJoin(F.broadcast(last))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda k: F.coalesce(F.try_element_at("r", k), F.lit(MISSING)))
+    return by.select(F.concat(F.col("step").cast("string"), F.lit(" [ "), F.array_join(places, " "), F.lit(" ] --------")).alias("value"))

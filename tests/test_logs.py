@@ -23,6 +23,13 @@ def test_scans(spark):
     assert list(map(tuple, logs.scan_settings(lines(spark, "Seed 3", "  nruns: 2", "  a.b:  x y ")).collect())) == [("nruns", "2"), ("a.b", "x y")]
 
 
+def test_short_runs_and_nulls_keep_their_step(spark):
+    rows = [(0, 1, 1.5), (1, 1, None), (2, 1, 3.0), (2, 2, 4.0)]
+    s = spark.createDataFrame(rows, "run long, step long, x double")
+    got = logs.scan_samples(logs.sample_lines(s)).collect()
+    assert sorted(map(tuple, got)) == [r for r in rows if r[2] is not None]
+
+
 def test_swaps_pair_every_step(spark):
     s = spark.createDataFrame([(r, t, float(r)) for r in range(3) for t in (1, 2, 50)], "run long, step long, x double")
     assert posterior.swap_pairs(s).count() == 9 and posterior.swap_pairs(s, 50).count() == 3
