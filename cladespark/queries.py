@@ -295,6 +295,13 @@ def tree_patristic(spark, d):
     return a.join(b, "parent").where("a < b").select("a", "b", F.round(F.col("la") + F.col("lb"), 9).alias("dist"))
 
 
+@query(f"""WITH RECURSIVE {SQL_EDGES}, up(leaf, child, anc, dist) AS (SELECT node, node, parent, length FROM edges WHERE node NOT IN (SELECT parent FROM edges WHERE parent IS NOT NULL)
+    UNION ALL SELECT leaf, e.node, e.parent, dist + e.length FROM up JOIN edges AS e ON e.node = up.anc WHERE e.parent IS NOT NULL)
+SELECT a.leaf AS a, b.leaf AS b, round(a.dist + b.dist, 6) AS dist FROM up AS a JOIN up AS b ON a.anc = b.anc AND a.child <> b.child AND a.leaf < b.leaf""")
+def tree_patristic_all(spark, d):
+    return _r(trees.patristic(inputs.edges(spark, d), 4), "dist", places=6)
+
+
 @query("SELECT r_name AS root, '(' || string_agg(replace(n_name, ' ', '_'), ',' ORDER BY n_name) || ')' || replace(r_name, ' ', '_') || ';' AS newick FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def newick_render(spark, d):
     both = inputs.table(spark, d, "region").join(inputs.table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
