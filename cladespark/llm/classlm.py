@@ -54,7 +54,7 @@ def _shape(w: Words) -> np.ndarray:
     return np.minimum(w.ends - w.starts, 15) * 2 + letter
 
 
-def _coded(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[Slice, Words]]:
+def _coded(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[Slice, Words]]:
     for s in slices(column, size):
         yield s, words(s, "white", lower=True)
 

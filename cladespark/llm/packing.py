@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, stash
-from .words import _BYTE, _BYTE_POWERS, mix, slices
+from .words import mix, segments, slices
 
 LENGTH = 2048
 _SPACE = np.zeros(256, bool)
@@ -75,10 +75,7 @@ def encode(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
         data = s.data
         start = _units(data, s.offsets)
         end = np.concatenate((start[1:], [len(data)])) if len(start) else start
-        up, down = _BYTE_POWERS.get(max(len(data), 1))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-        key = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+        key = mix(segments(data, start, end) + (end - start).astype(np.uint64))
         _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
         raw = data.tobytes()
         ids = [enc.encode_ordinary(raw[a:b].decode()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]

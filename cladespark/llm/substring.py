@@ -10,10 +10,14 @@ The index is probed through fixed-size bitmaps (32 MB); a full bitmap would only
 probes through, as what decides is the exact grouping after it. Texts that are whole
 copies of an earlier one are settled first, so large groups of copies cost nothing more.
 
-Words are compared by 64-bit hashes. Null or empty text: no words. Texts of fewer than
-WINDOW words keep all. Rows that repeat a doc_id, and null ids, are texts of their own in
-the result; their spans are taken as those of one document. Extra columns are kept by
-remove_repeats() and ignored by repeats().
+Windows, and whole copies, are compared by two independent hashes, 96 and 128 bits together.
+
+Null or empty text: no words. Texts of fewer than WINDOW words keep all. A doc_id may be of
+any type that has an order. Rows that repeat a doc_id are texts of their own in the result;
+their spans are taken as those of one document. A null doc_id keeps all words and takes
+none from others. Extra columns are kept by remove_repeats() and ignored by repeats().
+
+Call cladespark.session.ship() first where executors don't have this package.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, sized, stash, with_ids, without_ids
-from .words import signed, slices, words
+from .words import Words, signed, slices, words
 
 WINDOW, BLOCK = 20, 10
 #: Bits of the bitmaps; each key sets two.
@@ -35,14 +39,24 @@ BITS = 28
 _LOW = np.uint64((1 << BITS) - 1)
 
 
+#: Salt of the second hash.
+_SALT = 0x5851F42D4C957F2D
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for s in slices(batch.column("text")):
             w = words(s)
-            n.append(w.counts)
-            h.append(w.sequence())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(n)), pa.array(signed(np.concatenate(h)))], names=["doc_id", "n", "seq"])
+            ids = batch.column("doc_id").slice(s.lo, s.hi - s.lo)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(w.counts), pa.array(signed(w.sequence())), pa.array(signed(w.sequence(_SALT)))], names=["doc_id", "n", "seq", "seq2"])
+
+
+def _rolling(w: Words, block: int, window: int, on_block: bool) -> np.ndarray:
+    """Hashes of the blocks, or of the rolling windows between them, of texts of window words or more."""
+    g, ok = w.grams(block)
+    ok &= (w.place()[: len(g)] % block == 0) == on_block
+    ok &= np.repeat(w.counts >= window, w.counts)[: len(g)]
+    return g[ok]
 
 
 def _blocks(block: int, window: int):
@@ -50,14 +64,8 @@ def _blocks(block: int, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column("text"), 4 << 20):
-                w = words(s)
-                g, ok = w.grams(block)
-                if not len(g):
-                    continue
-                place = np.arange(len(g)) - np.repeat(w.first[:-1], w.counts)[: len(g)]
-                long = np.repeat(w.counts >= window, w.counts)[: len(g)]
-                x, n = np.unique(signed(g[ok & long & (place % block == 0)]), return_counts=True)
+            for s in slices(batch.column("text")):
+                x, n = np.unique(signed(_rolling(words(s), block, window, True)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], names=["h", "n"])
 
     return run
@@ -78,35 +86,36 @@ def _probes(block: int, window: int, index):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch.column("text"), 4 << 20):
-                w = words(s)
-                g, ok = w.grams(block)
-                if not len(g):
-                    continue
-                place = np.arange(len(g)) - np.repeat(w.first[:-1], w.counts)[: len(g)]
-                long = np.repeat(w.counts >= window, w.counts)[: len(g)]
-                g = g[ok & long & (place % block != 0)]
+            for s in slices(batch.column("text")):
+                g = _rolling(words(s), block, window, False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(signed(g[_has(index.value, g)])))], names=["h"])
 
     return run
 
 
 def _around(block: int, window: int, live):
-    """Windows that hold a live anchor: hash, document, first word."""
+    """Windows that hold a live anchor: two hashes, document, first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
             for s in slices(batch.column("text")):
                 w = words(s)
-                g, _ = w.grams(block)
                 full, ok = w.grams(window)
                 if not len(full):
                     continue
-                hits = np.concatenate(([0], np.cumsum(_has(live.value, g))))
+                g, _ = w.grams(block)
+                hits = np.zeros(len(g) + 1, np.int32)
+                np.cumsum(_has(live.value, g), out=hits[1:])
+                del g
                 at = np.flatnonzero(ok & (hits[window - block + 1 : window - block + 1 + len(full)] > hits[: len(full)]))
-                row = np.repeat(np.arange(len(w.counts)), w.counts)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(full[at])), ids.take(pa.array(row + s.lo)), pa.array((at - w.first[row]).astype(np.int32))], names=["h", "doc_id", "start"])
+                del hits, ok
+                if not len(at):
+                    continue
+                row = (np.searchsorted(w.first, at, "right") - 1).astype(np.int32)
+                start = (at - w.first[row]).astype(np.int32)
+                full = full[at]
+                more = (w.grams(window, _SALT)[0][at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(more), batch.column("doc_id").take(pa.array(row + s.lo)), pa.array(start)], names=["h", "h2", "doc_id", "start"])
 
     return run
 
@@ -126,21 +135,22 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    info = stash(docs.mapInArrow(_digest, "doc_id long, n long, seq long").where(f"n >= {window}"), "info")
-    firsts = info.groupBy("seq", "n").agg(F.min("doc_id").alias("doc_id"))
-    copies = stash(info.join(firsts.select("doc_id"), "doc_id", "left_anti").select("doc_id").where("doc_id is not null").distinct(), "copies")
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    info = stash(docs.mapInArrow(_digest, f"doc_id {kind}, n long, seq long, seq2 long").where(f"n >= {window}"), "info")
+    firsts = info.groupBy("seq", "seq2", "n").agg(F.min("doc_id").alias("doc_id"))
+    copies = stash(info.join(firsts.select("doc_id"), "doc_id", "left_anti").select("doc_id").distinct(), "copies")
     discard(info)
-    single = without_ids(docs.where("text is not null"), copies)
+    single = without_ids(docs, copies)
     blocks = stash(single.mapInArrow(_blocks(block, window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "blocks")
     index = spark.sparkContext.broadcast(_bitmap(blocks, "bits"))
     probes = single.mapInArrow(_probes(block, window, index), "h long").distinct()
     live = blocks.join(probes.withColumn("probed", F.lit(True)), "h", "left").where("n > 1 or probed")
     live = spark.sparkContext.broadcast(_bitmap(live, "bits"))
-    around = stash(single.mapInArrow(_around(block, window, live), "h long, doc_id long, start int"), "around")
+    around = stash(single.mapInArrow(_around(block, window, live), f"h long, h2 int, doc_id {kind}, start int"), "around")
     # As a table of its own, so that both sides of the join are plain exchanges and a passage that many texts share can be split.
-    firsts = stash(around.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h", "first"), "firsts")
-    again = around.join(firsts, "h").where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start")
+    firsts = stash(around.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h", "h2", "first"), "firsts")
+    again = around.join(firsts, ["h", "h2"]).where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start")
     merged = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("s"))
     # A run of windows ends where the next one starts beyond it; the runs' edges give the spans.
     heads = F.filter("s", lambda x, j: (j == 0) | (x > F.get(F.col("s"), j - 1) + window))
@@ -156,38 +166,54 @@ _SPANS, _OUT = "_repeat_spans", ("_repeat_words", "_repeat_removed", "_repeat_ke
 _SCHEMA = f", {_OUT[0]} long, {_OUT[1]} long, {_OUT[2]} string"
 
 
-def _cut(s_text: bytes, spans: list) -> tuple[int, bytes]:
-    found = s_text.split()
-    keep = np.ones(len(found), bool)
-    for x in spans:
-        keep[x["start"] : x["end"]] = False
-    return len(found), b" ".join([found[i] for i in np.flatnonzero(keep)])
+def _joined(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the kept words of all rows, joined by one space in each row, and each row's offsets in them."""
+    at = np.flatnonzero(keep).astype(np.int32)
+    inside = np.zeros(len(w.data) + 1, np.int8)
+    inside[w.starts[at]] += 1
+    inside[w.ends[at]] -= 1
+    mask = np.cumsum(inside, dtype=np.int8)[:-1].view(bool)
+    upto = np.zeros(len(keep) + 1, np.int64)
+    np.cumsum(keep, out=upto[1:])
+    many = np.diff(upto[w.first])
+    out = w.data.copy()
+    follows = np.ones(len(at), bool)
+    follows[np.cumsum(many)[many > 0] - 1] = False
+    spot = w.ends[at[follows]]
+    out[spot], mask[spot] = 0x20, True
+    np.cumsum(np.where(keep, w.ends - w.starts, 0), out=upto[1:])
+    size = np.diff(upto[w.first]) + np.maximum(many - 1, 0)
+    return out[mask], np.concatenate(([0], np.cumsum(size)))
 
 
 def _kept(whole: bool, digest: bool):
-    """Words, words removed, and what is kept: its SHA-256, or the text itself (unchanged where nothing goes)."""
+    """Words, words removed, and what is kept: its SHA-256, or the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, kept = [], [], []
-            spans = batch.column(_SPANS).to_pylist() if _SPANS in batch.schema.names else None
-            for s in slices(batch.column("text")):
-                for i in range(s.hi - s.lo):
-                    raw = s.text(i)
-                    if whole:
-                        total, left = len(raw.split()), b""
-                        removed = total
-                    elif spans is None:
-                        found = raw.split()
-                        total, removed, left = len(found), 0, b" ".join(found)
-                    else:
-                        total, left = _cut(raw, spans[s.lo + i])
-                        removed = total - (left.count(b" ") + 1 if left else 0)
-                    n.append(total)
-                    gone.append(removed)
-                    kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
+            spans = batch.column(_SPANS) if _SPANS in batch.schema.names else None
             cols = [c for c in batch.schema.names if c not in (_SPANS, "text")] if not digest else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in cols], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*cols, *_OUT])
+            for s in slices(batch.column("text")):
+                w = words(s)
+                keep = np.full(len(w.code), not whole)
+                if spans is not None:
+                    part = spans.slice(s.lo, s.hi - s.lo)
+                    row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
+                    edges = part.flatten()
+                    gone = np.zeros(len(keep) + 1, np.int32)
+                    for name, step in (("start", 1), ("end", -1)):
+                        np.add.at(gone, np.minimum(w.first[row] + edges.field(name).to_numpy(zero_copy_only=False), w.first[row + 1]), step)
+                    keep = np.cumsum(gone[:-1]) == 0
+                raw, off = _joined(w, keep)
+                upto = np.concatenate(([0], np.cumsum(keep)))
+                left = np.diff(upto[w.first])
+                if digest:
+                    data = raw.tobytes()
+                    kept = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string())
+                else:
+                    kept = pa.StringArray.from_buffers(len(left), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(raw))
+                own = [batch.column(c).slice(s.lo, s.hi - s.lo) for c in cols]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(w.counts), pa.array(w.counts - left), kept], names=[*cols, *_OUT])
 
     return run
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +27,60 @@ _LOWER[65:91] += 32
 
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R, _S = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_SLICE = 2 << 20
+_SLICE = 1 << 20
+#: Bytes or words that are hashed at a time: tables of powers have this length, however long a text is.
+_STEP = 1 << 18
+_MASK = (1 << 64) - 1
+
+
+def _powers(base: int) -> np.ndarray:
+    x = np.full(_STEP, base & _MASK, np.uint64)
+    x[0] = 1
+    return np.cumprod(x, dtype=np.uint64)
 
 
 class _Powers:
+    """Powers of an odd number and of its inverse, made when first used."""
+
     def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.base = base
+
+    @cached_property
+    def up(self) -> np.ndarray:
+        return _powers(self.base)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                x = np.full(size, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
+    @cached_property
+    def down(self) -> np.ndarray:
+        return _powers(pow(self.base, -1, 1 << 64))
 
 
 _BYTE_POWERS, _WORD_POWERS = _Powers(_R), _Powers(_S)
 
 
+def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each segment; segments follow each other without overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    up, down = _BYTE_POWERS.up, _BYTE_POWERS.down
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + _STEP - 1, "right"))
+        if j > i:
+            part = data[lo : int(ends[j - 1])]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+            a = starts[i:j] - lo
+            out[i:j] = (total[ends[i:j] - lo] - total[a]) * down[a]
+        else:  # one segment longer than a step
+            j, value = i + 1, 0
+            for at in range(lo, int(ends[i]), _STEP):
+                part = data[at : min(at + _STEP, int(ends[i]))]
+                value += int(np.sum(_BYTE[part] * up[: len(part)], dtype=np.uint64)) * pow(_R, at - lo, 1 << 64)
+            out[i] = value & _MASK
+        i = j
+    return out
+
+
 def mix(z: np.ndarray) -> np.ndarray:
     """Spread a 64-bit value over all its bits."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -101,43 +136,60 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the k words from each word on, and whether those lie in one row. Both have max(0, words - k + 1) entries."""
+    def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the k words from each word on, and whether those lie in one row. Both have max(0, words - k + 1) entries. Another salt, another hash."""
         n = len(self.code)
         if n < k:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        up, down = _WORD_POWERS.get(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.code * up, out=total[1:])
-        got = mix((total[k:] - total[:-k]) * down[: n - k + 1] + np.uint64(k))
-        return got, np.repeat(self.first[1:], self.counts)[: n - k + 1] >= np.arange(n - k + 1) + k
-
-    def sequence(self) -> np.ndarray:
+        up, down = _WORD_POWERS.up, _WORD_POWERS.down
+        got = np.zeros(n - k + 1, np.uint64)
+        for at in range(0, n - k + 1, _STEP - k):
+            code = self.code[at : at + _STEP - 1]
+            code = mix(code ^ np.uint64(salt)) if salt else code
+            total = np.zeros(len(code) + 1, np.uint64)
+            np.cumsum(code * up[: len(code)], out=total[1:])
+            m = min(len(code) - k + 1, _STEP - k)
+            got[at : at + m] = mix((total[k : k + m] - total[:m]) * down[:m] + np.uint64(k))
+        return got, self.last()[: n - k + 1] >= np.arange(k, n + 1, dtype=np.int32)
+
+    def last(self) -> np.ndarray:
+        """Of each word, the end of its row."""
+        return np.repeat(self.first[1:].astype(np.int32), self.counts)
+
+    def place(self) -> np.ndarray:
+        """Of each word, its number in its row."""
+        return np.arange(len(self.code), dtype=np.int32) - np.repeat(self.first[:-1].astype(np.int32), self.counts)
+
+    def sequence(self, salt: int = 0) -> np.ndarray:
         """Hash of each row's whole word sequence."""
-        n = len(self.code)
-        up, down = _WORD_POWERS.get(max(n, 1))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.code * up[:n], out=total[1:])
-        at = np.minimum(self.first[:-1], max(n - 1, 0))
-        return mix((total[self.first[1:]] - total[self.first[:-1]]) * down[at] + self.counts.astype(np.uint64))
+        place, code = self.place(), self.code
+        code = (mix(code ^ np.uint64(salt)) if salt else code) * _WORD_POWERS.up[place & (_STEP - 1)]
+        if len(place) and int(place.max()) >= _STEP:
+            code *= np.array([pow(_S, _STEP * i, 1 << 64) for i in range(int(place.max() // _STEP) + 1)], np.uint64)[place // _STEP]
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(code, out=total[1:])
+        return mix(total[self.first[1:]] - total[self.first[:-1]] + self.counts.astype(np.uint64))
 
 
 def words(s: Slice, kind: str = "white", lower: bool = False) -> Words:
     data = _LOWER[s.data] if lower else s.data
-    n = len(data)
-    inside = CLASSES[kind][data]
-    edge = s.offsets[(s.offsets > 0) & (s.offsets < n)]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    if n:
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        before[edge] = False
-        after[edge - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _BYTE_POWERS.get(max(n, 1))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    code = mix((total[ends] - total[starts]) * down[starts]) if len(starts) else np.zeros(0, np.uint64)
-    return Words(data, starts, ends, np.searchsorted(starts, s.offsets), code)
+    n, table = len(data), CLASSES[kind]
+    starts, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for lo in range(0, n, 4 * _STEP):
+        hi = min(lo + 4 * _STEP, n)
+        inside = table[data[max(lo - 1, 0) : hi + 1]]
+        here = inside[1 if lo else 0 :][: hi - lo]
+        before, after = np.zeros(hi - lo, bool), np.zeros(hi - lo, bool)
+        before[0 if lo else 1 :] = inside[: hi - lo if lo else hi - lo - 1]
+        nxt = inside[(1 if lo else 0) + 1 :]
+        after[: len(nxt)] = nxt
+        edge = s.offsets[(s.offsets > 0) & (s.offsets < n)]
+        before[edge[(edge >= lo) & (edge < hi)] - lo] = False
+        after[edge[(edge > lo) & (edge <= hi)] - 1 - lo] = False
+        starts.append((np.flatnonzero(here & ~before) + lo).astype(np.int32))
+        ends.append((np.flatnonzero(here & ~after) + lo + 1).astype(np.int32))
+    first, to = np.concatenate(starts), np.concatenate(ends)
+    return Words(data, first, to, np.searchsorted(first, s.offsets), mix(segments(data, first, to)))
 
 
 def code_of(word: str) -> int:
