@@ -48,6 +48,54 @@ def phrase_places(text, phrases):
     return len(w), len(found), min(found, default=None), max(found, default=None), ",".join(sorted(labels))
 
 
+def license_labels(text, phrases, templates):
+    """Labels and share of words in matches, by trying every way through every template at every place."""
+    w = alnum(text)
+
+    def parsed(markup):
+        out, stack = [], []
+        for m in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup):
+            if m == "[[":
+                stack.append(out)
+                out = []
+            elif m == "]]":
+                inner, out = out, stack.pop()
+                out.append(inner)
+            else:
+                out.append(int(m[2:-2]) if m.startswith("{{") else m)
+        return out
+
+    def ends(parts, at):
+        if not parts:
+            return {at}
+        head, rest = parts[0], parts[1:]
+        if isinstance(head, list):
+            starts = {at} | ends(head, at)
+        elif isinstance(head, int):
+            starts = set(range(at, min(at + head, len(w)) + 1))
+        else:
+            starts = {at + 1} if at < len(w) and w[at] == head else set()
+        return {e for s in starts for e in ends(rest, s)}
+
+    labels, spans = set(), []
+    for p, label in phrases.items():
+        p = p.split()
+        hits = [i for i in range(len(w)) if w[i : i + len(p)] == p]
+        labels |= {label} if hits else set()
+        spans += [(i, i + len(p)) for i in hits]
+    for label, ts in templates.items():
+        for t in ts:
+            parts = parsed(t)
+            number = [x for x in parts if isinstance(x, str)][-1].isdigit()
+            for i in range(len(w)):
+                good = [e for e in ends(parts, i) if e > i and not (number and e < len(w) and re.fullmatch(r"0|[1-9]\d{0,2}", w[e]))]
+                if good:
+                    labels.add(label)
+                    spans.append((i, max(good)))
+    covered = {x for a, b in spans for x in range(a, b)}
+    return ",".join(sorted(labels)), round(len(covered) / len(w), 9) if covered else 0.0
+
+
 def base_scores(rows, train):
     """{doc_id: (n_tokens, n_known, train tokens, score)} of add-one unigrams; one end token a text."""
     c = Counter(t for x in train for t in [*white(x, True), None])
@@ -59,6 +107,40 @@ def base_scores(rows, train):
     return out
 
 
+def shape(word):
+    raw = word.encode()
+    return min(len(raw), 15) * 2 + (97 <= raw[-1] <= 122 or raw[-1] >= 128)
+
+
+def class_scores(rows, train, cls, often, learned, pseudo):
+    """{doc_id: score} of a class bigram model; cls: class of each training word, None is the end mark; words never seen have learned + shape."""
+    seqs = lambda text: [None, *white(text, True), None]
+    c = Counter(t for x in train for t in white(x, True))
+    of = lambda w: cls[w] if w in cls else learned + shape(w)
+    both, size = Counter(), max(cls.values()) + 1
+    for x in train:
+        s = seqs(x)
+        for a, b in zip(s, s[1:]):
+            both[of(a), of(b)] += 1
+            if c[a] == 1 and b in often:
+                both[learned + shape(a), of(b)] += 1
+            if c[b] == 1 and a in often:
+                both[of(a), learned + shape(b)] += 1
+    step = {}
+    for a in range(size):
+        row = [both[a, b] + pseudo for b in range(size)]
+        step |= {(a, b): math.log10(v / sum(row)) for b, v in enumerate(row)}
+    mass, types = Counter(), Counter(shape(w) for w in c)
+    for w, n in c.items():
+        mass[of(w)] += n + 1
+    emit = lambda w: math.log10((c[w] + 1) / mass[of(w)]) if w in c else -math.log10(types[shape(w)] + 1)
+    out = {}
+    for doc_id, text in rows:
+        s = seqs(text)
+        out[doc_id] = sum(step[of(a), of(b)] for a, b in zip(s, s[1:])) + sum(emit(w) for w in s[1:-1])
+    return out
+
+
 def windows(item, size=10):
     w = alnum(item)
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()

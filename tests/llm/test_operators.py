@@ -1,6 +1,7 @@
 """Each operator against its brute-force version, over odd rows and clashing columns; empty tables; repeated rows and null ids."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -8,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladespark.llm import bytecnn, classlm, langid, licenses, packing, quality, setjoin, substring, urlfilter
-from cladespark.llm.decontam import decontaminate
+from cladespark.llm.decontam import decontaminate, without_contaminated
 from cladespark.llm.queries import tokenizer_path
 from cladespark.llm.shared import components
+from cladespark.llm.words import code_of
 
 ITEMS = [(1, "one two"), (2, ""), (3, None), (11, "the very first line of an item that has more than ten words in it")]
 
@@ -56,6 +58,33 @@ def test_license_templates(spark):
         licenses.compile_template("x", "a [[ b")
 
 
+def test_license_notices_and_versions(spark):
+    plain = lambda label: re.sub(r"\{\{\d+\}\}", "The Authors", re.sub(r"\[\[.*?\]\]", "", licenses.TEMPLATES[label][0]))
+    texts = [plain(x) for x in ("mit-text", "isc", "bsd-2-clause", "bsd-3-clause")] + ["Licensed under the GNU General Public License, version 2.1 of it", "Licensed under the Apache License, Version 2.0.\n7 files"]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[x for x in got[i] if x in ("mit-text", "isc", "bsd-2-clause", "bsd-3-clause", "gpl-2.0")] for i in range(5)] == [["mit-text"], ["isc"], ["bsd-2-clause"], ["bsd-3-clause"], []]
+
+
+def test_labels_and_scores_of_licenses_by_brute_force(docs, spark):
+    """Templates as backtracking searches over word lists."""
+    rng = random.Random(12)
+    words = "licensed released under the terms of mit apache gnu general public license version 2 3 0 cc by sa 4 bsd style international open source".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60)]
+    texts += [f"so {rng.choice(words)} licensed under the {x} and more" for x in ("mit license", "terms of the mit open source license", "apache license 2 0", "gnu general public license version 3", "cc by sa 4 0 international license", "cc by 4 0")]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["labels"], round(got[i]["score"], 9)) == brute.license_labels(t, licenses.PHRASES, licenses.TEMPLATES), t
+
+
+def test_language_needs_a_letter(spark):
+    texts = [" ".join(f"{a}{b}" for a in x for b in y) for x, y in (("abc", "defg"), ("uvw", "xyz"))] * 4
+    rows = [(i, t, ("en", "tr")[i % 2]) for i, t in enumerate(texts)] + [(50, "\u00b2\u00bd \u00bc 12", "en"), (51, "\u65e5", None), (52, None, "en"), (53, "", "tr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, docs.where("doc_id < 50")).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (50, 52, 53)) and got[51][0] in ("en", "tr")
+    assert [got[i][0] for i in range(8)] == ["en", "tr"] * 4
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.held_out_predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
@@ -91,19 +120,24 @@ def test_exchange_raises_likelihood():
     assert fit(cls) >= fit(shuffled) - 1e-6 and len(set(again)) == 3
 
 
-def test_every_training_word_has_a_learned_class(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+@pytest.mark.parametrize("frequent", [40, 1 << 17])
+def test_class_scores(spark, docs, rows, monkeypatch, frequent):
+    """Every training word has a learned class, and scores are those of the plain model over these classes."""
+    monkeypatch.setattr(classlm, "FREQUENT", frequent)
+    monkeypatch.setattr(classlm, "SEEDS", 20)
     learned, seen = classlm._learned, []
     monkeypatch.setattr(classlm, "_learned", lambda *a: seen.append(learned(*a)) or seen[-1])
-
-    def scores(frequent):
-        monkeypatch.setattr(classlm, "FREQUENT", frequent)
-        return sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in classlm.score_texts(docs, docs).collect())
-
-    few, all_ = scores(1500), scores(1 << 17)
-    assert [r[:2] for r in few] == [r[:2] for r in all_] and [r[2] for r in few] == pytest.approx([r[2] for r in all_], rel=1e-9)
-    cls = [r["cls"] for r in seen[0][0].where(F.col("h") != int(classlm.END)).collect()]
-    assert len(cls) > 2 * classlm.SEEDS and max(cls) < classlm.CLASSES
+    train = docs.where("doc_id % 3 <> 0")
+    got = {r["doc_id"]: r["score"] for r in classlm.score_texts(docs, train).collect()}
+    texts = [r[1] for r in rows if r[0] % 3]
+    word = {int(np.uint64(code_of(w)).astype(np.int64)): w for t in texts for w in brute.white(t, True)}
+    word[int(classlm.END)] = None
+    found = {word[r["h"]]: r for r in seen[0][0].collect()}
+    assert len(found) == len(word) and all(r["cls"] < classlm.CLASSES for w, r in found.items() if w is not None)
+    often = {w for w, r in found.items() if r["frequent"]}
+    assert (len(often) < len(found)) == (frequent == 40)
+    want = brute.class_scores([r[:2] for r in rows], texts, {w: r["cls"] for w, r in found.items()}, often, classlm.CLASSES, classlm.PSEUDO)
+    assert got == pytest.approx(want, rel=1e-9)
 
 
 def test_best_class_is_the_likeliest():
@@ -199,6 +233,15 @@ def test_cascade_is_exact():
         assert (urlfilter.member(keys, levels) == (np.arange(len(keys)) < share)).all()
 
 
+def test_cascade_ends_and_clashing_keys_are_told_apart(spark, monkeypatch):
+    same = np.array([5], np.uint64)
+    assert len(urlfilter.cascade(same, np.array([5, 6], np.uint64))) == urlfilter.LEVELS + 1
+    monkeypatch.setattr(urlfilter.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    pages = spark.createDataFrame([(1, "http://ab.c/"), (2, "http://cd.c/"), (3, "http://abcdefg.c/")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages, spark.createDataFrame([("ab.c",), ("elsewhere.org",)], "key string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_url_filter_of_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q", "http://example.net/de/8", "http://x.net/de/8#f", "http://ads.q.com/en", "http://q.com?/en/", "http://b.org/es/://c", "http://a\nb.org/es/\n", "http://notexample.com/en/7"]
     got = {r["page_id"]: r for r in urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
@@ -218,6 +261,24 @@ def test_decontamination(spark, docs, rows):
         assert r["n_items"] == len(r["items"]) and r["contaminated"] == (r["n_hit"] > 0)
 
 
+def test_decontamination_of_rows_that_repeat_an_id(spark):
+    leak = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, leak + " and more", "en"), (1, "nothing to see", "en"), (None, leak, "x"), (None, None, "x")], "doc_id long, text string, lang string")
+    items = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    got = sorted((r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate(docs, items).collect())
+    assert got == [(0, 0, False), (3, 0, False), (12, 12, True), (14, 12, True)]
+    assert sorted(r["text"] or "" for r in without_contaminated(docs, items).collect()) == ["", "nothing to see"]
+
+
+@pytest.mark.parametrize("name", ["jaccard", "substrings", "classlm", "decontam"])
+def test_ids_of_text(name, docs, rows):
+    """The same results by ids of another type with the same order."""
+    text = docs.withColumn("doc_id", F.format_string("d%06d", "doc_id"))
+    norm = lambda r: tuple(sorted((k, f"d{v:06d}" if k in ("doc_id", "component_id") and isinstance(v, int) else round(v, 6) if isinstance(v, float) else v) for k, v in r.asDict().items() if k != "held_out"))
+    run = (lambda d: classlm.score_texts(d, d)) if name == "classlm" else OPERATORS[name][0]
+    assert sorted(map(norm, run(text).collect()), key=str) == sorted(map(norm, run(docs).collect()), key=str)
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_jaccard(docs, rows, k, percent):
     got = by_id(setjoin.jaccard_classes(docs, k, percent))
@@ -232,6 +293,19 @@ def test_keep_one(docs, rows):
     assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_blocks_of_long_lists(docs, rows, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK_ROWS", 3)
+    want = brute.classes([r[:2] for r in rows], 3, 70)
+    assert {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_classes(docs, 3, 70).collect()} == {i: c for i, (_, c) in want.items()}
+
+
+def test_keep_one_of_rows_that_repeat_an_id(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    rows = [(5, a), (5, b), (5, a), (2, b + " x"), (None, a), (None, a), (9, ""), (9, "")]
+    got = setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(5, a), (2, b + " x"), (0, a), (0, a), (9, ""), (9, "")])
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
@@ -284,4 +358,4 @@ def test_repeated_rows_and_null_ids(name, spark):
     got = OPERATORS[name][0](docs).collect()
     key = "page_id" if name == "urlfilter" else "doc_id"
     ids = sorted(str(r[key]) for r in got)
-    assert ids == sorted(str(r[0]) for r in rows)
+    assert ids == sorted(str(r[0]) for r in (rows[1:] if name == "keep_one" else rows))
