@@ -1,38 +1,54 @@
 """N-gram Jaccard join with set-relation skipping; connected classes of near copies.
 
 A document's set is its distinct word shingles. Copies of one set are one class from the
-start. Sets are indexed under the tokens of their prefix, rarest first by a count sketch
-over all documents (any total order is exact; rarity only keeps the lists short).
-
-* Index-level skipping: each list is ordered by set size and walked in blocks; blocks
-  whose sizes or whose positions can't reach the threshold are skipped whole.
-* Answer-level skipping: within a list, each set is first compared with the list's first
-  set, then with its neighbour by size. Sets joined by these links share their answers
-  from then on: only pairs of sets of different classes are still generated, so a group
-  of n near copies costs about n comparisons, not n squared.
+start, and stand for their documents from then on. Sets are indexed under the tokens of
+their prefix, rarest first by a count sketch over all documents (any total order is exact;
+rarity only keeps the lists short).
+
+* Index-level skipping: a list is walked in blocks in order of set size and of the token's
+  position; two blocks whose sizes, or whose least positions, can't reach the threshold
+  are skipped whole.
+* Answer-level skipping: each set is first compared with its lists' first sets, then with
+  its neighbours by size. The symmetric difference to such a leader is known from then on,
+  and a set's answers follow from its leader's: two sets of one leader whose differences
+  to it add up to few enough tokens are linked, and two whose differences are too far apart
+  aren't, both without looking at the sets. Sets that these links join share their classes,
+  and only pairs of different classes are still generated, so a group of n near copies
+  costs about n comparisons, not n squared.
+
+No list is gathered in one task: leaders come from aggregates, neighbours from ranges over
+all lists, and what is left of a list is dealt by size class and, where it is long, in
+blocks: rows of its largest class lie in one block each, all other rows meet every block.
 
 Pairs are pruned by an exact upper bound from bucketed counts, and then verified on the
 whole sets. The result is exact for links between different texts' classes.
 
-Null or empty text: an empty set, linked with nothing, its own class. Rows that repeat a
-doc_id share a class; a null doc_id is kept, with a null class. Extra columns are ignored.
+Null or empty text: an empty set, linked with nothing, its own class. A doc_id may be of
+any type that has an order. Rows that repeat a doc_id are judged by their own texts; a null
+doc_id is kept, with a null class. Extra columns are ignored. Call
+cladespark.session.ship() first where executors don't have this package.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, discard, stash, with_ids, without_ids
-from .words import signed, slices, words
+from .shared import ROW, components, discard, row_key, stash, with_ids, without_ids
+from .words import mix, signed, slices, words
 
 #: Buckets of the sketch that orders tokens (a fixed 4 MB for each task, 8 MB broadcast), and of a set's signature.
 SKETCH, BUCKETS = 1 << 20, 64
 _PART = 1 << 12
+#: Sketches that are added at a time; rows of a block of a list.
+FAN, BLOCK_ROWS = 32, 8192
+#: What tells text classes apart.
+KEY = ("n", "sid", "sid2")
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -55,23 +71,31 @@ def overlap_needed(n: int, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _digests(x: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    a = np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)) ^ np.add.reduce(x)
+    b = np.add.reduce(mix(x ^ np.uint64(0x5851F42D4C957F2D)))
+    return int(a.astype(np.int64)), int(b.astype(np.int64))
+
+
 def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int32)
+        total, kind = np.zeros(SKETCH, np.int32), None
         for batch in batches:
-            n, sid = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            kind = batch.schema.field("doc_id").type
+            n, sid, sid2 = (np.zeros(len(batch), np.int64) for _ in range(3))
             for i, x in shingle_sets(batch.column("text"), k):
                 n[i] = len(x)
                 if len(x):
-                    up = np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)) ^ np.add.reduce(x)
-                    sid[i] = np.int64(int(up) - (1 << 64) if up >= np.uint64(1 << 63) else int(up))
+                    sid[i], sid2[i] = _digests(x)
                     np.add.at(total, (x >> np.uint64(44)).astype(np.int64), 1)
-            none = pa.nulls(len(batch), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(sid), none, pa.nulls(len(batch), pa.binary())], names=["doc_id", "n", "sid", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sid), pa.array(sid2), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], names=["doc_id", "n", "sid", "sid2", "part", "counts"])
+        if kind is None:
+            return
         rows = [(p, total[p * _PART : (p + 1) * _PART]) for p in range(SKETCH // _PART)]
         rows = [(p, x.tobytes()) for p, x in rows if x.any()]
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["doc_id", "n", "sid", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), kind), none, none, none, pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["doc_id", "n", "sid", "sid2", "part", "counts"])
 
     return run
 
@@ -81,16 +105,22 @@ def _add(key, table):
     for x in table.column("counts"):
         raw = x.as_py()
         total += np.frombuffer(raw, np.int32 if len(raw) == 4 * _PART else np.int64)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """The summed sketch: parts are added over groups of tasks first, so that no group holds one row for each task."""
-    rows = rows.withColumn("g", (F.rand(7) * 16).cast("int"))
-    some = rows.groupBy("part", "g").applyInArrow(lambda key, t: _add(key, t), "part int, counts binary")
+    """The summed sketch: a tree of sums, so that no group ever holds more than about FAN rows."""
+    rows = stash(rows.withColumn("g", F.spark_partition_id().cast("long")), "sketch")
+    most = rows.agg(F.max("g")).first()[0] or 0
+    cur = rows
+    while most:
+        most //= FAN
+        cur = cur.withColumn("g", F.expr(f"g div {FAN}")).groupBy("part", "g").applyInArrow(_add, "part int, g long, counts binary")
     full = np.zeros(SKETCH, np.int64)
-    for r in some.groupBy("part").applyInArrow(_add, "part int, counts binary").toLocalIterator():
-        full[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["counts"], np.int64)
+    for r in cur.select("part", "counts").toLocalIterator():
+        x = np.frombuffer(r["counts"], np.int32 if len(r["counts"]) == 4 * _PART else np.int64)
+        full[r["part"] * _PART : (r["part"] + 1) * _PART] += x
+    discard(rows)
     return np.minimum(full, 2**31 - 1).astype(np.int32)
 
 
@@ -98,21 +128,21 @@ def _prefixes(k: int, percent: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = sketch.value
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            out: list[list] = [[], [], [], []]
-            for i, x in shingle_sets(batch.column("text"), k):
+            out: list[list] = [[], [], [], [], []]
+            for _, x in shingle_sets(batch.column("text"), k):
                 if not len(x):
                     continue
                 n, seen = len(x), df[(x >> np.uint64(44)).astype(np.int64)]
                 keep = n - int(-(-percent * n // 100)) + 1  # whatever reaches the threshold shares one of these tokens
                 order = np.lexsort((x, seen))[:keep]
-                out[0].append(int(ids[i]))
-                out[1].append(n)
-                out[2].append(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).clip(max=65535).astype(np.uint16).tobytes())
-                out[3].append(signed(x[order]))
-            lens = np.cumsum([0] + [len(x) for x in out[3]], dtype=np.int32)
-            toks = pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), toks], names=["id", "n", "sig", "tokens"])
+                out[0].append(n)
+                for col, v in zip(out[1:3], _digests(x), strict=True):
+                    col.append(v)
+                out[3].append(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).clip(max=65535).astype(np.uint16).tobytes())
+                out[4].append(signed(x[order]))
+            lens = np.cumsum([0] + [len(x) for x in out[4]], dtype=np.int32)
+            toks = pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(out[4]) if out[4] else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()), toks], names=["n", "sid", "sid2", "sig", "tokens"])
 
     return run
 
@@ -122,63 +152,91 @@ def _bounded(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (np.minimum(x, y).sum(1, dtype=np.int64) >= overlap_needed(n, m, percent)) | (np.minimum(n, m) > 65535)
 
 
+def apart(n, m, percent: int):
+    """Greatest symmetric difference of linked sets of n and m."""
+    return n + m - 2 * overlap_needed(n, m, percent)
+
+
 def _cross(percent: int):
-    """Pairs of different classes in each token's list (rows arrive together by token, by ascending size)."""
+    """Pairs (a, b, sure) of different classes in each block of a list; sure ones are linked by their differences to one leader.
+
+    Rows come together by list and block, in order of size and position.
+    """
 
-    def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ident, n, pos, comp, sig = rows
+    def pairs(rows: list[np.ndarray]) -> list[np.ndarray]:
+        ident, n, pos, comp, home, minor, lead, diff, blk, sig = rows
         sig = np.frombuffer(b"".join(sig.tolist()), np.uint16).reshape(-1, BUCKETS)
-        a, b = [], []
+        room = n - pos  # tokens from this one on, itself included
+        found: list = [[], [], []]
         for lo in range(0, len(n), 512):  # a block of probes against the blocks that follow it
             hi = min(lo + 512, len(n))
             last = int(np.searchsorted(n, n[hi - 1] * 100 // percent, "right"))
-            for at in range(lo, last, 4096):
-                to = min(at + 4096, last)
+            for at in range(lo, last, 512):
+                to = min(at + 512, last)
                 if n[at] * percent > 100 * n[hi - 1]:
                     break
+                if min(room[lo:hi].max(), room[at:to].max()) < overlap_needed(int(n[lo]), int(n[at]), percent):
+                    continue  # no two positions of these blocks leave enough tokens
                 i, j = np.arange(lo, hi)[:, None], np.arange(at, to)[None, :]
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                ok = (j > i) & (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need)
+                ok = (j > i) & (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & home[j] & (~(minor[i] & minor[j]) | (blk[i] == 0))
+                ok &= np.minimum(room[i], room[j]) >= overlap_needed(n[i], n[j], percent)
                 x, y = np.nonzero(ok)
                 for k in range(0, len(x), 1 << 15):
                     i, j = x[k : k + (1 << 15)] + lo, y[k : k + (1 << 15)] + at
-                    fits = _bounded(sig[i], sig[j], n[i], n[j], percent)
-                    a.append(ident[i[fits]])
-                    b.append(ident[j[fits]])
-        return (np.concatenate(a), np.concatenate(b)) if a else (ident[:0], ident[:0])
+                    limit, same = apart(n[i], n[j], percent), (lead[i] == lead[j]) & (lead[i] >= 0)
+                    sure = same & (diff[i] + diff[j] <= limit)
+                    fits = ~same | (np.abs(diff[i] - diff[j]) <= limit)
+                    fits &= sure | _bounded(sig[i], sig[j], n[i], n[j], percent)
+                    for col, v in zip(found, (ident[i], ident[j], sure), strict=True):
+                        col.append(v[fits])
+        return [np.concatenate(x) for x in found] if found[0] else [ident[:0], ident[:0], np.zeros(0, bool)]
+
+    names = ("tok", "size", "id", "n", "pos", "comp", "home", "minor", "lead", "diff", "blk", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        new = lambda c: np.concatenate(([True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[10][1:] != c[10][:-1])))
 
         def out(cols):
-            found_a, found_b = [], []
-            cuts = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True])))
+            found = []
+            cuts = np.append(np.flatnonzero(new(cols)), len(cols[0]))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1 and (cols[4][lo:hi] != cols[4][lo]).any():
-                    x, y = pairs([c[lo:hi] for c in cols[1:]])
-                    found_a.append(x)
-                    found_b.append(y)
-            if found_a:
-                xy = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], 1), axis=0)
-                return pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["a", "b"])
-            return None
+                if hi - lo > 1 and (cols[5][lo:hi] != cols[5][lo]).any():
+                    found.append(pairs([c[lo:hi] for c in cols[2:]]))
+            if found:
+                a, b, sure = (np.concatenate([x[i] for x in found]) for i in range(3))
+                xy = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), sure.astype(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1]), pa.array(xy[:, 2] == 1)], names=["a", "b", "sure"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "id", "n", "pos", "comp", "sig")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
                 continue
-            cut = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
+            cut = int(np.flatnonzero(new(cols))[-1])
             if cut:
-                got = out([c[:cut] for c in cols])
-                if got is not None:
-                    yield got
+                yield from out([c[:cut] for c in cols])
             held = [c[cut:] for c in cols]
         if held is not None and len(held[0]):
-            got = out(held)
-            if got is not None:
-                yield got
+            yield from out(held)
+
+    return run
+
+
+def _neighbours(percent: int):
+    """Pairs of sets next to each other in a list, of different classes; rows come in order of list, size and set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "id", "n", "comp")]
+            if before is not None:
+                cols = [np.concatenate((x, y)) for x, y in zip(before, cols, strict=True)]
+            before = [c[-1:] for c in cols]
+            tok, ident, n, comp = cols
+            ok = (tok[1:] == tok[:-1]) & (comp[1:] != comp[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ident[:-1], ident[1:])[ok]), pa.array(np.maximum(ident[:-1], ident[1:])[ok])], names=["a", "b"])
 
     return run
 
@@ -200,41 +258,115 @@ def _fits(percent: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            got = list(shingle_sets(batch.column("text"), k))
+            got = [x for _, x in shingle_sets(batch.column("text"), k) if len(x)]
             for lo in range(0, len(got), 500):
                 part = got[lo : lo + 500]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in part], pa.int64())), pa.array([x.tobytes() for _, x in part], pa.binary())], names=["id", "set"])
+                sid = [_digests(x) for x in part]
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in part], pa.int64()), pa.array([x for x, _ in sid], pa.int64()), pa.array([x for _, x in sid], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())], names=["n", "sid", "sid2", "set"])
 
     return run
 
 
 def _linked(percent: int):
+    """Each pair with its symmetric difference and whether it reaches the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            diff, ok = [], []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate((x, y))
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
+                diff.append(len(both) - 2 * same)
                 ok.append(100 * same >= percent * (len(both) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(diff, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "diff", "ok"])
 
     return run
 
 
-def _verify(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
-    side = lambda p: index.select(F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
-    close = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fits(percent), "a long, b long"), "pairs")
-    ids = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id")))
-    texts = with_ids(docs.select("doc_id", "text").where("doc_id is not null"), ids).dropDuplicates(["doc_id"])
-    sets = stash(texts.mapInArrow(_sets(k), "id long, set binary"), "sets")
-    both = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
-    links = stash(both.mapInArrow(_linked(percent), "a long, b long"), "links")
-    discard(close, sets)
-    return links
+class _Join:
+    """Text classes of docs, (id, rep, n, sid, sid2), and their index."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.docs, self.k, self.percent = docs.select("doc_id", "text"), k, percent
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        self.every = stash(self.docs.mapInArrow(_count(k), f"doc_id {kind}, n long, sid long, sid2 long, part int, counts binary"), "sets")
+        self.info = self.every.where("part is null").select("doc_id", *KEY)
+        sketch = docs.sparkSession.sparkContext.broadcast(_sketch(self.every.where("part is not null").select("part", "counts")))
+        full = self.info.where("n > 0 and doc_id is not null")
+        self.classes = stash(full.groupBy(*KEY).agg(F.min("doc_id").alias("rep")).withColumn("id", F.monotonically_increasing_id()), "reps")
+        copies = full.join(self.classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+        source = without_ids(self.docs.where("doc_id is not null and text is not null"), copies)
+        rows = source.mapInArrow(_prefixes(k, percent, sketch), "n long, sid long, sid2 long, sig binary, tokens array<long>").dropDuplicates(list(KEY))
+        self.index = stash(rows.join(self.classes, list(KEY)).select("id", "n", "sig", "tokens"), "index")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose signatures fit, each with diff and ok."""
+        side = lambda p: self.index.select(F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("sig").alias(f"s{p}"))
+        close = stash(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_fits(self.percent), "a long, b long"), "pairs")
+        ids = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id")))
+        wanted = stash(with_ids(self.classes, ids, "id"), "wanted")
+        texts = with_ids(self.docs.where("doc_id is not null and text is not null"), wanted.select(F.col("rep").alias("doc_id")))
+        sets = texts.mapInArrow(_sets(self.k), "n long, sid long, sid2 long, set binary").dropDuplicates(list(KEY))
+        sets = stash(sets.join(wanted, list(KEY)).select("id", "set"), "sets")
+        both = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
+        out = stash(both.mapInArrow(_linked(self.percent), "a long, b long, diff long, ok boolean"), "links")
+        discard(close, sets, wanted)
+        return out
+
+    def links(self) -> DataFrame:
+        """Linked pairs (a, b) of class ids that connect every class's component."""
+        percent, index = self.percent, self.index
+        rows = index.select("id", "n", F.posexplode("tokens").alias("pos", "tok"))
+        heads = rows.groupBy("tok").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("tok", "hub")
+        lists = stash(rows.join(heads, "tok").select("tok", "id", "n", F.col("pos").cast("long").alias("pos"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
+        # Answers of each list's first set first: copies of one text have few such leaders between them.
+        star = lists.where((F.col("hub") != F.col("id")) & (100 * F.col("hub_n") >= percent * F.col("n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        star = self.verify(star)
+        leads = stash(star.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("diff", F.col("a").alias("lead"))).alias("x")).select("id", "x.lead", "x.diff"), "leads")
+
+        def classed(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+            known = stash(components(links), "comp")
+            rows = lists.select("tok", "id", "n", "pos").join(known, "id", "left")
+            return rows.select("tok", "id", "n", "pos", F.coalesce("component", "id").alias("comp")), known
+
+        seen = lambda *frames: reduce(DataFrame.union, [x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in frames])
+        ok = star.where("ok").select("a", "b")
+        # Then those of the neighbour by size, where it is of another class: over ranges of all lists together.
+        rows, first = classed(ok)
+        parts = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        near = rows.repartitionByRange(parts, "tok", "n", "id").sortWithinPartitions("tok", "n", "id").mapInArrow(_neighbours(percent), "a long, b long").distinct()
+        near = self.verify(near.join(seen(star), ["a", "b"], "left_anti"))
+        ok = ok.union(near.where("ok").select("a", "b"))
+        rows, second = classed(ok)
+        # What is left: sets of one size class with each other and with those of the class below.
+        size = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")).cast("long")
+        mixed = rows.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
+        left = stash(rows.join(mixed, "tok"), "left")
+        rows = left.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"size": size + F.col("up"), "home": F.col("up") == 0})
+        each = rows.groupBy("tok", "size", "comp").agg(F.count("*").alias("m"), F.max("home").alias("home"))
+        whole = each.groupBy("tok", "size").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.max("home").alias("home")).where("comps > 1 and home")
+        whole = whole.select("tok", "size", F.col("most.comp").alias("most"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+        rows = rows.join(whole, ["tok", "size"]).withColumn("minor", F.col("comp") != F.col("most"))
+        blocks = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.hash("id"), "blocks")))
+        rows = rows.select("tok", "size", "id", "n", "pos", "comp", "home", "minor", F.explode(blocks).alias("blk"))
+        rows = rows.join(index.select("id", "sig"), "id").join(leads, "id", "left").withColumns({"lead": F.coalesce("lead", F.lit(-1).cast("long")), "diff": F.coalesce("diff", F.lit(0).cast("long"))})
+        rows = rows.repartition("tok", "size", "blk").sortWithinPartitions("tok", "size", "blk", "n", "pos", "id")
+        rest = stash(rows.mapInArrow(_cross(percent), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")).join(seen(star, near), ["a", "b"], "left_anti"), "pairs")
+        more = self.verify(rest.where("not sure").select("a", "b"))
+        out = stash(ok.union(rest.where("sure").select("a", "b")).union(more.where("ok").select("a", "b")), "links")
+        discard(lists, star, near, leads, first, second, left, rest, more)
+        return out
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sid, sid2, n, component, least) of each text class: its component and the smallest doc_id there; and each row's doc_id with its class."""
+    join = _Join(docs, k, percent)
+    final = components(join.links())
+    reps = stash(join.classes.join(final, "id", "left").select(*KEY, "rep", F.coalesce("component", "id").alias("component")), "reps")
+    least = reps.groupBy("component").agg(F.min("rep").alias("least"))
+    return reps.drop("rep").join(least, "component"), join.info
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -242,46 +374,21 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles.
     """
-    spark = docs.sparkSession
-    every = stash(docs.select("doc_id", "text").mapInArrow(_count(k), "doc_id long, n long, sid long, part int, counts binary"), "sets")
-    info = every.where("part is null").select("doc_id", "n", "sid")
-    sketch = spark.sparkContext.broadcast(_sketch(every.where("part is not null").select("part", "counts")))
-    full = info.where("n > 0 and doc_id is not null")
-    classes = stash(full.groupBy("sid", "n").agg(F.min("doc_id").alias("rep")), "reps")
-    copies = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
-    source = without_ids(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), copies)
-    index = stash(source.mapInArrow(_prefixes(k, percent, sketch), "id long, n long, sig binary, tokens array<long>").dropDuplicates(["id"]), "index")
-    lists = index.select("id", "n", F.posexplode("tokens").alias("pos", "tok"))
-    by = Window.partitionBy("tok").orderBy("n", "id")
-    lists = lists.withColumn("hub", F.first("id").over(by)).withColumn("hub_n", F.first("n").over(by)).withColumn("next", F.lead("id").over(by))
-    lists = stash(lists.where("hub <> id or next is not null").drop("next"), "lists")
-    # Answers of each list's first set first: copies of one text have few such hubs between them.
-    star = stash(lists.where((F.col("hub") != F.col("id")) & (100 * F.col("hub_n") >= percent * F.col("n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = _verify(star, index, docs, k, percent)
-
-    def classed(links: DataFrame) -> DataFrame:
-        known = stash(components(links), "comp")
-        rows = lists.select("tok", "id", "n", F.col("pos").cast("long").alias("pos")).join(known, "id", "left")
-        return rows.select("tok", "id", "n", "pos", F.coalesce("component", "id").alias("comp"))
-
-    # Then those of the neighbour by size, where it is of another class.
-    rows = classed(links).withColumn("a", F.lag("id").over(by)).withColumn("an", F.lag("n").over(by)).withColumn("ac", F.lag("comp").over(by))
-    near = rows.where((F.col("ac") != F.col("comp")) & (100 * F.col("an") >= percent * F.col("n"))).select("a", F.col("id").alias("b")).distinct()
-    near = stash(near.join(star, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verify(near, index, docs, k, percent))
-    whole = Window.partitionBy("tok")
-    rows = classed(links).withColumn("mixed", F.min("comp").over(whole) != F.max("comp").over(whole)).where("mixed").drop("mixed")
-    rows = rows.join(index.select("id", "sig"), "id").repartition("tok").sortWithinPartitions("tok", "n", "id")
-    rest = stash(rows.mapInArrow(_cross(percent), "a long, b long").distinct().join(star.union(near), ["a", "b"], "left_anti"), "pairs")
-    more = _verify(rest, index, docs, k, percent)
-    final = stash(components(links.union(more)), "comp")
-    discard(lists, rest, near, star, index)
-    reps = classes.join(final, F.col("rep") == F.col("id"), "left").select("sid", "n", F.coalesce("component", "rep").alias("component"))
-    out = info.join(reps, ["sid", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    reps, info = _components(docs, k, percent)
+    out = info.join(reps, list(KEY), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each class: the one with the smallest doc_id (documents with a null doc_id stay)."""
-    gone = jaccard_classes(docs, k, percent).where("doc_id <> component_id").select("doc_id")
-    return without_ids(docs, stash(gone.distinct(), "gone"))
+    """docs with one row of each class: that with the smallest doc_id (of rows with equal ids and texts, any one).
+
+    Rows that repeat a doc_id with different texts are judged each. Rows with a null doc_id, or without words, all stay.
+    """
+    keyed = docs.withColumn(ROW, row_key("text"))
+    got = jaccard_classes(keyed.select(F.col(ROW).alias("doc_id"), "text"), k, percent).where("doc_id is not null and n_shingles > 0")
+    got = stash(got.select("doc_id", F.expr("doc_id <> component_id").alias("gone")), "gone")
+    out = without_ids(keyed, got.where("gone").select(F.col("doc_id").alias(ROW)), ROW)
+    again = stash(got.where("not gone").groupBy(F.col("doc_id").alias(ROW)).agg(F.count("*").alias("n")).where("n > 1").select(ROW), "gone")
+    if not again.isEmpty():
+        out = without_ids(out, again, ROW).unionByName(with_ids(out, again, ROW).dropDuplicates([ROW]))
+    return out.drop(ROW)
