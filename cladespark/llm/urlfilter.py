@@ -9,6 +9,10 @@ Keys are dealt to shards by hash, so that each shard's cascade is built by one s
 however many keys there are; the shards travel to the tasks in groups of at most
 GROUP_BYTES, each group in a step of its own over the rows.
 
+Listed keys come as a table. Keys go into filters by 64-bit hashes with a salt for each
+level; the few keys of a hash that another key has too are told apart by their text, and
+after LEVELS filters what is still open is listed by its hashes, so building always ends.
+
 Keys are hosts with all their parent domains. Null url, or one without `://`: empty host
 and path, and never listed. Repeated rows are judged each; extra columns are ignored.
 """
@@ -47,6 +51,10 @@ def domains(host: Column) -> Column:
     return F.when(F.length(host) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
 
 
+#: Levels of Bloom filters after which what is still open is listed by its hashes.
+LEVELS = 48
+
+
 def _places(h: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
     """Three places of each key in a filter of so many bits, other ones at each level."""
     x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (level + 1) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
@@ -56,6 +64,9 @@ def _places(h: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
 
 
 def _in(h: np.ndarray, level: int, table: np.ndarray) -> np.ndarray:
+    """Whether a level holds keys: by its bits, or exactly where it is the list after the last filter."""
+    if level >= LEVELS:
+        return np.isin(h, table.view(np.uint64))
     ok = np.ones(len(h), bool)
     for p in _places(h, level, len(table) * 8):
         ok &= (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -63,10 +74,13 @@ def _in(h: np.ndarray, level: int, table: np.ndarray) -> np.ndarray:
 
 
 def cascade(listed: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
-    """Levels of bit tables over key hashes; the last has no false positive."""
+    """Levels of bit tables over key hashes, which no listed and other key share; the last has no false positive."""
     levels: list[np.ndarray] = []
     inside, outside = listed, others
     while len(inside):
+        if len(levels) == LEVELS:
+            levels.append(np.sort(inside).view(np.uint8))
+            break
         table = np.zeros(max(1, -(-len(inside) * BITS_PER_KEY // 8)), np.uint8)
         for p in _places(inside, len(levels), len(table) * 8):
             np.bitwise_or.at(table, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
@@ -92,13 +106,17 @@ def _build(pdf):
     return pd.DataFrame({"shard": int(pdf["shard"].iloc[0]), "level": range(len(levels)), "bits": [x.tobytes() for x in levels]})
 
 
-def build_cascade(keys: DataFrame, listed: Column) -> DataFrame:
-    """(shard, level, bits, shards) from a column key of the universe, with a condition that tells the listed ones."""
-    known = stash(keys.where("key is not null").groupBy("key").agg(F.max(listed).alias("listed")).select(F.xxhash64("key").alias("h"), "listed"), "keys")
+def build_cascade(universe: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Levels (shard, level, bits, shards), and the keys (key, h, listed) whose hashes are no key's alone, from the universe's and the listed keys, each one column key."""
+    keys = universe.where("key is not null").select("key").distinct()
+    keys = keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left")
+    known = stash(keys.select("key", F.xxhash64("key").alias("h"), F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
+    shared = known.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    clashes = stash(known.join(shared, "h").select("key", "h", "listed"), "keys")
     shards = max(1, -(-known.count() // SHARD_KEYS))
-    rows = known.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    out = rows.groupBy("shard").applyInPandas(_build, "shard int, level int, bits binary")
-    return stash(out.withColumn("shards", F.lit(shards)), "cascade")
+    rows = known.join(F.broadcast(clashes.select("h").distinct()), "h", "left_anti").withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    out = rows.select("h", "listed", "shard").groupBy("shard").applyInPandas(_build, "shard int, level int, bits binary")
+    return stash(out.withColumn("shards", F.lit(shards)), "cascade"), clashes
 
 
 def _member(group, shards: int, column: str):
@@ -122,7 +140,7 @@ def _member(group, shards: int, column: str):
     return run
 
 
-def with_membership(rows: DataFrame, levels: DataFrame, keys: Column, column: str = "listed") -> DataFrame:
+def with_membership(rows: DataFrame, levels: DataFrame, clashes: DataFrame, keys: Column, column: str = "listed") -> DataFrame:
     """rows with a boolean: one of their keys is listed. Every key must be of the universe."""
     sc = rows.sparkSession.sparkContext
     sizes = levels.groupBy("shard").agg(F.sum(F.length("bits")).alias("n"), F.max("shards").alias("shards")).orderBy("shard").collect()
@@ -133,7 +151,13 @@ def with_membership(rows: DataFrame, levels: DataFrame, keys: Column, column: st
             room = 0
         groups[-1].append(r["shard"])
         room += r["n"]
-    out = rows.withColumn("keys_h", F.transform(keys, lambda k: F.xxhash64(k))).withColumn(column, F.lit(False))
+    # Keys that share a 64-bit hash are few (some thousands among 10**12 keys) and told apart by their text.
+    odd = clashes.collect()
+    here, plain = F.lit(False), lambda k: F.lit(True)
+    if odd:
+        here = F.arrays_overlap(keys, F.array(*[F.lit(r["key"]) for r in odd if r["listed"]]).cast("array<string>"))
+        plain = lambda k: ~k.isin([r["key"] for r in odd])
+    out = rows.withColumn("keys_h", F.transform(F.filter(keys, plain), lambda k: F.xxhash64(k))).withColumn(column, here)
     shards = sizes[0]["shards"] if sizes else 1
     for g in groups if sizes else []:
         tables: dict[int, list] = {}
@@ -143,14 +167,24 @@ def with_membership(rows: DataFrame, levels: DataFrame, keys: Column, column: st
     return out.drop("keys_h")
 
 
-def filter_urls(pages: DataFrame, listed: Column | None = None, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict of each row of pages; listed is a condition on key, by default a label of LISTED_LABELS."""
-    if listed is None:
-        listed = F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, LISTED_LABELS)))
+def universe_of(pages: DataFrame) -> DataFrame:
+    """key: every host of pages and its parent domains."""
+    host, _ = host_and_path("url")
+    return pages.select(host.alias("host")).distinct().select(F.explode(domains(F.col("host"))).alias("key")).distinct()
+
+
+def labelled(universe: DataFrame, labels=LISTED_LABELS) -> DataFrame:
+    """A list of keys for the cascade: those of the universe that have one of these labels."""
+    return universe.where(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, labels))))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict of each row of pages; listed: the table of listed keys, hosts or domains, in a column key (none: those of LISTED_LABELS)."""
+    universe = stash(universe_of(pages), "keys")
+    levels, clashes = build_cascade(universe, labelled(universe) if listed is None else listed)
     host, path = host_and_path("url")
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = rows.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key"))
-    rows = with_membership(rows, build_cascade(universe, listed), domains(F.col("host")))
+    rows = with_membership(rows, levels, clashes, domains(F.col("host")))
     fits = lambda h, p: ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h))) & F.startswith(F.col("path"), F.lit(p))
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     pick = lambda what: reduce(lambda out, r: out.when(fits(r[1], r[2]), what(r)), ordered, F.when(F.lit(False), F.lit(None).cast("string")))
