@@ -6,9 +6,10 @@ so each window is indexed under its rarest word (rarity counted over all documen
 the benchmark's words). Document words join that prefix index; the word's place in the
 window bounds where the window can start and end, and what passes is compared word for word.
 
-Null text has no words. Repeated rows get a row each, with the most words that any row of
-their doc_id has hit; a null doc_id is never matched. Items with the same id count once.
-Columns besides doc_id and text, or item_id and text, are ignored.
+Null text has no words. Rows are told apart by their doc_id with a hash of their text, so
+rows that repeat a doc_id, and null ids, are judged each by their own text. Items with the
+same id count once. Columns besides doc_id and text, or item_id and text, are ignored, and
+kept by without_contaminated().
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, sized, stash
+from .shared import BROADCAST_IDS, ROW, discard, sized, stash, without_ids
 
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,8 +42,13 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win")).distinct().withColumn("width", F.size("win"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.struct("doc_id", F.xxhash64("text")))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, items (sorted distinct ids as text) and n_hit for each document with an occurring window."""
+    """The row key, items (sorted distinct ids as text) and n_hit for each document with an occurring window."""
+    docs = _keyed(docs.select("doc_id", "text")).select(F.col(ROW).alias("doc_id"), "text")
     words = docs.select("doc_id", F.posexplode(loose_tokens("text")).alias("at", "word"))
     wins = stash(windows(benchmark, size), "wins")
     vocabulary = stash(wins.select(F.explode("win").alias("word")).select(F.lower("word").alias("word")).distinct(), "wins")
@@ -59,7 +65,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFr
     per_doc = stash(per_doc, "cand")
     # Only texts with a candidate are compared; their words are at hand again, in place.
     ids = per_doc.select("doc_id")
-    texts = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", tokens("text").alias("w"))
+    texts = docs.join(sized(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", tokens("text").alias("w"))
     true = F.filter("cand", lambda c: (c["start"] + c["width"] <= F.size("w")) & (F.slice("w", c["start"] + 1, c["width"]) == c["win"]))
     hits = texts.join(per_doc, "doc_id").withColumn("hits", F.transform(true, lambda c: F.struct(c["start"].alias("start"), c["width"].alias("width"), c["wid"].alias("wid")))).where(F.size("hits") > 0)
     hits = stash(hits.select("doc_id", "hits"), "cand")
@@ -70,13 +76,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFr
     owners = wins.select(F.xxhash64("win").alias("wid"), F.col("item_id").cast("string").alias("item")).distinct()
     items = hits.select("doc_id", F.explode(F.array_distinct(F.transform("hits", lambda h: h["wid"]))).alias("wid")).join(sized(owners), "wid")
     items = items.groupBy("doc_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return union.join(items, "doc_id")
+    out = stash(union.join(items, "doc_id").withColumnRenamed("doc_id", ROW), "hits")
+    discard(wins, vocabulary, index, found, per_doc, hits)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated for each row of docs."""
-    found = sized(stash(matches(docs, benchmark, size), "hits"), BROADCAST_IDS // 4)
-    out = docs.select("doc_id", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words")).join(found, "doc_id", "left")
+    found = sized(matches(docs, benchmark, size), BROADCAST_IDS // 4)
+    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    out = _keyed(docs.select("doc_id", "text")).select("doc_id", ROW, n_words.alias("n_words")).join(found, ROW, "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """docs without the rows that hold a window of an item."""
+    return without_ids(_keyed(docs), matches(docs, benchmark, size).select(ROW), ROW).drop(ROW)
