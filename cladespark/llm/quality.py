@@ -3,15 +3,23 @@
 Only DataFrame functions. The text is read once; everything after works on a narrow
 table of statistics. Centre and scatter of each (lang, source) group come from sums over
 all its rows (partial aggregates, so that a group with a third of all rows is no hot
-task), and the half-sample quantiles come from histograms of the distances.
-
-Null text counts as empty. Null lang or source is a group of its own. A group of fewer
-than MIN_GROUP usable rows takes the estimate over all rows; with no usable row at all
-nothing is rejected by distance. Other columns of the input are ignored.
+task). Concentration steps go from three deterministic starts (medians with quartile
+scales, all rows, spatial signs about the medians) until no determinant falls any more;
+each group keeps the estimate of least determinant. The half-sample's edge comes from a
+histogram of log(1 + squared distance): rows of the bin that holds the edge all belong to
+the half-sample, so ties never split it and it may be larger by 1/64 of a unit of that scale.
+
+A group's estimate is drawn towards that over all rows with the weight of PRIOR_ROWS rows,
+so that nothing switches at some size of group. Null text counts as empty. Null lang or
+source is a group of its own. A group without a usable row takes the estimate over all
+rows; with no usable row at all nothing is rejected by distance. doc_id may be of any type
+and is carried only, so rows that repeat one are judged each. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +29,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 FEATURES = ("word_length", "symbols", "capitals", "repeats", "marks")
 #: Least scatter of each transformed statistic, so that a group where one never varies has no singular matrix.
 FLOORS = (0.06, 0.08, 0.08, 0.12, 0.10)
-#: Share of a group's rows in the half-sample; C-steps; rows that a group needs for an estimate of its own.
-SUBSET, STEPS, MIN_GROUP = 0.75, 3, 200
-#: Median of chi squared with five degrees of freedom, and the squared distance from which a text is rejected.
+#: Share of a group's rows in the half-sample; C-steps at most, and the fall of a log determinant from which there is another; rows that the estimate over all rows counts for in each group.
+SUBSET, STEPS, FALL, PRIOR_ROWS = 0.75, 5, 1e-2, 200.0
+#: Median of chi squared with five degrees of freedom, and the squared distance beyond which a text is rejected: its quantile at 1 - 5e-20, as clean texts' statistics have much longer tails than normal ones.
 MEDIAN_CHI2, CUTOFF = 4.3515, 100.0
 #: Statistics are smoothed by so many words, as a short text's shares are noisy.
 PRIOR_WORDS = 20.0
-_ALL = "\u0003all"
+_ALL, _START = "\u0003all", "\u0004"
 #: Up to so many groups (about 20 MB) their estimates are broadcast, so that a group with most rows isn't one task; beyond, joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -93,8 +101,13 @@ def _with_pool(rows: DataFrame) -> DataFrame:
     return rows.withColumn("grp", F.explode(F.array(F.col("grp"), F.lit(_ALL))))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """A first robust estimate: medians, and scales from quartiles."""
+_MEANS = [f"m{i}" for i in range(len(FEATURES))]
+_FACTOR = [f"l{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
+_COV = [f"c{i}{j}" for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """Medians, and scales from quartiles as a diagonal factor."""
     p = len(FEATURES)
     long = rows.select("grp", F.posexplode(F.array(*[f"f{i}" for i in range(p)])).alias("k", "x"))
     counts = long.groupBy("grp", "k", F.floor(F.col("x") * 200.0).alias("bin")).agg(F.count("*").alias("n"))
@@ -110,25 +123,38 @@ def _start(rows: DataFrame) -> DataFrame:
     return q.groupBy("grp").agg(*mean, *scatter)
 
 
+def _factored(cov: DataFrame, floors: bool) -> DataFrame:
+    """cov with the lower Cholesky factor of its columns c; floors: least scatters are added."""
+    for i in range(len(FEATURES)):
+        for j in range(i + 1):
+            rest = F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j and floors else 0.0)
+            for k in range(j):
+                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            cov = cov.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
+    return cov
+
+
 def _estimate(rows: DataFrame) -> DataFrame:
     """Mean and lower Cholesky factor of the covariance of each group's rows."""
     p = len(FEATURES)
     f = [F.col(f"f{i}") for i in range(p)]
     sums = [F.avg(f[i]).alias(f"m{i}") for i in range(p)] + [F.covar_pop(f[i], f[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = rows.groupBy("grp").agg(F.count("*").alias("size"), *sums)
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", "size", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return _factored(rows.groupBy("grp").agg(*sums), True).select("grp", *_MEANS, *_FACTOR)
+
+
+def _signs(rows: DataFrame, mid: DataFrame) -> DataFrame:
+    """Medians with the covariance of the rows' directions from them, in units of the quartile scales."""
+    p = len(FEATURES)
+    far = _distance(rows, mid)
+    one = F.greatest(F.sqrt("d2"), F.lit(1e-9))
+    unit = far.select("grp", *[(F.col(f"z{i}") / one * F.sqrt(F.lit(float(p))) * F.col(f"l{i}{i}")).alias(f"f{i}") for i in range(p)])
+    return _estimate(unit).drop(*_MEANS).join(mid.select("grp", *_MEANS), "grp").select("grp", *_MEANS, *_FACTOR)
 
 
 def _distance(rows: DataFrame, est: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance by their group's estimate (forward substitution)."""
     p = len(FEATURES)
-    out = rows.join(sized(est, BROADCAST_GROUPS), "grp", "left")
+    out = rows.join(est, "grp", "left")
     for i in range(p):
         rest = F.col(f"f{i}") - F.col(f"m{i}")
         for k in range(i):
@@ -140,20 +166,53 @@ def _distance(rows: DataFrame, est: DataFrame) -> DataFrame:
     return out.withColumn("d2", d2)
 
 
+def _starts(rows: DataFrame, small) -> DataFrame:
+    """First estimates: of each group one for each start, told apart by the mark after the group's name."""
+    mid = stash(_medians(rows), "mcd")
+    named = lambda est, k: est.withColumn("grp", F.concat("grp", F.lit(f"{_START}{k}")))
+    return stash(named(mid, 0).unionByName(named(_estimate(rows), 1)).unionByName(named(_signs(rows, small(mid)), 2)), "mcd")
+
+
+def _logdet() -> Column:
+    return reduce(lambda a, b: a + b, [F.log(f"l{i}{i}") for i in range(len(FEATURES))]) * 2
+
+
 def fit(stats: DataFrame) -> DataFrame:
-    """One row for each group with an estimate of its own, and one for all rows: mean, Cholesky factor, scale of d2."""
+    """One row for each group with usable rows, and one for all rows: mean, Cholesky factor, scale of d2."""
     p = len(FEATURES)
-    rows = stash(_with_pool(stats.where(~F.col("base_failed")).select("grp", *[f"f{i}" for i in range(p)])), "mcd")
-    est = stash(_start(rows), "mcd")
+    usable = stats.where(~F.col("base_failed")).select("grp", *[f"f{i}" for i in range(p)])
+    rows = stash(_with_pool(usable), "mcd")
+    few = rows.select("grp").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    small = lambda df: F.broadcast(df) if few else df
+    est = _starts(rows, small)
     spread = F.log1p("d2")
-    for _ in range(STEPS):
-        far = _distance(rows, est)
-        edge = sized(stash(_quantile(far, ["grp"], spread, SUBSET, 64.0, "edge"), "mcd"), BROADCAST_GROUPS)
-        est = stash(_estimate(far.join(edge, "grp").where(spread <= F.col("edge")).select("grp", *[f"f{i}" for i in range(p)])), "mcd")
-    mid = _quantile(_distance(rows, est), ["grp"], spread, 0.5, 256.0, "mid")
+    each = rows.withColumn("grp", F.explode(F.array(*[F.concat("grp", F.lit(f"{_START}{k}")) for k in range(3)])))
+    for step in range(STEPS):
+        far = _distance(each, small(est))
+        edge = small(stash(_quantile(far, ["grp"], spread, SUBSET, 64.0, "edge"), "mcd"))
+        nxt = stash(_estimate(far.join(edge, "grp").where(spread <= F.col("edge")).select("grp", *[f"f{i}" for i in range(p)])), "mcd")
+        before = est.select("grp", _logdet().alias("before"))
+        fall = nxt.select("grp", _logdet().alias("after")).join(before, "grp").agg(F.max(F.col("before") - F.col("after"))).first()[0]
+        est = nxt
+        if step and (fall is None or fall < FALL):
+            break
+    best = est.withColumns({"start": F.expr("right(grp, 1)"), "grp": F.expr("left(grp, length(grp) - 2)")})
+    best = best.groupBy("grp").agg(F.min(F.struct(_logdet().alias("logdet"), "start", *_MEANS, *_FACTOR)).alias("x")).select("grp", *[F.col(f"x.{c}").alias(c) for c in (*_MEANS, *_FACTOR)])
+    est = stash(best, "mcd")
+    mid = _quantile(_distance(rows, small(est)), ["grp"], spread, 0.5, 256.0, "mid")
     sizes = rows.groupBy("grp").agg(F.count("*").alias("rows"))
-    est = est.join(mid, "grp").join(sizes, "grp").where((F.col("rows") >= MIN_GROUP) | (F.col("grp") == _ALL))
-    return stash(est.withColumn("scale", F.greatest(F.expm1("mid") / MEDIAN_CHI2, F.lit(0.25))).drop("mid", "rows", "size"), "mcd")
+    est = est.join(mid, "grp").join(sizes, "grp")
+    # Covariances of the groups, each drawn towards that of all rows; the difference of the means counts as scatter, too.
+    cov = {f"c{i}{j}": reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j + 1)]) for i in range(p) for j in range(i + 1)}
+    est = stash(est.withColumns(cov).withColumn("scale", F.greatest(F.expm1("mid") / MEDIAN_CHI2, F.lit(0.25))).select("grp", "rows", "scale", *_MEANS, *_COV), "mcd")
+    pool = est.where(F.col("grp") == _ALL).first()  # one row of numbers
+    if pool is None:
+        return est.select("grp", "scale", *_MEANS, *[F.lit(0.0).alias(c) for c in _FACTOR])
+    w = F.when(F.col("grp") == _ALL, F.lit(1.0)).otherwise(F.col("rows") / (F.col("rows") + PRIOR_ROWS))
+    mixed = lambda c: w * F.col(c) + (1 - w) * pool[c]
+    gap = lambda i: F.col(f"m{i}") - pool[f"m{i}"]
+    drawn = est.select("grp", mixed("scale").alias("scale"), *[mixed(c).alias(c) for c in _MEANS], *[(mixed(f"c{i}{j}") + w * (1 - w) * gap(i) * gap(j)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    return stash(_factored(drawn, False).select("grp", "scale", *_MEANS, *_FACTOR), "mcd")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -163,9 +222,9 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     in repeated five-word windows, and for texts farther than cutoff from their group.
     """
     stats = stash(statistics(docs), "stats")
-    est = fit(stats)
+    est = sized(fit(stats), BROADCAST_GROUPS)
     known = est.select(F.col("grp").alias("own")).where(F.col("own") != _ALL)
-    rows = stats.join(sized(known, BROADCAST_GROUPS), F.col("grp") == F.col("own"), "left").withColumn("grp", F.coalesce("own", F.lit(_ALL)))
+    rows = stats.join(known, F.col("grp") == F.col("own"), "left").withColumn("grp", F.coalesce("own", F.lit(_ALL)))
     out = _distance(rows, est).withColumn("distance", F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("distance"), kept.alias("kept"))
