@@ -6,7 +6,9 @@ each filter's maximum. The mean and the maximum over a document's chunks are com
 into one probability.
 
 It is fitted on a bounded sample of labelled rows (SAMPLE, half of each label where there
-are enough, those with the smallest hashes of their ids), on whole texts.
+are enough, those with the smallest hashes of their ids), on whole texts of at most
+MAX_BYTES; of rows that repeat a doc_id it takes the least text. Scores are of whole texts
+of any length.
 
 Null text is an empty text; an empty text's features are zero, so its score is the
 model's prior. Without both labels in the training rows every score is 0.5.
@@ -27,6 +29,8 @@ from .words import slices
 #: Labelled texts that the network is fitted on, at most. Chunk length and step, byte vector, filters, epochs.
 SAMPLE, CHUNK, STEP, DEPTH, FILTERS, EPOCHS = 1200, 512, 504, 8, 32, 10
 _WIDTH, _STRIDE = 8, 4
+#: Bytes of a text that the network is fitted on, at most, so that the sample's size is bounded.
+MAX_BYTES = 1 << 16
 
 
 def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     half = sample // 2
     edge = {k: float(min(1.0, (1.2 * half + 20) / n)) * 2**64 - 2**63 for k, n in counts.items()}
     some = known.where(F.col("h").cast("double") <= F.when(F.col("label") == 1, F.lit(edge[1])).otherwise(F.lit(edge[0])))
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sized(some), "doc_id").collect()
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_BYTES)
+    got = got.join(sized(some), "doc_id").groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r["h"], r["text"]))
     keep = [r for k in (0, 1) for r in [x for x in got if x["label"] == k][:half]]
     if len({r["label"] for r in keep}) < 2:

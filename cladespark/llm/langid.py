@@ -6,13 +6,12 @@ between families, and in each family one-versus-one machines separate its langua
 The machines are fitted on a bounded sample: PER_LANG texts of each language, those with
 the smallest hashes of their ids.
 
-Null text, or one without a letter, is `und` with score 0. Rows with null lang teach
+Null text, or one without a letter (Unicode categories L), is `und` with score 0. Rows with null lang teach
 nothing. Without any labelled text every prediction is `und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ FAMILIES = {
     "uralic": ("et", "fi", "hu"),
 }
 _FAMILY = {lang: f for f, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -52,7 +50,7 @@ def _vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for i in range(s.hi - s.lo):
             a, b = int(s.offsets[i]), int(s.offsets[i + 1])
             part = data[a:b]
-            letter[i] = bool(((part >= 97) & (part <= 122)).any()) or bool((part >= 128).any() and _LETTER.search(s.text(i).decode()))
+            letter[i] = bool(((part >= 97) & (part <= 122)).any()) or bool((part >= 128).any() and any(map(str.isalpha, set(s.text(i).decode()))))
             if b - a > 2:
                 x[i] = np.sqrt(np.bincount(code[a : b - 2], minlength=FEATURES))
                 x[i] /= np.linalg.norm(x[i])

@@ -1,7 +1,8 @@
 """Template-markup matching: license notices as token automata with optional and replaceable regions.
 
 A template is plain wording with markup: `[[...]]` is optional (may nest), `{{n}}` stands
-for any 0 to n words. Templates compile to automata over words; a place in a text is
+for any 0 to n words. A match whose wording ends in a version number must not be followed
+by another number. Templates compile to automata over words; a place in a text is
 accepted when the mandatory wording matches word for word and in order. Only places whose
 word can start a template are tried, in texts that hold the template's rarest-looking
 mandatory word, so almost all texts cost a few array operations.
@@ -26,6 +27,18 @@ from .words import code_of, slices, words
 #: Fixed phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: Parts of the two BSD notices.
+_BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_TAIL = (
+    "this software is provided by {{10}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
 #: Notices by label, in the markup above.
 TEMPLATES = {
     "mit-notice": [
@@ -45,11 +58,32 @@ TEMPLATES = {
     "cc-by-sa-4.0": ["licensed under [[a]] [[the]] cc by sa 4 0 [[international]] [[license]]", "licensed under a creative commons attribution sharealike 4 0 [[international]] license"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "[[released]] [[licensed]] under the [[terms of the]] {{2}} bsd [[style]] license"],
     "mpl-2.0": ["subject to the terms of the mozilla public license [[v]] [[version]] 2 0"],
+    # Whole notices: wording between the optional heads and the replaceable names is mandatory.
+    "mit-text": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights "
+        "to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall {{12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+        "arising out of or in connection with the use or performance of this software"
+    ],
+    "bsd-2-clause": [_BSD_HEAD + _BSD_TAIL],
+    "bsd-3-clause": [_BSD_HEAD + "[[3]] neither the name of {{10}} nor the names of [[its]] [[their]] contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_TAIL],
 }
 
 _MARK = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+")
 
 
+@lru_cache(maxsize=1)
+def _numbers() -> frozenset:
+    return frozenset(code_of(str(i)) for i in range(1000))
+
+
 @dataclass
 class Automaton:
     """edges[state]: word hash -> next states; skips[state]: states reached without a word; anywhere[state]: states reached by any word."""
@@ -59,6 +93,7 @@ class Automaton:
     skips: list[list[int]] = field(default_factory=list)
     anywhere: list[list[int]] = field(default_factory=list)
     required: set[str] = field(default_factory=set)
+    numbered: bool = False  # the last mandatory word is a number: another number must not follow
 
     def state(self) -> int:
         self.edges.append({})
@@ -80,7 +115,7 @@ class Automaton:
         now, best = self.closure({0}), -1
         final = len(self.edges) - 1
         while now:
-            if final in now:
+            if final in now and not (self.numbered and at < len(code) and code[at] in _numbers()):
                 best = at
             if at >= len(code):
                 break
@@ -109,6 +144,7 @@ def compile_template(label: str, markup: str) -> Automaton:
             here = nxt
             if not opened:
                 auto.required.add(m)
+                auto.numbered = m.isdigit()
     if opened:
         raise ValueError(f"{label}: an optional region isn't closed")
     end = auto.state()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A list of ids is broadcast up to this many rows (about 40 MB as a hashed relation); a larger one is joined by a shuffle.
@@ -12,9 +12,11 @@ BROADCAST_IDS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master may do without it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found and not (sc.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "/tmp/checkpoints").rstrip("/")
 
 
@@ -53,6 +55,15 @@ def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(sized(ids.distinct()), key, "left_semi")
 
 
+#: A column's name that no input is taken to have.
+ROW = "_row_key"
+
+
+def row_key(*columns: str) -> Column:
+    """What tells rows apart that repeat a doc_id: the id with a hash of these columns; null for a null id."""
+    return F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("id"), F.xxhash64(*columns).alias("x")))
+
+
 def remainder(key, mod: int, value: int):
     """crc32 of the key as text, modulo mod, equals value; false for a null key."""
     return F.coalesce((F.crc32(F.col(key).cast("string")) % mod) == value, F.lit(False))
@@ -66,24 +77,22 @@ def components(edges: DataFrame) -> DataFrame:
     grow with the logarithm of the longest path, and no node's neighbours are gathered.
     """
     cur = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
     n_old, h_old = _mark(cur)
     while True:
-        both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = cur.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = stash(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u")
-        star = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        nxt = stash(star, "cc")
+        small = large.join(lows, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.*").where("u <> v")
+        nxt = stash(small.distinct(), "cc")
         n_new, h_new = _mark(nxt)
-        discard(cur)
+        discard(cur, large)
         cur = nxt
         if (n_new, h_new) == (n_old, h_old):
             break
         n_old, h_old = n_new, h_new
-    own = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("id"), F.col("v").alias("component")).union(own)
+    return cur.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("e")).select("e.*").distinct()
 
 
 def _mark(df: DataFrame) -> tuple:

@@ -6,8 +6,8 @@ windows of BLOCK words probe the block index, and windows around hits are extend
 maximal exact repeats: every window of WINDOW words that holds a live anchor is compared
 with its other places, and windows that repeat an earlier place are merged into spans.
 
-The index is probed through fixed-size bitmaps (32 MB); a full bitmap would only let more
-probes through, as what decides is the exact grouping after it. Texts that are whole
+The index is probed through bitmaps that grow with it up to 32 MB; a full bitmap would only
+let more probes through, as what decides is the exact grouping after it. Texts that are whole
 copies of an earlier one are settled first, so large groups of copies cost nothing more.
 
 Windows, and whole copies, are compared by two independent hashes, 96 and 128 bits together.
@@ -34,9 +34,8 @@ from .shared import discard, sized, stash, with_ids, without_ids
 from .words import Words, signed, slices, words
 
 WINDOW, BLOCK = 20, 10
-#: Bits of the bitmaps; each key sets two.
+#: Bits of the bitmaps, as a power of two, at most; each key sets two.
 BITS = 28
-_LOW = np.uint64((1 << BITS) - 1)
 
 
 #: Salt of the second hash.
@@ -72,7 +71,8 @@ def _blocks(block: int, window: int):
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = h & _LOW, (h >> np.uint64(32)) & _LOW
+    low = np.uint64(8 * len(bits) - 1)
+    a, b = h & low, (h >> np.uint64(32)) & low
     got = (bits[(a >> np.uint64(3)).astype(np.int64)] >> (a & np.uint64(7)).astype(np.uint8)) & 1
     at = np.flatnonzero(got)
     b = b[at]
@@ -120,13 +120,15 @@ def _around(block: int, window: int, live):
     return run
 
 
-def _bitmap(keys: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of 2**BITS bits with two bits for each key h, put together in parts of 4 KB by Spark's bitmap aggregate."""
-    spots = keys.select(F.explode(F.array(F.col("h").bitwiseAND((1 << BITS) - 1), F.shiftrightunsigned("h", 32).bitwiseAND((1 << BITS) - 1))).alias("bit"))
-    parts = spots.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits"))
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in stash(parts, name).toLocalIterator():
+def _bitmap(keys: DataFrame, n: int, name: str) -> np.ndarray:
+    """A bitmap with two bits for each of about n keys h, put together in parts of 4 KB by Spark's bitmap aggregate: 16 bits a key, up to 2**BITS."""
+    size = 1 << min(BITS, max(16, (16 * n).bit_length()))
+    spots = keys.select(F.explode(F.array(F.col("h").bitwiseAND(size - 1), F.shiftrightunsigned("h", 32).bitwiseAND(size - 1))).alias("bit"))
+    parts = stash(spots.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits")), name)
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts.toLocalIterator():
         out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    discard(parts)
     return out
 
 
@@ -143,11 +145,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     discard(info)
     single = without_ids(docs, copies)
     blocks = stash(single.mapInArrow(_blocks(block, window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "blocks")
-    index = spark.sparkContext.broadcast(_bitmap(blocks, "bits"))
+    index = spark.sparkContext.broadcast(_bitmap(blocks, blocks.count(), "bits"))
     probes = single.mapInArrow(_probes(block, window, index), "h long").distinct()
-    live = blocks.join(probes.withColumn("probed", F.lit(True)), "h", "left").where("n > 1 or probed")
-    live = spark.sparkContext.broadcast(_bitmap(live, "bits"))
+    anchors = stash(blocks.join(probes.withColumn("probed", F.lit(True)), "h", "left").where("n > 1 or probed").select("h"), "anchors")
+    live = spark.sparkContext.broadcast(_bitmap(anchors, anchors.count(), "bits"))
+    index.unpersist()  # from here on only the written tables are read
     around = stash(single.mapInArrow(_around(block, window, live), f"h long, h2 int, doc_id {kind}, start int"), "around")
+    live.unpersist()
     # As a table of its own, so that both sides of the join are plain exchanges and a passage that many texts share can be split.
     firsts = stash(around.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h", "h2", "first"), "firsts")
     again = around.join(firsts, ["h", "h2"]).where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start")
@@ -157,7 +161,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     tails = F.filter("s", lambda x, j: (j == F.size("s") - 1) | (F.get(F.col("s"), j + 1) > x + window))
     spans = merged.select("doc_id", F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("start"), (b + window).alias("end"))).alias("spans"))
     spans = stash(spans, "spans")
-    discard(around, blocks, firsts)
+    discard(around, blocks, anchors, firsts)
     return copies, spans
 
 
