@@ -11,20 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.decontam import decontaminate
+from cladespark.llm.decontam import without_contaminated
 from cladespark.llm.packing import pack
 from cladespark.llm.quality import quality_rules
 from cladespark.llm.queries import tokenizer_path
 from cladespark.llm.setjoin import keep_one
-from cladespark.llm.shared import stash, without_ids
+from cladespark.llm.shared import ROW, discard, stash, without_ids
 from cladespark.llm.substring import remove_repeats
 from cladespark.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    rejected = quality_rules(docs).where("not kept").select("doc_id")
-    return without_ids(docs, stash(rejected, "rejected"))
+    # Rows that repeat a doc_id are judged each.
+    keyed = docs.withColumn(ROW, F.struct("doc_id", F.xxhash64("text", "lang", "source")))
+    rejected = quality_rules(keyed.select(F.col(ROW).alias("doc_id"), "text", "lang", "source")).where("not kept").select(F.col("doc_id").alias(ROW))
+    return without_ids(keyed, stash(rejected, "rejected"), ROW).drop(ROW)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +42,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
-    return without_ids(docs, stash(found, "leaks"))
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        discard(before)  # nothing reads it any more
     return docs
