@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
+from .ordering import ranked
 
 
 def sites(sequences: DataFrame, alphabet: Alphabet) -> DataFrame:
@@ -21,6 +22,25 @@ def pad(sequences: DataFrame, code: str = "-") -> DataFrame:
     return sequences.crossJoin(F.broadcast(longest)).withColumn("seq", F.expr(f"rpad(seq, longest, '{code}')")).drop("longest")
 
 
+def pad_by(sequences: DataFrame, columns: int, code: str = "-") -> DataFrame:
+    """Rows with so many columns of code appended."""
+    return sequences.withColumn("seq", F.concat("seq", F.lit(code * columns)))
+
+
+def sort_columns(patterns: DataFrame) -> DataFrame:
+    """(place, pattern, freq) in the order of the patterns, place from 0."""
+    return ranked(patterns, [], [F.col("pattern")], "place").select("place", "pattern", "freq")
+
+
+def render(sequences: DataFrame, interleave: int = 50) -> DataFrame:
+    """(block, tid, line): each row's columns in blocks of interleave (rounded up to groups of five), five by five."""
+    width = -(-interleave // 5) * 5
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / width).cast("int")))
+    rows = sequences.select("tid", "seq", F.explode(blocks).alias("block"))
+    part = F.substring(F.col("seq"), F.col("block") * width + 1, F.lit(width))
+    return rows.select("block", "tid", F.regexp_replace(part, r"(.{5})(?=.)", "$1 ").alias("line"))
+
+
 def compact(long: DataFrame) -> DataFrame:
     """(pattern, freq) of sites: equal columns become one, with their number. A column is gathered once, by position."""
     columns = long.groupBy("pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tid", "ch"))), lambda x: x["ch"]), "").alias("pattern"))

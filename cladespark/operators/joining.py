@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.newick import label
+
 #: Two float32 distances within so many units in the last place are equal.
 ULPS = 127
 
@@ -19,49 +21,72 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Matrix:
-    """A shrinking distance matrix: a new node takes slot x, row 0 moves into slot y, and slot 0 goes."""
+    """A shrinking distance matrix: a new node takes slot x, the first row moves into slot y, and the first slot goes. Row sums are kept up to date."""
 
     def __init__(self, d: np.ndarray, labels: list[str]):
-        self.d = d.astype(np.float32)
-        self.names = list(labels)
+        self.all = d.astype(np.float32)
+        self.sums = self.all.sum(1)
+        self.labels = list(labels)
+        self.base = 0
+
+    @property
+    def d(self) -> np.ndarray:
+        return self.all[self.base :, self.base :]
+
+    @property
+    def names(self) -> list[str]:
+        return self.labels[self.base :]
+
+    def __len__(self) -> int:
+        return len(self.all) - self.base
+
+    def share(self) -> np.ndarray:
+        return self.sums[self.base :] / np.float32(max(len(self) - 2, 1))
 
     def q(self) -> np.ndarray:
-        n = len(self.d)
-        r = self.d.sum(1) / np.float32(max(n - 2, 1))
+        r = self.share()
         out = self.d - (r[:, None] + r[None, :])
         np.fill_diagonal(out, np.inf)
         return out
 
+    def row(self, x: int) -> np.ndarray:
+        """q of one row."""
+        r = self.share()
+        out = self.d[x] - (r[x] + r)
+        out[x] = np.inf
+        return out
+
     def lengths(self, x: int, y: int) -> tuple[float, float]:
-        n = len(self.d)
-        r = self.d.sum(1) / np.float32(n - 2)
+        r = self.share()
         a = (self.d[x, y] + r[x] - r[y]) / np.float32(2)
         return a, self.d[x, y] - a
 
     def join(self, x: int, y: int) -> None:
         a, b = self.lengths(x, y)
-        new = ((self.d[x] - a) + (self.d[y] - b)) / np.float32(2)
-        name = f"({self.names[x]}:{a:.6g},{self.names[y]}:{b:.6g})"
-        self.d[x], self.d[:, x] = new, new
-        self.d[x, x] = 0
-        self.names[x] = name
-        self.d[y], self.d[:, y] = self.d[0], self.d[:, 0]
-        self.d[y, y] = 0
-        self.names[y] = self.names[0]
-        self.d, self.names = self.d[1:, 1:], self.names[1:]
+        d, names, r = self.d, self.labels, self.sums[self.base :]
+        new = ((d[x] - a) + (d[y] - b)) / np.float32(2)
+        new[[x, y]] = 0
+        r += new - d[x] - d[y]
+        r[x] = new.sum()
+        names[self.base + x] = f"({names[self.base + x]}:{a:.6g},{names[self.base + y]}:{b:.6g})"
+        d[x], d[:, x] = new, new
+        d[y], d[:, y] = d[0], d[:, 0]
+        d[y, y] = 0
+        r[y], names[self.base + y] = r[0], names[self.base]
+        self.base += 1
 
     def close(self) -> str:
-        if len(self.names) == 1:
+        if len(self) == 1:
             return f"{self.names[0]};"
-        a, b = self.names[:2]
+        a, b = self.names
         d = self.d[0, 1]
         return f"({a}:{d:.6g},{b[1:-1]});" if b.startswith("(") else f"({b}:{d:.6g},{a[1:-1]});" if a.startswith("(") else f"({a}:{d:.6g},{b}:0);"
 
 
 def neighbor_joining(d: np.ndarray, labels: list[str], rng: np.random.Generator | None = None) -> str:
     """Newick text; ties go to the first pair in row order, or to a uniform one with rng."""
-    m = _Matrix(d, labels)
-    while len(m.d) > 2:
+    m = _Matrix(d, [label(x) for x in labels])
+    while len(m) > 2:
         q = m.q()
         upper = np.triu_indices(len(q), 1)
         v = q[upper]
@@ -69,46 +94,63 @@ def neighbor_joining(d: np.ndarray, labels: list[str], rng: np.random.Generator
         if rng is not None:
             k = int(rng.choice(np.flatnonzero(_same(v, v[k]))))
         x, y = int(upper[0][k]), int(upper[1][k])
-        if x == 0:  # row 0 is about to move: let the new node be in the higher slot
-            x, y = y, x
-        m.join(x, y)
+        m.join(*((y, x) if x == 0 else (x, y)))  # the first row is about to move: the new node goes to the other slot
     return m.close()
 
 
 def relaxed_joining(d: np.ndarray, labels: list[str], rng: np.random.Generator | None = None, additive: bool = True) -> str:
-    """Joins any pair that is closest for both of its members, instead of the closest of all.
+    return relaxed(d, labels, rng, additive)[0]
+
+
+def relaxed(d: np.ndarray, labels: list[str], rng: np.random.Generator | None = None, additive: bool = True) -> tuple[str, bool]:
+    """Newick text, and whether the matrix passed for additive to the end.
 
-    While the matrix is taken to be additive, a pair must also keep all other distances
-    consistent; the first pass without a join ends that.
+    Joins any pair that is closest for both of its members, instead of the closest of all,
+    and goes on from the row of the join: a row costs its length, not the whole matrix.
+    While the matrix is taken to be additive, a pair must also keep its distances to
+    another node consistent; the first pass without a join ends that.
     """
-    m = _Matrix(d, labels)
-    while len(m.d) > 2:
-        q = m.q()
-        least = q.min(1)
-        order = np.arange(len(q)) if rng is None else rng.permutation(len(q))
-        for x in order:
-            y = int(q[x].argmin())
-            if not (q[x, y] <= least[y] or _same(q[x, y], least[y])):
+    m = _Matrix(d, [label(x) for x in labels])
+
+    def closest(x: int) -> int | None:
+        row = m.row(x)
+        y = int(row.argmin())
+        least = m.row(y).min()
+        if not (row[y] <= least or _same(row[y], least)):
+            return None
+        if additive:
+            z = next(k for k in range(len(m)) if k not in (x, y))
+            a, b = m.lengths(x, y)
+            new = ((m.d[x, z] - a) + (m.d[y, z] - b)) / np.float32(2)
+            if not _same(new + a, m.d[x, z]):
+                return None
+        return y
+
+    while len(m) > 2:
+        joined, x, order = False, 0, None if rng is None else list(rng.permutation(len(m)))
+        while len(m) > 2 and (x < len(m) if order is None else order):
+            at = x if order is None else int(order.pop())
+            y = closest(at)
+            if y is None:
+                x += 1
                 continue
-            if additive:
-                a, b = m.lengths(int(x), y)
-                rest = np.setdiff1d(np.arange(len(q)), [x, y])
-                new = ((m.d[x, rest] - a) + (m.d[y, rest] - b)) / np.float32(2)
-                if not _same(new + a, m.d[x, rest]).all():
-                    continue
-            m.join(*((int(x), y) if x != 0 else (y, int(x))))
-            break
-        else:
+            joined = True
+            m.join(*((y, at) if at == 0 else (at, y)))
+            if order is None:
+                x = max(x - 1, 0)  # the first slot went: the same row, or the one before it
+            else:
+                order = [k - 1 for k in order if k not in (0, at, y)]  # slots that moved wait for the next pass
+        if not joined:
             additive = False
-    return m.close()
+    return m.close(), additive
 
 
 def trees(dists: DataFrame, kind: str = "nj", keys: tuple[str, ...] = ("dataset", "replicate"), seed: int | None = None) -> DataFrame:
-    """(keys, newick) of distances (keys, i, j, d with i < j): every matrix is a group of its own, so replicates run over the cluster.
+    """(keys, newick, and for relaxed joining additive) of distances (keys, i, j, d with i < j): every matrix is a group of its own, so replicates run over the cluster.
 
     A group is one whole matrix; 10,000 taxa are 400 MB, beyond which a matrix doesn't fit a task.
     """
-    how = {"nj": neighbor_joining, "rnj": relaxed_joining}[kind]
+    how = {"nj": neighbor_joining, "rnj": relaxed}[kind]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate((pdf["i"], pdf["j"])))
@@ -116,7 +158,9 @@ def trees(dists: DataFrame, kind: str = "nj", keys: tuple[str, ...] = ("dataset"
         a, b = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
         d[a, b] = d[b, a] = pdf["d"]
         rng = None if seed is None else np.random.default_rng([seed, *[zlib.crc32(str(k).encode()) for k in key]])
-        return pd.DataFrame([[*key, how(d, [str(x) for x in ids], rng)]], columns=[*keys, "newick"])
+        got = how(d, [str(x) for x in ids], rng)
+        return pd.DataFrame([[*key, *([got] if kind == "nj" else got)]], columns=[*keys, *out])
 
-    schema = ", ".join(f"{k} {dists.schema[k].dataType.simpleString()}" for k in keys) + ", newick string"
+    out = ["newick"] if kind == "nj" else ["newick", "additive"]
+    schema = ", ".join(f"{k} {dists.schema[k].dataType.simpleString()}" for k in keys) + ", newick string" + (", additive boolean" if kind == "rnj" else "")
     return dists.groupBy(*keys).applyInPandas(run, schema)

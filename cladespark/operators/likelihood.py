@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import DNA
+from ..functions.alphabet import DNA, Alphabet
 from ..sources.newick import parse
 
 
@@ -59,6 +59,18 @@ def gamma_categories(alpha: float, k: int, median: bool = False) -> list[float]:
     return [(b - a) * k for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def gamma_table(grid: DataFrame) -> DataFrame:
+    """(alpha, ncat, median, category, rate) of (alpha, ncat, median): a map over the rows."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(a, int(k), bool(m), i, r) for a, k, m in zip(pdf["alpha"], pdf["ncat"], pdf["median"], strict=True) for i, r in enumerate(gamma_categories(a, int(k), bool(m)))]
+            yield pd.DataFrame(rows, columns=["alpha", "ncat", "median", "category", "rate"])
+
+    return grid.mapInPandas(run, "alpha double, ncat int, median boolean, category int, rate double")
+
+
 @dataclass(frozen=True)
 class Model:
     """rates: of the pairs of states in the order (0,1), (0,2), ...; pinvar: share of sites that never change."""
@@ -111,14 +123,14 @@ def components(models: list[Model]) -> list[_Part]:
     return out
 
 
-def site_lnl(tree: str, taxa: list[str], patterns: list[str], models: list[Model]) -> np.ndarray:
-    """Log-likelihood of each pattern (a character for each of taxa)."""
+def site_lnl(tree: str, taxa: list[str], patterns: list[str], models: list[Model], alphabet: Alphabet = DNA, parts: list[_Part] | None = None) -> np.ndarray:
+    """Log-likelihood of each pattern (a character of the alphabet for each of taxa); parts: the models' components, where they are at hand."""
     rows = parse(tree)
-    values = DNA.values()
+    values, states = alphabet.values(), len(alphabet.states)
     place = {t: i for i, t in enumerate(taxa)}
-    masks = np.array([[values[c] or 15 for c in p] for p in patterns])
+    masks = np.array([[values[c] or (1 << states) - 1 for c in p] for p in patterns])
     lik = np.zeros(len(patterns))
-    parts = components(models)
+    parts = components(models) if parts is None else parts
     logs = []
     for c in parts:
         cl: dict[int, np.ndarray] = {}
@@ -127,7 +139,7 @@ def site_lnl(tree: str, taxa: list[str], patterns: list[str], models: list[Model
             if r[5]:
                 if r[3] not in place:
                     raise ValueError(f"taxon {r[3]!r} isn't in the alignment")
-                here = ((masks[:, place[r[3]]][:, None] >> np.arange(4)) & 1).astype(float)
+                here = ((masks[:, place[r[3]]][:, None] >> np.arange(states)) & 1).astype(float)
             else:
                 here = cl.pop(r[0])
                 top = here.max(1)
@@ -145,16 +157,53 @@ def site_lnl(tree: str, taxa: list[str], patterns: list[str], models: list[Model
     return lik
 
 
-def lnl(patterns: DataFrame, tree: str, taxa: list[str], models: list[Model]) -> DataFrame:
+def lnl(patterns: DataFrame, tree: str, taxa: list[str], models: list[Model], alphabet: Alphabet = DNA) -> DataFrame:
     """(pattern, freq, lnl) of (pattern, freq): lnl is the pattern's, times freq. Sum it for the tree's."""
+    parts = patterns.sparkSession.sparkContext.broadcast(components(models))
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(lnl=site_lnl(tree, taxa, pdf["pattern"].tolist(), models) * pdf["freq"].to_numpy())
+            yield pdf.assign(lnl=site_lnl(tree, taxa, pdf["pattern"].tolist(), models, alphabet, parts.value) * pdf["freq"].to_numpy())
 
     return patterns.select("pattern", F.col("freq").cast("long").alias("freq")).mapInPandas(run, "pattern string, freq long, lnl double")
 
 
+def tree_lnl(patterns: DataFrame, trees: DataFrame, models: dict[str, list[Model]], taxa: list[str], alphabet: Alphabet = DNA) -> DataFrame:
+    """(dataset, tree_id, model, lnl): every tree (dataset, tree_id, newick) under every named model, summed over its dataset's patterns (dataset, pattern, freq).
+
+    Patterns meet the trees of their dataset by a join; each batch adds up its own part of
+    a sum. Components are made once for each model.
+    """
+    import pandas as pd
+
+    made = patterns.sparkSession.sparkContext.broadcast({k: components(v) for k, v in models.items()})
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for (d, t, text), part in pdf.groupby(["dataset", "tree_id", "newick"], sort=False):
+                for name, parts in made.value.items():
+                    rows.append((d, t, name, float(site_lnl(text, taxa, part["pattern"].tolist(), [], alphabet, parts) @ part["freq"].to_numpy(float))))
+            yield pd.DataFrame(rows, columns=["dataset", "tree_id", "model", "lnl"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    both = patterns.select("dataset", "pattern", "freq").join(trees.select("dataset", "tree_id", "newick"), "dataset")
+    out = both.mapInPandas(run, f"dataset {kind(patterns, 'dataset')}, tree_id {kind(trees, 'tree_id')}, model string, lnl double")
+    return out.groupBy("dataset", "tree_id", "model").agg(F.sum("lnl").alias("lnl"))
+
+
+def likeliest_length(patterns: DataFrame, newick_of, taxa: list[str], models: list[Model], lo: float, hi: float, steps: int = 12, grid: int = 9) -> float:
+    """The length that makes the tree newick_of(length) likeliest: in each step one job tries a grid of lengths, and the next grid lies around the best."""
+    spark = patterns.sparkSession
+    data = patterns.select(F.lit(0).alias("dataset"), "pattern", "freq")
+    for _ in range(steps):
+        at = np.linspace(lo, hi, grid)
+        trees = spark.createDataFrame([(0, i, newick_of(float(v))) for i, v in enumerate(at)], "dataset int, tree_id int, newick string")
+        best = tree_lnl(data, F.broadcast(trees), {"m": models}, taxa).orderBy(F.desc("lnl"), "tree_id").first()["tree_id"]
+        lo, hi = float(at[max(best - 1, 0)]), float(at[min(best + 1, grid - 1)])
+    return (lo + hi) / 2
+
+
 def _simulated(tree: str, models: list[Model], n: int, rng: np.random.Generator) -> tuple[list[str], list[str]]:
     rows, parts = parse(tree), components(models)
     of = rng.choice(len(parts), n, p=np.array([c.weight for c in parts]) / sum(c.weight for c in parts))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
 
 def burn_in(samples: DataFrame, stride: int = 1) -> DataFrame:
     """Samples from the default first step on: ((last / stride / 2) + 1) * stride, in whole numbers, with the last step over all runs."""
@@ -14,8 +16,8 @@ def burn_in(samples: DataFrame, stride: int = 1) -> DataFrame:
 
 
 def _ranked(samples: DataFrame, keys: list[str], x: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return samples.withColumn("rank", F.row_number().over(w.orderBy(x)) - 1).withColumn("size", F.count("*").over(w))
+    ties = [F.col(c) for c in samples.columns if c not in (*keys, x)]
+    return ranked(samples, keys, [F.col(x), *ties], "rank", "size")
 
 
 def summary(samples: DataFrame, keys: list[str], x: str, alpha: float = 0.05) -> DataFrame:
@@ -30,9 +32,13 @@ def coverage(samples: DataFrame, alpha: float = 0.05) -> DataFrame:
     low = F.floor(F.col("size") * (alpha / 2))
     at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("x")))
     bounds = _ranked(samples, ["run"], "x").groupBy("run").agg(at(low).alias("lo"), at(F.col("size") - 1 - low).alias("hi"), F.max(1 - 2 * low / F.col("size")).alias("held"))
-    inside = F.broadcast(bounds.select(F.col("run").alias("of"), "lo", "hi", "held")).crossJoin(samples)
-    each = inside.groupBy("of").agg((F.avg(F.col("x").between(F.col("lo"), F.col("hi")).cast("double")) * (1 - alpha) / F.max("held")).alias("c"))
-    return each.agg(F.avg("c").alias("rcov"))
+    # One pass over the samples for each few hundred runs: an average for each run's interval.
+    shares, runs = [], bounds.orderBy("run").collect()
+    for lo in range(0, len(runs), 500):
+        part = runs[lo : lo + 500]
+        got = samples.agg(*[F.avg(F.col("x").between(r["lo"], r["hi"]).cast("double")).alias(f"c{k}") for k, r in enumerate(part)]).first()
+        shares += [got[f"c{k}"] * (1 - alpha) / r["held"] for k, r in enumerate(part)]
+    return samples.sparkSession.createDataFrame([(sum(shares) / len(shares) if shares else None,)], "rcov double")
 
 
 def class_coverage(samples: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -55,6 +61,13 @@ def moving_average(samples: DataFrame, alpha: float) -> DataFrame:
     return samples.join(last, "run").groupBy("run").agg(F.sum(weight * F.col("x")).alias("ema"))
 
 
+def class_summary(samples: DataFrame) -> DataFrame:
+    """(cls, nobs, p, mean, var) of the classes of all runs' samples: posterior shares and the moments of x within each."""
+    out = samples.groupBy("cls").agg(F.count("*").alias("nobs"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    total = samples.count()
+    return out.select("cls", "nobs", (F.col("nobs") / total).alias("p"), "mean", "var")
+
+
 def acceptance(rows: DataFrame, keys: list[str], accepted: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(accepted).alias("accepts"), F.count_if(~accepted).alias("rejects"), (F.count_if(accepted) / F.count("*")).alias("rate"))
 
@@ -68,3 +81,8 @@ def swap_pairs(samples: DataFrame, stride: int = 1) -> DataFrame:
     s = samples.where(F.col("step") % stride == 0)
     a, b = s.select("step", F.col("run").alias("a"), F.col("x").alias("xa")), s.select("step", F.col("run").alias("b"), F.col("x").alias("xb"))
     return a.join(b, "step").where("a < b").select("step", "a", "b", (F.col("xa") - F.col("xb")).alias("dx"))
+
+
+def step_windows(samples: DataFrame, stride: int) -> DataFrame:
+    """(run, window, n, mean) of tumbling windows of so many steps."""
+    return samples.groupBy("run", F.floor(F.col("step") / stride).alias("window")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))

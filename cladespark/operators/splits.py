@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
+from .ordering import ranked
+
 
 def canonical(split: Column) -> Column:
     """The side without the first taxon."""
@@ -29,12 +32,29 @@ def topologies(splits: DataFrame) -> DataFrame:
 
 
 def topology_frequencies(trees: DataFrame) -> DataFrame:
-    """(topology, nobs, p, cum_p, nruns) by descending count, then key."""
+    """(topology, nobs, p, cum_p, nruns, rank) by descending count, then key."""
     counts = trees.groupBy("topology").agg(F.count("*").alias("nobs"), F.count_distinct("run").alias("nruns"))
-    total = counts.agg(F.sum("nobs").alias("total"))
-    out = counts.crossJoin(F.broadcast(total)).withColumn("p", F.col("nobs") / F.col("total"))
-    w = Window.orderBy(F.desc("nobs"), F.desc("topology")).rowsBetween(Window.unboundedPreceding, 0)
-    return out.select("topology", "nobs", "p", (F.sum("nobs").over(w) / F.col("total")).alias("cum_p"), "nruns")
+    out = ranked(counts, [], [F.desc("nobs"), F.desc("topology")], "rank", value=F.col("nobs"), running="upto")
+    total = trees.count()
+    return out.select("topology", "nobs", (F.col("nobs") / total).alias("p"), (F.col("upto") / total).alias("cum_p"), "nruns", "rank")
+
+
+def same_taxa(splits: DataFrame) -> DataFrame:
+    """splits, failing when one is read that isn't over as many taxa as the first."""
+    sizes = splits.agg(F.min(F.length("split")).alias("a")).first()["a"]
+    wrong = F.length("split") != F.lit(sizes)
+    return splits.withColumn("split", F.when(wrong, F.raise_error(F.lit("trees over different taxa")).cast("string")).otherwise(F.col("split")))
+
+
+def merge(splits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, split): the union of each key's splits of taxa."""
+    spots = splits.select(*keys, F.posexplode(F.split("split", "")).alias("k", "bit")).groupBy(*keys, "k").agg(F.max("bit").alias("bit"))
+    return spots.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "bit"))), lambda x: x["bit"]), "").alias("split"))
+
+
+def contains(a: Column, b: Column) -> Column:
+    """Whether the taxa of split b are all among those of a."""
+    return ~F.exists(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.concat(x, y)), lambda x: x == "01")
 
 
 def robinson_foulds(pairs: DataFrame, splits: DataFrame) -> DataFrame:
@@ -73,7 +93,8 @@ def greedy_consensus(freqs: DataFrame, taxa: int, support: float = 0.0, block: i
     taxa - 3 are taken in all. Splits of one taxon against the rest are in every tree and not returned.
     """
     ones = F.length(F.regexp_replace("split", "0", ""))
-    inner = freqs.where(ones.between(2, taxa - 2) & (F.col("support") >= support)).cache()
+    inner = freqs.where(ones.between(2, taxa - 2) & (F.col("support") >= support))
+    inner = saved(inner, "inner")
     taken: list[str] = []
     while len(taken) < taxa - 3:
         known = F.array(*map(F.lit, taken)).cast("array<string>")

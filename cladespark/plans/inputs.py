@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA
+from ..operators.ordering import ranked
 
 #: Fixed bands of a vector's values: code and upper edge.
 BANDS = (("A", -0.08), ("C", 0.0), ("G", 0.08))
@@ -44,9 +45,33 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = F.col("user_id") % 4
-    w = Window.partitionBy(run).orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(run.cast("long").alias("run"), F.row_number().over(w).cast("long").alias("step"), F.col("value").alias("x"), F.col("event_type").alias("cls"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("long").alias("run"), "ts", "event_id", F.col("value").alias("x"), F.col("event_type").alias("cls"))
+    out = ranked(rows, ["run"], [F.col("ts"), F.col("event_id")], "place")
+    return out.select("run", (F.col("place") + 1).alias("step"), "x", "cls")
+
+
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tid, v): a bit of 20 for each dimension of the embeddings, by bands of 0.03."""
+    band = lambda x: F.greatest(F.lit(0), F.least(F.lit(19), F.floor((x.cast("double") + 0.3) / 0.03).cast("int")))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tid"), F.transform("embedding", lambda x: F.pow(F.lit(2.0), band(x)).cast("int")).alias("v"))
+
+
+SQL_PROTEINS = """amino AS (SELECT vec_id AS tid, list_transform(embedding, lambda x: greatest(0, least(19, CAST(floor((CAST(x AS DOUBLE) + 0.3) / 0.03) AS INTEGER)))) AS v FROM embeddings)"""
+
+
+def newicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tree_id, newick): a tree for each region, nations as inner nodes, customers and suppliers as leaves, with lengths in whole numbers."""
+    e = edges(spark, sf_dir)
+    leaf = e.where("node like 'c%' or node like 's%'").select("node", "parent", F.floor(F.col("length") * 100 + 1e-6).alias("length"))
+    nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("parent"), F.col("n_regionkey").alias("tree_id"), (F.col("n_nationkey") % 2).alias("inner"))
+    kids = leaf.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list(F.concat("node", F.lit(":"), F.col("length").cast("string")))), ",").alias("kids"))
+    each = nation.join(kids, "parent").select("tree_id", F.struct("parent", F.concat(F.lit("("), "kids", F.lit(")"), "parent", F.lit(":"), F.col("inner").cast("string")).alias("text")).alias("x"))
+    return each.groupBy("tree_id").agg(F.concat(F.lit("("), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda v: v["text"]), ","), F.lit(")r"), F.col("tree_id").cast("string"), F.lit(";")).alias("newick"))
+
+
+#: Leaves (tree_id, nation, inner length, node, length) of newicks().
+SQL_NEWICKS = """leaves AS (SELECT n_regionkey AS tree_id, 'n' || n_nationkey AS nation, n_nationkey % 2 AS inner_length, node, CAST(floor(length * 100 + 1e-6) AS BIGINT) AS length
+    FROM nation JOIN (SELECT 'c' || c_custkey AS node, c_nationkey AS k, abs(c_acctbal) / 10000 AS length FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey, abs(s_acctbal) / 10000 FROM supplier) AS x ON k = n_nationkey)"""
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +106,15 @@ SQL_EDGES = """edges AS (SELECT 'root' AS node, NULL AS parent, CAST(0 AS DOUBLE
     UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, abs(c_acctbal) / 10000 FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, abs(s_acctbal) / 10000 FROM supplier)"""
 
 
+def resampled_distances(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(replicate, i, j, d): distances between mean vectors with every n-th dimension left out, another one for each of n replicates."""
+    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
+    mean = long.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    a, b = mean.select(F.col("label").alias("i"), "k", F.col("x").alias("xi")), mean.select(F.col("label").alias("j"), "k", F.col("x").alias("xj"))
+    each = a.join(b, "k").where("i < j").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(F.col("k") % n != F.col("replicate"))
+    return each.groupBy("replicate", "i", "j").agg(F.sum((F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj"))).alias("d"))
+
+
 def centroid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, j, d): squared Euclidean distances between the labels' mean vectors."""
     long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))

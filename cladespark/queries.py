@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import numeric
 from .functions.alphabet import DNA
 from .operators import alignment, distance, joining, likelihood, posterior, splits, trees
 from .plans import inputs
-from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
+from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_NEWICKS, SQL_PROTEINS, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
 from .session import ship
-from .sources import fasta, logs, newick
+from .sources import fasta, logs, newick, phylip
 from .sources.randomtrees import random_trees
 from .streaming import live
 
@@ -124,14 +125,47 @@ def jc_distance(spark, d):
     return _r(distance.jukes_cantor(distance.pairs(inputs.masks(spark, d))), "d", places=7)
 
 
-@query()
+def _cell_sql() -> str:
+    """f(i, j, n, f00 .. f33): the pair matrices, with gaps as any state."""
+    cells = ", ".join(f"sum((a.v >> {s} & 1) / CAST(bit_count(a.v) AS DOUBLE) * (b.v >> {t} & 1) / bit_count(b.v)) AS f{s}{t}" for s in range(4) for t in range(4))
+    return f"{SQL_SEQS}, s AS (SELECT tid, pos, CASE WHEN val = 0 THEN 15 ELSE val END AS v FROM sites), f AS (SELECT a.tid AS i, b.tid AS j, count(*) AS n, {cells} FROM s AS a JOIN s AS b ON a.pos = b.pos AND a.tid < b.tid GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_cell_sql()}, k AS (SELECT i, j, CAST(round_even(n, 0) AS BIGINT) AS n, CAST(round_even(round(f02 + f20 + f13 + f31, 9), 0) AS BIGINT) AS ks,
+    CAST(round_even(round(n - f00 - f11 - f22 - f33 - f02 - f20 - f13 - f31, 9), 0) AS BIGINT) AS kv FROM f),
+u AS (SELECT DISTINCT n, ks, kv FROM k), a AS (SELECT n, ks, kv, x, greatest(0, x - kv) AS low FROM u, unnest(range(1, ks + kv + 1)) AS t(x)),
+t AS (SELECT n, ks, kv, x, low, y, lgamma(x + 1) - x * ln(n) - ln(2 * x) - lgamma(x - low + 1) - lgamma(low + 1) + CASE WHEN x > low THEN (x - low) * ln(kv) ELSE 0 END + CASE WHEN low > 0 THEN low * ln(2 * ks) ELSE 0 END
+    + CASE WHEN y > low THEN (y - low) * (ln(2.0 * ks) - ln(kv)) + lgamma(low + 1) - lgamma(y + 1) - lgamma(x - low) + lgamma(greatest(x - y, 1)) ELSE 0 END AS e FROM a, unnest(range(low, least(x, ks) + 1)) AS v(y) WHERE y = low OR kv > 0),
+p AS (SELECT n, ks, kv, sum(exp(e)) AS p FROM t GROUP BY 1, 2, 3),
+q AS (SELECT n, ks, kv, 0.5 * kv / n + coalesce((SELECT sum(0.5 * kv / n * pow(2.0 * kv / n, z - 1) / z) FROM unnest(range(2, kv)) AS w(z)), 0) AS q FROM u)
+SELECT i, j, round(coalesce(p, 0) + q, 6) AS d FROM k JOIN q USING (n, ks, kv) LEFT JOIN p USING (n, ks, kv)""")
 def kimura_distance(spark, d):
-    return distance.matrix_distance(inputs.masks(spark, d), "kimura")
+    return _r(distance.matrix_distance(inputs.masks(spark, d), "kimura"), "d", places=6)
 
 
-@query()
+def _det_sql() -> str:
+    from itertools import permutations
+
+    sign = lambda p: (-1) ** sum(p[a] > p[b] for a in range(4) for b in range(a + 1, 4))
+    return " ".join(f"{'+' if sign(p) > 0 else '-'} f0{p[0]} * f1{p[1]} * f2{p[2]} * f3{p[3]}" for p in permutations(range(4)))
+
+
+_ROWS = [" + ".join(f"f{s}{t}" for t in range(4)) for s in range(4)]
+_COLS = [" + ".join(f"f{s}{t}" for s in range(4)) for t in range(4)]
+
+
+@query(f"""WITH {_cell_sql()}, e AS (SELECT i, j, {_det_sql()} AS det, least({", ".join(_ROWS + _COLS)}) AS low, {" + ".join(f"ln({x})" for x in _ROWS + _COLS)} AS margins FROM f WHERE least({", ".join(_ROWS + _COLS)}) > 0),
+g AS (SELECT i, j, CASE WHEN det > 0 AND ln(greatest(det, 1e-300)) - 0.5 * margins > ln(1e-9) THEN -(ln(det) - 0.5 * margins) / 4 END AS d FROM e)
+SELECT f.i, f.j, round(coalesce(d, 2 * (SELECT coalesce(max(d), 0) FROM g)), 6) AS d FROM f LEFT JOIN g USING (i, j)""")
 def logdet_distance(spark, d):
-    return distance.convert_nan(distance.matrix_distance(inputs.masks(spark, d), "logdet"))
+    return _r(distance.convert_nan(distance.matrix_distance(inputs.masks(spark, d), "logdet")), "d", places=6)
+
+
+@query(f"""WITH {SQL_PROTEINS}, st AS (SELECT a.tid AS i, b.tid AS j, len(a.v) AS n, len(list_filter(list_zip(a.v, b.v), lambda x: x[1] = x[2])) AS same FROM amino AS a JOIN amino AS b ON a.tid < b.tid),
+k AS (SELECT i, j, 1 - same / CAST(n AS DOUBLE) AS u FROM st), q AS (SELECT i, j, u, CAST(round_even(1000 * u, 0) AS INTEGER) AS q FROM k)
+SELECT i, j, round(CASE WHEN q = 0 THEN 0 WHEN q < 750 THEN -ln(1 - u - u * u / 5) WHEN q <= 930 THEN [{", ".join(map(str, distance.DAYHOFF_PAMS))}][q - 749] / 100.0 ELSE 10 END, 6) AS d FROM q""")
+def kimura_protein(spark, d):
+    return _r(distance.kimura_protein(distance.pairs(inputs.proteins(spark, d), 20)), "d", places=6)
 
 
 @query(f"WITH {SQL_CENTROIDS} SELECT CAST(j AS BIGINT) AS i, string_agg(printf('%.6f', d), ' ' ORDER BY i) AS line FROM dists GROUP BY j")
@@ -156,7 +190,7 @@ def nj_first_join(spark, d):
 
 
 def _replicates(spark, d, n=8):
-    return inputs.centroid_distances(spark, d).withColumn("dataset", F.lit("labels")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return inputs.resampled_distances(spark, d, n).withColumn("dataset", F.lit("labels"))
 
 
 @query()
@@ -249,7 +283,13 @@ _TOPO = "topo AS (SELECT tree_id, run, string_agg(split, '|' ORDER BY split) AS
 @query(f"""WITH {SQL_SPLITS}, {_TOPO}, c AS (SELECT topology, count(*) AS nobs, count(DISTINCT run) AS nruns FROM topo GROUP BY 1)
 SELECT topology, nobs, round(nobs / CAST(sum(nobs) OVER () AS DOUBLE), 9) AS p, round(CAST(sum(nobs) OVER (ORDER BY nobs DESC, topology DESC ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(nobs) OVER (), 9) AS cum_p, nruns FROM c""")
 def topology_cumprob(spark, d):
-    return _r(splits.topology_frequencies(splits.topologies(inputs.splits(spark, d))), "p", "cum_p")
+    return _r(splits.topology_frequencies(splits.topologies(inputs.splits(spark, d))).drop("rank"), "p", "cum_p")
+
+
+@query(f"""WITH {SQL_SPLITS}, {_TOPO}, c AS (SELECT topology, count(*) AS nobs FROM topo GROUP BY 1)
+SELECT topology, row_number() OVER (ORDER BY nobs DESC, topology DESC) - 1 AS rank FROM c""")
+def topology_ranks(spark, d):
+    return splits.topology_frequencies(splits.topologies(inputs.splits(spark, d))).select("topology", "rank")
 
 
 @query(f"WITH {SQL_SPLITS}, {_TOPO} SELECT topology, split, round(avg(length), 8) AS mean FROM splits JOIN topo USING (tree_id, run) GROUP BY 1, 2")
@@ -262,9 +302,7 @@ def mean_tree(spark, d):
 SELECT split, round(count(DISTINCT tree_id) / CAST((SELECT n FROM t) AS DOUBLE), 9) AS support, round(avg(length), 8) AS mean FROM splits GROUP BY split HAVING count(DISTINCT tree_id) > 0.5 * (SELECT n FROM t)""")
 def majority_consensus(spark, d):
     s = inputs.splits(spark, d)
-    total = s.agg(F.count_distinct("tree_id").alias("n"))
-    counts = s.crossJoin(F.broadcast(total))
-    out = counts.groupBy("split").agg((F.count_distinct("tree_id") / F.max("n")).alias("support"), F.avg("length").alias("mean")).where("support > 0.5")
+    out = splits.majority(s, s.select("tree_id").distinct().count())
     return _r(_r(out, "support"), "mean", places=8)
 
 
@@ -284,7 +322,7 @@ def tree_degree(spark, d):
 
 @query(f"WITH RECURSIVE {SQL_EDGES}, walk(node, depth, dist) AS (SELECT node, 0, CAST(0 AS DOUBLE) FROM edges WHERE parent IS NULL UNION ALL SELECT e.node, depth + 1, dist + e.length FROM walk JOIN edges AS e ON e.parent = walk.node) SELECT node, CAST(depth AS INTEGER) AS depth, round(dist, 9) AS dist FROM walk")
 def tree_depth(spark, d):
-    return _r(trees.depths(inputs.edges(spark, d), 4), "dist")
+    return _r(trees.depths(inputs.edges(spark, d)), "dist")
 
 
 @query(f"""WITH {SQL_EDGES}, leaf AS (SELECT node, parent, length FROM edges WHERE node LIKE 's%'), up AS (SELECT node, parent FROM edges WHERE node LIKE 'n%')
@@ -299,7 +337,7 @@ def tree_patristic(spark, d):
     UNION ALL SELECT leaf, e.node, e.parent, dist + e.length FROM up JOIN edges AS e ON e.node = up.anc WHERE e.parent IS NOT NULL)
 SELECT a.leaf AS a, b.leaf AS b, round(a.dist + b.dist, 6) AS dist FROM up AS a JOIN up AS b ON a.anc = b.anc AND a.child <> b.child AND a.leaf < b.leaf""")
 def tree_patristic_all(spark, d):
-    return _r(trees.patristic(inputs.edges(spark, d), 4), "dist", places=6)
+    return _r(trees.patristic(inputs.edges(spark, d)).drop("steps"), "dist", places=6)
 
 
 @query("SELECT r_name AS root, '(' || string_agg(replace(n_name, ' ', '_'), ',' ORDER BY n_name) || ')' || replace(r_name, ' ', '_') || ';' AS newick FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -338,11 +376,11 @@ def site_lnl_adjacent(spark, d):
 
 @query()
 def gamma_categories(spark, d):
-    rows = [(a, k, m, i, r) for a in (0.5, 1.0, 5.0) for k in (4, 8) for m in (False, True) for i, r in enumerate(likelihood.gamma_categories(a, k, m))]
-    return spark.createDataFrame(rows, "alpha double, ncat int, median boolean, category int, rate double")
+    grid = spark.range(12).select(F.element_at(F.array(F.lit(0.5), F.lit(1.0), F.lit(5.0)), (F.col("id") % 3 + 1).cast("int")).alias("alpha"), F.when(F.col("id") % 2 == 0, 4).otherwise(8).alias("ncat"), (F.col("id") >= 6).alias("median"))
+    return likelihood.gamma_table(grid)
 
 
-@query()
+@query(f"WITH {SQL_SEQS} SELECT tid, '>v_' || tid || chr(10) || array_to_string(chars, '') AS record FROM seqs")
 def fasta_lines(spark, d):
     return inputs.sequences(spark, d).select("tid", fasta.lines(F.concat(F.lit("v "), F.col("tid").cast("string")), F.col("seq")).alias("record"))
 
@@ -366,7 +404,7 @@ def running_diagnostics(spark, d):
 
 @query()
 def simulate_sites(spark, d):
-    return likelihood.simulate(spark, "(A:0.1,B:0.1,(C:0.25,(D:0.2,E:0.3):0.1):0.4);", [likelihood.Model(alpha=0.5, ncat=4, pinvar=0.1)], 50_000, seed=7)
+    return likelihood.simulate(spark, "(A:0.3,(B:0.15,C:0.2):0.1,(D:0.4,E:0.05):0.2);", [likelihood.Model(alpha=0.5, ncat=4, pinvar=0.1)], 50_000, seed=7)
 
 
 def _long(df: DataFrame, *cols: str) -> DataFrame:
@@ -407,3 +445,163 @@ def greedy_consensus(spark, d):
     seen = newick.splits(random_tree(spark, d))
     freqs = splits.majority(seen, 200, 0.0)
     return _r(splits.greedy_consensus(freqs, 12), "support")
+
+
+@query(f"WITH {SQL_NEWICKS} SELECT CAST(tree_id AS INTEGER) AS tree_id, count(*) AS ntaxa, count(*) + count(DISTINCT nation) + 1 AS nnodes, count(*) + count(DISTINCT nation) AS nedges FROM leaves GROUP BY tree_id")
+def tree_counts(spark, d):
+    return trees.counts(newick.nodes(inputs.newicks(spark, d))).withColumn("tree_id", F.col("tree_id").cast("int"))
+
+
+@query(f"WITH {SQL_NEWICKS} SELECT CAST(tree_id AS INTEGER) AS tree_id, node AS taxon, CAST(length AS DOUBLE) AS length, true AS is_leaf FROM leaves UNION ALL SELECT DISTINCT CAST(tree_id AS INTEGER), nation, CAST(inner_length AS DOUBLE), false FROM leaves")
+def newick_scan(spark, d):
+    got = newick.nodes(inputs.newicks(spark, d)).where("parent_id is not null")
+    return got.select(F.col("tree_id").cast("int").alias("tree_id"), "taxon", "length", "is_leaf")
+
+
+_KIDS = "string_agg(node || ':' || length, ',' ORDER BY node)"
+
+
+@query(f"""WITH {SQL_NEWICKS}, n AS (SELECT tree_id, min(node) AS low, '(' || {_KIDS} || ')' || nation || ':' || max(inner_length) AS text FROM leaves GROUP BY tree_id, nation)
+SELECT CAST(tree_id AS INTEGER) AS tree_id, '(' || string_agg(text, ',' ORDER BY low) || ')r' || tree_id || ';' AS newick FROM n GROUP BY tree_id""")
+def tree_canonize(spark, d):
+    return newick.rewrite(inputs.newicks(spark, d), trees.canonize).withColumn("tree_id", F.col("tree_id").cast("int"))
+
+
+@query(f"""WITH {SQL_NEWICKS}, n AS (SELECT tree_id, nation, min(inner_length) AS inner_length, sum(length) AS length, count(*) AS kids FROM leaves GROUP BY 1, 2)
+SELECT CAST(tree_id AS INTEGER) AS tree_id, CAST(sum(kids) AS BIGINT) AS ntaxa, CAST(sum(kids) + count(*) FILTER (inner_length > 0) + 1 AS BIGINT) AS nnodes, CAST(sum(length) + sum(inner_length) AS DOUBLE) AS total FROM n GROUP BY tree_id""")
+def tree_collapse(spark, d):
+    got = newick.nodes(newick.rewrite(inputs.newicks(spark, d), lambda rows: trees.collapse(rows)[0]))
+    return got.groupBy(F.col("tree_id").cast("int").alias("tree_id")).agg(F.count_if("is_leaf").alias("ntaxa"), F.count("*").alias("nnodes"), F.sum("length").alias("total"))
+
+
+@query(f"""WITH {SQL_NEWICKS}, n AS (SELECT tree_id, nation, min(inner_length) AS inner_length, sum(length) AS length, count(*) AS kids FROM leaves GROUP BY 1, 2)
+SELECT CAST(tree_id AS INTEGER) AS tree_id, CAST(sum(kids) + count(*) + 2 AS BIGINT) AS nnodes, CAST(sum(length) + sum(inner_length) + 5 AS DOUBLE) AS total FROM n GROUP BY tree_id""")
+def tree_deroot(spark, d):
+    """Each tree beside one more leaf below a root of two branches, whose branches become one."""
+    rooted = inputs.newicks(spark, d).withColumn("newick", F.concat(F.lit("("), F.regexp_replace("newick", ";$", ":2,out:3);")))
+    got = newick.nodes(newick.rewrite(rooted, trees.deroot))
+    return got.groupBy(F.col("tree_id").cast("int").alias("tree_id")).agg(F.count("*").alias("nnodes"), F.sum("length").alias("total"))
+
+
+@query(f"""WITH {SQL_NEWICKS}, f AS (SELECT tree_id, min(node) AS base, count(*) AS ntaxa, CAST(sum(length) AS DOUBLE) AS leaf_total FROM leaves GROUP BY tree_id)
+SELECT CAST(tree_id AS INTEGER) AS tree_id, base, ntaxa, leaf_total + (SELECT sum(x) FROM (SELECT DISTINCT l.nation, l.inner_length AS x FROM leaves AS l WHERE l.tree_id = f.tree_id)) AS total FROM f""")
+def tree_rebase(spark, d):
+    """Each tree drawn from its smallest taxon: the first leaf, and what doesn't change by it."""
+    got = newick.nodes(newick.rewrite(inputs.newicks(spark, d), trees.rebase))
+    first = F.max(F.when(F.col("is_leaf") & (F.col("ord") == 0) & (F.col("parent_id") == 0), F.col("taxon")))
+    return got.groupBy(F.col("tree_id").cast("int").alias("tree_id")).agg(first.alias("base"), F.count_if("is_leaf").alias("ntaxa"), F.sum("length").alias("total"))
+
+
+@query(f"""WITH {SQL_NEWICKS}, t AS (SELECT tree_id, count(*) AS n, min(node) AS low FROM leaves GROUP BY 1), g AS (SELECT tree_id, nation, max(inner_length) AS length, count(*) AS k, min(node) AS low FROM leaves GROUP BY 1, 2)
+SELECT CAST(tree_id AS INTEGER) AS tree_id, CASE WHEN g.low = t.low THEN n - k ELSE k END AS ones, CAST(length AS DOUBLE) AS length FROM g JOIN t USING (tree_id) WHERE k > 1 AND n - k > 1""")
+def newick_splits(spark, d):
+    """The sides without the first taxon, by size."""
+    ones = F.length(F.regexp_replace("split", "0", "")).cast("long")
+    return newick.splits(inputs.newicks(spark, d)).select(F.col("tree_id").cast("int").alias("tree_id"), ones.alias("ones"), "length")
+
+
+@query(f"""WITH RECURSIVE {SQL_EDGES}, up(leaf, child, anc, dist, steps) AS (SELECT node, node, parent, length, 1 FROM edges WHERE node NOT IN (SELECT parent FROM edges WHERE parent IS NOT NULL)
+    UNION ALL SELECT leaf, e.node, e.parent, dist + e.length, steps + 1 FROM up JOIN edges AS e ON e.node = up.anc WHERE e.parent IS NOT NULL)
+SELECT a.leaf AS a, b.leaf AS b, round(a.dist + b.dist, 6) AS dist, a.steps + b.steps AS separation FROM up AS a JOIN up AS b ON a.anc = b.anc AND a.child <> b.child WHERE CAST(substr(a.leaf, 2) AS BIGINT) % 100 = 0""")
+def tree_separation(spark, d):
+    """Path lengths and numbers of edges from every leaf whose number 100 divides to all other leaves."""
+    edges = inputs.edges(spark, d)
+    of = trees.leaves(edges).where("try_cast(substr(leaf, 2) as long) % 100 = 0")
+    return _r(trees.patristic(edges, of=of).withColumnRenamed("steps", "separation"), "dist", places=6)
+
+
+@query(f"WITH {SQL_SPLITS} SELECT tree_id, CAST(bit_or(CAST(split AS BIT)) AS VARCHAR) AS split FROM splits GROUP BY tree_id")
+def split_union(spark, d):
+    return splits.merge(inputs.splits(spark, d), ["tree_id"])
+
+
+@query(f"WITH {SQL_SPLITS} SELECT a.tree_id, a.split AS outer_split, b.split AS inner_split FROM splits AS a JOIN splits AS b ON a.tree_id = b.tree_id AND a.split <> b.split WHERE CAST(a.split AS BIT) & CAST(b.split AS BIT) = CAST(b.split AS BIT)")
+def split_subsets(spark, d):
+    s = inputs.splits(spark, d)
+    both = s.select("tree_id", F.col("split").alias("outer_split")).join(s.select("tree_id", F.col("split").alias("inner_split")), "tree_id").where("outer_split <> inner_split")
+    return both.where(splits.contains(F.col("outer_split"), F.col("inner_split")))
+
+
+@query(f"WITH {SQL_SEQS}, p AS (SELECT pattern, count(*) AS freq FROM (SELECT pos, string_agg(ch, '' ORDER BY tid) AS pattern FROM sites GROUP BY pos) GROUP BY pattern) SELECT row_number() OVER (ORDER BY pattern) - 1 AS place, pattern, freq FROM p")
+def align_sort_columns(spark, d):
+    return alignment.sort_columns(alignment.compact(_sites(spark, d)))
+
+
+@query(f"WITH {SQL_SEQS} SELECT tid, array_to_string(chars, '') || '-----' AS seq FROM seqs")
+def pad_columns(spark, d):
+    return alignment.pad_by(inputs.sequences(spark, d), 5)
+
+
+@query(f"WITH {SQL_SEQS}, s AS (SELECT tid, array_to_string(chars, '') AS seq FROM seqs) SELECT CAST(b AS INTEGER) AS block, tid, rtrim(regexp_replace(substr(seq, b * 50 + 1, 50), '(.{{5}})', '\\1 ', 'g')) AS line FROM s, unnest(range(0, (len(seq) + 49) // 50)) AS t(b)")
+def align_render(spark, d):
+    return alignment.render(inputs.sequences(spark, d))
+
+
+@query(f"WITH {SQL_SEQS} SELECT CAST(tid % 7 AS BIGINT) AS dataset, 'v ' || tid AS label, array_to_string(chars, '') AS seq FROM seqs")
+def fasta_scan(spark, d):
+    records = fasta_lines(spark, d).withColumn("dataset", F.col("tid") % 7)
+    texts = records.groupBy("dataset").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tid", "record"))), lambda x: x["record"]), "\n").alias("value"))
+    return fasta.scan(texts).select(F.col("dataset").cast("long").alias("dataset"), "label", "seq")
+
+
+@query(f"""WITH {SQL_CENTROIDS}, k AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS row FROM sums), l AS (SELECT j AS i, string_agg(printf('%.6f', d), ' ' ORDER BY i) AS line FROM dists GROUP BY j)
+SELECT -1 AS row, CAST(count(*) AS VARCHAR) AS line FROM k UNION ALL SELECT row, rtrim(rpad('L' || k.i, 10, ' ') || ' ' || coalesce(line, '')) FROM k LEFT JOIN l ON l.i = k.i""")
+def dist_phylip(spark, d):
+    dists = inputs.centroid_distances(spark, d)
+    labels = distance.row_sums(dists).select("i", F.concat(F.lit("L"), F.col("i").cast("string")).alias("label"))
+    return distance.render_phylip(dists, labels, fmt="%.6f")
+
+
+@query(f"WITH {SQL_CENTROIDS} SELECT 'L' || i AS label_i, 'L' || j AS label_j, round(d, 6) AS d FROM dists")
+def phylip_scan(spark, d):
+    lines = dist_phylip(spark, d)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")
+    return phylip.scan(lines.agg(text.alias("value")).withColumn("dataset", F.lit(0))).select("label_i", "label_j", "d")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS gcd FROM lineitem")
+def gcd_keys(spark, d):
+    return inputs.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numeric.gcd(F.col("l_partkey"), F.col("l_suppkey")).alias("gcd"))
+
+
+@query("SELECT DISTINCT CAST(l_quantity AS BIGINT) AS n, CAST(l_linenumber AS BIGINT) AS k, CASE WHEN CAST(l_linenumber AS BIGINT) > CAST(l_quantity AS BIGINT) THEN 0 ELSE CAST(round(exp(lgamma(CAST(l_quantity AS BIGINT) + 1) - lgamma(CAST(l_linenumber AS BIGINT) + 1) - lgamma(CAST(l_quantity AS BIGINT) - CAST(l_linenumber AS BIGINT) + 1))) AS BIGINT) END AS ways FROM lineitem")
+def choose_counts(spark, d):
+    nk = inputs.table(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("n"), F.col("l_linenumber").cast("long").alias("k")).distinct()
+    return nk.select("n", "k", numeric.choose(F.col("n"), F.col("k")).alias("ways"))
+
+
+@query()
+def normal_quantiles(spark, d):
+    e = inputs.table(spark, d, "events")
+    return e.select("event_id", numeric.normal_quantile((F.pmod(F.xxhash64("event_id"), F.lit(9999)) + 0.5) / 9999).alias("z"))
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT cls, count(*) AS nobs, round(count(*) / CAST((SELECT count(*) FROM samples) AS DOUBLE), 9) AS p, round(avg(x), 8) AS mean, round(var_pop(x), 5) AS var FROM samples GROUP BY cls")
+def class_summary(spark, d):
+    return _r(_r(_r(posterior.class_summary(inputs.samples(spark, d)), "p"), "mean", places=8), "var", places=5)
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT run, step // 25 AS window, count(x) AS n, round(avg(x), 8) AS mean FROM samples GROUP BY 1, 2")
+def step_windows(spark, d):
+    return _r(posterior.step_windows(inputs.samples(spark, d), 25), "mean", places=8)
+
+
+_STAR = {"near": (0.1, 0.2, 0.3), "far": (1.0, 0.5, 0.25)}
+
+
+def _star_sql(lengths: tuple[float, ...]) -> str:
+    """Likelihood of three masks x, y, z below one node, summed over its states."""
+    arm = lambda v, s, t: f"(CASE WHEN {v} >> {s} & 1 = 1 THEN {0.25} + 0.75 * exp(-4.0 / 3 * {t}) ELSE 0 END + (bit_count({v}) - ({v} >> {s} & 1)) * (0.25 - 0.25 * exp(-4.0 / 3 * {t})))"
+    return " + ".join("0.25 * " + " * ".join(arm(v, s, t) for v, t in zip("xyz", lengths, strict=True)) for s in range(4))
+
+
+@query(f"""WITH {SQL_SEQS}, m AS (SELECT tid, CASE WHEN val = 0 THEN 15 ELSE val END AS x, lead(CASE WHEN val = 0 THEN 15 ELSE val END, 1) OVER w AS y, lead(CASE WHEN val = 0 THEN 15 ELSE val END, 2) OVER w AS z FROM sites WINDOW w AS (PARTITION BY pos ORDER BY tid))
+""" + " UNION ALL ".join(f"SELECT tid AS dataset, '{name}' AS tree_id, 'jc' AS model, round(sum(ln({_star_sql(t)})), 6) AS lnl FROM m WHERE z IS NOT NULL GROUP BY tid" for name, t in _STAR.items()))
+def lnl_triples(spark, d):
+    """Each taxon with the next two of the table, on two star trees."""
+    w = Window.partitionBy("pos").orderBy("tid")
+    cols = _sites(spark, d).select("tid", F.col("ch").alias("a"), F.lead("ch", 1).over(w).alias("b"), F.lead("ch", 2).over(w).alias("c")).where("c is not null")
+    pats = cols.groupBy(F.col("tid").alias("dataset"), F.concat("a", "b", "c").alias("pattern")).agg(F.count("*").alias("freq"))
+    text = F.create_map(*[F.lit(x) for k, t in _STAR.items() for x in (k, "(" + ",".join(f"{n}:{v}" for n, v in zip("ABC", t, strict=True)) + ");")])
+    stars = pats.select("dataset").distinct().withColumn("tree_id", F.explode(F.map_keys(text))).withColumn("newick", text[F.col("tree_id")])
+    return _r(likelihood.tree_lnl(pats, stars, {"jc": [likelihood.Model()]}, list("ABC")), "lnl", places=6)

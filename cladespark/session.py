@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -23,3 +24,15 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._clade_shipped = True
     return spark
+
+
+def saved(df: DataFrame, name: str = "part") -> DataFrame:
+    """df as a table in the shared folder (spark.checkpoint.dir), read again: lineage ends there. Only a local master may leave the folder unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found and not (sc.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(found or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

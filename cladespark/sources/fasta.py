@@ -32,16 +32,20 @@ def parse(text: str, alphabet: Alphabet = DNA) -> list[tuple[str, str]]:
     return list(out.items())
 
 
-def read(spark: SparkSession, path: str, alphabet: Alphabet = DNA) -> DataFrame:
-    """(dataset, tid, label, seq) of FASTA files, one task row for each file."""
+def scan(texts: DataFrame, alphabet: Alphabet = DNA) -> DataFrame:
+    """(dataset, tid, label, seq) of whole texts (dataset, value)."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(f, i, *r) for f, text in zip(pdf["path"], pdf["value"], strict=True) for i, r in enumerate(parse(text, alphabet))]
+            rows = [(f, i, *r) for f, text in zip(pdf["dataset"], pdf["value"], strict=True) for i, r in enumerate(parse(text, alphabet))]
             yield pd.DataFrame(rows, columns=["dataset", "tid", "label", "seq"])
 
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.mapInPandas(run, "dataset string, tid int, label string, seq string")
+    return texts.select("dataset", "value").mapInPandas(run, f"dataset {texts.schema['dataset'].dataType.simpleString()}, tid int, label string, seq string")
+
+
+def read(spark: SparkSession, path: str, alphabet: Alphabet = DNA) -> DataFrame:
+    """(dataset, tid, label, seq) of FASTA files, one task row for each file."""
+    return scan(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("dataset"), "value"), alphabet)
 
 
 def lines(label, seq, width: int = 75):

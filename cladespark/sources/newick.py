@@ -45,6 +45,8 @@ def parse(text: str) -> list[tuple[int, int | None, int, str | None, float, bool
         t = toks[at]
         at += 1
         if t == "(":
+            if rows[here][3] is not None or not rows[here][5] or toks[at - 2 : at - 1] == [")"]:
+                raise ValueError("unexpected '('")
             rows[here][5] = False
             stack.append(here)
             rows.append([len(rows), here, 0, None, 0.0, True])
@@ -129,3 +131,13 @@ def splits(trees: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["tree_id", "split", "length"])
 
     return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {trees.schema['tree_id'].dataType.simpleString()}, split string, length double")
+
+
+def rewrite(trees: DataFrame, how, lengths: bool = True, fmt: str = "%g") -> DataFrame:
+    """(tree_id, newick) with each tree's node rows passed through how; a map, as a tree is one row."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(newick=[render(how(parse(t)), lengths, fmt) for t in pdf["newick"]])
+
+    return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {trees.schema['tree_id'].dataType.simpleString()}, newick string")

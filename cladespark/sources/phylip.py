@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 _LABEL = re.compile(r"[A-Za-z_][\w\-./]*")
 _NUMBER = re.compile(r"[-+]?\d+(\.\d+)?([eE][-+]?\d+)?")
 
@@ -43,3 +47,22 @@ def parse(text: str) -> tuple[list[str], list[tuple[int, int, float]]]:
     else:
         raise ValueError("neither a full, an upper nor a lower matrix")
     return labels, out
+
+
+def scan(texts: DataFrame) -> DataFrame:
+    """(dataset, i, j, label_i, label_j, d) with i < j of whole matrices (dataset, value)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for name, text in zip(pdf["dataset"], pdf["value"], strict=True):
+                labels, cells = parse(text)
+                rows += [(name, i, j, labels[i], labels[j], d) for i, j, d in cells]
+            yield pd.DataFrame(rows, columns=["dataset", "i", "j", "label_i", "label_j", "d"])
+
+    return texts.select("dataset", "value").mapInPandas(run, f"dataset {texts.schema['dataset'].dataType.simpleString()}, i int, j int, label_i string, label_j string, d double")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The matrices of files, one task row for each file."""
+    return scan(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("dataset"), "value"))
