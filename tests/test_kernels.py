@@ -7,9 +7,9 @@ import pytest
 
 from cladespark.functions.alphabet import DNA, Alphabet
 from cladespark.operators.distance import kimura_dna, log_det, pair_matrix
-from cladespark.operators.joining import neighbor_joining, relaxed_joining
+from cladespark.operators.joining import neighbor_joining, relaxed, relaxed_joining
 from cladespark.operators.likelihood import Model, site_lnl
-from cladespark.operators.trees import canonize, collapse, deroot
+from cladespark.operators.trees import canonize, collapse, deroot, rebase
 from cladespark.sources import fasta, newick, phylip
 
 
@@ -60,8 +60,24 @@ def test_joining(how):
         assert shape(how(d[np.ix_(p, p)], ["ABCDEFGH"[i] for i in p])) == want
 
 
+def test_labels_of_joined_trees_are_quoted_and_additivity_is_told():
+    d = matrix(4, [8, 7, 12, 9, 14, 11])
+    names = ["a (x)", "b_c", "d e", "f"]
+    for text in (neighbor_joining(d, names), relaxed_joining(d, names)):
+        assert {r[3] for r in newick.parse(text) if r[5]} == set(names)
+    assert relaxed(d, names)[1]
+    rng = np.random.default_rng(3)
+    p = rng.random((30, 2))
+    far = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    text, additive = relaxed(far, [f"t{i}" for i in range(30)])
+    assert not additive and len({r[3] for r in newick.parse(text) if r[5]}) == 30
+    assert relaxed(far, [f"t{i}" for i in range(30)], np.random.default_rng(1))[0].count(",") == 29
+
+
+# A five-taxon tree and its alignment with published likelihoods.
 FIVE = "(A:0.1,B:0.1,(C:0.25,(D:0.2,E:0.3):0.1):0.4);"
-COLUMNS = ["ACCGG", "TTAAT", "AATTR"]
+ROWS = ["ATA", "CTA", "CAT", "GAT", "GTR"]
+COLUMNS = ["".join(c) for c in zip(*ROWS, strict=True)]
 
 
 def test_likelihood():
@@ -83,7 +99,7 @@ def test_invariant_sites(p, want):
 def test_newick():
     assert newick.render(newick.parse("(A,'B B','C''C');")) == "(A,B_B,'C''C');".replace("B_B", "B_B")
     assert newick.render(newick.parse("[x[y]](A_B:1e2 , (C,D)e:-.5)".replace("-.5", "-0.5") + ";"), lengths=True, fmt="%g") == "(A_B:100,(C:0,D:0)e:-0.5);"
-    for bad in ("(A:42.);", "(A,B;", "(A B);", "(A,B)", "A);"):
+    for bad in ("(A:42.);", "(A,B;", "(A B);", "(A,B)", "A);", "(c:2,b:1,a (x):1);", "((A,B)(C,D));"):
         with pytest.raises(ValueError):
             newick.parse(bad)
 
@@ -95,6 +111,15 @@ def test_trees():
     assert shape(newick.render(deroot(newick.parse("(A:3,(B:1,C:2):3);")), lengths=True)) == shape("(A:6,B:1,C:2);")
 
 
+def test_rebase():
+    text = "(B:1,((D:2,A:3):4,C:5):6);"
+    got = rebase(newick.parse(text))
+    assert newick.render(got, lengths=True, fmt="%g").startswith("(A:3,") and shape(newick.render(got, lengths=True)) == shape(text)
+    assert shape(newick.render(rebase(newick.parse(text), "C"), lengths=True)) == shape(text)
+    with pytest.raises(ValueError):
+        rebase(newick.parse(text), "Z")
+
+
 def test_fasta_and_phylip():
     assert fasta.parse(">a_b note\nAC GT\n\nNN\n>c\n-\n") == [("a b", "ACGTNN"), ("c", "-")]
     for bad in (">", "> x\nA", ">a\n>b\nA", ">a\nZ"):
