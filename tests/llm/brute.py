@@ -37,6 +37,89 @@ def base_statistics(text):
     return len("".join(w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit), len(w), failed
 
 
+def mahalanobis(rows, q):
+    """{id: squared robust distance} of (id, group, statistics, failed) by the settings of the module q."""
+    import numpy as np
+
+    floors, p = np.array(q.FLOORS), len(q.FLOORS)
+
+    def edge(values, share, bins):
+        at, n = np.unique(np.floor(values * bins), return_counts=True)
+        return (at[np.searchsorted(np.cumsum(n), share * len(values))] + 1) / bins
+
+    def estimate(x):
+        return x.mean(0), np.linalg.cholesky(np.cov(x.T, bias=True).reshape(p, p) + np.diag(floors**2))
+
+    def far(x, est):
+        z = np.linalg.solve(est[1], (x - est[0]).T)
+        return (z**2).sum(0)
+
+    logdet = lambda est: 2 * np.log(np.diag(est[1])).sum()
+    groups = {}
+    for _, g, x, failed in rows:
+        if not failed:
+            groups.setdefault(g, []).append(x)
+            groups.setdefault(None, []).append(x)
+    groups = {g: np.array(x) for g, x in groups.items()}
+    now = {}
+    for g, x in groups.items():
+        qs = np.array([[edge(x[:, k], s, 200.0) for s in (0.25, 0.5, 0.75)] for k in range(p)])
+        mid, scale = qs[:, 1], np.maximum((qs[:, 2] - qs[:, 0]) / 1.349, floors)
+        z = (x - mid) / scale
+        unit = z / np.maximum(np.sqrt((z**2).sum(1)), 1e-9)[:, None] * np.sqrt(p) * scale
+        now |= {(g, 0): (mid, np.diag(scale)), (g, 1): estimate(x), (g, 2): (mid, estimate(unit)[1])}
+    for step in range(q.STEPS):
+        nxt = {}
+        for (g, k), est in now.items():
+            spread = np.log1p(far(groups[g], est))
+            nxt[g, k] = estimate(groups[g][spread <= edge(spread, q.SUBSET, 64.0)])
+        fall = max(logdet(now[k]) - logdet(nxt[k]) for k in now)
+        now = nxt
+        if step and fall < q.FALL:
+            break
+    best = {g: now[g, min((logdet(now[g, k]), k) for k in range(3))[1]] for g in groups}
+    scale = {g: max(np.expm1(edge(np.log1p(far(x, best[g])), 0.5, 256.0)) / q.MEDIAN_CHI2, 0.25) for g, x in groups.items()}
+    drawn = {}
+    for g, x in groups.items():
+        w = 1.0 if g is None else len(x) / (len(x) + q.PRIOR_ROWS)
+        (m, l), (ma, la) = best[g], best[None]
+        cov = w * l @ l.T + (1 - w) * la @ la.T + w * (1 - w) * np.outer(m - ma, m - ma)
+        drawn[g] = (w * m + (1 - w) * ma, np.linalg.cholesky(cov)), w * scale[g] + (1 - w) * scale[None]
+    out = {}
+    for i, g, x, _ in rows:
+        est, s = drawn.get(g, drawn[None])
+        out[i] = far(np.array([x]), est)[0] / s
+    return out
+
+
+def language(text, model, size):
+    """(language, score) of a text by a fitted model's machines."""
+    import numpy as np
+
+    raw = (text or "").translate(_LOWER).encode()
+    kinds = sorted(model["langs"])
+    if not kinds or not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    x = np.zeros(size)
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        x[((a * 2654435 + b * 40503 + c) * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    x = np.sqrt(x) / max(np.sqrt(x.sum()), 1e-12)
+
+    def duel(machines, names):
+        votes, least = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+        for a, b, w in machines:
+            m = 1 / (1 + np.exp(-3.0 * (x @ w[:-1] + w[-1])))
+            votes[a] += (m >= 0.5) + m / 1000
+            votes[b] += (m < 0.5) + (1 - m) / 1000
+            least[a], least[b] = min(least[a], m), min(least[b], 1 - m)
+        best = max(names, key=lambda n: votes[n])
+        return best, least[best]
+
+    fam, v = duel(model["families"], kinds)
+    lang, u = duel(model["langs"][fam], model["only"][fam])
+    return str(lang), v * u
+
+
 def phrase_places(text, phrases):
     """(n_words, n_base, first, last, labels)."""
     w, found, labels = alnum(text), [], set()

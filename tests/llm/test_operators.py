@@ -40,6 +40,16 @@ def test_quality_rules_reject_outliers_and_keep_clean(spark):
     assert not any(got[i]["kept"] for i in range(1000, 1005))
 
 
+def test_distances_of_quality_by_brute_force(spark):
+    """The whole estimate in numpy, from the same statistics."""
+    stats = quality.statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = stats.collect()
+    want = brute.mahalanobis([(r["doc_id"], r["grp"], [r[f"f{i}"] for i in range(5)], r["base_failed"]) for r in rows], quality)
+    got = by_id(quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    assert {i: r["distance"] for i, r in got.items()} == pytest.approx(want, rel=1e-6)
+    assert all(r["kept"] == (not r["base_failed"] and r["distance"] <= quality.CUTOFF) for r in got.values())
+
+
 def test_licenses(docs, rows):
     got = by_id(licenses.scan_licenses(docs))
     for doc_id, text, *_ in rows:
@@ -85,6 +95,14 @@ def test_language_needs_a_letter(spark):
     assert [got[i][0] for i in range(8)] == ["en", "tr"] * 4
 
 
+def test_predictions_by_brute_force(spark):
+    """Features, duels and votes one by one, from the fitted machines."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, docs).collect()}
+    assert got == {r["doc_id"]: (p, pytest.approx(v, abs=1e-3)) for r in docs.collect() for p, v in [brute.language(r["text"], model, langid.FEATURES)]}
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.held_out_predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
@@ -167,6 +185,24 @@ def test_byte_cnn(spark):
     assert got.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_forward_pass_by_brute_force():
+    rng = np.random.default_rng(3)
+    p = {"E": rng.normal(0, 1, (257, bytecnn.DEPTH)), "W": rng.normal(0, 1, (8 * bytecnn.DEPTH, bytecnn.FILTERS)), "b": rng.normal(0, 1, bytecnn.FILTERS)}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    p["E"][0] = 0
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 3, 511, 1300)]
+    x, doc = bytecnn.chunked(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    got = bytecnn.features(x, doc, len(texts), p)
+    for t, mine in zip(texts, got, strict=True):
+        peaks = []
+        for at in range(0, max(len(t) - (bytecnn.CHUNK - bytecnn.STEP), 1), bytecnn.STEP) if t else ():
+            codes = [c + 1 for c in t[at : at + bytecnn.CHUNK]]
+            codes += [0] * (bytecnn.CHUNK - len(codes))
+            peaks.append(np.max([[max(0.0, float(np.concatenate([p["E"][c] for c in codes[i : i + 8]]) @ p["W"][:, f] + p["b"][f])) for f in range(bytecnn.FILTERS)] for i in range(0, bytecnn.CHUNK - 7, 4)], axis=0))
+        want = np.concatenate((np.mean(peaks, 0), np.max(peaks, 0))) if peaks else np.zeros(2 * bytecnn.FILTERS)
+        assert mine == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
 def test_chunks_cover_whole_texts():
     rng = np.random.default_rng(1)
     sizes = [0, 1, 8, 511, 512, 513, 5000]

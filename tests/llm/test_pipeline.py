@@ -39,3 +39,17 @@ def test_stages(spark):
             want = {i: t for i, t in before.items() if not brute.decontaminate(t, items)[2]}
         assert now == want, name
         assert now
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, nothing):
+    """Nulls, empty and long texts, repeated rows, ties, columns with names that operators use inside."""
+    odd = docs.union(docs.where("doc_id % 5 = 0")).union(docs.where("doc_id % 11 = 0").selectExpr("null as doc_id", *docs.columns[1:]))
+    for table in (odd, nothing):
+        now = table.drop("n_chars")
+        for name, stage in corpus_pipeline.STAGES:
+            out = stash(stage(spark, now, DATA), name)
+            if name != "best_fit_packing":
+                assert out.columns == now.columns and out.count() <= now.count()
+                now = out
+            else:
+                assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in now.collect()}
