@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import remainder, sized
 from .words import slices
 
@@ -154,6 +155,7 @@ def _score(model):
 
 def classify(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, score (0 to 1) and predicted of each row of docs, by a network fitted on train_docs with labels (doc_id, label)."""
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(train_docs, labels, sample, epochs))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(_score(model), f"doc_id {kind}, score double")

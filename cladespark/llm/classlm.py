@@ -25,8 +25,7 @@ the driver is bounded: FREQUENT words, and classes x classes sums.
 
 Null text is an empty text: one end token. Rows with equal doc_id, and null ids, get a row
 each, and each its own sums; ids may be of any type. Without training text all counts are
-0. Extra columns are ignored. Call cladespark.session.ship() first where executors don't
-have this package.
+0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import discard, remainder, stash
 from .words import Slice, Words, signed, slices, words
 
@@ -625,6 +625,7 @@ def _learned(text: DataFrame, vocab: DataFrame, tops, n_words: int) -> tuple[Dat
 
 def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the class model), in log10, of each row of docs."""
+    ship(docs.sparkSession)
     text = train.select("text")
     vocab = stash(text.mapInArrow(_count, "h long, shape int, n long").groupBy("h").agg(F.sum("n").alias("c"), F.first("shape").alias("shape")), "vocab")
     whole = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h") == int(END), F.col("c"))).alias("ends")).first()

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import remainder
 from .words import _LOWER, slices
 
@@ -92,6 +93,7 @@ def _one_versus_one(x: np.ndarray, names: np.ndarray) -> list[tuple[str, str, np
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> dict:
     """The machines, from rows of docs with text and lang."""
+    ship(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:

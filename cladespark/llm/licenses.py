@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .words import code_of, slices, words
 
 #: Fixed phrases and their labels.
@@ -218,6 +219,7 @@ def _scan(phrases: dict, templates: tuple):
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score (share of words in matches) of each row."""
+    ship(docs.sparkSession)
     flat = tuple((label, t) for label, ts in (TEMPLATES if templates is None else templates).items() for t in ts)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

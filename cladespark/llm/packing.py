@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import discard, stash
 from .words import mix, segments, slices
 
@@ -189,7 +190,7 @@ def _seated(plan):
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each row of docs."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     pieces = stash(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, length), schema), "pieces")

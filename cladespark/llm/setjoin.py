@@ -25,8 +25,7 @@ whole sets. The result is exact for links between different texts' classes.
 
 Null or empty text: an empty set, linked with nothing, its own class. A doc_id may be of
 any type that has an order. Rows that repeat a doc_id are judged by their own texts; a null
-doc_id is kept, with a null class. Extra columns are ignored. Call
-cladespark.session.ship() first where executors don't have this package.
+doc_id is kept, with a null class. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import ROW, components, discard, row_key, stash, with_ids, without_ids
 from .words import mix, signed, slices, words
 
@@ -289,6 +289,7 @@ class _Join:
     """Text classes of docs, (id, rep, n, sid, sid2), and their index."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
+        ship(docs.sparkSession)
         self.docs, self.k, self.percent = docs.select("doc_id", "text"), k, percent
         kind = docs.schema["doc_id"].dataType.simpleString()
         self.every = stash(self.docs.mapInArrow(_count(k), f"doc_id {kind}, n long, sid long, sid2 long, part int, counts binary"), "sets")

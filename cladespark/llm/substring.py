@@ -16,8 +16,6 @@ Null or empty text: no words. Texts of fewer than WINDOW words keep all. A doc_i
 any type that has an order. Rows that repeat a doc_id are texts of their own in the result;
 their spans are taken as those of one document. A null doc_id keeps all words and takes
 none from others. Extra columns are kept by remove_repeats() and ignored by repeats().
-
-Call cladespark.session.ship() first where executors don't have this package.
 """
 
 from __future__ import annotations
@@ -30,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import discard, sized, stash, with_ids, without_ids
 from .words import Words, signed, slices, words
 
@@ -136,7 +135,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     """Whole copies (doc_id of texts of window words or more that an earlier document has), and spans (doc_id, spans array<struct<start, end>>) of words covered by windows that start earlier."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     info = stash(docs.mapInArrow(_digest, f"doc_id {kind}, n long, seq long, seq2 long").where(f"n >= {window}"), "info")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .shared import stash
 
 #: Fixed rules: (verdict, host, path).
@@ -180,6 +181,7 @@ def labelled(universe: DataFrame, labels=LISTED_LABELS) -> DataFrame:
 
 def filter_urls(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of each row of pages; listed: the table of listed keys, hosts or domains, in a column key (none: those of LISTED_LABELS)."""
+    ship(pages.sparkSession)
     universe = stash(universe_of(pages), "keys")
     levels, clashes = build_cascade(universe, labelled(universe) if listed is None else listed)
     host, path = host_and_path("url")
