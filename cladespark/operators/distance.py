@@ -15,6 +15,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .ordering import ranked
 
 EPSILON = 1.1920928955078125e-07
@@ -32,6 +33,7 @@ def _spread(v: list, states: int, score_gaps: bool) -> np.ndarray:
 
 def block_pairs(rows: DataFrame, how: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], columns: str, states: int = 4, score_gaps: bool = True) -> DataFrame:
     """(i, j, columns) for i < j of rows (tid, v array<int>); how gets two blocks of spread codes and returns a taxa x taxa matrix for each column."""
+    ship(rows.sparkSession)
     blocks = max(1, -(-rows.count() // BLOCK))
     own = F.pmod(F.xxhash64("tid"), F.lit(blocks))
     keyed = rows.select("tid", "v", own.cast("int").alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

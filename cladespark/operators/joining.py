@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from ..sources.newick import label
 
 #: Two float32 distances within so many units in the last place are equal.
@@ -150,6 +151,7 @@ def trees(dists: DataFrame, kind: str = "nj", keys: tuple[str, ...] = ("dataset"
 
     A group is one whole matrix; 10,000 taxa are 400 MB, beyond which a matrix doesn't fit a task.
     """
+    ship(dists.sparkSession)
     how = {"nj": neighbor_joining, "rnj": relaxed}[kind]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
+from ..session import ship
 from ..sources.newick import parse
 
 
@@ -159,7 +160,7 @@ def site_lnl(tree: str, taxa: list[str], patterns: list[str], models: list[Model
 
 def lnl(patterns: DataFrame, tree: str, taxa: list[str], models: list[Model], alphabet: Alphabet = DNA) -> DataFrame:
     """(pattern, freq, lnl) of (pattern, freq): lnl is the pattern's, times freq. Sum it for the tree's."""
-    parts = patterns.sparkSession.sparkContext.broadcast(components(models))
+    parts = ship(patterns.sparkSession).sparkContext.broadcast(components(models))
 
     def run(batches):
         for pdf in batches:
@@ -176,7 +177,7 @@ def tree_lnl(patterns: DataFrame, trees: DataFrame, models: dict[str, list[Model
     """
     import pandas as pd
 
-    made = patterns.sparkSession.sparkContext.broadcast({k: components(v) for k, v in models.items()})
+    made = ship(patterns.sparkSession).sparkContext.broadcast({k: components(v) for k, v in models.items()})
 
     def run(batches):
         for pdf in batches:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import saved, ship
 
 
 def _placed(total: bool):
@@ -46,6 +46,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], rank: str = "ran
     tasks; places start from the counts of the ranges before. The order should tell all
     rows of a key apart. A null in value counts as 0.
     """
+    ship(df.sparkSession)
     h = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
     rows = df.withColumn("_h", h)
     if value is not None:

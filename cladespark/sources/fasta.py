@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
+from ..session import ship
 
 
 def parse(text: str, alphabet: Alphabet = DNA) -> list[tuple[str, str]]:
@@ -40,6 +41,7 @@ def scan(texts: DataFrame, alphabet: Alphabet = DNA) -> DataFrame:
             rows = [(f, i, *r) for f, text in zip(pdf["dataset"], pdf["value"], strict=True) for i, r in enumerate(parse(text, alphabet))]
             yield pd.DataFrame(rows, columns=["dataset", "tid", "label", "seq"])
 
+    ship(texts.sparkSession)
     return texts.select("dataset", "value").mapInPandas(run, f"dataset {texts.schema['dataset'].dataType.simpleString()}, tid int, label string, seq string")
 
 

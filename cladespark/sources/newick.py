@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import ship
+
 _TOKEN = re.compile(r"\s+|[(),;:]|'(?:[^']|'')*'|[^\s()\[\]':;,]+")
 _LENGTH = re.compile(r"[-+]?\d+(\.\d+)?([eE][-+]?\d+)?")
 NODES = "node_id int, parent_id int, ord int, taxon string, length double, is_leaf boolean"
@@ -103,6 +105,7 @@ def nodes(trees: DataFrame) -> DataFrame:
             rows = [(t, *r) for t, text in zip(pdf["tree_id"], pdf["newick"], strict=True) for r in parse(text)]
             yield pd.DataFrame(rows, columns=["tree_id", "node_id", "parent_id", "ord", "taxon", "length", "is_leaf"]).astype({"parent_id": "Int32"})
 
+    ship(trees.sparkSession)
     return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {trees.schema['tree_id'].dataType.simpleString()}, {NODES}")
 
 
@@ -130,6 +133,7 @@ def splits(trees: DataFrame) -> DataFrame:
                 out += [(t, s, v) for s, v in found.items()]
             yield pd.DataFrame(out, columns=["tree_id", "split", "length"])
 
+    ship(trees.sparkSession)
     return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {trees.schema['tree_id'].dataType.simpleString()}, split string, length double")
 
 
@@ -140,4 +144,5 @@ def rewrite(trees: DataFrame, how, lengths: bool = True, fmt: str = "%g") -> Dat
         for pdf in batches:
             yield pdf.assign(newick=[render(how(parse(t)), lengths, fmt) for t in pdf["newick"]])
 
+    ship(trees.sparkSession)
     return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {trees.schema['tree_id'].dataType.simpleString()}, newick string")

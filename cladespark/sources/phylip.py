@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _LABEL = re.compile(r"[A-Za-z_][\w\-./]*")
 _NUMBER = re.compile(r"[-+]?\d+(\.\d+)?([eE][-+]?\d+)?")
 
@@ -60,6 +62,7 @@ def scan(texts: DataFrame) -> DataFrame:
                 rows += [(name, i, j, labels[i], labels[j], d) for i, j, d in cells]
             yield pd.DataFrame(rows, columns=["dataset", "i", "j", "label_i", "label_j", "d"])
 
+    ship(texts.sparkSession)
     return texts.select("dataset", "value").mapInPandas(run, f"dataset {texts.schema['dataset'].dataType.simpleString()}, i int, j int, label_i string, label_j string, d double")
 
 
