@@ -43,7 +43,7 @@ from .shared import ROW, components, discard, row_key, stash, with_ids, without_
 from .words import mix, signed, slices, words
 
 #: Buckets of the sketch that orders tokens (a fixed 4 MB for each task, 8 MB broadcast), and of a set's signature.
-SKETCH, BUCKETS = 1 << 20, 64
+SKETCH, BUCKETS = 1 << 20, 128
 _PART = 1 << 12
 #: Sketches that are added at a time; rows of a block of a list.
 FAN, BLOCK_ROWS = 32, 8192
@@ -157,17 +157,27 @@ def apart(n, m, percent: int):
     return n + m - 2 * overlap_needed(n, m, percent)
 
 
-def _cross(percent: int):
+def _nearest(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the best of one of their two sets."""
+    who, at = np.concatenate((i, j)), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((-score[at], who))
+    who, at = who[order], at[order]
+    return np.unique(at[np.concatenate(([True], who[1:] != who[:-1]))]) if len(who) else at
+
+
+def _cross(percent: int, nearest: bool):
     """Pairs (a, b, sure) of different classes in each block of a list; sure ones are linked by their differences to one leader.
 
-    Rows come together by list and block, in order of size and position.
+    Rows come together by list and block, in order of size and position. nearest: of each
+    set only the pair with the greatest bound on the overlap, and of each two classes one
+    sure pair; otherwise all.
     """
 
     def pairs(rows: list[np.ndarray]) -> list[np.ndarray]:
         ident, n, pos, comp, home, minor, lead, diff, blk, sig = rows
         sig = np.frombuffer(b"".join(sig.tolist()), np.uint16).reshape(-1, BUCKETS)
         room = n - pos  # tokens from this one on, itself included
-        found: list = [[], [], []]
+        found: list = [[], [], [], []]
         for lo in range(0, len(n), 512):  # a block of probes against the blocks that follow it
             hi = min(lo + 512, len(n))
             last = int(np.searchsorted(n, n[hi - 1] * 100 // percent, "right"))
@@ -186,10 +196,25 @@ def _cross(percent: int):
                     limit, same = apart(n[i], n[j], percent), (lead[i] == lead[j]) & (lead[i] >= 0)
                     sure = same & (diff[i] + diff[j] <= limit)
                     fits = ~same | (np.abs(diff[i] - diff[j]) <= limit)
-                    fits &= sure | _bounded(sig[i], sig[j], n[i], n[j], percent)
-                    for col, v in zip(found, (ident[i], ident[j], sure), strict=True):
+                    shared = np.minimum(sig[i], sig[j]).sum(1, dtype=np.int64)
+                    fits &= sure | (shared >= overlap_needed(n[i], n[j], percent)) | (np.minimum(n[i], n[j]) > 65535)
+                    for col, v in zip(found, (i, j, sure, shared / (n[i] + n[j])), strict=True):
                         col.append(v[fits])
-        return [np.concatenate(x) for x in found] if found[0] else [ident[:0], ident[:0], np.zeros(0, bool)]
+                if nearest and sum(map(len, found[0])) > 1 << 18:
+                    found = [[v] for v in best(found, comp)]
+        if not found[0]:
+            return [ident[:0], ident[:0], np.zeros(0, bool)]
+        i, j, sure, _ = best(found, comp) if nearest else [np.concatenate(x) for x in found]
+        return [ident[i], ident[j], sure]
+
+    def best(found: list, comp: np.ndarray) -> list[np.ndarray]:
+        i, j, sure, score = (np.concatenate(x) for x in found)
+        low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+        at = np.flatnonzero(sure)
+        one = at[np.unique(np.stack((low[at], high[at])), axis=1, return_index=True)[1]] if len(at) else at
+        rest = np.flatnonzero(~sure)
+        keep = np.concatenate((one, rest[_nearest(i[rest], j[rest], score[rest])]))
+        return [i[keep], j[keep], sure[keep], score[keep]]
 
     names = ("tok", "size", "id", "n", "pos", "comp", "home", "minor", "lead", "diff", "blk", "sig")
 
@@ -340,8 +365,23 @@ class _Join:
         near = rows.repartitionByRange(parts, "tok", "n", "id").sortWithinPartitions("tok", "n", "id").mapInArrow(_neighbours(percent), "a long, b long").distinct()
         near = self.verify(near.join(seen(star), ["a", "b"], "left_anti"))
         ok = ok.union(near.where("ok").select("a", "b"))
-        rows, second = classed(ok)
-        # What is left: sets of one size class with each other and with those of the class below.
+        # What is left: sets of one size class with each other and with those of the class below. First each set's nearest, which joins
+        # most classes that belong together; then all pairs of classes that are still different.
+        scratch = [lists, leads, first]
+        for nearest in (True, False):
+            rows, known = classed(ok)
+            pairs, left = self._crossed(rows, leads, nearest)
+            rest = stash(pairs.join(seen(star, near), ["a", "b"], "left_anti"), "pairs")
+            more = self.verify(rest.where("not sure").select("a", "b"))
+            ok = stash(ok.union(rest.where("sure").select("a", "b")).union(more.where("ok").select("a", "b")), "links")
+            near = near.select("a", "b").union(more.select("a", "b"))
+            scratch += [known, left, rest]
+        discard(*scratch)
+        return ok
+
+    def _crossed(self, rows: DataFrame, leads: DataFrame, nearest: bool) -> tuple[DataFrame, DataFrame]:
+        """(a, b, sure) of sets of different classes in one list, and the table of lists that they come from."""
+        percent = self.percent
         size = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")).cast("long")
         mixed = rows.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
         left = stash(rows.join(mixed, "tok"), "left")
@@ -352,13 +392,9 @@ class _Join:
         rows = rows.join(whole, ["tok", "size"]).withColumn("minor", F.col("comp") != F.col("most"))
         blocks = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.hash("id"), "blocks")))
         rows = rows.select("tok", "size", "id", "n", "pos", "comp", "home", "minor", F.explode(blocks).alias("blk"))
-        rows = rows.join(index.select("id", "sig"), "id").join(leads, "id", "left").withColumns({"lead": F.coalesce("lead", F.lit(-1).cast("long")), "diff": F.coalesce("diff", F.lit(0).cast("long"))})
+        rows = rows.join(self.index.select("id", "sig"), "id").join(leads, "id", "left").withColumns({"lead": F.coalesce("lead", F.lit(-1).cast("long")), "diff": F.coalesce("diff", F.lit(0).cast("long"))})
         rows = rows.repartition("tok", "size", "blk").sortWithinPartitions("tok", "size", "blk", "n", "pos", "id")
-        rest = stash(rows.mapInArrow(_cross(percent), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")).join(seen(star, near), ["a", "b"], "left_anti"), "pairs")
-        more = self.verify(rest.where("not sure").select("a", "b"))
-        out = stash(ok.union(rest.where("sure").select("a", "b")).union(more.where("ok").select("a", "b")), "links")
-        discard(lists, star, near, leads, first, second, left, rest, more)
-        return out
+        return rows.mapInArrow(_cross(percent, nearest), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), left
 
 
 def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
