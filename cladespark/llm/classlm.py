@@ -505,7 +505,7 @@ def _score(model):
                 pair = (pair // base // base, pair // base % base, pair % base)
                 cut2 = np.searchsorted(pair[0], np.arange(rows + 1)).astype(np.int32)
                 yield _table(
-                    doc_id=batch.column("doc_id").slice(s.lo, rows), n_tokens=w.counts + 1, n_known=np.bincount(row, seen[inverse], rows).astype(np.int64), base=np.bincount(row, of(m["base"]), rows), score=score,
+                    doc_id=batch.column("doc_id").slice(s.lo, rows), n_tokens=w.counts + 1, n_known=np.bincount(row, seen[inverse], rows).astype(np.int64), base=np.bincount(row, of(m["base"]), rows).astype(float), score=score.astype(float),
                     h=part(h[word], cut), shape=part(shape[word].astype(np.int32), cut), data=part(lists, cut),
                     a=part(h[pair[1]], cut2), b=part(h[pair[2]], cut2), sa=part(shape[pair[1]].astype(np.int32), cut2), sb=part(shape[pair[2]].astype(np.int32), cut2), n=part(n2.astype(np.int64), cut2),
                 )
@@ -535,7 +535,7 @@ def _rest(model):
             value[out] = m["steps"][cls[out], what[out] - 1]
             value[inn] = m["steps"][what[inn] - 1 - K, cls[inn]]
             rid, where = np.unique(batch.column("rid").to_numpy(), return_inverse=True)
-            sums = lambda x: np.bincount(where[at], x, len(rid))
+            sums = lambda x: np.bincount(where[at], x, len(rid)).astype(float)
             yield _table(rid=rid, tk=sums(np.where(own & (c[at] > 0), n, 0)).astype(np.int64), tb=sums(np.where(own, n * (log[at] - m["below"]), 0.0)), ts=sums(n * value))
 
     return run
@@ -552,7 +552,7 @@ def _rest_pairs(model):
             col = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
             rid, where = np.unique(col("rid"), return_inverse=True)
             none = np.zeros(len(rid))
-            yield _table(rid=rid, tk=none.astype(np.int64), tb=none, ts=np.bincount(where, col("n") * steps[col("ca"), col("cb")], len(rid)))
+            yield _table(rid=rid, tk=none.astype(np.int64), tb=none, ts=np.bincount(where, col("n") * steps[col("ca"), col("cb")], len(rid)).astype(float))
 
     return run
 

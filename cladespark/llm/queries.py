@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .bytecnn import held_out_quality
 from .classlm import held_out_scores
+from .collocations import collocations
 from .decontam import decontaminate
 from .langid import held_out_predictions
 from .licenses import scan_licenses
+from .mixing import shares
 from .packing import pack
 from .quality import quality_rules
+from .search import search
 from .setjoin import jaccard_classes
 from .substring import dedup_substrings
 from .urlfilter import LISTED_LABELS, filter_urls
@@ -69,11 +72,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_class_lm, op5_byte_cnn, op6_best_fit_packing, op7_url_filter, op8_decontamination, op9_jaccard_join, op10_substring_dedup)}
+def op11_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(_table(spark, sf_dir, "documents")).drop("source")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_class_lm, op5_byte_cnn, op6_best_fit_packing, op7_url_filter, op8_decontamination, op9_jaccard_join, op10_substring_dedup, op11_weighted_mix, op12_collocations, op13_ranked_search)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WHITE = r"[\x20\x09-\x0D]+"
+_ENDS, _BLANK = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
 
 def _words(text: str, lower: bool, pattern: str) -> str:
@@ -129,4 +145,27 @@ k AS (SELECT w.doc_id, count(*) AS n_words, count(gone.p) AS n_removed, string_a
     FROM w LEFT JOIN gone USING (doc_id, p) GROUP BY w.doc_id)
 SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op12_collocations": f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_ENDS}')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '{_BLANK}'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS ws FROM p, unnest([1, 2, 3]) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+f AS (SELECT lang, k, phrase, any_value(ws) AS ws, count(*) AS n FROM g GROUP BY 1, 2, 3),
+tot AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE k > 1 AND n >= 10),
+q AS (SELECT c.lang, c.phrase, c.k, c.n AS a, j, x.n AS l, y.n AS r, CAST(1000000::HUGEINT * c.n * c.n // (x.n::HUGEINT * y.n) AS BIGINT) AS score FROM c, unnest(range(1, c.k)) AS t(j)
+    JOIN f AS x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(c.ws[1:j], ' ') JOIN f AS y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(c.ws[j + 1:], ' ')),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+s AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(n) AS most FROM c, unnest([1, 2]) AS t(i) WHERE k = 3 GROUP BY 1, 2),
+kept AS (SELECT b.* FROM b LEFT JOIN s ON s.lang = b.lang AND s.phrase = b.phrase AND b.k = 2 WHERE s.most IS NULL OR 100 * s.most < 50 * b.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, tot.n, score
+FROM kept JOIN tot ON tot.lang = kept.lang QUALIFY rank <= 2000""",
+    "op13_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words("text", True, _ALNUM)} AS w FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+t AS (SELECT rid, doc_id, len(w) AS size, term, count(*) AS tf FROM (SELECT rid, doc_id, w, unnest(w) AS term FROM d) GROUP BY 1, 2, 3, 4),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_words("text", True, _ALNUM)}) AS term FROM benchmark) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+i AS (SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * n) // total))) AS impact FROM t JOIN w USING (term), s),
+r AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY item_id, rid, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10""",
 }

@@ -20,8 +20,13 @@ _WHITE = np.ones(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = False
 _ALNUM = np.zeros(256, bool)
 _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
-#: Word bytes: all but white space, or digits, a-z and everything outside ASCII.
-CLASSES = {"white": _WHITE, "alnum": _ALNUM}
+#: Bytes that end a piece of running text.
+ENDS = np.zeros(256, bool)
+ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+_PHRASE = ~ENDS
+_PHRASE[[0x20, 0x09]] = False
+#: Word bytes: all but white space; digits, a-z and everything outside ASCII; or all but blanks and ends of pieces.
+CLASSES = {"white": _WHITE, "alnum": _ALNUM, "phrase": _PHRASE}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -201,3 +206,46 @@ def code_of(word: str) -> int:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def count_words(s: Slice, kind: str = "white") -> np.ndarray:
+    """Words of each row, without their hashes."""
+    n, table, total = len(s.data), CLASSES[kind], np.zeros(len(s.offsets) - 1, np.int64)
+    for lo in range(0, n, 4 * _STEP):
+        hi = min(lo + 4 * _STEP, n)
+        inside = table[s.data[lo:hi]]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        if lo and table[s.data[lo - 1]]:
+            first[0] = False
+        edge = s.offsets[(s.offsets >= lo) & (s.offsets < hi)] - lo
+        first[edge] = inside[edge]
+        upto = np.concatenate(([0], np.cumsum(first)))
+        total += np.diff(upto[np.clip(s.offsets - lo, 0, hi - lo)])
+    return total
+
+
+def parts(s: Slice, kind: str, lower: bool = False, limit: int = _SLICE, context: int = 0) -> Iterator[tuple[Slice, int]]:
+    """A slice as it is, or one long text in parts of about limit bytes, cut where no word is; and how many of a part's first bytes only repeat the context words before it."""
+    n, table = len(s.data), CLASSES[kind]
+    if n <= limit or len(s.offsets) != 2:
+        yield s, 0
+        return
+    word = lambda lo, hi: table[_LOWER[s.data[lo:hi]] if lower else s.data[lo:hi]]
+    lo = before = 0
+    while lo < n:
+        hi = min(lo + limit, n)
+        while hi < n:
+            out = np.flatnonzero(~word(lo, hi))
+            if len(out):
+                hi = lo + int(out[-1]) + 1
+                break
+            hi = min(hi + limit, n)  # a word longer than the limit
+        yield Slice(s.lo, s.hi, s.data[before:hi], np.array([0, hi - before])), lo - before
+        if context:
+            inside = word(before, hi)
+            first = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
+            before = before + int(first[-context]) if len(first) >= context else before
+        else:
+            before = hi
+        lo = hi

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladespark.llm import bytecnn, classlm, langid, licenses, packing, quality, setjoin, substring, urlfilter
+from cladespark.llm import bytecnn, classlm, collocations, langid, licenses, mixing, packing, quality, search, setjoin, substring, urlfilter
 from cladespark.llm.decontam import decontaminate, without_contaminated
 from cladespark.llm.queries import tokenizer_path
 from cladespark.llm.shared import components
@@ -378,7 +378,14 @@ OPERATORS = {
     "keep_one": (setjoin.keep_one, 0),
     "substrings": (substring.dedup_substrings, 0),
     "remove_repeats": (substring.remove_repeats, 0),
+    "shares": (mixing.shares, 0),
+    "mixed": (mixing.mixed, 0),
+    "collocations": (collocations.collocations, 0),
+    "search": (lambda d: search.search(d, d.sparkSession.createDataFrame(ITEMS, "item_id long, text string")), 0),
+    "no_queries": (lambda d: search.search(d, d.sparkSession.createDataFrame([], "item_id long, text string")), 0),
 }
+#: Operators whose rows aren't those of the input.
+OTHER_ROWS = {"mixed", "collocations", "search", "no_queries"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -386,7 +393,7 @@ def test_empty_table(name, nothing):
     assert OPERATORS[name][0](nothing).count() == 0
 
 
-@pytest.mark.parametrize("name", OPERATORS)
+@pytest.mark.parametrize("name", [x for x in OPERATORS if x not in OTHER_ROWS])
 def test_repeated_rows_and_null_ids(name, spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (1, text), (2, "one two and more words than ten are in this short text"), (None, text), (None, None), (3, "")]
