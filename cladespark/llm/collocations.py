@@ -84,7 +84,7 @@ class Automaton:
 
     def grow(self, live: np.ndarray) -> None:
         """The next level, from those states that are live."""
-        ok = (self.level >= 0) & live[self.level]
+        ok = np.append(live, False)[self.level]  # level -1: the last, no state
         at = np.flatnonzero(ok[1:] & ok[:-1] & self.same[1:]) + 1
         pair = self.level[at - 1] * len(self.first) + self.level[at]
         _, first, level = np.unique(pair, return_index=True, return_inverse=True)

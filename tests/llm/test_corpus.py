@@ -95,10 +95,13 @@ def plain_collocations(rows, longest, least, top):
             total[lang] += len(w)
             grams.update((lang, *w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
     often = {g: n for g, n in grams.items() if n >= least and len(g) > 2}
-    out = {}
+    out, most = {}, Counter()
+    for (lang, *w), n in often.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                most[(lang, *w[i : i + k])] = max(most[(lang, *w[i : i + k])], n)
     for (lang, *w), a in often.items():
-        inside = any(100 * n >= 50 * a and x[0] == lang and len(x) > len(w) + 1 and any(list(x[1 + i : 1 + i + len(w)]) == w for i in range(len(x) - len(w))) for x, n in often.items() if len(x) > len(w) + 1)
-        if not inside:
+        if 100 * most[(lang, *w)] < 50 * a:
             score, k = min((1000000 * a * a // (grams[(lang, *w[:k])] * grams[(lang, *w[k:])]), k) for k in range(1, len(w)))
             out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), a, grams[(lang, *w[:k])], grams[(lang, *w[k:])], total[lang]))
     return {(lang, i + 1, p.decode(), a, l, r, n, -s) for lang, x in out.items() for i, (s, _, p, a, l, r, n) in enumerate(sorted(x)[:top])}  # noqa: E741
