@@ -13,13 +13,15 @@ first so many pieces go to the first so many sequences of the run), the gaps are
 in bulk, and the rest repeats with the next gap or opens new sequences. The outcome is
 that of best-fit decreasing over all pieces. Each piece then finds its sequence by length and rank.
 
-Null text is empty: its one token is the end id. Rows with equal doc_id are packed each.
+Null text is empty: its one token is the end id. Strings of the file's added tokens, such as its end
+mark, become that token, as tokenizers has it. Rows with equal doc_id are packed each.
 Empty input gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .shared import discard, stash
-from .words import mix, segments, slices
+from .words import Slice, mix, segments, slices
 
 LENGTH = 2048
 _SPACE = np.zeros(256, bool)
@@ -42,17 +44,18 @@ _SPACE[[0x20, *range(0x09, 0x0E), 0x1C, 0x1D, 0x1E, 0x1F]] = True
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """The byte-level BPE of a tokenizers file, as merge ranks: the same ids, several times as fast."""
+    """The byte-level BPE of a tokenizers file, as merge ranks: the same ids, several times as fast. And the file's added tokens: whole by themselves wherever a text has them."""
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], {t["content"].encode(): t["id"] for t in file["added_tokens"]}
     # The file spells bytes as printable characters: itself where printable, else from 256 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spelled = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(spelled[c] for c in w): i for w, i in vocab.items() if all(c in spelled for c in w) and w != "<|endoftext|>"}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(spelled[c] for c in w): i for w, i in vocab.items() if all(c in spelled for c in w) and w.encode() not in added}
+    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -69,17 +72,26 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate((at[ok], offsets[:-1][offsets[:-1] < n])))
 
 
+def _added(s: Slice, raw: bytes, added: dict[bytes, int]) -> np.ndarray:
+    """Where added tokens start and end."""
+    if not any(t in raw for t in added):
+        return np.zeros(0, np.int64)
+    form = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+    return np.array([s.offsets[i] + x for i in range(s.hi - s.lo) for m in form.finditer(s.text(i)) for x in m.span()], np.int64)
+
+
 def encode(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text; each distinct unit of a run of texts is encoded once."""
-    enc = _encoder(path)
+    enc, added = _encoder(path)
     for s in slices(column, 1 << 20):
-        data = s.data
+        data, raw = s.data, s.data.tobytes()
         start = _units(data, s.offsets)
+        cut = _added(s, raw, added)
+        start = np.union1d(start, cut[cut < len(data)]) if len(cut) else start
         end = np.concatenate((start[1:], [len(data)])) if len(start) else start
         key = mix(segments(data, start, end) + (end - start).astype(np.uint64))
         _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        ids = [enc.encode_ordinary(raw[a:b].decode()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        ids = [[added[raw[a:b]]] if raw[a:b] in added else enc.encode_ordinary(raw[a:b].decode()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
         first = np.cumsum(size) - size
