@@ -13,9 +13,10 @@ copies of an earlier one are settled first, so large groups of copies cost nothi
 Windows, and whole copies, are compared by two independent hashes, 96 and 128 bits together.
 
 Null or empty text: no words. Texts of fewer than WINDOW words keep all. A doc_id may be of
-any type that has an order. Rows that repeat a doc_id are texts of their own in the result;
-their spans are taken as those of one document. A null doc_id keeps all words and takes
-none from others. Extra columns are kept by remove_repeats() and ignored by repeats().
+any type that has an order. Rows that repeat a doc_id with another text are documents of
+their own, in the order of a hash of their texts; rows equal in both are one document. A
+null doc_id keeps all words and takes none from others. Extra columns are kept by
+remove_repeats() and ignored by repeats().
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import discard, sized, stash, with_ids, without_ids
+from .shared import ROW, discard, row_key, stash, with_ids, without_ids
 from .words import Words, signed, slices, words
 
 WINDOW, BLOCK = 20, 10
@@ -132,11 +133,11 @@ def _bitmap(keys: DataFrame, n: int, name: str) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Whole copies (doc_id of texts of window words or more that an earlier document has), and spans (doc_id, spans array<struct<start, end>>) of words covered by windows that start earlier."""
+    """Whole copies (row_key of texts of window words or more that an earlier document has), and spans (row_key, spans array<struct<start, end>>) of words covered by windows that start earlier; both by row_key("text") in a column ROW."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
     spark = ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = docs.where("doc_id is not null and text is not null").select(row_key("text").alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     info = stash(docs.mapInArrow(_digest, f"doc_id {kind}, n long, seq long, seq2 long").where(f"n >= {window}"), "info")
     firsts = info.groupBy("seq", "seq2", "n").agg(F.min("doc_id").alias("doc_id"))
@@ -161,7 +162,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     spans = merged.select("doc_id", F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("start"), (b + window).alias("end"))).alias("spans"))
     spans = stash(spans, "spans")
     discard(around, blocks, anchors, firsts)
-    return copies, spans
+    return copies.withColumnRenamed("doc_id", ROW), spans.withColumnRenamed("doc_id", ROW)
 
 
 #: Names that no column of the input is taken to have.
@@ -221,31 +222,33 @@ def _kept(whole: bool, digest: bool):
     return run
 
 
+def _divided(docs: DataFrame, window: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with repeated words and their spans, rows without any, and whole copies."""
+    copies, spans = repeats(docs, window, block)
+    docs, touched = docs.withColumn(ROW, row_key("text")), spans.select(ROW)
+    part = with_ids(docs, touched, ROW).join(spans.withColumnRenamed("spans", _SPANS), ROW)
+    return part, without_ids(without_ids(docs, copies, ROW), touched, ROW), with_ids(docs, copies, ROW)
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, digest: bool = False) -> DataFrame:
     """Each row of docs with n_words, n_removed and kept: the words left, joined by one space (their SHA-256 with digest, then only doc_id stays of the other columns)."""
-    copies, spans = repeats(docs, window, block)
     docs = docs.select("doc_id", "text") if digest else docs.drop("n_words", "n_removed", "kept")
     cols = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + _SCHEMA
-    touched = spans.select("doc_id")
-    part = with_ids(docs, touched).join(spans.withColumnRenamed("spans", _SPANS), "doc_id")
-    clean = without_ids(without_ids(docs, copies), touched)
-    long_copies = with_ids(docs, copies)
+    part, clean, copies = _divided(docs, window, block)
     out = (
         part.select(*cols, "text", _SPANS).mapInArrow(_kept(False, digest), schema)
         .union(clean.select(*cols, "text").mapInArrow(_kept(False, digest), schema))
-        .union(long_copies.select(*cols, "text").mapInArrow(_kept(True, digest), schema))
+        .union(copies.select(*cols, "text").mapInArrow(_kept(True, digest), schema))
     )
     return out.withColumnsRenamed(dict(zip(_OUT, ("n_words", "n_removed", "kept"), strict=True)))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """docs with repeated words taken out of text; texts without repeats stay as they are, texts with nothing left go."""
-    copies, spans = repeats(docs, window, block)
-    touched = spans.select("doc_id")
-    clean = without_ids(without_ids(docs, copies), touched)
+    part, clean, _ = _divided(docs, window, block)
     cols = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + _SCHEMA
-    part = with_ids(docs, touched).join(spans.withColumnRenamed("spans", _SPANS), "doc_id").select(*cols, "text", _SPANS).mapInArrow(_kept(False, False), schema)
+    part = part.select(*cols, "text", _SPANS).mapInArrow(_kept(False, False), schema)
     part = part.where(F.col(_OUT[2]) != "").drop(*_OUT[:2]).withColumnRenamed(_OUT[2], "text")
-    return clean.unionByName(part.select(*docs.columns))
+    return clean.select(*docs.columns).unionByName(part.select(*docs.columns))

@@ -1,5 +1,6 @@
 """Each operator against its brute-force version, over odd rows and clashing columns; empty tables; repeated rows and null ids."""
 
+import math
 import random
 import re
 
@@ -222,7 +223,6 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     out = packing.pack(docs, tokenizer_path()).collect()
     pieces, seqs = {}, {}
     for r in out:
@@ -248,6 +248,18 @@ def test_packing(docs, rows):
     assert len(seqs) <= brute.best_fit([r["length"] for r in out], packing.LENGTH)
 
 
+def test_ids_of_odd_texts():
+    """Added tokens in a text, next to blanks and to each other, cut in two by the end of a text."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 2, f"x  {mark}  y", f"{mark}tail", "<|endof", "text|> no mark", f"é{mark}\n{mark} z ", "", f" {mark}", "< |endoftext|>", f"\u00a0 {mark} \u2003q"]
+    got = dict(packing.encode(pa.array(texts), tokenizer_path()))
+    assert [got[i].tolist() for i in range(len(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sweep_is_best_fit():
     rng = random.Random(4)
     for _ in range(40):
@@ -364,6 +376,32 @@ def test_substrings(docs, rows):
     assert all(r["text"] == (texts[i] if len(want[i][1]) == want[i][0] else " ".join(want[i][1])) for i, r in left.items())
 
 
+def test_substrings_of_rows_that_repeat_an_id(spark):
+    """A row that shares its id with a copy, or with a row of repeated words, loses nothing that occurs once."""
+    say = lambda a, n: [f"{a}{i}" for i in range(n)]
+    t = say("t", 30)
+    rows = [(1, t), (5, t), (5, say("s", 6)), (5, say("u", 55)), (5, say("v", 5) + t + say("w", 20)), (7, say("u", 40)), (7, say("u", 40)), (9, say("x", 40)), (9, say("x", 40)), (None, t)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    order = dict(zip([r[1] for r in rows], [r[0] for r in spark.createDataFrame([(r[1],) for r in rows], "text string").select(F.xxhash64("text")).collect()], strict=True))
+    distinct = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], order[r[1]]))
+    left = brute.kept_words(list(enumerate(t for _, t in distinct)))
+    want = {r: " ".join(left[k][1]) for k, r in enumerate(distinct)} | {r: r[1] for r in rows if r[0] is None}
+    docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n_words int, _row string")
+    got = substring.dedup_substrings(docs.repartition(3)).collect()
+    assert sorted(str((r["doc_id"], r["kept"])) for r in got) == sorted(str((r[0], want[r])) for r in rows)
+    kept = substring.remove_repeats(docs.repartition(3)).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept) == sorted(str((r[0], want[r])) for r in rows if want[r])
+    assert (5, " ".join(say("s", 6))) in [(r["doc_id"], r["text"]) for r in kept]
+
+
+def test_class_lm_of_blank_slices(spark):
+    """Partitions of null and empty texts only, before and after the training fold."""
+    docs = spark.createDataFrame([(i, "one two three" if i == 40 else (None, "", " \n")[i % 3]) for i in range(41)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    got = by_id(classlm.score_texts(docs, docs))
+    assert len(got) == 41 and all(r["n_tokens"] == (4 if i == 40 else 1) and math.isfinite(r["score"]) for i, r in got.items())
+    assert len(by_id(classlm.score_texts(docs.where("doc_id < 40"), docs.where("doc_id < 40")))) == 40
+
+
 OPERATORS = {
     "quality": (quality.quality_rules, 0),
     "licenses": (licenses.scan_licenses, 0),
