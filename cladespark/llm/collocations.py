@@ -42,7 +42,7 @@ from .words import ENDS, Words, mix, parts, signed, slices, words
 
 LONGEST, LEAST, CUT, TOP = 3, 10, 50, 2000
 #: Bytes of a shard: an automaton takes some 30 times as many.
-SHARD = 4 << 20
+SHARD = 2 << 20
 _KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
