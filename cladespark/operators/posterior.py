@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from .ordering import ranked
 
 
-def burn_in(samples: DataFrame, stride: int = 1) -> DataFrame:
-    """Samples from the default first step on: ((last / stride / 2) + 1) * stride, in whole numbers, with the last step over all runs."""
+def burn_in(samples: DataFrame, stride: int = 1, skip: int | None = None) -> DataFrame:
+    """Samples from the default first step on: ((last / stride / 2) + 1) * stride, in whole numbers, with the last step over all runs. Or those after the first `skip` samples of each run; none left is an error."""
     last = samples.agg(F.max("step").alias("last"))
+    if skip is not None:
+        left = samples.where(F.col("step") >= skip * stride)
+        if left.isEmpty():
+            raise ValueError("the burn-in leaves no samples")
+        return left
     first = ((F.floor(F.floor(F.col("last") / stride) / 2)) + 1) * stride
     return samples.crossJoin(F.broadcast(last)).where(F.col("step") >= first).drop("last")
 
@@ -21,10 +26,12 @@ def _ranked(samples: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def summary(samples: DataFrame, keys: list[str], x: str, alpha: float = 0.05) -> DataFrame:
-    """Credible interval by ranks, mean, population variance and exact median of each key's samples."""
+    """Credible interval and median by ranks, mean and population variance of each key's samples; a null is no sample. Of a key, only sums and single ranks are kept."""
     low = F.floor(F.col("size") * (alpha / 2))
     at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col(x)))
-    return _ranked(samples, keys, x).groupBy(*keys).agg(F.count("*").alias("n"), at(low).alias("min_cred"), at(F.col("size") - 1 - low).alias("max_cred"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"), F.median(x).alias("med"))
+    some = _ranked(samples.where(F.col(x).isNotNull()), keys, x)
+    middle = (at(F.floor((F.col("size") - 1) / 2)) + at(F.floor(F.col("size") / 2))) / 2
+    return some.groupBy(*keys).agg(F.count("*").alias("n"), at(low).alias("min_cred"), at(F.col("size") - 1 - low).alias("max_cred"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"), middle.alias("med"))
 
 
 def coverage(samples: DataFrame, alpha: float = 0.05) -> DataFrame:

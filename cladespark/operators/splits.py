@@ -68,6 +68,43 @@ def robinson_foulds(pairs: DataFrame, splits: DataFrame) -> DataFrame:
     return both.select("a", "b", ((lack(sa, sb) + lack(sb, sa)) / 2).alias("rf"))
 
 
+def robinson_foulds_all(splits: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b, rf) of the trees of a column a against all others, by an index from splits to trees.
+
+    splits (tree_id, split) may have a row with a null split for a tree without any. Shared
+    splits are counted by a join on the split. A split of most trees would pair nearly all of
+    them, so it is counted from the other side: two trees share all such splits but those
+    that either lacks, plus those that both lack, and few lack them. The result has a row for
+    each asked tree and other tree; nothing larger is made on the way.
+    """
+    from ..session import saved
+
+    s = saved(same_taxa(splits.select("tree_id", "split").distinct()), "index")
+    trees = s.groupBy("tree_id").agg(F.count("split").alias("n"))
+    total = trees.count()
+    often = s.where("split is not null").groupBy("split").agg(F.count("*").alias("nobs")).withColumn("hot", F.col("nobs") > total / 2)
+    often = saved(often, "often")
+    hot = often.where("hot").select("split")
+    many = hot.count()
+    rest = s.join(often.where("not hot").select("split"), "split")
+    # The few pairs of a tree and a hot split that it lacks: each hot split's trees are taken from all.
+    lacks = trees.select("tree_id").crossJoin(F.broadcast(hot)).join(s, ["tree_id", "split"], "left_anti") if many else rest.limit(0).select("tree_id", "split")
+    lacks = saved(lacks, "lacks")
+    asked = of.select("a").distinct()
+
+    def pairs(index: DataFrame, name: str) -> DataFrame:
+        a, b = index.select(F.col("tree_id").alias("a"), "split").join(asked, "a", "left_semi"), index.select(F.col("tree_id").alias("b"), "split")
+        return a.join(b, "split").where("a <> b").groupBy("a", "b").agg(F.count("*").alias(name))
+
+    sizes = trees.join(lacks.groupBy("tree_id").agg(F.count("*").alias("l")), "tree_id", "left").select("tree_id", "n", F.coalesce("l", F.lit(0)).alias("l"))
+    side = lambda k: sizes.select(F.col("tree_id").alias(k), F.col("n").alias(f"n{k}"), F.col("l").alias(f"l{k}"))
+    out = side("b").crossJoin(side("a").join(asked, "a", "left_semi")).where("a <> b")  # the result's own rows
+    out = out.join(pairs(rest, "common"), ["a", "b"], "left").join(pairs(lacks, "both"), ["a", "b"], "left")
+    shared = F.coalesce("common", F.lit(0)) + many - F.col("la") - F.col("lb") + F.coalesce("both", F.lit(0))
+    lack = lambda n: F.when(n > 0, (n - shared) / n).otherwise(0.0)
+    return out.select("a", "b", ((lack(F.col("na")) + lack(F.col("nb"))) / 2).alias("rf"))
+
+
 def majority(splits: DataFrame, trees: int | Column, support: float = 0.5) -> DataFrame:
     """(split, support, mean) of splits in over the given share of trees; any two such splits are compatible."""
     out = splits.groupBy("split").agg((F.count_distinct("tree_id") / trees).alias("support"), F.avg("length").alias("mean"))

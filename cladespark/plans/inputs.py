@@ -126,3 +126,47 @@ def centroid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CENTROIDS = """mean AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS t(i) GROUP BY 1, 2),
 dists AS (SELECT a.label AS i, b.label AS j, sum((a.x - b.x) * (a.x - b.x)) AS d FROM mean AS a JOIN mean AS b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2),
 sums AS (SELECT i, sum(d) AS r FROM (SELECT i, d FROM dists UNION ALL SELECT j, d FROM dists) GROUP BY i)"""
+
+
+def taxa_of_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(place, taxon): the event types that the splits are over, place from 1."""
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    return kinds.select(F.row_number().over(Window.orderBy("event_type")).alias("place"), F.col("event_type").alias("taxon"))
+
+
+def order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, step, x): a sample for each order, of the run of its customer."""
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 4).alias("run"), F.col("o_orderkey").alias("step"), (-F.col("o_totalprice")).alias("x"))
+
+
+#: Fixed class texts of the models by return flag: one rate, two, six.
+RCLASS = {"A": "0 0 0 0 0 0", "N": "0 1 0 0 1 0", "R": "0 1 2 3 4 5"}
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the run of their order, one for each (order, line)."""
+    of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"), (F.col("o_custkey") % 4).alias("run"), (1 + F.col("o_custkey") % 5 / 10).alias("w_norm"))
+    first = [F.min(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")]
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("step"), F.col("l_linenumber").alias("model")).agg(*first).join(of, "step")
+
+
+def order_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model rows: one for each line of an order."""
+    of = F.create_map(*[F.lit(x) for kv in RCLASS.items() for x in kv])
+    rclass = of[F.col("l_returnflag")]
+    rates = F.transform(F.transform(F.split(rclass, " "), lambda c: c.cast("int")), lambda c: 1 + (F.col("l_partkey") + 7 * c) % 50 / 25)
+    raw = F.transform(F.array(*map(F.lit, range(4))), lambda k: (1 + (F.col("l_suppkey") + 3 * k) % 10).cast("double"))
+    freqs = F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+    return _lines(spark, sf_dir).select("run", "step", "model", F.col("l_quantity").alias("weight"), (1 + F.col("model") / 10).alias("rmult"), rclass.alias("rclass"), rates.alias("rates"), "w_norm", (0.25 + F.col("l_tax") * 10).alias("alpha"), F.col("l_discount").alias("pinvar"), freqs.alias("freqs"))
+
+
+def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, step, newick): a star over the lines of each order."""
+    tip = F.concat(F.lit("t"), F.col("model").cast("string"), F.lit(":"), F.floor(F.col("l_extendedprice") / 1000).cast("string"))
+    return _lines(spark, sf_dir).groupBy("run", "step").agg(F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(tip)), ","), F.lit(");")).alias("newick"))
+
+
+SQL_ORDER_LINES = """osamples AS (SELECT o_custkey % 4 AS run, o_orderkey AS step, -o_totalprice AS x FROM orders),
+olines AS (SELECT l_orderkey AS step, l_linenumber AS model, min(l_quantity) AS weight, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_discount) AS pinvar, min(l_tax) AS tax, min(l_returnflag) AS flag, min(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2),
+omodels AS (SELECT run, step, row_number() OVER (PARTITION BY step ORDER BY model) - 1 AS model, weight, 1 + model / 10.0 AS rmult, CASE flag WHEN 'A' THEN [0, 0, 0, 0, 0, 0] WHEN 'N' THEN [0, 1, 0, 0, 1, 0] ELSE [0, 1, 2, 3, 4, 5] END AS classes, part, supp,
+    1 + o_custkey % 5 / 10.0 AS w_norm, 0.25 + tax * 10 AS alpha, pinvar, price FROM olines JOIN (SELECT o_orderkey AS step, o_custkey, o_custkey % 4 AS run FROM orders) AS o USING (step))"""

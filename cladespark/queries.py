@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import numeric
 from .functions.alphabet import DNA
-from .operators import alignment, distance, joining, likelihood, posterior, splits, trees
+from .operators import alignment, consensus, distance, joining, likelihood, parameters, posterior, splits, trees
 from .plans import inputs
-from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_NEWICKS, SQL_PROTEINS, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
+from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_NEWICKS, SQL_ORDER_LINES, SQL_PROTEINS, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
 from .session import ship
 from .sources import fasta, logs, newick, phylip
 from .sources.randomtrees import random_trees
@@ -440,11 +440,114 @@ def random_tree(spark, d):
     return random_trees(spark, 200, [f"t{k}" for k in range(12)], seed=3)
 
 
-@query()
+_ONES = "len(replace({}, '0', ''))"
+_INNER = f"{_ONES.format('split')} BETWEEN 2 AND len(split) - 2"
+_MEET = "bit_count(CAST({0} AS BIT) & CAST({1} AS BIT))"
+
+
+@query(f"""WITH RECURSIVE {SQL_SPLITS}, f AS (SELECT split, count(DISTINCT tree_id) / CAST((SELECT count(DISTINCT tree_id) FROM splits) AS DOUBLE) AS support, avg(length) AS mean FROM splits WHERE {_INNER} GROUP BY split),
+r AS (SELECT *, row_number() OVER (ORDER BY support DESC, split) AS k FROM f),
+walk(k, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL SELECT r.k, CASE WHEN len(taken) < 2 AND len(list_filter(taken, lambda t: {_MEET.format("t", "r.split")} NOT IN (0, {_ONES.format("t")}, {_ONES.format("r.split")}))) = 0 THEN list_append(taken, r.split) ELSE taken END FROM walk JOIN r ON r.k = walk.k + 1)
+SELECT split, round(support, 9) AS support, round(mean, 8) AS mean FROM f WHERE list_contains((SELECT arg_max(taken, k) FROM walk), split)""")
 def greedy_consensus(spark, d):
-    seen = newick.splits(random_tree(spark, d))
-    freqs = splits.majority(seen, 200, 0.0)
-    return _r(splits.greedy_consensus(freqs, 12), "support")
+    s = inputs.splits(spark, d)
+    freqs = splits.majority(s, s.select("tree_id").distinct().count(), 0.0)
+    return _r(_r(splits.greedy_consensus(freqs, 5), "support"), "mean", places=8)
+
+
+def _tree_sql(of: str, key: str) -> str:
+    """Node rows (key, node, parent, taxon, length, support) of splits `of` (key, split, mean, support): a split's parent is the smallest one around it."""
+    return f"""inn AS (SELECT * FROM {of} WHERE {_INNER}),
+up AS (SELECT a.{key}, a.split, min_by(b.split, {_ONES.format("b.split")}) AS parent FROM inn AS a JOIN inn AS b ON a.{key} = b.{key} AND a.split <> b.split AND {_MEET.format("a.split", "b.split")} = {_ONES.format("a.split")} GROUP BY 1, 2),
+tip AS (SELECT x.{key}, k, event_type AS taxon, repeat('0', CAST(k - 1 AS BIGINT)) || '1' || repeat('0', CAST(5 - k AS BIGINT)) AS node FROM (SELECT DISTINCT {key} FROM {of}) AS x CROSS JOIN kinds),
+low AS (SELECT tip.{key}, tip.k, min_by(split, {_ONES.format("split")}) AS parent FROM tip JOIN inn ON inn.{key} = tip.{key} AND inn.split[tip.k] = '1' GROUP BY 1, 2),
+nodes AS (SELECT DISTINCT {key}, '00000' AS node, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS taxon, CAST(NULL AS DOUBLE) AS length, CAST(NULL AS DOUBLE) AS support FROM {of}
+    UNION ALL SELECT inn.{key}, inn.split, coalesce(parent, '00000'), NULL, mean, support FROM inn LEFT JOIN up ON up.{key} = inn.{key} AND up.split = inn.split
+    UNION ALL SELECT tip.{key}, tip.node, coalesce(parent, '00000'), taxon, coalesce(v.mean, 0), 1 FROM tip LEFT JOIN low ON low.{key} = tip.{key} AND low.k = tip.k LEFT JOIN {of} AS v ON v.{key} = tip.{key} AND v.split = CASE tip.k WHEN 1 THEN '01111' ELSE tip.node END)"""
+
+
+_SHARES = "shares AS (SELECT split, count(DISTINCT tree_id) / CAST((SELECT count(DISTINCT tree_id) FROM splits) AS DOUBLE) AS support, avg(length) AS mean FROM splits GROUP BY split)"
+
+
+@query(f"""WITH {SQL_SPLITS}, {_SHARES}, kept AS (SELECT 0 AS one, * FROM shares WHERE support > 0.5 OR NOT ({_INNER})), {_tree_sql("kept", "one")}
+SELECT node, parent, taxon, round(length, 8) AS length, round(support, 9) AS support FROM nodes""")
+def majority_tree(spark, d):
+    out = consensus.majority_tree(inputs.splits(spark, d), inputs.taxa_of_splits(spark, d))
+    return _r(_r(out, "length", places=8), "support")
+
+
+_MEANS = f"{_TOPO}, {_SHARES}, means AS (SELECT topology, s.split, avg(length) AS mean, max(support) AS support FROM splits AS s JOIN topo USING (tree_id, run) JOIN (SELECT split, support FROM shares) AS h ON h.split = s.split GROUP BY 1, 2)"
+
+
+def _mean_trees(spark, d):
+    s = inputs.splits(spark, d)
+    return consensus.mean_trees(s, splits.topologies(s), inputs.taxa_of_splits(spark, d))
+
+
+@query(f"WITH {SQL_SPLITS}, {_MEANS}, {_tree_sql('means', 'topology')} SELECT topology, node, parent, taxon, round(length, 8) AS length, round(support, 9) AS support FROM nodes")
+def mean_tree_nodes(spark, d):
+    return _r(_r(_mean_trees(spark, d), "length", places=8), "support")
+
+
+#: Texts of trees of five taxa, which have two levels of inner nodes at most: tips, inner nodes above tips only, all inner nodes, roots.
+_TEXT_SQL = """tips AS (SELECT topology, parent, taxon AS low, taxon || ':' || printf('%.6f', length) AS text FROM nodes WHERE taxon IS NOT NULL),
+own AS (SELECT * FROM nodes WHERE taxon IS NULL),
+one AS (SELECT o.topology, o.node, o.parent, min(low) AS low, '(' || string_agg(text, ',' ORDER BY low) || '):' || printf('%.6f', max(o.length)) AS text FROM own AS o JOIN tips AS t ON t.topology = o.topology AND t.parent = o.node
+    WHERE o.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own AS c WHERE c.topology = o.topology AND c.parent = o.node) GROUP BY 1, 2, 3),
+two AS (SELECT o.topology, o.node, o.parent, min(low) AS low, '(' || string_agg(text, ',' ORDER BY low) || '):' || printf('%.6f', max(o.length)) AS text FROM own AS o JOIN (SELECT topology, parent, low, text FROM tips UNION ALL SELECT topology, parent, low, text FROM one) AS t ON t.topology = o.topology AND t.parent = o.node
+    WHERE o.parent IS NOT NULL AND EXISTS (SELECT 1 FROM own AS c WHERE c.topology = o.topology AND c.parent = o.node) GROUP BY 1, 2, 3),
+whole AS (SELECT topology, '(' || string_agg(text, ',' ORDER BY low) || ');' AS newick FROM (SELECT topology, parent, low, text FROM tips UNION ALL SELECT topology, parent, low, text FROM one UNION ALL SELECT topology, parent, low, text FROM two) WHERE parent = '00000' GROUP BY topology)"""
+
+
+@query(f"WITH {SQL_SPLITS}, {_MEANS}, {_tree_sql('means', 'topology')}, {_TEXT_SQL} SELECT topology, newick FROM whole")
+def mean_tree_newick(spark, d):
+    return consensus.newick(_mean_trees(spark, d), ["topology"])
+
+
+@query(f"""WITH {SQL_SPLITS}, s AS (SELECT tree_id, list(DISTINCT split) AS s FROM splits GROUP BY tree_id)
+SELECT a.tree_id AS a, b.tree_id AS b, round((len(list_filter(a.s, lambda v: NOT list_contains(b.s, v))) / CAST(len(a.s) AS DOUBLE) + len(list_filter(b.s, lambda v: NOT list_contains(a.s, v))) / CAST(len(b.s) AS DOUBLE)) / 2, 9) AS rf
+FROM s AS a JOIN s AS b ON a.tree_id <> b.tree_id WHERE a.tree_id % 100 = 0""")
+def rf_all(spark, d):
+    """Trees whose id 100 divides against all others."""
+    s = inputs.splits(spark, d)
+    return _r(splits.robinson_foulds_all(s, s.select(F.col("tree_id").alias("a")).where("a % 100 = 0")), "rf")
+
+
+@query(f"""WITH {SQL_ORDER_LINES}, m AS (SELECT run, step, count(*) AS nmodels, max(weight) / sum(weight) AS top, min_by(classes, model) AS first, count(*) AS ntaxa, sum(floor(price / 1000)) AS length FROM omodels GROUP BY 1, 2)
+SELECT run, step, x, CAST(coalesce(nmodels, 0) AS INTEGER) AS nmodels, round(top, 9) AS top, array_to_string(first, ' ') AS rclass, CAST(ntaxa AS BIGINT) AS ntaxa, CAST(length AS DOUBLE) AS length FROM osamples LEFT JOIN m USING (run, step)""")
+def samples_models_trees(spark, d):
+    """Each sample with its models and its tree: number and largest share of models, the first one's classes, leaves and length of the tree."""
+    rows = parameters.joined(inputs.order_samples(spark, d), inputs.order_models(spark, d), inputs.order_trees(spark, d))
+    weights = F.transform("models", lambda m: m["weight"])
+    top = F.array_max(weights) / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
+    of = newick.nodes(rows.where("newick is not null").select(F.col("step").alias("tree_id"), "newick")).groupBy(F.col("tree_id").alias("step")).agg(F.count_if("is_leaf").alias("ntaxa"), F.sum("length").alias("length"))
+    return rows.select("run", "step", "x", "nmodels", F.round(top, 9).alias("top"), F.get("models", F.lit(0))["rclass"].alias("rclass")).join(of, "step", "left").select("run", "step", "x", "nmodels", "top", "rclass", "ntaxa", "length")
+
+
+_BURNED_LINES = """osteps AS (SELECT max(step) // 2 + 1 AS first FROM osamples), bs AS (SELECT * FROM osamples WHERE step >= (SELECT first FROM osteps)), bm AS (SELECT * FROM omodels WHERE step >= (SELECT first FROM osteps))"""
+
+
+@query(f"""WITH {SQL_ORDER_LINES}, {_BURNED_LINES},
+raw AS (SELECT *, list_transform(range(0, 4), lambda k: CAST(1 + (supp + 3 * k) % 10 AS DOUBLE)) AS f FROM bm),
+v AS (SELECT 'lnl' AS parameter, 0 AS model, 0 AS k, x AS value FROM bs
+    UNION ALL SELECT 'nmodels', 0, 0, CAST(count(bm.step) AS DOUBLE) FROM bs LEFT JOIN bm USING (run, step) GROUP BY run, step
+    UNION ALL SELECT 'weight', model, 0, weight FROM bm UNION ALL SELECT 'nclasses', model, 0, list_max(classes) + 1 FROM bm UNION ALL SELECT 'alpha', model, 0, alpha FROM bm UNION ALL SELECT 'pinvar', model, 0, pinvar FROM bm
+    UNION ALL SELECT 'rate', model, i - 1, (1 + (part + 7 * classes[i]) % 50 / 25.0) * w_norm * rmult FROM bm, unnest(range(1, 7)) AS t(i)
+    UNION ALL SELECT 'freq', model, i - 1, f[i] / list_sum(f) FROM raw, unnest(range(1, 5)) AS t(i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY parameter, model, k ORDER BY value) - 1 AS rank, count(*) OVER (PARTITION BY parameter, model, k) AS size FROM v)
+SELECT parameter, CAST(model AS INTEGER) AS model, CAST(k AS INTEGER) AS k, count(*) AS n, round(max(CASE WHEN rank = CAST(floor(size * 0.025) AS BIGINT) THEN value END), 6) AS min_cred, round(max(CASE WHEN rank = size - 1 - CAST(floor(size * 0.025) AS BIGINT) THEN value END), 6) AS max_cred,
+    round(avg(value), 6) AS mean, round(var_pop(value), 4) AS var, round(median(value), 6) AS med FROM r GROUP BY 1, 2, 3""")
+def parameter_summary(spark, d):
+    """lnl, nmodels and each model's weight, rates, frequencies, shape and invariant share over the second half of all runs."""
+    samples = posterior.burn_in(inputs.order_samples(spark, d))
+    out = parameters.summaries(parameters.joined(samples, inputs.order_models(spark, d)))
+    return _r(_r(out, "min_cred", "max_cred", "mean", "med", places=6), "var", places=4)
+
+
+@query(f"""WITH {SQL_ORDER_LINES}, f AS (SELECT array_to_string(min_by(classes, model), ' ') AS rclass, max(list_max(classes)) FILTER (model = 0) + 1 AS nclasses FROM omodels GROUP BY run, step)
+SELECT rclass, count(*) AS nobs, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS p, CAST(max(nclasses) AS INTEGER) AS nclasses FROM f GROUP BY rclass""")
+def rate_class_posterior(spark, d):
+    return _r(parameters.class_posterior(parameters.joined(inputs.order_samples(spark, d), inputs.order_models(spark, d))), "p")
 
 
 @query(f"WITH {SQL_NEWICKS} SELECT CAST(tree_id AS INTEGER) AS tree_id, count(*) AS ntaxa, count(*) + count(DISTINCT nation) + 1 AS nnodes, count(*) + count(DISTINCT nation) AS nedges FROM leaves GROUP BY tree_id")

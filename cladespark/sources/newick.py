@@ -89,12 +89,22 @@ def render(rows, lengths: bool = False, fmt: str = "%.7e") -> str:
     kids: dict = {}
     for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
         kids.setdefault(r[1], []).append(r)
-
-    def text(r) -> str:
-        inner = ",".join(text(k) for k in kids.get(r[0], []))
-        return (f"({inner})" if inner else "") + label(r[3]) + (":" + fmt % r[4] if lengths and r[1] is not None else "")
-
-    return (text(kids[None][0]) if rows else "") + ";"
+    out, todo = [], [(kids[None][0], False)] if rows else []
+    while todo:
+        r, closing = todo.pop()
+        if r is None:
+            out.append(",")
+            continue
+        own = kids.get(r[0], [])
+        if own and not closing:
+            out.append("(")
+            todo.append((r, True))
+            for k in reversed(own):
+                todo += [(k, False), (None, True)]
+            todo.pop()  # no comma before the first
+            continue
+        out.append((")" if own else "") + label(r[3]) + (":" + fmt % r[4] if lengths and r[1] is not None else ""))
+    return "".join(out) + ";"
 
 
 def nodes(trees: DataFrame) -> DataFrame:
