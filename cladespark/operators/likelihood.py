@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, Alphabet
@@ -169,28 +169,78 @@ def lnl(patterns: DataFrame, tree: str, taxa: list[str], models: list[Model], al
     return patterns.select("pattern", F.col("freq").cast("long").alias("freq")).mapInPandas(run, "pattern string, freq long, lnl double")
 
 
-def tree_lnl(patterns: DataFrame, trees: DataFrame, models: dict[str, list[Model]], taxa: list[str], alphabet: Alphabet = DNA) -> DataFrame:
+#: Columns of a model's row: a named model has one or more (its mixture).
+MODEL_ROW = ("freqs", "rates", "rclass", "weight", "rmult", "alpha", "ncat", "median", "pinvar")
+
+#: Fixed names of the rate classes of DNA (pairs AC AG AT CG CT GT), with equal frequencies and with free ones.
+CLASS_NAMES = {"0 0 0 0 0 0": ("JC", "F81"), "0 1 0 0 1 0": ("K80", "HKY"), "0 1 0 0 2 0": ("TrNef", "TrN"), "0 1 2 2 1 0": ("K81", "K81uf"), "0 1 2 2 3 0": ("TIMef", "TIM"), "0 1 2 3 1 4": ("TVMef", "TVM"), "0 1 2 3 4 5": ("SYM", "GTR")}
+
+
+def canonical_classes(rclass: Column) -> Column:
+    """A class text such as `2 0 2 2 0 2` with its classes numbered as they appear: `0 1 0 0 1 0`."""
+    found = F.split(F.trim(rclass), r"\s+")
+    return F.array_join(F.transform(found, lambda c: (F.array_position(F.array_distinct(found), c) - 1).cast("string")), " ")
+
+
+def model_name(rclass: Column, freqs: Column) -> Column:
+    """The name of a class text, in any numbering, by whether its frequencies are equal; null without a name."""
+    equal = F.array_max(freqs) - F.array_min(freqs) < 1e-9
+    names = F.create_map(*[x for k, (even, free) in CLASS_NAMES.items() for x in (F.lit(k), F.struct(F.lit(even).alias("even"), F.lit(free).alias("free")))])
+    found = F.try_element_at(names, canonical_classes(rclass))
+    return F.when(equal, found["even"]).otherwise(found["free"])
+
+
+def model_rows(spark, models: dict[str, list[Model]]) -> DataFrame:
+    """Named models as rows (model, part, freqs, rates, rclass, weight, ...)."""
+    rows = [(k, i, list(map(float, m.freqs)), list(map(float, m.rates)), " ".join(map(str, range(len(m.rates)))), m.weight, m.rmult, m.alpha, m.ncat, m.median, m.pinvar) for k, v in models.items() for i, m in enumerate(v)]
+    return spark.createDataFrame(rows, "model string, part int, freqs array<double>, rates array<double>, rclass string, weight double, rmult double, alpha double, ncat int, median boolean, pinvar double")
+
+
+def _model(r) -> Model:
+    """A model of a row; its rates are those of its classes, in the order of their numbers."""
+    classes = [int(c) for c in r["rclass"].split()]
+    if any(c > max(classes[:i], default=-1) + 1 for i, c in enumerate(classes)):
+        raise ValueError(f"classes are numbered as they appear, not as in {r['rclass']!r}")
+    return Model(tuple(r["freqs"]), tuple(r["rates"][c] for c in classes), r["weight"], r["rmult"], r["alpha"], int(r["ncat"]), bool(r["median"]), r["pinvar"])
+
+
+#: Parts that the patterns of one tree are dealt to.
+SHARES = 16
+
+
+def tree_lnl(patterns: DataFrame, trees: DataFrame, models: DataFrame | dict[str, list[Model]], taxa: list[str], alphabet: Alphabet = DNA) -> DataFrame:
     """(dataset, tree_id, model, lnl): every tree (dataset, tree_id, newick) under every named model, summed over its dataset's patterns (dataset, pattern, freq).
 
-    Patterns meet the trees of their dataset by a join; each batch adds up its own part of
-    a sum. Components are made once for each model.
+    models: rows (model, part, freqs, rates, rclass, weight, rmult, alpha, ncat, median,
+    pinvar), or a dict. With a column model in trees, a tree is only taken under that one.
+    A pattern's likelihood is found once for each distinct tree, pattern and model, however
+    many datasets share them, and joined back; sums are Spark's. The patterns of one tree
+    are SHARES tasks.
     """
     import pandas as pd
 
-    made = ship(patterns.sparkSession).sparkContext.broadcast({k: components(v) for k, v in models.items()})
+    spark = ship(patterns.sparkSession)
+    models = model_rows(spark, models) if isinstance(models, dict) else models
+    mixed = models.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("part", *MODEL_ROW))).alias("mixture"))
+    runs = trees.withColumn("tree", F.md5("newick"))
+    runs = runs.join(mixed, "model") if "model" in trees.columns else runs.crossJoin(F.broadcast(mixed))
+    runs = runs.select("dataset", "tree_id", "model", "tree", "newick", "mixture")
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for (d, t, text), part in pdf.groupby(["dataset", "tree_id", "newick"], sort=False):
-                for name, parts in made.value.items():
-                    rows.append((d, t, name, float(site_lnl(text, taxa, part["pattern"].tolist(), [], alphabet, parts) @ part["freq"].to_numpy(float))))
-            yield pd.DataFrame(rows, columns=["dataset", "tree_id", "model", "lnl"])
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    both = patterns.select("dataset", "pattern", "freq").join(trees.select("dataset", "tree_id", "newick"), "dataset")
-    out = both.mapInPandas(run, f"dataset {kind(patterns, 'dataset')}, tree_id {kind(trees, 'tree_id')}, model string, lnl double")
-    return out.groupBy("dataset", "tree_id", "model").agg(F.sum("lnl").alias("lnl"))
+            done = []
+            for (tree, model), part in pdf.groupby(["tree", "model"], sort=False):
+                mixture = [_model(r) for r in part["mixture"].iloc[0]]
+                done.append(pd.DataFrame({"tree": tree, "model": model, "pattern": part["pattern"], "each": site_lnl(part["newick"].iloc[0], taxa, part["pattern"].tolist(), mixture, alphabet)}))
+            yield pd.concat(done) if done else pd.DataFrame({"tree": [], "model": [], "pattern": [], "each": []})
+
+    both = patterns.select("dataset", "pattern", "freq").join(runs.drop("newick", "mixture"), "dataset")
+    needed = both.select("tree", "model", "pattern").distinct()
+    texts = runs.groupBy("tree", "model").agg(F.first("newick").alias("newick"), F.first("mixture").alias("mixture"))
+    dealt = needed.join(texts, ["tree", "model"]).repartition("tree", "model", F.pmod(F.xxhash64("pattern"), F.lit(SHARES)))
+    each = dealt.mapInPandas(run, "tree string, model string, pattern string, each double")
+    out = both.join(each, ["tree", "model", "pattern"]).groupBy("dataset", "tree_id", "model").agg(F.sum(F.col("freq") * F.col("each")).alias("lnl"))
+    return out.select("dataset", "tree_id", "model", "lnl")
 
 
 def likeliest_length(patterns: DataFrame, newick_of, taxa: list[str], models: list[Model], lo: float, hi: float, steps: int = 12, grid: int = 9) -> float:

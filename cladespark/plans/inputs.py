@@ -39,6 +39,19 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("tid"), F.array_join(F.transform("embedding", lambda x: code(x.cast("double"))), "").alias("seq"))
 
 
+def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """(tid, pattern, freq): the sites of each taxon and the k - 1 next ones of the table, as whole rows that meet by their places."""
+    seqs = ranked(sequences(spark, sf_dir), [], [F.col("tid")], "place")
+    rows = seqs.select("tid", "place", F.col("seq").alias("s0"))
+    for i in range(1, k):
+        rows = rows.join(seqs.select((F.col("place") - i).alias("place"), F.col("seq").alias(f"s{i}")), "place")
+    chars = [F.filter(F.split(F.col(f"s{i}"), ""), lambda c: c != "") for i in range(k)]
+    sites = chars[0]
+    for c in chars[1:]:
+        sites = F.zip_with(sites, c, lambda a, b: F.concat(a, b))
+    return rows.select("tid", F.explode(sites).alias("pattern")).groupBy("tid", "pattern").agg(F.count("*").alias("freq"))
+
+
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tid, v) with the sequences as bit masks."""
     return sequences(spark, sf_dir).select("tid", DNA.encode(F.col("seq")).alias("v"))
@@ -170,3 +183,10 @@ SQL_ORDER_LINES = """osamples AS (SELECT o_custkey % 4 AS run, o_orderkey AS ste
 olines AS (SELECT l_orderkey AS step, l_linenumber AS model, min(l_quantity) AS weight, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_discount) AS pinvar, min(l_tax) AS tax, min(l_returnflag) AS flag, min(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2),
 omodels AS (SELECT run, step, row_number() OVER (PARTITION BY step ORDER BY model) - 1 AS model, weight, 1 + model / 10.0 AS rmult, CASE flag WHEN 'A' THEN [0, 0, 0, 0, 0, 0] WHEN 'N' THEN [0, 1, 0, 0, 1, 0] ELSE [0, 1, 2, 3, 4, 5] END AS classes, part, supp,
     1 + o_custkey % 5 / 10.0 AS w_norm, 0.25 + tax * 10 AS alpha, pinvar, price FROM olines JOIN (SELECT o_orderkey AS step, o_custkey, o_custkey % 4 AS run FROM orders) AS o USING (step))"""
+
+
+def barren(edges: DataFrame) -> DataFrame:
+    """(node) of the regions and nations of edges() without a supplier below."""
+    held = edges.where("node like 's%'").select(F.col("parent").alias("node")).distinct()
+    above = edges.join(held, "node").select(F.col("parent").alias("node")).distinct()
+    return edges.where("node like 'n%' or node like 'r_'").select("node").join(held.union(above), "node", "left_anti")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions import numeric
 from .functions.alphabet import DNA
-from .operators import alignment, consensus, distance, joining, likelihood, parameters, posterior, splits, trees
+from .operators import alignment, blockjoin, consensus, distance, joining, likelihood, parameters, posterior, reports, splits, trees
+from .operators.ordering import ranked
 from .plans import inputs
 from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_NEWICKS, SQL_ORDER_LINES, SQL_PROTEINS, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
 from .session import ship
 from .sources import fasta, logs, newick, phylip
 from .sources.randomtrees import random_trees
-from .streaming import live
+from .streaming import convergence, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -702,9 +703,80 @@ def _star_sql(lengths: tuple[float, ...]) -> str:
 """ + " UNION ALL ".join(f"SELECT tid AS dataset, '{name}' AS tree_id, 'jc' AS model, round(sum(ln({_star_sql(t)})), 6) AS lnl FROM m WHERE z IS NOT NULL GROUP BY tid" for name, t in _STAR.items()))
 def lnl_triples(spark, d):
     """Each taxon with the next two of the table, on two star trees."""
-    w = Window.partitionBy("pos").orderBy("tid")
-    cols = _sites(spark, d).select("tid", F.col("ch").alias("a"), F.lead("ch", 1).over(w).alias("b"), F.lead("ch", 2).over(w).alias("c")).where("c is not null")
-    pats = cols.groupBy(F.col("tid").alias("dataset"), F.concat("a", "b", "c").alias("pattern")).agg(F.count("*").alias("freq"))
+    pats = inputs.neighbours(spark, d, 3).withColumnRenamed("tid", "dataset")
     text = F.create_map(*[F.lit(x) for k, t in _STAR.items() for x in (k, "(" + ",".join(f"{n}:{v}" for n, v in zip("ABC", t, strict=True)) + ");")])
     stars = pats.select("dataset").distinct().withColumn("tree_id", F.explode(F.map_keys(text))).withColumn("newick", text[F.col("tree_id")])
     return _r(likelihood.tree_lnl(pats, stars, {"jc": [likelihood.Model()]}, list("ABC")), "lnl", places=6)
+
+
+_T, _PINV = 0.5, 0.2
+#: Category means of four equal parts of an exponential distribution, in SQL.
+_EDGES = ["0.0", "-ln(0.75)", "-ln(0.5)", "-ln(0.25)"]
+_TAILS = [f"({e} + 1) * exp(-({e}))" for e in _EDGES] + ["0.0"]
+_SPEEDS = [f"(4 * ({a} - {b}) / {1 - _PINV})" for a, b in zip(_TAILS, _TAILS[1:], strict=False)]
+_JC_SQL = "(same * (0.25 + 0.75 * exp(-4.0 / 3 * {0})) + (pairs - same) * (0.25 - 0.25 * exp(-4.0 / 3 * {0})))"
+_MODEL_SQL = {
+    "JC": _JC_SQL.format(_T),
+    "JC+G+I": f"({_PINV} * same + " + " + ".join(f"{(1 - _PINV) / 4} * " + _JC_SQL.format(f"({_T} * {v})") for v in _SPEEDS) + ")",
+    "K80": f"(same * (0.25 + 0.25 * exp(-{_T} / 1.5) + 0.5 * exp(-2.5 * {_T} / 1.5)) + ts * (0.25 + 0.25 * exp(-{_T} / 1.5) - 0.5 * exp(-2.5 * {_T} / 1.5)) + (pairs - same - ts) * (0.25 - 0.25 * exp(-{_T} / 1.5)))",
+}
+
+
+@query(f"""WITH {SQL_SEQS}, o AS (SELECT tid, CASE WHEN val = 0 THEN 15 ELSE val END AS v, lead(CASE WHEN val = 0 THEN 15 ELSE val END) OVER (PARTITION BY pos ORDER BY tid) AS u FROM sites),
+m AS (SELECT tid, bit_count(v & u) AS same, bit_count(v) * bit_count(u) AS pairs, (v & 1) * (u >> 2 & 1) + (v >> 2 & 1) * (u & 1) + (v >> 1 & 1) * (u >> 3 & 1) + (v >> 3 & 1) * (u >> 1 & 1) AS ts FROM o WHERE u IS NOT NULL)
+""" + " UNION ALL ".join(f"SELECT tid AS dataset, '{k}' AS model, round(sum(ln(0.25 * {x})), 6) AS lnl FROM m GROUP BY tid" for k, x in _MODEL_SQL.items()))
+def lnl_models(spark, d):
+    """Each taxon with the next one under three models that are rows of a table: one rate, one rate with shape and invariant sites, two rates."""
+    rows = [("JC", 0, "0 0 0 0 0 0", [1.0], float("inf"), 1, 0.0), ("JC+G+I", 0, "0 0 0 0 0 0", [1.0], 1.0, 4, _PINV), ("K80", 0, "0 1 0 0 1 0", [1.0, 4.0], float("inf"), 1, 0.0)]
+    models = spark.createDataFrame(rows, "model string, part int, rclass string, rates array<double>, alpha double, ncat int, pinvar double")
+    models = models.withColumns({"freqs": F.array_repeat(F.lit(0.25), 4), "weight": F.lit(1.0), "rmult": F.lit(1.0), "median": F.lit(False)})
+    pats = inputs.neighbours(spark, d, 2).withColumnRenamed("tid", "dataset")
+    pair = pats.select("dataset").distinct().select("dataset", F.lit(0).alias("tree_id"), F.lit(f"(A:0.0,B:{_T});").alias("newick"))
+    return _r(likelihood.tree_lnl(pats, pair, models, ["A", "B"]).drop("tree_id"), "lnl", places=6)
+
+
+@query(f"""WITH {SQL_ORDER_LINES}, f AS (SELECT classes, max(list_max(f) - list_min(f)) < 1e-9 AS equal FROM (SELECT classes, run, step, model, list_transform(range(0, 4), lambda k: 1 + (supp + 3 * k) % 10) AS f FROM omodels) GROUP BY classes, run, step, model)
+SELECT CASE array_to_string(classes, ' ') WHEN '0 0 0 0 0 0' THEN CASE WHEN equal THEN 'JC' ELSE 'F81' END WHEN '0 1 0 0 1 0' THEN CASE WHEN equal THEN 'K80' ELSE 'HKY' END ELSE CASE WHEN equal THEN 'SYM' ELSE 'GTR' END END AS name, count(*) AS n FROM f GROUP BY 1""")
+def model_names(spark, d):
+    """Model rows by the name of their rate classes, whatever numbers the classes have."""
+    shifted = F.array_join(F.transform(F.split("rclass", " "), lambda c: ((c.cast("int") + 3) % 7).cast("string")), " ")
+    return inputs.order_models(spark, d).groupBy(likelihood.model_name(shifted, F.col("freqs")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH s AS (SELECT row_number() OVER (ORDER BY 's' || s_suppkey) - 1 AS k, s_nationkey AS nation, n_regionkey AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+e AS (SELECT list(k ORDER BY k) AS m FROM s GROUP BY nation UNION ALL SELECT list(k ORDER BY k) FROM s GROUP BY region),
+c AS (SELECT CASE WHEN list_contains(m, 0) THEN list_filter((SELECT list(k ORDER BY k) FROM s), lambda x: NOT list_contains(m, x)) ELSE m END AS m FROM e)
+SELECT CAST(len(m) AS INTEGER) AS ones, list_aggregate(m, 'min') AS low, CAST(count(*) AS DOUBLE) AS length FROM c WHERE len(m) BETWEEN 2 AND (SELECT count(*) FROM s) - 2 GROUP BY m""")
+def block_joining(spark, d):
+    """The tree of suppliers below nations and regions, from all their path lengths: its inner edges by size and smallest member of the side without the first supplier."""
+    edges = inputs.edges(spark, d).where("node not like 'c%'")
+    far = trees.patristic(edges.join(inputs.barren(edges), "node", "left_anti"))
+    names = ranked(inputs.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("leaf")), [], [F.col("leaf")], "k")
+    side = lambda a, k: names.select(F.col("leaf").alias(a), F.col("k").alias(k))
+    cells = far.join(side("a", "i"), "a").join(side("b", "j"), "b").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("dist").alias("d"))
+    found = blockjoin.splits(blockjoin.joined_edges(cells, finish=16), names.count()).where("length > 1e-6")
+    return found.select(F.length(F.regexp_replace("split", "0", "")).alias("ones"), (F.instr("split", "1") - 1).cast("long").alias("low"), F.round("length", 6).alias("length"))
+
+
+@query(f"""WITH {SQL_SPLITS}, p AS (SELECT split, run, count(*) AS n FROM splits GROUP BY 1, 2), m AS (SELECT split, sum(n * n) AS n2, CAST(sum(n) AS BIGINT) AS nobs, count(*) AS nruns FROM p GROUP BY split),
+f AS (SELECT m.split, nobs, nruns, (n2 - nobs * nobs / CAST(4 AS DOUBLE)) / nobs AS mse FROM m), t AS (SELECT count(DISTINCT tree_id) AS total FROM splits),
+body AS (SELECT row_number() OVER (ORDER BY nobs DESC, split DESC) + 6 AS line, rpad(translate(split, '01', '.*'), 9, ' ') || '  ' || lpad(CAST(nobs AS VARCHAR), CAST(greatest(4, len(CAST(total AS VARCHAR))) AS INTEGER), ' ') || chr(9) || printf('%.6f', nobs / CAST(total AS DOUBLE)) || chr(9) || printf('%.6f', mse) || chr(9) || nruns AS value FROM f, t),
+head AS (SELECT k - 1 AS line, left('|    ', CAST(k - 1 AS INTEGER)) || event_type AS value FROM kinds UNION ALL SELECT 5, '|' UNION ALL SELECT 6, '|          ' || rpad('#obs', CAST(greatest(4, (SELECT len(CAST(total AS VARCHAR)) FROM t)) AS INTEGER), ' ') || chr(9) || 'Probability' || chr(9) || 'MSE' || chr(9) || '#runs')
+SELECT CAST(line AS BIGINT) AS line, value FROM head UNION ALL SELECT CAST(line AS BIGINT), value FROM body""")
+def report_parts(spark, d):
+    """The report of partitions, without the columns of lengths, whose last digits depend on the order of sums."""
+    s = inputs.splits(spark, d)
+    out = reports.parts(splits.frequencies(s, 4), inputs.taxa_of_splits(spark, d), s.select("tree_id").distinct().count())
+    cells = F.split("value", "\t")
+    short = F.when(F.size(cells) > 5, F.concat_ws("\t", F.slice(cells, 1, 3), F.element_at(cells, -1)))
+    return out.withColumn("value", F.coalesce(short, F.col("value")))
+
+
+@query(f"""WITH {SQL_SAMPLES}, known AS (SELECT * FROM samples WHERE x IS NOT NULL), l AS (SELECT min(last) AS last FROM (SELECT max(step) AS last FROM known GROUP BY run)),
+burned AS (SELECT run, step, x FROM known, l WHERE step <= last AND step >= last // 2 + 1), {_RANKED},
+b AS (SELECT run, max(CASE WHEN rank = CAST(floor(size * 0.025) AS BIGINT) THEN x END) AS lo, max(CASE WHEN rank = size - 1 - CAST(floor(size * 0.025) AS BIGINT) THEN x END) AS hi, max(1 - 2.0 * CAST(floor(size * 0.025) AS BIGINT) / size) AS held FROM ranked GROUP BY run),
+c AS (SELECT b.run, avg(CASE WHEN x BETWEEN lo AND hi THEN 1.0 ELSE 0.0 END) * 0.95 / max(held) AS c FROM b CROSS JOIN burned GROUP BY b.run)
+SELECT (SELECT max(step) FROM burned) AS last, (SELECT count(*) FROM burned) AS n, round(avg(c), 9) AS rcov FROM c""")
+def sampling_rcov(spark, d):
+    """Coverage of the last half of what all runs have sampled."""
+    return _r(convergence.sampling_coverage(inputs.samples(spark, d).where("x is not null")), "rcov")
