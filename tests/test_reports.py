@@ -40,8 +40,8 @@ def test_topologies_and_summary(spark, tmp_path):
     got = lines(reports.summary(stats, rcov, None, 20, 5, 9))
     assert got[:4] == ["burnin: <half>", "nsamples: 20", "stepFirst: 5", "stepLast: 9"] and "rclass\t\tN/A" in got
     assert next(x for x in got if x.startswith("lnl\t\t0")).endswith("\t0.950000\t0.940000")
-    assert "lnl\t\t\t5.000000\t8.500000\t0.000000\t10.000000\t5.000000" in got
-    assert any(x.startswith("rate[0,1]\t\t\t2.000000") for x in got)
+    assert "lnl\t\t5.000000\t8.500000\t0.000000\t10.000000\t5.000000" in got
+    assert any(x.startswith("rate[0,1]\t\t2.000000") for x in got)
 
 
 def plain_rcov(rows, stride, alpha=0.05):
