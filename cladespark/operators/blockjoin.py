@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import dropped, saved
 from .ordering import ranked
 
 #: Differences of distances, against the largest of them, that count as equal.
@@ -113,14 +113,15 @@ def joined_edges(dists: DataFrame, finish: int = FINISH, relaxed: bool = True) -
         to = lambda k: of.select(F.col("x").alias(k), F.col("g").alias(f"g{k}"), F.col("off").alias(f"o{k}"))
         moved = cells.join(to("i"), "i").join(to("j"), "j").where("gi <> gj")
         moved = moved.select(F.least("gi", "gj").alias("i"), F.greatest("gi", "gj").alias("j"), "d", (F.col("oi") + F.col("oj")).alias("o"))
-        cells = saved(moved.groupBy("i", "j").agg((F.avg("d") - F.first("o")).alias("d")), "cells")
+        last, cells = cells, saved(moved.groupBy("i", "j").agg((F.avg("d") - F.first("o")).alias("d")), "cells")
+        dropped(last, sums, best, of)  # the pairs are the edges found so far
         base += made
     rest = _finish(cells, base)
     return rest if edges is None else edges.union(rest)
 
 
 def splits(edges: DataFrame, taxa: int) -> DataFrame:
-    """(split, length) of the inner edges of joined_edges(), 0/1 text over taxa 0 to taxa - 1 with the first one's side 0: leaves below each node, found by jumping pointers."""
+    """(split, length) of the inner edges of joined_edges(), 0/1 text over taxa 0 to taxa - 1 with the first one's side 0. The leaves below a node are gathered as its text, which has a character for each taxon."""
     from .splits import canonical
     from .trees import ancestors
 

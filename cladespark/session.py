@@ -35,4 +35,16 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{(found or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables of saved() that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_saved_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
