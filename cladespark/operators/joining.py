@@ -149,7 +149,7 @@ def relaxed(d: np.ndarray, labels: list[str], rng: np.random.Generator | None =
 def trees(dists: DataFrame, kind: str = "nj", keys: tuple[str, ...] = ("dataset", "replicate"), seed: int | None = None) -> DataFrame:
     """(keys, newick, and for relaxed joining additive) of distances (keys, i, j, d with i < j): every matrix is a group of its own, so replicates run over the cluster.
 
-    A group is one whole matrix; 10,000 taxa are 400 MB, beyond which a matrix doesn't fit a task.
+    A group is one whole matrix: for 10,000 taxa 400 MB, and about as much twice again while a join looks at all pairs. blockjoin has a form for larger ones.
     """
     ship(dists.sparkSession)
     how = {"nj": neighbor_joining, "rnj": relaxed}[kind]
