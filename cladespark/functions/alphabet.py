@@ -63,6 +63,11 @@ class Alphabet:
         known = F.create_map(*[F.lit(x) for kv in self.values().items() for x in kv])
         return F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c: F.element_at(known, c))
 
+    def decode(self, values: Column) -> Column:
+        """The sequence of some bit masks, each by its first code; an undefined value fails when it is read."""
+        known = F.create_map(*[F.lit(x) for kv in self.codes().items() for x in kv])
+        return F.array_join(F.transform(values, lambda v: F.element_at(known, v)), "")
+
 
 # Nucleotide codes of the IUPAC.
 _IUPAC = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG"}

@@ -90,6 +90,12 @@ def swap_pairs(samples: DataFrame, stride: int = 1) -> DataFrame:
     return a.join(b, "step").where("a < b").select("step", "a", "b", (F.col("xa") - F.col("xb")).alias("dx"))
 
 
+def swap_rates(swaps: DataFrame, stride: int, alpha: float | None = None) -> DataFrame:
+    """(run, window, rate) of (run, step, n), n the number of a step's partners in swaps: each swap has two. With alpha (run, ema), their moving average."""
+    rates = swaps.groupBy("run", F.floor(F.col("step") / stride).alias("window")).agg((F.sum("n") / (2.0 * stride)).alias("rate"))
+    return rates if alpha is None else moving_average(rates.select("run", F.col("window").alias("step"), F.col("rate").alias("x")), alpha)
+
+
 def step_windows(samples: DataFrame, stride: int) -> DataFrame:
     """(run, window, n, mean) of tumbling windows of so many steps."""
     return samples.groupBy("run", F.floor(F.col("step") / stride).alias("window")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))

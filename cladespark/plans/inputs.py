@@ -190,3 +190,19 @@ def barren(edges: DataFrame) -> DataFrame:
     held = edges.where("node like 's%'").select(F.col("parent").alias("node")).distinct()
     above = edges.join(held, "node").select(F.col("parent").alias("node")).distinct()
     return edges.where("node like 'n%' or node like 'r_'").select("node").join(held.union(above), "node", "left_anti")
+
+
+def order_diagnostics(samples: DataFrame) -> DataFrame:
+    """Rows of logs.scan_diagnostics for each step of samples(): x and a share of it by run, and for each class whether a run has it. Each fifth coverage is unknown; a class that no run has is left out."""
+    runs, kinds = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), ["click", "purchase", "signup", "view"]
+    by = samples.groupBy("step").agg(F.map_from_entries(F.collect_list(F.struct("run", F.struct("x", "cls")))).alias("m"))
+    at = lambda r: F.try_element_at("m", r)
+    rate = lambda k: F.transform(runs, lambda r: F.when(F.exists(F.map_values("m"), lambda v: v["cls"] == k), F.coalesce((at(r)["cls"] == k).cast("double"), F.lit(0.0)) / 4))
+    return by.select("step", F.transform(runs, lambda r: at(r)["x"]).alias("lnls"), F.when(F.col("step") % 5 > 0, F.col("step") % 100 / 100).alias("rcov"), F.transform(runs, lambda r: (F.col("step") + r) % 8 / 8).alias("swaps"), F.array(*[rate(k) for k in kinds]).alias("accepts"))
+
+
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of sequences(): four characters for each event, into a row or into a column."""
+    n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("ntaxa"))
+    e = table(spark, sf_dir, "events").crossJoin(F.broadcast(n))
+    return e.select(F.col("event_id").alias("n"), F.when(F.col("event_id") % 2 == 0, "seq").otherwise("char").alias("kind"), (F.col("event_id") * 13 % (F.col("ntaxa") - 3)).alias("row"), (F.col("event_id") * 7 % 61).alias("col"), F.expr("substr('ACGTACGT', cast(event_id % 4 + 1 as int), 4)").alias("chars"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import numeric
 from .functions.alphabet import DNA
-from .operators import alignment, blockjoin, consensus, distance, joining, likelihood, parameters, posterior, reports, splits, trees
+from .operators import alignment, blockjoin, consensus, distance, edits, joining, likelihood, parameters, posterior, reports, splits, taxa, trees
 from .operators.ordering import ranked
 from .plans import inputs
 from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_NEWICKS, SQL_ORDER_LINES, SQL_PROTEINS, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
@@ -780,3 +780,161 @@ SELECT (SELECT max(step) FROM burned) AS last, (SELECT count(*) FROM burned) AS
 def sampling_rcov(spark, d):
     """Coverage of the last half of what all runs have sampled."""
     return _r(convergence.sampling_coverage(inputs.samples(spark, d).where("x is not null")), "rcov")
+
+
+@query(f"""WITH {SQL_ORDER_LINES} SELECT run, step, CAST(m.model AS INTEGER) AS model, round(share, 5) AS weight, round(rmult, 5) AS rmult, array_to_string(classes, ' ') AS rclass,
+    CAST(k AS INTEGER) AS k, round(1 + (part + 7 * classes[k + 1]) % 50 / 25.0, 5) AS rate, round(w_norm, 5) AS w_norm, round(alpha, 5) AS alpha, round(pinvar, 5) AS pinvar,
+    CAST(printf('%.5e', CAST((1 + (supp + 3 * (k % 4)) % 10) / list_sum(list_transform(range(0, 4), lambda j: 1 + (supp + 3 * j) % 10)) AS DOUBLE)) AS DOUBLE) AS freq FROM (SELECT *, weight / sum(weight) OVER (PARTITION BY step) AS share FROM omodels) AS m, unnest(range(0, 6)) AS t(k)""")
+def log_scan_parameters(spark, d):
+    """Model rows written as lines and read again: one row for each class."""
+    models = ranked(inputs.order_models(spark, d), ["run", "step"], [F.col("model")], "m").withColumn("model", F.col("m").cast("int"))
+    back = logs.scan_parameters(logs.parameter_lines(models))
+    return back.select("run", "step", "model", "weight", "rmult", "rclass", F.posexplode("rates").alias("k", "rate"), "w_norm", "alpha", "pinvar", "freqs").withColumn("freq", F.get("freqs", F.col("k") % 4)).drop("freqs")
+
+
+@query(f"""WITH {SQL_ORDER_LINES}, t AS (SELECT o_custkey % 4 AS run, step, '(' || string_agg('t' || model || ':' || CAST(floor(price / 1000) AS BIGINT), ',' ORDER BY model) || ');' AS newick FROM olines JOIN orders ON o_orderkey = step GROUP BY 1, 2)
+SELECT 0 AS line, '[[run step] tree]' AS value UNION ALL SELECT row_number() OVER (ORDER BY run, step), '[' || run || ' ' || step || '] ' || newick FROM t""")
+def log_tree_lines(spark, d):
+    """A whole log of trees, by numbered lines, read and written once more."""
+    once = logs.tree_lines(inputs.order_trees(spark, d))
+    return logs.numbered(logs.tree_lines(logs.scan_trees(once)), ["run", "step"], "t")
+
+
+@query(f"""WITH {SQL_SAMPLES}, w AS (SELECT DISTINCT step FROM samples), g AS (SELECT step, CAST(r AS BIGINT) AS run, x, cls FROM w CROSS JOIN unnest(range(0, 4)) AS t(r) LEFT JOIN samples AS s USING (step) WHERE s.run = r
+    UNION ALL SELECT step, CAST(r AS BIGINT), NULL, NULL FROM w CROSS JOIN unnest(range(0, 4)) AS t(r) WHERE NOT EXISTS (SELECT 1 FROM samples AS s WHERE s.step = w.step AND s.run = r)),
+rates AS (SELECT g.step, 'accept ' || k AS part, run, CASE WHEN EXISTS (SELECT 1 FROM samples AS s WHERE s.step = g.step AND s.cls = k) THEN CASE WHEN cls = k THEN 0.25 ELSE 0.0 END END AS x FROM g CROSS JOIN unnest(['click', 'purchase', 'signup', 'view']) AS t(k))
+SELECT step, 'rcov' AS part, CAST(-1 AS BIGINT) AS run, round(CASE WHEN step % 5 > 0 THEN step % 100 / 100.0 END, 6) AS x FROM w UNION ALL SELECT step, 'lnl', run, round(x, 6) FROM g
+UNION ALL SELECT step, 'swap', run, (step + run) % 8 / 8.0 FROM g UNION ALL SELECT step, part, run, CAST(x AS DOUBLE) FROM rates""")
+def log_scan_diagnostics(spark, d):
+    """All fields of diagnostic lines that were written and read again."""
+    rows = logs.scan_diagnostics(logs.diagnostic_lines(inputs.order_diagnostics(inputs.samples(spark, d))))
+    part = lambda name, xs: F.struct(F.lit(name).alias("part"), xs.alias("xs"))
+    kinds = ["click", "purchase", "signup", "view"]
+    parts = rows.select("step", F.explode(F.array(part("lnl", F.col("lnls")), part("swap", F.col("swaps")), *[part(f"accept {k}", F.get("accepts", F.lit(i))) for i, k in enumerate(kinds)])).alias("p"))
+    each = parts.select("step", "p.part", F.posexplode("p.xs").alias("run", "x")).withColumn("run", F.col("run").cast("long"))
+    return _r(each.union(rows.select("step", F.lit("rcov"), F.lit(-1).cast("long"), "rcov")), "x", places=6)
+
+
+@query(f"WITH {SQL_SAMPLES}, w AS (SELECT run, step // 50 AS part, 2 * count(*) FILTER (x > 50) / 100.0 AS rate FROM samples GROUP BY 1, 2), l AS (SELECT run, max(part) AS last FROM w GROUP BY run) SELECT run, round(sum(0.1 * pow(CAST(0.9 AS DOUBLE), last - part) * rate), 8) AS ema FROM w JOIN l USING (run) GROUP BY run")
+def swap_rate(spark, d):
+    swaps = inputs.samples(spark, d).select("run", "step", F.when(F.col("x") > 50, 2).otherwise(0).alias("n"))
+    return _r(posterior.swap_rates(swaps, 50, alpha=0.1), "ema", places=8)
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT run, step, x FROM samples WHERE step >= 20 * 5")
+def burnin_skipped(spark, d):
+    return posterior.burn_in(inputs.samples(spark, d), stride=5, skip=20).select("run", "step", "x")
+
+
+#: All labels of newicks(), numbered by code point.
+_SQL_TAXA = f"{SQL_NEWICKS}, taxa AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS tid FROM (SELECT node AS label FROM leaves UNION SELECT nation FROM leaves UNION SELECT 'r' || tree_id FROM leaves))"
+
+
+def _taxa(spark, d):
+    return taxa.checked(taxa.dictionary(newick.nodes(inputs.newicks(spark, d)).select("taxon"), "taxon"))
+
+
+@query(f"WITH {_SQL_TAXA}, asked AS (SELECT 'c' || c_custkey AS label FROM customer UNION ALL SELECT 'p' || p_partkey FROM part) SELECT label, coalesce(tid, -1) AS tid FROM asked LEFT JOIN taxa USING (label)")
+def taxon_index(spark, d):
+    """Numbers of customers, which the dictionary has, and of parts, which it hasn't."""
+    asked = [inputs.table(spark, d, t).select(F.concat(F.lit(p), F.col(k).cast("string")).alias("label")) for t, p, k in (("customer", "c", "c_custkey"), ("part", "p", "p_partkey"))]
+    return taxa.index_of(asked[0].union(asked[1]), _taxa(spark, d)).select("label", "tid")
+
+
+@query(f"WITH {_SQL_TAXA} SELECT o_orderkey, label FROM orders LEFT JOIN taxa ON tid = o_orderkey % (SELECT count(*) + 7 FROM taxa)")
+def taxon_label(spark, d):
+    """The label for a number of each order; some numbers are past the last one."""
+    known = _taxa(spark, d)
+    asked = inputs.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % (known.count() + 7)).alias("tid"))
+    return taxa.label_of(asked, known).select("o_orderkey", "label")
+
+
+@query(f"""WITH {_SQL_TAXA}, kids AS (SELECT tree_id, nation, inner_length, '(' || string_agg(t.tid || ':' || length, ',' ORDER BY node || ':' || length) || ')' AS text FROM leaves JOIN taxa AS t ON label = node GROUP BY 1, 2, 3)
+SELECT tree_id, '(' || string_agg(text || n.tid || ':' || inner_length, ',' ORDER BY nation) || ')' || max(r.tid) || ';' AS newick FROM kids JOIN taxa AS n ON n.label = nation JOIN taxa AS r ON r.label = 'r' || tree_id GROUP BY tree_id""")
+def newick_numbered(spark, d):
+    """Trees with numbers for labels, named again and numbered again."""
+    known, trees_ = _taxa(spark, d), inputs.newicks(spark, d)
+    return taxa.numbered(taxa.named(taxa.numbered(trees_, known), known), known)
+
+
+@query(f"""WITH {SQL_SEQS}, edit AS (SELECT event_id AS n, event_id % 2 AS odd, event_id * 13 % ((SELECT count(*) FROM embeddings) - 3) AS row, event_id * 7 % 61 AS col, substr('ACGTACGT', event_id % 4 + 1, 4) AS chars FROM events),
+cell AS (SELECT row + odd * k AS tid, col + (1 - odd) * k AS pos, arg_max(chars[k + 1], n) AS ch FROM edit, unnest(range(0, 4)) AS t(k) GROUP BY 1, 2)
+SELECT tid, string_agg(coalesce(cell.ch, sites.ch), '' ORDER BY pos) AS seq FROM sites LEFT JOIN cell USING (tid, pos) GROUP BY tid""")
+def align_edits(spark, d):
+    return edits.edited(inputs.sequences(spark, d), inputs.edits(spark, d), DNA)
+
+
+@query(f"WITH {SQL_SEQS} SELECT pos, string_agg(ch, '' ORDER BY tid) AS chars FROM sites GROUP BY pos")
+def align_columns(spark, d):
+    """Columns of rows that were made from columns."""
+    return edits.columns(edits.rows(edits.columns(inputs.sequences(spark, d)))).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""WITH {SQL_SEQS}, c AS (SELECT event_id % 64 AS pos, arg_max(user_id, event_id) AS freq FROM events GROUP BY 1)
+SELECT pos, string_agg(ch, '' ORDER BY tid) AS chars, coalesce(max(freq), 1) AS freq FROM sites LEFT JOIN c USING (pos) GROUP BY pos""")
+def align_freqs(spark, d):
+    changes = inputs.table(spark, d, "events").select(F.col("event_id").alias("n"), (F.col("event_id") % 64).alias("pos"), F.col("user_id").alias("freq"))
+    cols = edits.columns(inputs.sequences(spark, d)).select(F.col("pos").cast("long").alias("pos"), "chars", F.lit(1).cast("long").alias("freq"))
+    return edits.with_freqs(cols, changes)
+
+
+@query(f"""WITH {SQL_SEQS}, w AS (SELECT max(len('v ' || tid)) AS w FROM seqs), f AS (SELECT event_id % 64 AS pos, count(DISTINCT user_id) % 15 AS freq FROM events GROUP BY 1),
+b AS (SELECT pos // 50 AS block, count(*) AS n FROM f GROUP BY 1), gap AS (SELECT *, CASE WHEN pos % 5 = 0 THEN ' ' ELSE '' END AS sp FROM sites),
+l AS (SELECT block, 0 AS part, 0 AS tid, '' AS value FROM b WHERE block > 0
+UNION ALL SELECT pos // 50, 1, 0, repeat(' ', max(w)) || string_agg(CASE WHEN pos % 5 = 0 THEN ' ' ELSE '' END || CASE WHEN freq < 10 THEN CAST(freq AS VARCHAR) ELSE '(' || freq || ')' END, '' ORDER BY pos) FROM f, w GROUP BY 1
+UNION ALL SELECT block, unnest([2, 4]), 0, repeat(' ', w + 1) || repeat('=', n + (n - 1) // 5) FROM b, w
+UNION ALL SELECT pos // 50, 3, tid, max(rpad('v ' || tid, CAST(w AS INTEGER), ' ')) || string_agg(sp || ch, '' ORDER BY pos) FROM gap, w GROUP BY 1, 3
+UNION ALL SELECT pos // 50, 5, 0, repeat(' ', max(w) + 1) || rtrim(string_agg(rpad(CAST(pos AS VARCHAR), 6, ' '), '' ORDER BY pos)) FROM f, w WHERE pos % 5 = 0 GROUP BY 1)
+SELECT row_number() OVER (ORDER BY block, part, tid) - 1 AS line, value FROM l""")
+def align_render_lines(spark, d):
+    """The whole text of an alignment: frequencies, rules, rows and offsets."""
+    seqs = inputs.sequences(spark, d).withColumn("label", F.concat(F.lit("v "), F.col("tid").cast("string")))
+    freqs = inputs.table(spark, d, "events").groupBy((F.col("event_id") % 64).alias("pos")).agg((F.countDistinct("user_id") % 15).alias("freq"))
+    return alignment.render_lines(seqs, freqs)
+
+
+#: The sites whose columns are the taxa of one label: few rows in a column, so that some are not informative.
+_SQL_DROPPED = f"""{SQL_SEQS}, c AS (SELECT CAST(floor(tid / 4) AS BIGINT) * 64 + pos AS col, val, count(*) AS n FROM sites WHERE val <> 0 GROUP BY 1, 2), a AS (SELECT DISTINCT CAST(floor(tid / 4) AS BIGINT) * 64 + pos AS col FROM sites),
+k AS (SELECT col, count(*) AS nstates, count(*) > 2 OR (count(*) = 2 AND min(n) >= 2) AS good FROM c GROUP BY col)"""
+
+
+@query(f"WITH {_SQL_DROPPED} SELECT count(*) FILTER (coalesce(good, false)) AS kept, count(*) FILTER (NOT coalesce(good, false)) AS dropped, CAST(coalesce(sum(CASE WHEN NOT good AND nstates = 2 THEN col % 3 + 1 END), 0) AS BIGINT) AS changes FROM a LEFT JOIN k USING (col)")
+def fitch_dropped_changes(spark, d):
+    """All alignments of four taxa beside each other: columns kept, dropped, and the changes of the dropped ones."""
+    long = _sites(spark, d).withColumn("pos", F.floor(F.col("tid") / 4) * 64 + F.col("pos"))
+    return alignment.dropped_changes(long, long.select("pos").distinct().select("pos", (F.col("pos") % 3 + 1).alias("freq")))
+
+
+@query(f"WITH {_SQL_DROPPED} SELECT tid, CAST(floor(tid / 4) AS BIGINT) * 64 + pos AS pos, ch FROM sites JOIN k ON col = CAST(floor(tid / 4) AS BIGINT) * 64 + pos WHERE good")
+def fitch_kept(spark, d):
+    return alignment.keep_informative(_sites(spark, d).withColumn("pos", F.floor(F.col("tid") / 4) * 64 + F.col("pos"))).select("tid", "pos", "ch")
+
+
+@query(f"WITH {SQL_SEQS} SELECT tid, array_to_string(chars, '') AS seq FROM seqs")
+def value_codes(spark, d):
+    return inputs.masks(spark, d).select("tid", DNA.decode(F.col("v")).alias("seq"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_partkey = 0 THEN 0 ELSE bit_count(l_partkey & -l_partkey) + bit_count((l_partkey & -l_partkey) - 1) END AS INTEGER) AS ffs FROM lineitem")
+def first_bits(spark, d):
+    return inputs.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numeric.first_bit(F.col("l_partkey")).alias("ffs"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(lgamma(CAST(l_quantity AS DOUBLE) / 4), 8) AS ln_gamma FROM lineitem")
+def ln_gammas(spark, d):
+    rows = inputs.table(spark, d, "lineitem")
+    return _r(rows.select("l_orderkey", "l_linenumber", numeric.ln_gamma(F.col("l_quantity") / 4).alias("ln_gamma")), "ln_gamma", places=8)
+
+
+@query("SELECT l_orderkey, l_linenumber, round(1 - exp(-l_quantity / 5.0) * list_sum(list_transform(range(0, CAST(l_linenumber AS BIGINT)), lambda i: pow(l_quantity / 5.0, i) / gamma(i + 1))), 9) AS share FROM lineitem")
+def gamma_shares(spark, d):
+    """Incomplete gamma function of whole shapes, whose closed form SQL has."""
+    rows = inputs.table(spark, d, "lineitem")
+    return _r(rows.select("l_orderkey", "l_linenumber", numeric.gamma_ratio(F.col("l_linenumber"), F.col("l_quantity") / 5).alias("share")), "share")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(-2 * ln(1 - (l_discount + 0.005)), 8) AS x FROM lineitem")
+def chi2_quantiles(spark, d):
+    """Quantiles with two degrees of freedom, whose closed form SQL has."""
+    rows = inputs.table(spark, d, "lineitem")
+    return _r(rows.select("l_orderkey", "l_linenumber", numeric.chi2_quantile(F.col("l_discount") + 0.005, F.lit(2)).alias("x")), "x", places=8)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -156,3 +158,16 @@ def rewrite(trees: DataFrame, how, lengths: bool = True, fmt: str = "%g") -> Dat
 
     ship(trees.sparkSession)
     return trees.select("tree_id", "newick").mapInPandas(run, f"tree_id {trees.schema['tree_id'].dataType.simpleString()}, newick string")
+
+
+def texts(rows: DataFrame, lengths: bool = True, fmt: str = "%g") -> DataFrame:
+    """(tree_id, newick) of node rows (tree_id, node_id, parent_id, ord, taxon, length): the inverse of nodes(). A text is one row, so a tree's nodes are gathered once."""
+
+    def run(batches):
+        for batch in batches:
+            trees = ([tuple(r.values()) for r in tree] for tree in batch.column("rows").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("tree_id"), pa.array([render(t, lengths, fmt) for t in trees], pa.string())], names=["tree_id", "newick"])
+
+    ship(rows.sparkSession)
+    whole = rows.groupBy("tree_id").agg(F.collect_list(F.struct("node_id", "parent_id", "ord", "taxon", "length")).alias("rows"))
+    return whole.mapInArrow(run, f"tree_id {rows.schema['tree_id'].dataType.simpleString()}, newick string")
