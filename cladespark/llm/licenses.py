@@ -40,6 +40,13 @@ _BSD_TAIL = (
     "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 )
 
+#: Start of a machine-readable line; other licenses may be offered before.
+_SPDX = "spdx license identifier [[{{6}} or]] "
+#: Head of the notices that the free software foundation recommends, and what follows the license's name.
+_FSF = "redistribute it and or modify it under the terms of [[version {{2}} of]] the gnu "
+_BY_FSF = " as published by the free software foundation [[either]] version "
+_LATER = " [[of the license]] [[only]] [[or at your option any later version]]"
+
 #: Notices by label, in the markup above.
 TEMPLATES = {
     "mit-notice": [
@@ -50,15 +57,26 @@ TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license [[version]] 2 0 [[the license]]",
         "[[this {{4}} is]] released under the apache license [[version]] 2 0",
+        _SPDX + "apache 2 0",
     ],
-    "gpl-2.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 2 [[of the license]] [[or at your option any later version]]"],
-    "gpl-3.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 3 [[of the license]] [[or at your option any later version]]"],
-    "lgpl": ["licensed under the [[terms of the]] gnu lesser general public license [[version {{2}}]]", "licensed under the [[terms of the]] gnu library general public license [[version {{2}}]]"],
-    "cc-by-nc-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0 [[international]] [[license]]", "licensed under a creative commons attribution noncommercial 4 0 [[international]] license"],
-    "cc-by-4.0": ["licensed under [[a]] [[the]] cc by 4 0 [[international]] [[license]]", "licensed under a creative commons attribution 4 0 [[international]] license"],
-    "cc-by-sa-4.0": ["licensed under [[a]] [[the]] cc by sa 4 0 [[international]] [[license]]", "licensed under a creative commons attribution sharealike 4 0 [[international]] license"],
+    "gpl-2.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 2 [[of the license]] [[or at your option any later version]]", _FSF + "general public license" + _BY_FSF + "2" + _LATER, "under the terms of the gnu general public license version 2 [[only]] as published by the free software foundation", _SPDX + "gpl 2 0"],
+    "gpl-3.0": ["licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] [[version]] 3 [[of the license]] [[or at your option any later version]]", _FSF + "general public license" + _BY_FSF + "3" + _LATER, "under the terms of the gnu general public license version 3 [[only]] as published by the free software foundation", _SPDX + "gpl 3 0"],
+    "lgpl": ["licensed under the [[terms of the]] gnu lesser general public license [[version {{2}}]]", "licensed under the [[terms of the]] gnu library general public license [[version {{2}}]]", _FSF + "lesser general public license as published by the free software foundation", _FSF + "library general public license as published by the free software foundation", _SPDX + "lgpl"],
+    "cc-by-nc-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by nc 4 0 [[international]] [[license]]", "licensed under a creative commons attribution noncommercial 4 0 [[international]] license", _SPDX + "cc by nc 4 0"],
+    "cc-by-4.0": ["licensed under [[a]] [[the]] cc by 4 0 [[international]] [[license]]", "licensed under a creative commons attribution 4 0 [[international]] license", _SPDX + "cc by 4 0"],
+    "cc-by-sa-4.0": ["licensed under [[a]] [[the]] cc by sa 4 0 [[international]] [[license]]", "licensed under a creative commons attribution sharealike 4 0 [[international]] license", _SPDX + "cc by sa 4 0"],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "[[released]] [[licensed]] under the [[terms of the]] {{2}} bsd [[style]] license"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license [[v]] [[version]] 2 0"],
+    "mpl-2.0": ["subject to the terms of the mozilla public license [[v]] [[version]] 2 0", _SPDX + "mpl 2 0"],
+    "lgpl-2.1": [_FSF + "lesser general public license" + _BY_FSF + "2 1" + _LATER, _SPDX + "lgpl 2 1"],
+    "lgpl-3.0": [_FSF + "lesser general public license" + _BY_FSF + "3" + _LATER, _SPDX + "lgpl 3 0"],
+    "agpl-3.0": [_FSF + "affero general public license" + _BY_FSF + "3" + _LATER, "licensed under the [[terms of the]] gnu affero general public license [[version]] 3", _SPDX + "agpl 3 0"],
+    "mit-spdx": [_SPDX + "mit"],
+    "isc-spdx": [_SPDX + "isc"],
+    "bsd-2-clause-spdx": [_SPDX + "bsd 2 clause"],
+    "bsd-3-clause-spdx": [_SPDX + "bsd 3 clause"],
+    "cc0-1.0": ["creative commons [[legal code]] cc0 1 0 universal [[public domain dedication]]", "licensed under [[the]] [[creative commons]] cc0 1 0", _SPDX + "cc0 1 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", _SPDX + "unlicense"],
+    "public-domain": ["released into the public domain", "placed in the public domain", "dedicated to the public domain"],
     # Whole notices: wording between the optional heads and the replaceable names is mandatory.
     "mit-text": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights "

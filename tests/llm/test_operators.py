@@ -76,6 +76,29 @@ def test_license_notices_and_versions(spark):
     assert [[x for x in got[i] if x in ("mit-text", "isc", "bsd-2-clause", "bsd-3-clause", "gpl-2.0")] for i in range(5)] == [["mit-text"], ["isc"], ["bsd-2-clause"], ["bsd-3-clause"], []]
 
 
+def test_license_headers_and_identifiers(spark):
+    header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; {} (at your option) any later version."
+    want = {
+        header.format("General Public License", "either version 3 of the License, or"): "gpl,gpl-3.0",
+        header.format("General Public License", "either version 2 of the License, or"): "gpl,gpl-2.0",
+        header.format("Lesser General Public License", "either version 2.1 of the License, or"): "gpl,lgpl,lgpl-2.1",
+        header.format("Affero General Public License", "either version 3 of the License, or"): "agpl-3.0,gpl",
+        "modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl,gpl-2.0",
+        header.format("General Public License", "either version 2.1 of the License, or"): "gpl",
+        "// SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+        "SPDX-License-Identifier: MIT OR Apache-2.0\n": "apache-2.0,mit-spdx",
+        "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause-spdx",
+        "This is free and unencumbered software released into the public domain.": "public-domain,unlicense",
+        "The public domain is large; software placed in the domain": "",
+    }
+    texts = list(want)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {t: got[i]["labels"] for i, t in enumerate(texts)} == want
+    for i, t in enumerate(texts):
+        assert (got[i]["labels"], round(got[i]["score"], 9)) == brute.license_labels(t, licenses.PHRASES, licenses.TEMPLATES), t
+
+
 def test_labels_and_scores_of_licenses_by_brute_force(docs, spark):
     """Templates as backtracking searches over word lists."""
     rng = random.Random(12)
