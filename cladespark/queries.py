@@ -13,8 +13,8 @@ from .operators import alignment, blockjoin, consensus, distance, edits, joining
 from .operators.ordering import ranked
 from .plans import inputs
 from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_NEWICKS, SQL_ORDER_LINES, SQL_PROTEINS, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
-from .session import ship
-from .sources import fasta, logs, newick, phylip
+from .session import scratch, ship
+from .sources import fasta, files, logs, newick, phylip
 from .sources.randomtrees import random_trees
 from .streaming import convergence, live
 
@@ -938,3 +938,28 @@ def chi2_quantiles(spark, d):
     """Quantiles with two degrees of freedom, whose closed form SQL has."""
     rows = inputs.table(spark, d, "lineitem")
     return _r(rows.select("l_orderkey", "l_linenumber", numeric.chi2_quantile(F.col("l_discount") + 0.005, F.lit(2)).alias("x")), "x", places=8)
+
+
+def _written(lines: DataFrame, name: str) -> str:
+    path = scratch(lines.sparkSession, name)
+    files.write_lines(lines, path)
+    return path
+
+
+@query(f"WITH {SQL_SEQS} SELECT 'v ' || tid AS label, array_to_string(chars, '') AS seq FROM seqs")
+def fasta_files(spark, d):
+    """Sequences written as files of FASTA records and read again by byte ranges."""
+    return files.read_fasta(spark, _written(fasta_lines(spark, d).select(F.col("tid").alias("line"), F.col("record").alias("value")), "fasta")).select("label", "seq")
+
+
+@query(f"""WITH {SQL_NEWICKS}, kids AS (SELECT tree_id, nation, inner_length, '(' || string_agg(node || ':' || length, ',' ORDER BY node || ':' || length) || ')' AS text FROM leaves GROUP BY 1, 2, 3)
+SELECT '(' || string_agg(text || nation || ':' || inner_length, ',' ORDER BY nation) || ')r' || tree_id || ';' AS newick FROM kids GROUP BY tree_id""")
+def newick_files(spark, d):
+    return files.read_newick(spark, _written(inputs.newicks(spark, d).select(F.col("tree_id").alias("line"), F.col("newick").alias("value")), "newick")).select("newick")
+
+
+@query(f"""WITH {SQL_ORDER_LINES} SELECT o_custkey % 4 AS run, step, '(' || string_agg('t' || model || ':' || CAST(floor(price / 1000) AS BIGINT), ',' ORDER BY model) || ');' AS newick FROM olines JOIN orders ON o_orderkey = step GROUP BY 1, 2""")
+def log_files(spark, d):
+    """A log of trees written in order to files and read again."""
+    lines = logs.numbered(logs.tree_lines(inputs.order_trees(spark, d)), ["run", "step"], "t")
+    return logs.scan_trees(files.read_log(spark, _written(lines, "log")))

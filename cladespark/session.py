@@ -26,14 +26,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def saved(df: DataFrame, name: str = "part") -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir), read again: lineage ends there. Only a local master may leave the folder unset."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (spark.checkpoint.dir). Only a local master may leave the folder unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found and not (sc.master or "").startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{(found or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(found or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "part") -> DataFrame:
+    """df as a table in the shared folder, read again: lineage ends there."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
