@@ -32,6 +32,8 @@ SAMPLE, CHUNK, STEP, DEPTH, FILTERS, EPOCHS = 1200, 512, 504, 8, 32, 10
 _WIDTH, _STRIDE = 8, 4
 #: Bytes of a text that the network is fitted on, at most, so that the sample's size is bounded.
 MAX_BYTES = 1 << 16
+#: Bytes that are scored at once.
+_RUN = 1 << 19
 
 
 def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,16 +55,36 @@ def _responses(x: np.ndarray, p: dict) -> np.ndarray:
     return v[:, :-1] @ p["W"][:half] + v[:, 1:] @ p["W"][half:] + p["b"]
 
 
-def features(x: np.ndarray, doc: np.ndarray, n: int, p: dict) -> np.ndarray:
-    """Mean and maximum over each document's chunks of the chunks' pooled filters: (n, 2 * FILTERS)."""
-    peak = np.concatenate([np.maximum(_responses(x[i : i + 128], p).max(1), 0) for i in range(0, len(x), 128)]) if len(x) else np.zeros((0, FILTERS), np.float32)
-    out = np.zeros((n, 2 * FILTERS), np.float32)
+def pooled(x: np.ndarray, doc: np.ndarray, n: int, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum and maximum over each document's chunks of the chunks' pooled filters, and its number of chunks."""
+    total, top, many = np.zeros((n, FILTERS), np.float32), np.zeros((n, FILTERS), np.float32), np.zeros(n, np.int64)
     if len(x):
+        peak = np.concatenate([np.maximum(_responses(x[i : i + 128], p).max(1), 0) for i in range(0, len(x), 128)])
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-        many = np.diff(np.concatenate((first, [len(doc)])))
-        out[doc[first], :FILTERS] = np.add.reduceat(peak, first, axis=0) / many[:, None]
-        out[doc[first], FILTERS:] = np.maximum.reduceat(peak, first, axis=0)
-    return out
+        many[doc[first]] = np.diff(np.concatenate((first, [len(doc)])))
+        total[doc[first]] = np.add.reduceat(peak, first, axis=0)
+        top[doc[first]] = np.maximum.reduceat(peak, first, axis=0)
+    return total, top, many
+
+
+def _combined(total: np.ndarray, top: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.hstack([total / np.maximum(many, 1)[:, None], top]).astype(np.float32)
+
+
+def features(x: np.ndarray, doc: np.ndarray, n: int, p: dict) -> np.ndarray:
+    """Mean and maximum over each document's chunks of the chunks' pooled filters: (n, 2 * FILTERS)."""
+    return _combined(*pooled(x, doc, n, p))
+
+
+def long_features(data: np.ndarray, p: dict, limit: int) -> np.ndarray:
+    """features() of one text by runs of chunks of about limit bytes, so that memory doesn't grow with the text."""
+    step = max(1, limit // STEP) * STEP
+    total, top, many = np.zeros((1, FILTERS)), np.zeros((1, FILTERS), np.float32), np.zeros(1, np.int64)
+    for lo in range(0, max(1, len(data) - (CHUNK - STEP)), step):
+        part = data[lo : lo + step + CHUNK - STEP]
+        t, m, k = pooled(*chunked(part, np.array([0, len(part)])), 1, p)
+        total, top, many = total + t, np.maximum(top, m), many + k
+    return _combined(total, top, many)
 
 
 def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> dict:
@@ -145,9 +167,9 @@ def _score(model):
         for batch in batches:
             z = np.zeros(len(batch))
             if p is not None:
-                for s in slices(batch.column("text"), 1 << 19):
-                    x, doc = chunked(s.data, s.offsets)
-                    z[s.lo : s.hi] = features(x, doc, s.hi - s.lo, p) @ p["u"] + p["c"]
+                for s in slices(batch.column("text"), _RUN):
+                    f = long_features(s.data, p, _RUN) if len(s.data) > _RUN else features(*chunked(s.data, s.offsets), s.hi - s.lo, p)
+                    z[s.lo : s.hi] = f @ p["u"] + p["c"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["doc_id", "score"])
 
     return run

@@ -40,18 +40,45 @@ def family(lang: str) -> str:
     return _FAMILY.get(lang, f"other:{lang}")
 
 
-def _vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """A feature for each three bytes in a row, A-Z lower-cased."""
+    d = _LOWER[raw].astype(np.uint32)
+    return ((d[:-2] * 2654435 + d[1:-1] * 40503 + d[2:]) * np.uint32(2654435761)) >> np.uint32(20) if len(d) > 2 else np.zeros(0, np.uint32)
+
+
+def _lettered(raw: np.ndarray) -> bool:
+    low = _LOWER[raw]
+    return bool(((low >= 97) & (low <= 122)).any()) or bool((low >= 128).any() and any(map(str.isalpha, set(raw.tobytes().decode()))))
+
+
+def _long(data: np.ndarray, limit: int) -> tuple[np.ndarray, bool]:
+    """Counts of features and whether there is a letter, of one text in parts of about limit bytes, cut between characters."""
+    n, lo, counts, letter = len(data), 0, np.zeros(FEATURES, np.int64), False
+    while lo < n:
+        hi = min(lo + limit, n)
+        while hi < n and data[hi] & 0xC0 == 0x80:
+            hi -= 1
+        counts += np.bincount(_codes(data[lo : hi + 2]), minlength=FEATURES)
+        letter = letter or _lettered(data[lo:hi])
+        lo = hi
+    return counts, letter
+
+
+def _vectors(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, unit feature vectors, has a letter) of runs of texts."""
-    for s in slices(column, 1 << 20):
-        data = _LOWER[s.data]
+    for s in slices(column, limit):
         x = np.zeros((s.hi - s.lo, FEATURES), np.float32)
         letter = np.zeros(s.hi - s.lo, bool)
-        d = data.astype(np.uint32)
-        code = ((d[:-2] * 2654435 + d[1:-1] * 40503 + d[2:]) * np.uint32(2654435761)) >> np.uint32(20) if len(d) > 2 else np.zeros(0, np.uint32)
+        if len(s.data) > limit:
+            counts, letter[0] = _long(s.data, limit)
+            x[0] = np.sqrt(counts)
+            x[0] /= max(1e-9, np.linalg.norm(x[0]))
+            yield s.lo, x, letter
+            continue
+        code = _codes(s.data)
         for i in range(s.hi - s.lo):
             a, b = int(s.offsets[i]), int(s.offsets[i + 1])
-            part = data[a:b]
-            letter[i] = bool(((part >= 97) & (part <= 122)).any()) or bool((part >= 128).any() and any(map(str.isalpha, set(s.text(i).decode()))))
+            letter[i] = _lettered(s.data[a:b])
             if b - a > 2:
                 x[i] = np.sqrt(np.bincount(code[a : b - 2], minlength=FEATURES))
                 x[i] /= np.linalg.norm(x[i])

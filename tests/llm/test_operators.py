@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,37 @@ def test_license_notices_and_versions(spark):
     assert [[x for x in got[i] if x in ("mit-text", "isc", "bsd-2-clause", "bsd-3-clause", "gpl-2.0")] for i in range(5)] == [["mit-text"], ["isc"], ["bsd-2-clause"], ["bsd-3-clause"], []]
 
 
+def _peak(f) -> int:
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_texts_by_parts():
+    rng = np.random.default_rng(3)
+    p = {"E": rng.normal(0, 1, (257, bytecnn.DEPTH)), "W": rng.normal(0, 1, (8 * bytecnn.DEPTH, bytecnn.FILTERS)), "b": rng.normal(0, 1, bytecnn.FILTERS)}
+    for n in (0, 1, 8, 511, 512, 513, 1015, 1016, 1017, 1520, 1521, 9000):
+        data = rng.integers(1, 255, n).astype(np.uint8)
+        whole = bytecnn.features(*bytecnn.chunked(data, np.array([0, n])), 1, p)
+        for limit in (1, 504, 1100, 5000):
+            assert np.allclose(bytecnn.long_features(data, p, limit), whole, rtol=1e-5, atol=1e-5), (n, limit)
+    for text in ("été дом 北京 Straße " * 40, "12 34 " * 60, "1 2 3 é", "1 2 3 4 5 6 7 北", "ab"):
+        ((_, whole, ok),) = langid._vectors(pa.array([text]))
+        for limit in (4, 5, 6, 7, 50):
+            ((_, got, ok2),) = langid._vectors(pa.array([text]), limit)
+            assert np.allclose(got, whole, atol=1e-6) and ok.tolist() == ok2.tolist(), (text, limit)
+
+
+def test_memory_of_long_texts():
+    text = np.frombuffer(b"some words of a long text, one after another. " * 90_000, np.uint8)
+    small = {k: v.astype(np.float32) for k, v in {"E": np.ones((257, bytecnn.DEPTH)), "W": np.ones((8 * bytecnn.DEPTH, bytecnn.FILTERS)), "b": np.zeros(bytecnn.FILTERS)}.items()}
+    assert _peak(lambda: bytecnn.long_features(text, small, bytecnn._RUN)) < 30e6
+    assert _peak(lambda: langid._long(text, 1 << 20)) < 30e6
+
+
 def test_license_headers_and_identifiers(spark):
     header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; {} (at your option) any later version."
     want = {
