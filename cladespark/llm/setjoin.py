@@ -17,8 +17,10 @@ rarity only keeps the lists short).
   costs about n comparisons, not n squared.
 
 No list is gathered in one task: leaders come from aggregates, neighbours from ranges over
-all lists, and what is left of a list is dealt by size class and, where it is long, in
-blocks: rows of its largest class lie in one block each, all other rows meet every block.
+all lists, and what is left of a list is dealt by size class and, where it is long, into
+sub-blocks of about BLOCK_ROWS rows. A task compares one sub-block with itself or with one
+other, so it holds two of them at most, whatever classes the list is made of; sub-blocks of
+the list's largest class don't meet each other.
 
 Pairs are pruned by an exact upper bound from bucketed counts, and then verified on the
 whole sets. The result is exact for links between different texts' classes.
@@ -45,7 +47,7 @@ from .words import mix, signed, slices, words
 #: Buckets of the sketch that orders tokens (a fixed 4 MB for each task, 8 MB broadcast), and of a set's signature.
 SKETCH, BUCKETS = 1 << 20, 128
 _PART = 1 << 12
-#: Sketches that are added at a time; rows of a block of a list.
+#: Sketches that are added at a time; rows of a sub-block of a list.
 FAN, BLOCK_ROWS = 32, 8192
 #: What tells text classes apart.
 KEY = ("n", "sid", "sid2")
@@ -168,13 +170,13 @@ def _nearest(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> np.ndarray:
 def _cross(percent: int, nearest: bool):
     """Pairs (a, b, sure) of different classes in each block of a list; sure ones are linked by their differences to one leader.
 
-    Rows come together by list and block, in order of size and position. nearest: of each
-    set only the pair with the greatest bound on the overlap, and of each two classes one
+    Rows come together by list and block, in order of size and position. A block below zero
+    is one sub-block with itself, another one two different sub-blocks. nearest: of each set only the pair with the greatest bound on the overlap, and of each two classes one
     sure pair; otherwise all.
     """
 
     def pairs(rows: list[np.ndarray]) -> list[np.ndarray]:
-        ident, n, pos, comp, home, minor, lead, diff, blk, sig = rows
+        ident, n, pos, comp, home, sub, lead, diff, blk, sig = rows
         sig = np.frombuffer(b"".join(sig.tolist()), np.uint16).reshape(-1, BUCKETS)
         room = n - pos  # tokens from this one on, itself included
         found: list = [[], [], [], []]
@@ -188,7 +190,7 @@ def _cross(percent: int, nearest: bool):
                 if min(room[lo:hi].max(), room[at:to].max()) < overlap_needed(int(n[lo]), int(n[at]), percent):
                     continue  # no two positions of these blocks leave enough tokens
                 i, j = np.arange(lo, hi)[:, None], np.arange(at, to)[None, :]
-                ok = (j > i) & (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & home[j] & (~(minor[i] & minor[j]) | (blk[i] == 0))
+                ok = (j > i) & (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j]) & home[j] & ((sub[i] != sub[j]) | (blk[i] < 0))
                 ok &= np.minimum(room[i], room[j]) >= overlap_needed(n[i], n[j], percent)
                 x, y = np.nonzero(ok)
                 for k in range(0, len(x), 1 << 15):
@@ -216,7 +218,7 @@ def _cross(percent: int, nearest: bool):
         keep = np.concatenate((one, rest[_nearest(i[rest], j[rest], score[rest])]))
         return [i[keep], j[keep], sure[keep], score[keep]]
 
-    names = ("tok", "size", "id", "n", "pos", "comp", "home", "minor", "lead", "diff", "blk", "sig")
+    names = ("tok", "size", "id", "n", "pos", "comp", "home", "sub", "lead", "diff", "blk", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -310,6 +312,27 @@ def _linked(percent: int):
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (tok, size, id, comp, home) of lists with several classes, each with its sub-block `sub` and the blocks `cells` in which it meets others.
+
+    A list of BLOCK_ROWS rows is one sub-block. In a longer one the rows of the largest class
+    and all others are dealt apart: sub-blocks of the others meet all sub-blocks, those of the
+    largest class only the others. Block -1 - p is sub-block p with itself.
+    """
+    each = rows.groupBy("tok", "size", "comp").agg(F.count("*").alias("m"), F.max("home").alias("home"))
+    whole = each.groupBy("tok", "size").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.max("home").alias("home")).where("comps > 1 and home")
+    short = F.col("m") <= BLOCK_ROWS
+    minors = F.when(short, 1).otherwise(F.ceil((F.col("m") - F.col("most.m")) / BLOCK_ROWS).cast("int"))
+    majors = F.when(short, 0).otherwise(F.ceil(F.col("most.m") / BLOCK_ROWS).cast("int"))
+    whole = whole.select("tok", "size", F.col("most.comp").alias("most"), minors.alias("minors"), majors.alias("majors"))
+    rows = rows.join(whole, ["tok", "size"]).withColumn("minor", (F.col("comp") != F.col("most")) | (F.col("majors") == 0))
+    sub = F.when(F.col("minor"), F.pmod(F.hash("id"), "minors")).otherwise(F.col("minors") + F.pmod(F.hash("id"), F.greatest("majors", F.lit(1))))
+    every = F.col("minors") + F.col("majors")
+    cell = lambda t: F.when(t == F.col("sub"), -1 - t.cast("long")).otherwise(F.least(t, "sub").cast("long") * every + F.greatest(t, "sub"))
+    met = F.sequence(F.lit(0), F.when(F.col("minor"), every).otherwise(F.col("minors")) - 1)
+    return rows.withColumn("sub", sub).withColumn("cells", F.transform(met, cell)).drop("most", "minors", "majors", "minor")
+
+
 class _Join:
     """Text classes of docs, (id, rep, n, sid, sid2), and their index."""
 
@@ -386,12 +409,9 @@ class _Join:
         mixed = rows.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
         left = stash(rows.join(mixed, "tok"), "left")
         rows = left.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"size": size + F.col("up"), "home": F.col("up") == 0})
-        each = rows.groupBy("tok", "size", "comp").agg(F.count("*").alias("m"), F.max("home").alias("home"))
-        whole = each.groupBy("tok", "size").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.max("home").alias("home")).where("comps > 1 and home")
-        whole = whole.select("tok", "size", F.col("most.comp").alias("most"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-        rows = rows.join(whole, ["tok", "size"]).withColumn("minor", F.col("comp") != F.col("most"))
-        blocks = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.hash("id"), "blocks")))
-        rows = rows.select("tok", "size", "id", "n", "pos", "comp", "home", "minor", F.explode(blocks).alias("blk"))
+        # In the class above a set only meets greater ones, and from its place on it must hold what the least of those needs.
+        rows = rows.where(F.col("home") | ((F.col("n") - F.col("pos")) * (100 + percent) >= percent * (2 * F.col("n") + 1)))
+        rows = _dealt(rows).select("tok", "size", "id", "n", "pos", "comp", "home", "sub", F.explode("cells").alias("blk"))
         rows = rows.join(self.index.select("id", "sig"), "id").join(leads, "id", "left").withColumns({"lead": F.coalesce("lead", F.lit(-1).cast("long")), "diff": F.coalesce("diff", F.lit(0).cast("long"))})
         rows = rows.repartition("tok", "size", "blk").sortWithinPartitions("tok", "size", "blk", "n", "pos", "id")
         return rows.mapInArrow(_cross(percent, nearest), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), left

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import tracemalloc
+from collections import defaultdict
 
 import brute
 import numpy as np
@@ -403,6 +404,28 @@ def test_blocks_of_long_lists(docs, rows, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_classes(docs, 3, 70).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("largest", [0, 1, 700, 2999])
+def test_blocks_of_a_hot_list(spark, monkeypatch, largest):
+    """One list of 3,000 sets, `largest` of one class and the others each of its own: no block is long, and each two sets of different classes meet once."""
+    monkeypatch.setattr(setjoin, "BLOCK_ROWS", 256)
+    comp = [0 if i < largest else i for i in range(3000)]
+    rows = spark.createDataFrame([(1, 5, i, c, True) for i, c in enumerate(comp)], "tok long, size long, id long, comp long, home boolean")
+    got = setjoin._dealt(rows).select("id", "sub", F.explode("cells").alias("blk")).collect()
+    blocks, subs = defaultdict(list), {}
+    for r in got:
+        blocks[r["blk"]].append(r["id"])
+        assert subs.setdefault(r["id"], r["sub"]) == r["sub"]
+    assert max(map(len, blocks.values())) <= 2.6 * 256
+    assert len(got) <= 3000 * (3000 / 256 + 2)
+    met = np.zeros((3000, 3000), np.int8)
+    for blk, ids in blocks.items():
+        i, j = np.array(ids)[:, None], np.array(ids)[None, :]
+        sub = np.array([subs[x] for x in ids])
+        met[i, j] += (sub[:, None] != sub[None, :]) | (blk < 0)
+    differ = np.array(comp)[:, None] != np.array(comp)[None, :]
+    assert (met[differ] == 1).all()
+
+
 def test_keep_one_of_rows_that_repeat_an_id(spark):
     a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
     rows = [(5, a), (5, b), (5, a), (2, b + " x"), (None, a), (None, a), (9, ""), (9, "")]
