@@ -13,7 +13,7 @@ from .operators import alignment, blockjoin, consensus, distance, edits, joining
 from .operators.ordering import ranked
 from .plans import inputs
 from .plans.inputs import SQL_CENTROIDS, SQL_EDGES, SQL_NEWICKS, SQL_ORDER_LINES, SQL_PROTEINS, SQL_SAMPLES, SQL_SEQS, SQL_SPLITS
-from .session import scratch, ship
+from .session import saved, scratch, ship
 from .sources import fasta, files, logs, newick, phylip
 from .sources.randomtrees import random_trees
 from .streaming import convergence, live
@@ -658,9 +658,8 @@ def dist_phylip(spark, d):
 
 @query(f"WITH {SQL_CENTROIDS} SELECT 'L' || i AS label_i, 'L' || j AS label_j, round(d, 6) AS d FROM dists")
 def phylip_scan(spark, d):
-    lines = dist_phylip(spark, d)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")
-    return phylip.scan(lines.agg(text.alias("value")).withColumn("dataset", F.lit(0))).select("label_i", "label_j", "d")
+    lines = saved(dist_phylip(spark, d), "phylip")
+    return phylip.scan_lines(lines).select("label_i", "label_j", "d")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS gcd FROM lineitem")
