@@ -377,7 +377,9 @@ def site_lnl_adjacent(spark, d):
 
 @query()
 def gamma_categories(spark, d):
-    grid = spark.range(12).select(F.element_at(F.array(F.lit(0.5), F.lit(1.0), F.lit(5.0)), (F.col("id") % 3 + 1).cast("int")).alias("alpha"), F.when(F.col("id") % 2 == 0, 4).otherwise(8).alias("ncat"), (F.col("id") >= 6).alias("median"))
+    """Categories of the shape l_quantity / 10 in l_linenumber classes, by medians where that number is even: those of all rows, each once."""
+    rows = inputs.table(spark, d, "lineitem").select((F.col("l_quantity") / 10).cast("double").alias("alpha"), F.col("l_linenumber").cast("int").alias("ncat"))
+    grid = rows.where("alpha > 0 and ncat > 0").distinct().withColumn("median", F.col("ncat") % 2 == 0)
     return likelihood.gamma_table(grid)
 
 
@@ -403,11 +405,6 @@ def running_diagnostics(spark, d):
     return live.diagnostics(inputs.samples(spark, d).where("x is not null")).drop("mean", "var")
 
 
-@query()
-def simulate_sites(spark, d):
-    return likelihood.simulate(spark, "(A:0.3,(B:0.15,C:0.2):0.1,(D:0.4,E:0.05):0.2);", [likelihood.Model(alpha=0.5, ncat=4, pinvar=0.1)], 50_000, seed=7)
-
-
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
@@ -438,7 +435,8 @@ def dist_shuffle(spark, d):
 
 @query()
 def random_tree(spark, d):
-    return random_trees(spark, 200, [f"t{k}" for k in range(12)], seed=3)
+    """A tree of twelve taxa for each customer."""
+    return random_trees(spark, inputs.table(spark, d, "customer").count(), [f"t{k}" for k in range(12)], seed=3)
 
 
 _ONES = "len(replace({}, '0', ''))"
