@@ -4,7 +4,9 @@ In a round every row finds its closest partner by the neighbor-joining criterion
 pairs that are closest to each other, all whose members keep the same difference of
 distances to every other node are joined at once: in a matrix of path lengths these are
 just the pairs with one node between them, which don't change each other's criterion, so the
-tree is that of joining one pair after another. The first round that finds none ends that;
+tree is that of joining one pair after another. Nodes that are so next to one and the same
+other node are next to each other, too, and are joined in pairs among themselves, so a node of
+many branches takes as many rounds as their number can be halved. The first round that finds none ends that;
 from then on all mutually closest pairs are joined (relaxed), or only the closest of all.
 Distances to the new nodes are means of members' distances less half of each joined pair's
 own, which is one grouping of the cells. A round costs a few shuffles of the cells that are
@@ -42,6 +44,14 @@ def _even(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     return diff.where(F.col("span") <= EQUAL * F.col("most")).select("x", F.col("z").alias("y"))
 
 
+def _pairs_of_one(even: DataFrame) -> DataFrame:
+    """(x, y) of directed even pairs x -> y, one for each x: those that point at each other, and of the others that point at one node two and two."""
+    mutual = even.join(even.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"])
+    rest = even.join(mutual.select("x"), "x", "left_anti")
+    two = ranked(rest, ["y"], [F.col("x")], "k").groupBy("y", F.floor(F.col("k") / 2).alias("k")).agg(F.min("x").alias("x"), F.max("x").alias("z"))
+    return mutual.where("x < y").select("x", "y").union(two.where("x < z").select("x", F.col("z").alias("y")))
+
+
 def _finish(cells: DataFrame, base: int) -> DataFrame:
     """The joins of what is left, as one group; new nodes are numbered from base on, and the last pair is one edge."""
 
@@ -91,14 +101,18 @@ def joined_edges(dists: DataFrame, finish: int = FINISH, relaxed: bool = True) -
         way = lambda a, b: F.struct(F.col(a).alias("x"), F.struct("q", F.col(b).alias("y")).alias("c"))
         best = q.select(F.explode(F.array(way("i", "j"), way("j", "i"))).alias("w")).select("w.*").groupBy("x").agg(F.min("c").alias("c")).select("x", "c.y", "c.q")
         best = saved(best, "best")
-        pairs = best.join(best.select(F.col("x").alias("y"), F.col("y").alias("x"), "q"), ["x", "y", "q"]).where("x < y")
-        pairs = pairs.join(cells.select(F.col("i").alias("x"), F.col("j").alias("y"), "d"), ["x", "y"]).join(share, "x").join(share.select(F.col("x").alias("y"), F.col("r").alias("ry")), "y")
+        pairs = None
+        if additive:
+            low, high = F.least("x", "y"), F.greatest("x", "y")
+            even = saved(_even(cells, best.select(low.alias("x"), high.alias("y")).distinct()), "even")
+            towards = best.select("x", "y", low.alias("l"), high.alias("h")).join(even.select(F.col("x").alias("l"), F.col("y").alias("h")), ["l", "h"], "left_semi").select("x", "y")
+            pairs = saved(_pairs_of_one(saved(towards, "towards")), "pairs")
+            additive = not pairs.isEmpty()
+        if not additive:
+            pairs = best.join(best.select(F.col("x").alias("y"), F.col("y").alias("x"), "q"), ["x", "y", "q"]).where("x < y").select("x", "y")
+        pairs = pairs.join(q.select(F.col("i").alias("x"), F.col("j").alias("y"), "d", "q"), ["x", "y"]).join(share, "x").join(share.select(F.col("x").alias("y"), F.col("r").alias("ry")), "y")
         first = (F.col("d") + F.col("r") - F.col("ry")) / 2
         pairs = saved(pairs.select("x", "y", "q", "d", first.alias("vx"), (F.col("d") - first).alias("vy")), "pairs")
-        if additive:
-            found = saved(pairs.join(_even(cells, pairs), ["x", "y"], "left_semi"), "pairs")
-            additive = not found.isEmpty()
-            pairs = found if additive else pairs
         if not additive and not relaxed:
             least = pairs.agg(F.min(F.struct("q", "x", "y")).alias("m"))
             pairs = pairs.join(F.broadcast(least.select("m.x", "m.y")), ["x", "y"])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cladespark.operators import trees
+from cladespark.operators import blockjoin, trees
 
 
 @pytest.fixture
@@ -40,3 +40,17 @@ def test_siblings_of_one_parent_meet_in_many_tasks(spark, star, monkeypatch):
     most, n = shares(got)
     assert n == 60 * 59 // 2 and most < n / 3
     assert {tuple(r) for r in got.collect()} == {(f"x{i:02}", f"x{j:02}", float(i + j)) for i in range(60) for j in range(i + 1, 60)}
+
+
+def test_many_branches_of_a_node_take_few_rounds(spark, monkeypatch):
+    """Sixty leaves below four nodes: two leaves a node in a round would take fourteen rounds."""
+    lengths = {f"n{k}": 1.0 + k for k in range(4)}
+    far = lambda i: 0.5 + i / 64
+    cells = [(i, j, far(i) + far(j) + (0.0 if i % 4 == j % 4 else lengths[f"n{i % 4}"] + lengths[f"n{j % 4}"])) for i in range(60) for j in range(i + 1, 60)]
+    rounds = []
+    even = blockjoin._even
+    monkeypatch.setattr(blockjoin, "_even", lambda *a: rounds.append(1) or even(*a))
+    edges = blockjoin.joined_edges(spark.createDataFrame(cells, "i int, j int, d double"), 4)
+    found = {(r["split"], round(r["length"], 6)) for r in blockjoin.splits(edges.where("true"), 60).where("length > 1e-6").collect()}
+    side = lambda k: "".join("1" if (i % 4 == k) != (k == 0) else "0" for i in range(60))
+    assert {s for s, _ in found} == {side(k) for k in range(4)} and len(rounds) <= 8
