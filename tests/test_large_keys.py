@@ -1,9 +1,12 @@
 """Steps whose keys, groups or trees hold most of the rows."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladespark.operators import blockjoin, trees
+from cladespark.operators import blockjoin, distance, trees
 
 
 @pytest.fixture
@@ -54,3 +57,36 @@ def test_many_branches_of_a_node_take_few_rounds(spark, monkeypatch):
     found = {(r["split"], round(r["length"], 6)) for r in blockjoin.splits(edges.where("true"), 60).where("length > 1e-6").collect()}
     side = lambda k: "".join("1" if (i % 4 == k) != (k == 0) else "0" for i in range(60))
     assert {s for s, _ in found} == {side(k) for k in range(4)} and len(rounds) <= 8
+
+
+def test_distances_by_large_blocks(spark, monkeypatch):
+    """Kernels of tiles against the pair functions; a row goes to a group for each large block."""
+    rng = random.Random(5)
+    rows = [(i, [rng.choice((1, 2, 4, 8, 15, 0)) for _ in range(40)]) for i in range(70)] + [(70, [1] * 40)]
+    df = spark.createDataFrame(rows, "tid int, v array<int>")
+    monkeypatch.setattr(distance, "BLOCK", 4)
+    for gaps in (True, False):
+        stats = distance.pairs(df, score_gaps=gaps)
+        plain = {"p": distance.p_distance, "jukes_cantor": distance.jukes_cantor}
+        for kind, how in plain.items():
+            want = {(r["i"], r["j"]): r["d"] for r in how(stats).collect()}
+            got = {(r["i"], r["j"]): r["d"] for r in distance.matrix_distance(df, kind, score_gaps=gaps).collect()}
+            assert got == pytest.approx(want) and len(got) == 71 * 70 // 2
+        codes = {i: np.array(v) if not gaps else np.where(np.array(v) == 0, 15, v) for i, v in rows}
+        for kind, one in (("kimura", distance.kimura_dna), ("logdet", distance.log_det)):
+            got = {(r["i"], r["j"]): r["d"] for r in distance.matrix_distance(df, kind, score_gaps=gaps).collect()}
+            assert got == pytest.approx({(i, j): one(distance.pair_matrix(codes[i], codes[j], 4)) for i, j in got}, nan_ok=True) and len(got) == 71 * 70 // 2
+    nan = distance.matrix_distance(df, "logdet")
+    want = {(r["i"], r["j"]): r["d"] for r in distance.convert_nan(nan).collect()}
+    assert {(r["i"], r["j"]): r["d"] for r in distance.defined_matrix_distance(df, "logdet").collect()} == pytest.approx(want)
+    amino = spark.createDataFrame([(i, [1 << rng.randrange(20 if i % 2 else 2) for _ in range(40)]) for i in range(30)], "tid int, v array<int>")
+    want = {(r["i"], r["j"]): r["d"] for r in distance.kimura_protein(distance.pairs(amino, 20)).collect()}
+    assert {(r["i"], r["j"]): r["d"] for r in distance.matrix_distance(amino, "kimura_protein", 20).collect()} == pytest.approx(want)
+
+
+def test_tiles_stay_small_in_large_blocks(spark):
+    """9,000 rows in blocks of about 281, whose tiles are 256 at most."""
+    df = spark.range(9000).select(F.col("id").alias("tid"), F.array(F.lit(1), F.lit(2)).alias("v"))
+    out = distance.block_pairs(df, lambda x, y: [np.ones((len(x), len(y)))], "n double, most double", whole=lambda v: [np.array([float(len(v[0]))]), np.array([1.0])])
+    got = out.agg(F.sum("n"), F.max("n")).first()
+    assert got[0] == 9000 * 8999 // 2 and got[1] <= 256 * 256
