@@ -1,12 +1,14 @@
 """Steps whose keys, groups or trees hold most of the rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cladespark.operators import blockjoin, distance, trees
+from cladespark.sources import newick
 
 
 @pytest.fixture
@@ -90,3 +92,20 @@ def test_tiles_stay_small_in_large_blocks(spark):
     out = distance.block_pairs(df, lambda x, y: [np.ones((len(x), len(y)))], "n double, most double", whole=lambda v: [np.array([float(len(v[0]))]), np.array([1.0])])
     got = out.agg(F.sum("n"), F.max("n")).first()
     assert got[0] == 9000 * 8999 // 2 and got[1] <= 256 * 256
+
+
+def test_trees_are_read_node_by_node():
+    """A star of 200,000 leaves: reading it holds the open nodes only, writing it less than 150 bytes a node."""
+    text = "(" + ",".join(f"t{k}:{k}" for k in range(200000)) + ")r;"
+    tracemalloc.start()
+    n = sum(1 for _ in newick.walk(text))
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200001 and read < 100000
+    cells = {"node": np.arange(n), "parent": np.where(np.arange(n) > 0, 0, -1), "place": np.arange(n) - 1, "length": np.arange(n) - 1.0}
+    names = ["r", *(f"t{k}" for k in range(n - 1))]
+    tracemalloc.start()
+    again = newick.render_columns(taxon=names, lengths=True, fmt="%g", **cells)
+    wrote = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert again.count(",") == n - 2 and again.startswith("(t0:0,t1:1,") and again.endswith("t199999:199999)r;") and wrote < 150 * n
