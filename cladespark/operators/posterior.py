@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
 from .ordering import ranked
 
 
@@ -25,13 +26,34 @@ def _ranked(samples: DataFrame, keys: list[str], x: str) -> DataFrame:
     return ranked(samples, keys, [F.col(x), *ties], "rank", "size")
 
 
+#: A value that more samples of a key have goes into the moments by its number, not once for each sample.
+REPEATS = 64
+
+
 def summary(samples: DataFrame, keys: list[str], x: str, alpha: float = 0.05) -> DataFrame:
-    """Credible interval and median by ranks, mean and population variance of each key's samples; a null is no sample. Of a key, only sums and single ranks are kept."""
-    low = F.floor(F.col("size") * (alpha / 2))
-    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col(x)))
-    some = _ranked(samples.where(F.col(x).isNotNull()), keys, x)
-    middle = (at(F.floor((F.col("size") - 1) / 2)) + at(F.floor(F.col("size") / 2))) / 2
-    return some.groupBy(*keys).agg(F.count("*").alias("n"), at(low).alias("min_cred"), at(F.col("size") - 1 - low).alias("max_cred"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"), middle.alias("med"))
+    """Credible interval and median by ranks, mean and population variance of each key's samples; a null is no sample.
+
+    Equal values of a key are counted before they are sorted, so what is sorted is the distinct values.
+    """
+    counts = samples.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    some = ranked(counts, keys, [F.col(x)], "_k", value=F.col("_n"), running="_upto")
+    some = saved(some.select(*keys, x, "_n", F.col("_upto").cast("long").alias("_upto")), "counts")
+    whole = some.groupBy(*keys).agg(F.sum("_n").alias("_size"), (F.sum(F.col(x) * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    whole = whole.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], "_size", "_mean")
+    both = F.lit(True)
+    for i, c in enumerate(keys):
+        both = both & F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    each = some.join(whole, both).withColumn("_w", F.explode(F.when(F.col("_n") > REPEATS, F.array("_n")).otherwise(F.array_repeat(F.lit(1).cast("long"), F.col("_n").cast("int")))))
+    size, many = F.col("_size"), F.col("_n") > REPEATS
+    low = F.floor(size * (alpha / 2))
+    at = lambda rank: F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank), F.col(x)))
+    middle = (at(F.floor((size - 1) / 2)) + at(F.floor(size / 2))) / 2
+    one, off = F.when(~many, F.col(x)), F.col(x) - F.col("_mean")
+    moments = [F.count(one).alias("_c"), F.avg(one).alias("_m"), F.var_pop(one).alias("_v"), F.max("_mean").alias("_all"), F.sum(F.when(many, off * off * F.col("_n"))).alias("_far")]
+    out = each.groupBy(*keys).agg(F.max("_size").alias("n"), at(low).alias("min_cred"), at(size - 1 - low).alias("max_cred"), *moments, middle.alias("med"))
+    apart = F.col("_m") - F.col("_all")
+    var = (F.col("_far") + F.coalesce(F.col("_c") * (F.col("_v") + apart * apart), F.lit(0.0))) / F.col("n")
+    return out.select(*keys, "n", "min_cred", "max_cred", F.when(F.col("_far").isNull(), F.col("_m")).otherwise(F.col("_all")).alias("mean"), F.when(F.col("_far").isNull(), F.col("_v")).otherwise(var).alias("var"), "med")
 
 
 def coverage(samples: DataFrame, alpha: float = 0.05) -> DataFrame:

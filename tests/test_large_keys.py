@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladespark.operators import blockjoin, distance, trees
+from cladespark.operators import blockjoin, distance, posterior, trees
 from cladespark.sources import newick
 
 
@@ -94,6 +94,22 @@ def test_tiles_stay_small_in_large_blocks(spark):
     assert got[0] == 9000 * 8999 // 2 and got[1] <= 256 * 256
 
 
+def test_distinct_values_are_sorted(spark, monkeypatch):
+    """100,000 samples of ten values: ten rows a key are ranked, with the statistics of all."""
+    sizes = []
+    plain = posterior.ranked
+    monkeypatch.setattr(posterior, "ranked", lambda df, *a, **k: sizes.append(df.count()) or plain(df, *a, **k))
+    df = spark.range(100000).select((F.col("id") % 3).alias("key"), (F.floor(F.sqrt("id")) % 10).cast("double").alias("x")).union(spark.createDataFrame([(None, float(k)) for k in range(7)] + [(1, None)], "key long, x double"))
+    got = {r["key"]: r for r in posterior.summary(df, ["key"], "x").collect()}
+    assert sum(sizes) <= 37 and set(got) == {0, 1, 2, None}
+    rows = df.where("x is not null").toPandas()
+    for key, r in got.items():
+        x = np.sort(rows.x[rows.key.isna() if key is None else rows.key == key].to_numpy())
+        low = int(len(x) * 0.025)
+        assert (r["n"], r["min_cred"], r["max_cred"], r["med"]) == (len(x), x[low], x[len(x) - 1 - low], np.median(x))
+        assert r["mean"] == pytest.approx(x.mean()) and r["var"] == pytest.approx(x.var())
+
+
 def test_trees_are_read_node_by_node():
     """A star of 200,000 leaves: reading it holds the open nodes only, writing it less than 150 bytes a node."""
     text = "(" + ",".join(f"t{k}:{k}" for k in range(200000)) + ")r;"
