@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladespark.operators import blockjoin, distance, posterior, trees
+from cladespark.plans import inputs
 from cladespark.sources import newick
 
 
@@ -110,6 +111,18 @@ def test_distinct_values_are_sorted(spark, monkeypatch):
         assert r["mean"] == pytest.approx(x.mean()) and r["var"] == pytest.approx(x.var())
 
 
+def test_least_flag_of_a_line(spark, tmp_path):
+    """Of rows with one order and line the least flag counts; one that has no classes of its own, or none, has those of the last."""
+    flags = [(1, ["R", "A"]), (2, ["N"]), (3, ["B", "R"]), (4, [None, "N"]), (5, [None]), (6, ["Z"]), (7, ["A", "0"])]
+    lines = [(1, k, 1, 1, 1.0, 0.0, 0.0, f, 1.0) for k, own in flags for f in own]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 1)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["model"]: r["rclass"] for r in inputs.order_models(spark, str(tmp_path)).collect()}
+    assert got == {1: "0 0 0 0 0 0", 2: "0 1 0 0 1 0", 3: "0 1 2 3 4 5", 4: "0 1 0 0 1 0", 5: "0 1 2 3 4 5", 6: "0 1 2 3 4 5", 7: "0 1 2 3 4 5"}
+    plan = inputs.order_models(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_trees_are_read_node_by_node():
     """A star of 200,000 leaves: reading it holds the open nodes only, writing it less than 150 bytes a node."""
     text = "(" + ",".join(f"t{k}:{k}" for k in range(200000)) + ")r;"
