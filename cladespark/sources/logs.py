@@ -68,9 +68,12 @@ def scan_parameters(lines: DataFrame) -> DataFrame:
     Classes may stand without a space (one digit each) or with commas; they come out with spaces.
     """
     form = r"^\s*(\d+)\s+(\d+)\s+(\d+)\s+(\S+)\s+(\S+)\s+\(([^)]*)\)\s*\[([^\]]*)\]\s+(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]*)\]\s*$"
-    part = lambda i: F.regexp_extract("value", form, i)
+    mark = "\x01"  # between the fields of a line that has been matched once
+    fields = F.split(F.regexp_replace(F.translate("value", mark, "?"), form, mark.join(f"${i}" for i in range(1, 12))), mark)
+    part = lambda i: F.col("fields")[i - 1]
     number = lambda i: part(i).try_cast("double")
-    return lines.where(F.col("value").rlike(form)).select(
+    whole = F.filter(F.array(fields), lambda x: F.size(x) == 11)
+    return lines.select(F.explode(whole).alias("fields")).select(
         part(1).cast("long").alias("run"), part(2).cast("long").alias("step"), part(3).cast("int").alias("model"), number(4).alias("weight"), number(5).alias("rmult"), _classes(part(6)).alias("rclass"),
         _numbers(part(7)).alias("rates"), number(8).alias("w_norm"), number(9).alias("alpha"), number(10).alias("pinvar"), _numbers(part(11)).alias("freqs"),
     )

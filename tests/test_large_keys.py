@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cladespark.operators import blockjoin, distance, posterior, trees
 from cladespark.plans import inputs
-from cladespark.sources import newick
+from cladespark.sources import logs, newick
 
 
 @pytest.fixture
@@ -123,6 +123,14 @@ def test_least_flag_of_a_line(spark, tmp_path):
     assert "SortAggregate" not in plan
 
 
+def test_a_line_is_matched_once(spark):
+    line = "1\t2\t0\t0.50000\t1.0\t( 010010 )[ 1.0 2.0 ] 1.0 inf --- [ 0.2 0.8 ]"
+    df = spark.createDataFrame([(line,), ("1\t2\t0\t\x01\t1.0\t( 0,1 )[ ] 1.0 1.0 0.0 [ ]",), ("header",), ("",), (None,)], "value string")
+    got = logs.scan_parameters(df)
+    assert [tuple(r)[:6] for r in got.collect()] == [(1, 2, 0, 0.5, 1.0, "0 1 0 0 1 0"), (1, 2, 0, None, 1.0, "0 1")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 0
+
+
 def test_trees_are_read_node_by_node():
     """A star of 200,000 leaves: reading it holds the open nodes only, writing it less than 150 bytes a node."""
     text = "(" + ",".join(f"t{k}:{k}" for k in range(200000)) + ")r;"
