@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import dropped, saved
 from .ordering import ranked
 
 
@@ -68,41 +68,58 @@ def robinson_foulds(pairs: DataFrame, splits: DataFrame) -> DataFrame:
     return both.select("a", "b", ((lack(sa, sb) + lack(sb, sa)) / 2).alias("rf"))
 
 
-def robinson_foulds_all(splits: DataFrame, of: DataFrame) -> DataFrame:
-    """(a, b, rf) of the trees of a column a against all others, by an index from splits to trees.
+#: Rows of the result that a task makes, about.
+ROWS = 1 << 22
 
-    splits (tree_id, split) may have a row with a null split for a tree without any. Shared
-    splits are counted by a join on the split. A split of most trees would pair nearly all of
-    them, so it is counted from the other side: two trees share all such splits but those
-    that either lacks, plus those that both lack, and few lack them. The result has a row for
-    each asked tree and other tree; nothing larger is made on the way.
-    """
-    from ..session import saved
 
-    s = saved(same_taxa(splits.select("tree_id", "split").distinct()), "index")
-    trees = s.groupBy("tree_id").agg(F.count("split").alias("n"))
-    total = trees.count()
-    often = s.where("split is not null").groupBy("split").agg(F.count("*").alias("nobs")).withColumn("hot", F.col("nobs") > total / 2)
-    often = saved(often, "often")
+def robinson_foulds_all(splits: DataFrame, of: DataFrame) -> DataFrame:
+    """(a, b, rf) of the trees of a column a against all others, by classes of trees with the same splits.
+
+    splits (tree_id, split) may have a row with a null split for a tree without any. Distances
+    are found once for each two classes, by an index from splits to classes: shared splits are
+    counted by a join on the split. A split of most classes would pair nearly all of them, so
+    it is counted from the other side: two classes share all such splits but those that either
+    lacks, plus those that both lack, and few lack them. The result has a row for each asked
+    tree and other tree, made from its class's distances; nothing larger is made on the way.
+    """
+    s = saved(same_taxa(splits.select("tree_id", "split")), "index")
+    known = saved(s.groupBy("tree_id").agg(F.array_join(F.array_sort(F.collect_set("split")), "|").alias("splits")), "trees")
+    classes = saved(ranked(known.select("splits").distinct(), [], [F.col("splits")], "class"), "classes")
+    asked = of.select(F.col("a").alias("tree_id")).distinct()
+    trees = saved(known.join(classes, "splits").select("tree_id", "class"), "trees")
+    asked = saved(trees.join(asked, "tree_id", "left_semi").select(F.col("tree_id").alias("a"), F.col("class").alias("ca")), "asked")
+    dropped(s, known)
+    far = saved(_between_classes(classes, asked.select("ca").distinct()), "classes")
+    n, m = trees.count(), asked.count()
+    parts = max(1, n * m // ROWS + 1, int(splits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    others = trees.select(F.col("tree_id").alias("b"), F.col("class").alias("cb")).repartition(parts, "b")
+    return others.join(far, "cb").join(asked, "ca").where("a <> b").select("a", "b", "rf")
+
+
+def _between_classes(classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ca, cb, rf) of the classes of a column ca against all (class, splits)."""
+    s = saved(classes.select("class", F.explode(F.split("splits", r"\|")).alias("split")).where("split <> ''"), "index")
+    sizes = classes.select("class", F.when(F.col("splits") == "", 0).otherwise(F.size(F.split("splits", r"\|"))).alias("n"))
+    total = sizes.count()
+    often = saved(s.groupBy("split").agg(F.count("*").alias("nobs")).withColumn("hot", F.col("nobs") > total / 2), "often")
     hot = often.where("hot").select("split")
     many = hot.count()
     rest = s.join(often.where("not hot").select("split"), "split")
-    # The few pairs of a tree and a hot split that it lacks: each hot split's trees are taken from all.
-    lacks = trees.select("tree_id").crossJoin(F.broadcast(hot)).join(s, ["tree_id", "split"], "left_anti") if many else rest.limit(0).select("tree_id", "split")
+    # The few pairs of a class and a hot split that it lacks: each hot split's classes are taken from all.
+    lacks = sizes.select("class").crossJoin(F.broadcast(hot)).join(s, ["class", "split"], "left_anti") if many else rest.limit(0).select("class", "split")
     lacks = saved(lacks, "lacks")
-    asked = of.select("a").distinct()
 
     def pairs(index: DataFrame, name: str) -> DataFrame:
-        a, b = index.select(F.col("tree_id").alias("a"), "split").join(asked, "a", "left_semi"), index.select(F.col("tree_id").alias("b"), "split")
-        return a.join(b, "split").where("a <> b").groupBy("a", "b").agg(F.count("*").alias(name))
+        a, b = index.select(F.col("class").alias("ca"), "split").join(asked, "ca", "left_semi"), index.select(F.col("class").alias("cb"), "split")
+        return a.join(b, "split").groupBy("ca", "cb").agg(F.count("*").alias(name))
 
-    sizes = trees.join(lacks.groupBy("tree_id").agg(F.count("*").alias("l")), "tree_id", "left").select("tree_id", "n", F.coalesce("l", F.lit(0)).alias("l"))
-    side = lambda k: sizes.select(F.col("tree_id").alias(k), F.col("n").alias(f"n{k}"), F.col("l").alias(f"l{k}"))
-    out = side("b").crossJoin(side("a").join(asked, "a", "left_semi")).where("a <> b")  # the result's own rows
-    out = out.join(pairs(rest, "common"), ["a", "b"], "left").join(pairs(lacks, "both"), ["a", "b"], "left")
+    sizes = sizes.join(lacks.groupBy("class").agg(F.count("*").alias("l")), "class", "left").select("class", "n", F.coalesce("l", F.lit(0)).alias("l"))
+    side = lambda k: sizes.select(F.col("class").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("l").alias(f"l{k}"))
+    out = side("b").crossJoin(side("a").join(asked, "ca", "left_semi"))
+    out = out.join(pairs(rest, "common"), ["ca", "cb"], "left").join(pairs(lacks, "both"), ["ca", "cb"], "left")
     shared = F.coalesce("common", F.lit(0)) + many - F.col("la") - F.col("lb") + F.coalesce("both", F.lit(0))
     lack = lambda n: F.when(n > 0, (n - shared) / n).otherwise(0.0)
-    return out.select("a", "b", ((lack(F.col("na")) + lack(F.col("nb"))) / 2).alias("rf"))
+    return out.select("ca", "cb", ((lack(F.col("na")) + lack(F.col("nb"))) / 2).alias("rf"))
 
 
 def majority(splits: DataFrame, trees: int | Column, support: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladespark.operators import blockjoin, distance, posterior, trees
+from cladespark.operators import blockjoin, distance, posterior, splits, trees
 from cladespark.plans import inputs
 from cladespark.sources import logs, newick
 
@@ -131,6 +131,22 @@ def test_a_line_is_matched_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 0
 
 
+def test_distances_of_trees_with_the_same_splits(spark, monkeypatch):
+    """3,000 trees of three classes, one without splits: three classes are compared, and many tasks make the result."""
+    seen = []
+    plain = splits._between_classes
+    monkeypatch.setattr(splits, "_between_classes", lambda classes, asked: seen.append(classes.count()) or plain(classes, asked))
+    own = {0: ["0011", "0111"], 1: ["0011", "0001"], 2: [None]}
+    rows = [(k, s) for k in range(3000) for s in own[k % 3]]
+    df = spark.createDataFrame(rows, "tree_id int, split string")
+    monkeypatch.setattr(splits, "ROWS", 1000)
+    got = splits.robinson_foulds_all(df, spark.createDataFrame([(0,), (1,), (2,)], "a int"))
+    most, n = shares(got)
+    assert seen == [3] and n == 3 * 2999 and most < n / 4
+    want = {(0, 0): 0.0, (0, 1): 0.5, (0, 2): 0.5, (1, 1): 0.0, (1, 2): 0.5, (2, 2): 0.0}
+    assert {(r["a"], r["c"], r["rf"]) for r in got.withColumn("c", F.col("b") % 3).select("a", "c", "rf").distinct().collect()} == {(a, c, want[tuple(sorted((a, c)))]) for a in range(3) for c in range(3)}
+
+
 def test_trees_are_read_node_by_node():
     """A star of 200,000 leaves: reading it holds the open nodes only, writing it less than 150 bytes a node."""
     text = "(" + ",".join(f"t{k}:{k}" for k in range(200000)) + ")r;"
