@@ -4,13 +4,17 @@ Every text is cut into non-overlapping reference blocks of BLOCK words; a repeat
 of WINDOW >= 2 * BLOCK - 1 words holds a whole block of one of its places. All rolling
 windows of BLOCK words probe the block index, and windows around hits are extended to
 maximal exact repeats: every window of WINDOW words that holds a live anchor is compared
-with its other places, and windows that repeat an earlier place are merged into spans.
+with its other places, and windows that repeat an earlier place are merged into spans. Only
+the first place of each window travels back: a document's windows near live anchors that are
+no first places are those that repeat, so neither the windows nor a join with them is stored.
 
 The index is probed through bitmaps that grow with it up to 32 MB; a full bitmap would only
 let more probes through, as what decides is the exact grouping after it. Texts that are whole
 copies of an earlier one are settled first, so large groups of copies cost nothing more.
 
 Windows, and whole copies, are compared by two independent hashes, 96 and 128 bits together.
+A place is one long, the document's number and the window's first word. Whole doc_ids that
+repeat nowhere and span less than 2**33 are their own numbers; other ids are sorted and numbered.
 
 Null or empty text: no words. Texts of fewer than WINDOW words keep all. A doc_id may be of
 any type that has an order. Rows that repeat a doc_id with another text are documents of
@@ -26,16 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import ROW, discard, row_key, stash, with_ids, without_ids
+from .shared import ROW, discard, row_key, sized, stash, with_ids, without_ids
 from .words import Words, signed, slices, words
 
 WINDOW, BLOCK = 20, 10
 #: Bits of the bitmaps, as a power of two, at most; each key sets two.
 BITS = 28
+#: Bits of a place that hold the first word; a text of less than 2**31 bytes has no more words. The document's number has the rest.
+START = 30
+_DOCS = 1 << (63 - START)
+#: Windows that are merged to spans at a time.
+_STEP = 1 << 20
 
 
 #: Salt of the second hash.
@@ -93,33 +102,114 @@ def _probes(block: int, window: int, index):
     return run
 
 
+def _live(w: Words, block: int, window: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that hold a live anchor: place among the slice's words, row, first word in the row."""
+    g, _ = w.grams(block)
+    n = max(0, len(w.code) - window + 1)
+    hits = np.zeros(len(g) + 1, np.int32)
+    np.cumsum(_has(bits, g), out=hits[1:])
+    del g
+    ok = w.last()[:n] >= np.arange(window, window + n, dtype=np.int32)
+    at = np.flatnonzero(ok & (hits[window - block + 1 : window - block + 1 + n] > hits[:n]))
+    row = np.searchsorted(w.first, at, "right") - 1
+    return at, row, at - w.first[row]
+
+
 def _around(block: int, window: int, live):
-    """Windows that hold a live anchor: two hashes, document, first word."""
+    """Windows that hold a live anchor: two hashes and the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            doc = batch.column("doc").to_numpy()
             for s in slices(batch.column("text")):
                 w = words(s)
-                full, ok = w.grams(window)
-                if not len(full):
-                    continue
-                g, _ = w.grams(block)
-                hits = np.zeros(len(g) + 1, np.int32)
-                np.cumsum(_has(live.value, g), out=hits[1:])
-                del g
-                at = np.flatnonzero(ok & (hits[window - block + 1 : window - block + 1 + len(full)] > hits[: len(full)]))
-                del hits, ok
+                at, row, start = _live(w, block, window, live.value)
                 if not len(at):
                     continue
-                row = (np.searchsorted(w.first, at, "right") - 1).astype(np.int32)
-                start = (at - w.first[row]).astype(np.int32)
-                full = full[at]
+                place = (doc[row + s.lo] << START) | start
+                full = w.grams(window)[0][at]
                 more = (w.grams(window, _SALT)[0][at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(more), batch.column("doc_id").take(pa.array(row + s.lo)), pa.array(start)], names=["h", "h2", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(full)), pa.array(more), pa.array(place)], names=["h", "h2", "place"])
+
+    return run
+
+
+def _runs(block: int, window: int, live):
+    """The same windows as runs of first words, lo to hi (not included), one row for each document that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch.column("text")):
+                at, row, start = _live(words(s), block, window, live.value)
+                if not len(at):
+                    continue
+                new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])))
+                lo, hi = start[new], start[np.concatenate((new[1:], [True]))] + 1
+                rows, many = np.unique(row[new], return_counts=True)
+                off = pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int32))) for x in (lo, hi)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows + s.lo)), *lists], names=["doc", "lo", "hi"])
+
+    return run
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists, and where each row's begin; null: empty."""
+    many = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(many)))
+
+
+def _spans(window: int):
+    """Of each document, the words covered by windows of its runs that are no first places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, off = _flat(batch.column("lo"))
+            hi, _ = _flat(batch.column("hi"))
+            first, own = _flat(batch.column("firsts"))
+            upto = np.concatenate(([0], np.cumsum(hi - lo)))
+            at, a = upto[off], 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(at, at[a] + _STEP, "right")) - 1)
+                i, j = off[a], off[b]
+                row = np.repeat(np.arange(a, b), np.diff(off[a : b + 1]))
+                again = np.ones(at[b] - at[a], bool)
+                # Rows do not mix: a run is found by its row and its first word.
+                of = np.repeat(np.arange(a, b), np.diff(own[a : b + 1]))
+                x = first[own[a] : own[b]]
+                r = np.searchsorted((row << START) | lo[i:j], (of << START) | x, "right") - 1
+                again[upto[i:j][r] - at[a] + x - lo[i:j][r]] = False
+                start = np.flatnonzero(again)
+                r = np.searchsorted(upto[i:j], start + at[a], "right") - 1
+                start, row = start + at[a] - upto[i:j][r] + lo[i:j][r], row[r]
+                if len(start):
+                    new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + window)))
+                    end = start[np.concatenate((new[1:], [True]))] + window
+                    rows, many = np.unique(row[new], return_counts=True)
+                    edges = pa.StructArray.from_arrays([pa.array(start[new].astype(np.int32)), pa.array(end.astype(np.int32))], names=["start", "end"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), edges)], names=["doc", "spans"])
+                a = b
 
     return run
 
 
+def _numbered(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (doc, text) and keys (doc_id, doc): doc is the key's number, in the order of the keys, below _DOCS."""
+    key = F.col("doc_id.id")
+    if keys.schema["doc_id"].dataType["id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        n, ids, lo, hi = keys.agg(F.count("*"), F.count_distinct(key), F.min(key), F.max(key)).first()
+        if n and n == ids and hi - lo < _DOCS:
+            doc = (key.cast("long") - F.lit(lo).cast("long")).alias("doc")
+            return docs.where(key.between(lo, hi)).select(doc, "text"), keys.select("doc_id", doc)
+    low = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number in its partition
+    ranked = stash(keys.orderBy("doc_id").select("doc_id", F.spark_partition_id().alias("part"), low.alias("at")), "ranked")
+    sizes = ranked.groupBy("part").agg(F.count("*").alias("n"))  # one row for each task
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbers = stash(ranked.join(F.broadcast(before), "part").select("doc_id", (F.col("at") + F.col("before")).alias("doc")), "numbers")
+    discard(ranked)
+    return docs.join(sized(numbers), "doc_id").select("doc", "text"), numbers
+
+
 def _bitmap(keys: DataFrame, n: int, name: str) -> np.ndarray:
     """A bitmap with two bits for each of about n keys h, put together in parts of 4 KB by Spark's bitmap aggregate: 16 bits a key, up to 2**BITS."""
     size = 1 << min(BITS, max(16, (16 * n).bit_length()))
@@ -140,28 +230,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     docs = docs.where("doc_id is not null and text is not null").select(row_key("text").alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     info = stash(docs.mapInArrow(_digest, f"doc_id {kind}, n long, seq long, seq2 long").where(f"n >= {window}"), "info")
-    firsts = info.groupBy("seq", "seq2", "n").agg(F.min("doc_id").alias("doc_id"))
-    copies = stash(info.join(firsts.select("doc_id"), "doc_id", "left_anti").select("doc_id").distinct(), "copies")
+    keys = stash(info.groupBy("seq", "seq2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "keys")
+    copies = stash(info.join(keys, "doc_id", "left_anti").select("doc_id").distinct(), "copies")
     discard(info)
-    single = without_ids(docs, copies)
+    single, numbers = _numbered(without_ids(docs, copies), keys)
     blocks = stash(single.mapInArrow(_blocks(block, window), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "blocks")
     index = spark.sparkContext.broadcast(_bitmap(blocks, blocks.count(), "bits"))
     probes = single.mapInArrow(_probes(block, window, index), "h long").distinct()
     anchors = stash(blocks.join(probes.withColumn("probed", F.lit(True)), "h", "left").where("n > 1 or probed").select("h"), "anchors")
     live = spark.sparkContext.broadcast(_bitmap(anchors, anchors.count(), "bits"))
     index.unpersist()  # from here on only the written tables are read
-    around = stash(single.mapInArrow(_around(block, window, live), f"h long, h2 int, doc_id {kind}, start int"), "around")
+    discard(blocks, anchors)
+    # A passage that many texts share is one row of each task after the aggregation's first step.
+    firsts = single.mapInArrow(_around(block, window, live), "h long, h2 int, place long").groupBy("h", "h2").agg(F.min("place").alias("place"))
+    doc, start = F.shiftright("place", START).alias("doc"), F.col("place").bitwiseAND((1 << START) - 1).cast("int")
+    firsts = firsts.groupBy(doc).agg(F.collect_list(start).alias("firsts"))
+    runs = single.mapInArrow(_runs(block, window, live), "doc long, lo array<int>, hi array<int>").dropDuplicates(["doc"])
+    spans = runs.join(firsts, "doc", "left").select("doc", "lo", "hi", "firsts").mapInArrow(_spans(window), "doc long, spans array<struct<start: int, end: int>>")
+    spans = stash(spans.join(numbers, "doc").select("doc_id", "spans"), "spans")
     live.unpersist()
-    # As a table of its own, so that both sides of the join are plain exchanges and a passage that many texts share can be split.
-    firsts = stash(around.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").select("h", "h2", "first"), "firsts")
-    again = around.join(firsts, ["h", "h2"]).where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start")
-    merged = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("s"))
-    # A run of windows ends where the next one starts beyond it; the runs' edges give the spans.
-    heads = F.filter("s", lambda x, j: (j == 0) | (x > F.get(F.col("s"), j - 1) + window))
-    tails = F.filter("s", lambda x, j: (j == F.size("s") - 1) | (F.get(F.col("s"), j + 1) > x + window))
-    spans = merged.select("doc_id", F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("start"), (b + window).alias("end"))).alias("spans"))
-    spans = stash(spans, "spans")
-    discard(around, blocks, anchors, firsts)
+    discard(keys, numbers)
     return copies.withColumnRenamed("doc_id", ROW), spans.withColumnRenamed("doc_id", ROW)
 
 

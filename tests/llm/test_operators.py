@@ -5,6 +5,7 @@ import random
 import re
 import tracemalloc
 from collections import defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -473,6 +474,68 @@ def test_substrings_of_rows_that_repeat_an_id(spark):
     assert (5, " ".join(say("s", 6))) in [(r["doc_id"], r["text"]) for r in kept]
 
 
+@pytest.mark.parametrize("kind", ["long", "tinyint", "string", "decimal(30,2)", "double"])
+def test_substrings_of_other_ids(spark, kind):
+    """Ids below zero, far apart or of another type keep their order, and a short text's id may lie outside the others'."""
+    say = lambda a, n: [f"{a}{i}" for i in range(n)]
+    texts = [say("p", 6) + say("t", 30), say("t", 30) + say("u", 40), say("q", 3) + say("u", 40), say("r", 25) + say("t", 25) + say("t", 30), say("s", 4), say("t", 30)]
+    for ids in [(3, -7, 5, 4, -100, 100), *([(2**63 - 1, -(2**63), 0, 5, -5, 9), (7, -1, 2**33 - 2, 5, -(2**63), 6)] if kind == "long" else [])]:
+        docs = spark.createDataFrame([(str(i), " ".join(w)) for i, w in zip(ids, texts, strict=True)], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+        rows = sorted((tuple(r) for r in docs.collect()))
+        want = brute.kept_words(rows)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedup_substrings(docs).collect()}
+        assert got == {i: (n, n - len(k), " ".join(k)) for i, (n, k) in want.items()}
+        assert sum(n > len(k) for n, k in want.values()) >= 3
+
+
+def test_spans_of_runs(monkeypatch):
+    """Windows that are no first places are merged by document, whatever rows are worked at a time."""
+    rng = random.Random(5)
+    for step in (1, 7, 40, 1000):
+        monkeypatch.setattr(substring, "_STEP", step)
+        rows, want = [], {}
+        for doc in range(60):
+            live = sorted({a + i for a in rng.sample(range(60), rng.randrange(1, 4)) for i in range(rng.randrange(1, 12))})
+            first = [x for x in live if rng.random() < (0, 0.3, 0.9, 1)[doc % 4]]
+            lo, hi = [x for x in live if x - 1 not in live], [x + 1 for x in live if x + 1 not in live]
+            rows.append({"doc": doc, "lo": lo, "hi": hi, "firsts": rng.sample(first, len(first)) if first else None})
+            covered = {p for x in live if x not in first for p in range(x, x + 4)}
+            if covered:
+                want[doc] = covered
+        schema = pa.schema([("doc", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("lo", "hi", "firsts"))])
+        batches = [pa.RecordBatch.from_pylist(rows, schema).slice(0, 23), pa.RecordBatch.from_pylist(rows, schema).slice(23)]
+        got = [r for b in substring._spans(4)(iter(batches)) for r in b.to_pylist()]
+        assert {r["doc"]: {p for x in r["spans"] for p in range(x["start"], x["end"])} for r in got} == want
+        assert len(got) == len(want) and all(a["end"] < b["start"] for r in got for a, b in zip(r["spans"], r["spans"][1:], strict=False))
+
+
+def test_substrings_take_little_disk(spark, monkeypatch, tmp_path):
+    """Of texts whose windows occur twice each, with joins as on large tables: what is shuffled and written, in bytes of text."""
+    say = lambda a: " ".join(f"w{a}-{i}" for i in range(300))
+    rows = [(2 * a + b, say(a) + f" end{b}") for a in range(600) for b in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    shuffled = lambda: sum(x.shuffleWriteBytes() for x in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))
+    tables, write = [], substring.stash
+
+    def noted(df, name="part"):
+        out = write(df, name)
+        tables.append(sum(p.stat().st_size for p in Path(out._scratch_path.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(substring, "stash", noted)
+    before, limit = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        copies, spans = substring.repeats(spark.read.parquet(str(tmp_path / "docs")))
+        made = shuffled() - before
+        assert spans.count() == 600 and not copies.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    size = sum(len(t) for _, t in rows)
+    assert 0 < made + sum(tables) < 4 * size, (made, tables, size)
+
+
 def test_class_lm_of_blank_slices(spark):
     """Partitions of null and empty texts only, before and after the training fold."""
     docs = spark.createDataFrame([(i, "one two three" if i == 40 else (None, "", " \n")[i % 3]) for i in range(41)], "doc_id long, text string").repartitionByRange(4, "doc_id")
