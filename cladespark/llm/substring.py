@@ -243,8 +243,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[
     discard(blocks, anchors)
     # A passage that many texts share is one row of each task after the aggregation's first step.
     firsts = single.mapInArrow(_around(block, window, live), "h long, h2 int, place long").groupBy("h", "h2").agg(F.min("place").alias("place"))
-    doc, start = F.shiftright("place", START).alias("doc"), F.col("place").bitwiseAND((1 << START) - 1).cast("int")
-    firsts = firsts.groupBy(doc).agg(F.collect_list(start).alias("firsts"))
+    # Bare places are dealt by document: lists of each task would be rows of their own where tasks are many.
+    doc, start = F.shiftright("place", START), F.col("place").bitwiseAND((1 << START) - 1).cast("int")
+    firsts = firsts.select("place").repartition(doc).groupBy(doc.alias("doc")).agg(F.collect_list(start).alias("firsts"))
     runs = single.mapInArrow(_runs(block, window, live), "doc long, lo array<int>, hi array<int>").dropDuplicates(["doc"])
     spans = runs.join(firsts, "doc", "left").select("doc", "lo", "hi", "firsts").mapInArrow(_spans(window), "doc long, spans array<struct<start: int, end: int>>")
     spans = stash(spans.join(numbers, "doc").select("doc_id", "spans"), "spans")
