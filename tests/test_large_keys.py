@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladespark.operators import blockjoin, distance, posterior, splits, trees
+from cladespark.operators import blockjoin, blocks, distance, posterior, splits, trees
 from cladespark.plans import inputs
 from cladespark.sources import logs, newick
 
@@ -62,6 +62,20 @@ def test_many_branches_of_a_node_take_few_rounds(spark, monkeypatch):
     assert {s for s, _ in found} == {side(k) for k in range(4)} and len(rounds) <= 8
 
 
+def test_rows_sent_to_blocks_grow_as_the_table(spark, monkeypatch):
+    """Twice the leaves are sent twice as often in all, not four times."""
+    monkeypatch.setattr(trees, "SIDE", 4)
+    sent = []
+    frame = type(spark.range(1))
+    for name in ("repartitionById", "repartition"):
+        monkeypatch.setattr(frame, name, lambda df, *a, plain=getattr(frame, name): sent.append(df.count()) or plain(df, *a))
+    for n in (200, 400):
+        star = spark.createDataFrame([("r", None, 0.0), *((f"x{k:03}", "r", 1.0) for k in range(n))], "node string, parent string, length double")
+        assert trees.patristic(star).count() == n * (n - 1) // 2
+    half = len(sent) // 2
+    assert sent and sum(sent[half:]) <= 2.5 * sum(sent[:half])
+
+
 def test_distances_by_large_blocks(spark, monkeypatch):
     """Kernels of tiles against the pair functions; a row goes to a group for each large block."""
     rng = random.Random(5)
