@@ -62,6 +62,26 @@ def test_many_branches_of_a_node_take_few_rounds(spark, monkeypatch):
     assert {s for s, _ in found} == {side(k) for k in range(4)} and len(rounds) <= 8
 
 
+def test_path_lengths_are_joined_without_a_table_of_cells(spark, monkeypatch):
+    """Forty leaves below four nodes: what a round stores is a row or two for each node, and the splits are those of the table of cells."""
+    leaves = [(f"x{i:02}", f"n{i % 4}", 0.5 + i / 64) for i in range(40)]
+    edges = spark.createDataFrame([("r", None, 0.0), *((f"n{k}", "r", 1.0 + k) for k in range(4)), *leaves], "node string, parent string, length double")
+    stored = []
+    saved = blockjoin.saved
+    monkeypatch.setattr(blockjoin, "saved", lambda df, name: stored.append((name, df.count())) or saved(df, name))
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    paths = trees.paths(edges).withColumn("k", F.substring("leaf", 2, 2).cast("long"))
+    found = blockjoin.joined_paths(paths, 12)
+    got = {(r["split"], round(r["length"], 6)) for r in blockjoin.splits(found, 40).where("length > 1e-6").collect()}
+    assert max(n for _, n in stored) <= 80 and "cells" not in {name for name, _ in stored} and found.count() == 2 * 40 - 3
+    side = lambda k: "".join("1" if (i % 4 == k) != (k == 0) else "0" for i in range(40))
+    assert got == {(side(k), 1.0 + k) for k in range(4)}
+    monkeypatch.setattr(blockjoin, "EQUAL", -1.0)  # no pair counts as even: a table of cells goes on
+    few = paths.where("k < 16")
+    rest = blockjoin.splits(blockjoin.joined_paths(few, 12), 16).where("length > 1e-6").collect()
+    assert {r["split"]: round(r["length"], 6) for r in rest} == {"".join("1" if (i % 4 == k) != (k == 0) else "0" for i in range(16)): 1.0 + k for k in range(4)}
+
+
 def test_rows_sent_to_blocks_grow_as_the_table(spark, monkeypatch):
     """Twice the leaves are sent twice as often in all, not four times."""
     monkeypatch.setattr(trees, "SIDE", 4)
