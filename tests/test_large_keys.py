@@ -121,6 +121,22 @@ def test_distances_by_large_blocks(spark, monkeypatch):
     assert {(r["i"], r["j"]): r["d"] for r in distance.matrix_distance(amino, "kimura_protein", 20).collect()} == pytest.approx(want)
 
 
+def test_sequences_sent_to_blocks_grow_as_the_table(spark, monkeypatch):
+    """Twice the sequences are sent twice as often in all, and pairs go out in the order of their taxa."""
+    monkeypatch.setattr(distance, "BLOCK", 4)
+    monkeypatch.setattr(distance, "TILES", 1, raising=False)
+    sent = []
+    frame = type(spark.range(1))
+    for name in ("repartitionById", "repartition"):
+        monkeypatch.setattr(frame, name, lambda df, *a, plain=getattr(frame, name): sent.append(df.count()) or plain(df, *a))
+    for n in (160, 320):
+        out = distance.matrix_distance(spark.range(n).select(F.col("id").alias("tid"), F.array(F.lit(1), F.pow(F.lit(2), F.col("id") % 4).cast("int")).alias("v")), "p", places=9)
+        got = out.agg(F.count("*"), F.count_if(F.expr("i < j")), F.countDistinct("i", "j"), F.sum("d")).first()
+        assert got[:3] == (n * (n - 1) // 2,) * 3 and got[3] == 6 * (n // 4) ** 2 / 2
+    half = len(sent) // 2
+    assert sent and sum(sent[half:]) <= 2.5 * sum(sent[:half])
+
+
 def test_tiles_stay_small_in_large_blocks(spark):
     """9,000 rows in blocks of about 281, whose tiles are 256 at most."""
     df = spark.range(9000).select(F.col("id").alias("tid"), F.array(F.lit(1), F.lit(2)).alias("v"))
